@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from .common import table
 from .hyperminhash import near_duplicates
+from .mixing import mix
+from .packing import pack_documents
+from .wavelet import read_documents, write_tokens
 
 #: The text with A-Z lower-cased, split at ASCII white space.
-WORDS_SQL = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '')"
+WORDS_SQL = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
 def op10_hyperminhash(spark, sf_dir):
@@ -17,7 +20,7 @@ OP10_SQL = f"""
 WITH RECURSIVE words AS MATERIALIZED (
   SELECT doc_id, {WORDS_SQL} AS w FROM documents
 ), sets AS MATERIALIZED (
-  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
          WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words
 ), posted AS MATERIALIZED (
   SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
@@ -33,9 +36,54 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r) AS component_id,
 FROM sets s JOIN reach USING (doc_id) GROUP BY s.doc_id, s.s
 """
 
+
+
+def op1_best_fit_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_wavelet_tokens(spark, sf_dir):
+    return read_documents(write_tokens(table(spark, sf_dir, "documents")))
+
+
+def op8_mixing(spark, sf_dir):
+    rows, _ = mix(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP8_SQL = rf"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len({WORDS_SQL}) AS BIGINT) AS size, md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
+), numbered AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n FROM sources
+), weighed AS (
+  SELECT *, CAST(CASE n % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS w, CAST(3 * source_size AS DOUBLE) AS cap FROM numbered
+), levelled AS (
+  SELECT *, cap / w AS r, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER (ORDER BY cap / w, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY cap / w, n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed
+), lev AS (
+  SELECT arg_min(level, r) AS level FROM levelled WHERE r >= level
+), targets AS (
+  SELECT source, source_size, CASE WHEN lev.level IS NULL OR r < lev.level THEN cap ELSE w * lev.level END AS target FROM levelled, lev
+), placed AS (
+  SELECT doc_id, size, source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS words,
+    CAST(sum(size) OVER (PARTITION BY s.source ORDER BY k, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS c
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  CAST(CASE WHEN source_size = 0 THEN 0 ELSE words // source_size * size + greatest(0, least(size, words % source_size - c)) END AS BIGINT) AS taken
+FROM placed
+"""
+
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_wavelet_tokens": op2_wavelet_tokens,
+    "op8_mixing": op8_mixing,
     "op10_hyperminhash": op10_hyperminhash,
 }
 ORACLE_SQL = {
+    "op8_mixing": OP8_SQL,
     "op10_hyperminhash": OP10_SQL,
 }
