@@ -21,6 +21,7 @@ from .words import Words, batch, binary, mix, pieces, shingle_sets
 ROWS = 6
 MANTISSA = 10
 EMPTY = 0xFFFF
+PARITY = 32  # 64-bit words of a set's parity sketch
 
 
 def bands_for(threshold: float, miss: float = 1e-5) -> int:
@@ -45,6 +46,16 @@ def registers(sets: list[np.ndarray], k: int) -> np.ndarray:
     return out.reshape(len(sets), k)
 
 
+def parity(sets: list[np.ndarray]) -> pa.Array:
+    """Parity sketches, PARITY longs a set: every element flips one bit, so two sketches differ in no more bits than
+    their sets have elements apart - a bound that never rules out a link."""
+    out = np.zeros((len(sets), PARITY * 64), np.uint8)
+    for row, s in zip(out, sets, strict=True):
+        row[:] = np.bincount((s >> np.uint64(40)).astype(np.int64) % (PARITY * 64), minlength=PARITY * 64) & 1
+    longs = np.packbits(out, axis=1, bitorder="little").view(np.int64).ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * PARITY, pa.int32()), pa.array(longs))
+
+
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Jaccard estimate per row without the expected chance collisions of compressed registers, and its buckets in use."""
     k = a.shape[1]
@@ -75,9 +86,10 @@ def sketch(docs: DataFrame, shingle: int, k: int) -> DataFrame:
                 h1=np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64),
                 h2=np.array([mix(s + np.uint64(77)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64),
                 registers=binary(list(reg)),
+                parity=parity(sets),
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, registers binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, registers binary, parity array<long>")
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -131,7 +143,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     Two documents are linked when 100 * |A and B| >= percent * |A or B| over their distinct word shingles. Equal sets
     become one class before anything is paired, so a group of copies of any size costs one row a document. In each band
     bucket every class is first compared with the bucket's smallest id; what one round has joined is not paired
-    again, and the second round compares only members of different components of a bucket.
+    again, and the second round compares only members of different components that met the same pivot, those whose
+    parity sketches are not already too far apart.
 
     Defined cases: null or blank texts have n_shingles 0 and are linked with nothing; rows with a null doc_id are
     not linked, have a null component_id and are kept; rows that share a doc_id are one vertex; other columns are
@@ -144,7 +157,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sig = staged(sketch(docs, shingle, k), "sketch")
     some = sig.filter("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    reps = staged(some.join(classes, ["n_shingles", "h1", "h2"]).filter("doc_id = rep").select("doc_id", "n_shingles", "registers").dropDuplicates(["doc_id", "n_shingles"]), "reps")
+    reps = staged(some.join(classes, ["n_shingles", "h1", "h2"]).filter("doc_id = rep").select("doc_id", "n_shingles", "registers", "parity").dropDuplicates(["doc_id", "n_shingles"]), "reps")
     width = 2 * ROWS
     nothing = F.lit(b"\xff" * width)
     piece = F.expr(f"substring(registers, band * {width} + 1, {width})")
@@ -152,18 +165,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     near = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))  # noqa: E731  sizes alone rule the others out
 
     shared = buckets.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("pivot"), F.max("doc_id").alias("last")).filter("pivot.doc_id <> last")
-    busy = staged(buckets.join(shared.select("key", "pivot"), "key"), "buckets")
-    first = busy.filter(F.col("doc_id") != F.col("pivot.doc_id")).filter(near(F.col("n"), F.col("pivot.n"))).select(F.col("pivot.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    met = buckets.join(shared.select("key", "pivot"), "key").filter(F.col("doc_id") != F.col("pivot.doc_id"))
+    met = staged(met.select(F.col("pivot.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("pivot.n").alias("na"), F.col("n").alias("nb")).distinct(), "met")
+    first = met.filter(near(F.col("na"), F.col("nb"))).select("a", "b")
     links = _verified(staged(_likely(first, reps, k, threshold), "pairs"), docs, shingle, percent)
     found = connected_components(links)
 
-    side = busy.join(found.select(F.col("v").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"), F.col("pivot.doc_id").alias("pivot"))
-    mixed = side.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-    side = staged(side.join(mixed, "key", "left_semi"), "mixed")
+    side = met.join(found.select(F.col("v").alias("b"), "component"), "b", "left").select("a", "b", F.col("nb").alias("n"), F.coalesce("component", "b").alias("c"))
+    mixed = side.groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("a")
+    side = staged(side.join(mixed, "a", "left_semi").join(reps.select(F.col("doc_id").alias("b"), F.col("parity")), "b"), "mixed")
     x, y = side.alias("x"), side.alias("y")
-    again = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.doc_id") != F.col("x.pivot")) & near(F.col("x.n"), F.col("y.n"))).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    apart = sum((F.bit_count(F.col("x.parity")[i].bitwiseXOR(F.col("y.parity")[i])) for i in range(1, PARITY)), F.bit_count(F.col("x.parity")[0].bitwiseXOR(F.col("y.parity")[0])))
+    close = (100 + percent) * apart <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    again = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.b") < F.col("y.b")) & (F.col("x.c") != F.col("y.c")) & near(F.col("x.n"), F.col("y.n")) & close)
+    again = again.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
     more = _verified(staged(_likely(again, reps, k, threshold), "pairs"), docs, shingle, percent)
-    drop(side, busy)
+    drop(side, met)
     whole = connected_components(links.unionByName(more))
     groups = classes.join(whole.select(F.col("v").alias("rep"), "component"), "rep", "left").select("n_shingles", "h1", "h2", F.coalesce("component", "rep").alias("group"))
     out = sig.select("doc_id", "n_shingles", "h1", "h2").join(groups, ["n_shingles", "h1", "h2"], "left")
