@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .common import table
 from .hyperminhash import near_duplicates
+from .languages import identify
 from .mixing import mix
 from .packing import pack_documents
+from .toxicity import score as toxicity_score
 from .wavelet import read_documents, write_tokens
 
 #: The text with A-Z lower-cased, split at ASCII white space.
@@ -46,6 +48,16 @@ def op2_wavelet_tokens(spark, sf_dir):
     return read_documents(write_tokens(table(spark, sf_dir, "documents")))
 
 
+def op4_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity_score(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op9_language_field(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_mixing(spark, sf_dir):
     rows, _ = mix(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
@@ -80,7 +92,9 @@ FROM placed
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_wavelet_tokens": op2_wavelet_tokens,
+    "op4_toxicity": op4_toxicity,
     "op8_mixing": op8_mixing,
+    "op9_language_field": op9_language_field,
     "op10_hyperminhash": op10_hyperminhash,
 }
 ORACLE_SQL = {
