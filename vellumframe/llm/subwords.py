@@ -30,16 +30,29 @@ class Encoder:
     order. Words are looked up in a bounded cache; words outside PLAIN go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, cap: int = 300_000):
+    def __init__(self, path: str, cap: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cap = Tokenizer.from_file(path), cap
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.known: dict[str, int] = {}
+        self.marks: dict[str, list[int]] = {"": []}
         self.pool, self.used = np.empty(1 << 18, np.int32), 0
 
     def word(self, w: str) -> list[int]:
+        core = w.rstrip(".,")
+        if core.isalpha() and (core.isascii() or PLAIN.fullmatch(core)):  # one run of letters, perhaps with marks behind
+            bare = core.lower()
+            ids = [t.id for t in self.model.tokenize(bare if core.isascii() else bare.translate(self.letters))]
+            if len(core) < len(w):
+                tail = w[len(core) :]
+                if tail not in self.marks:
+                    if len(self.marks) > 1000:
+                        self.marks = {"": []}
+                    self.marks[tail] = [t.id for t in self.model.tokenize(tail)]
+                ids += self.marks[tail]
+            return ids
         if PLAIN.fullmatch(w) and "<|" not in w:
             out: list[int] = []
             for p in SPLIT.findall(w.lower()):

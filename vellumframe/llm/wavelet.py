@@ -20,6 +20,7 @@ from .subwords import default_path, encoder
 from .words import batch, pieces
 
 MAGIC = b"WVMX0001"
+PACK = pa.Codec("zstd", compression_level=1)
 BLOCK = 512  # bits a rank directory entry covers
 
 
@@ -33,9 +34,9 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, values: np.ndarray, bits: int) -> WaveletMatrix:
-        planes, zeros, cur = [], [], values.astype(np.uint32)
+        planes, zeros, cur = [], [], values.astype(np.uint16 if bits <= 16 else np.uint32)
         for level in range(bits - 1, -1, -1):
-            one = (cur >> np.uint32(level) & np.uint32(1)).astype(bool)
+            one = (cur & cur.dtype.type(1 << level)) != 0
             planes.append(np.packbits(one, bitorder="little"))
             low = cur[~one]
             zeros.append(len(low))
@@ -102,22 +103,24 @@ class WaveletMatrix:
 
     def values(self) -> np.ndarray:
         """Every token: the levels joined again from the last to the first."""
-        cur = np.zeros(self.n, np.uint32)
+        cur = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for k in range(self.bits - 1, -1, -1):
-            one = self.plane(k).astype(bool)
+            one = self.plane(k).view(bool)
             del self._open[k]
             up = np.empty_like(cur)
             up[~one] = cur[: self.zeros[k]]
-            up[one] = cur[self.zeros[k] :] | np.uint32(1 << (self.bits - 1 - k))
+            up[one] = cur[self.zeros[k] :] | cur.dtype.type(1 << (self.bits - 1 - k))
             cur = up
         return cur
 
 
 def to_bytes(matrix: WaveletMatrix, doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray) -> bytes:
-    """The file: magic, counts, zeros per level, then compressed document index and planes, each with its length."""
+    """The file: magic, counts, zeros per level, then compressed document index and planes, each with its
+    packed and its raw length."""
     head = MAGIC + struct.pack("<QQI", matrix.n, len(lengths), matrix.bits) + np.array(matrix.zeros, "<u8").tobytes()
-    parts = [zlib.compress(x, 1) for x in (doc_ids.astype("<i8").tobytes(), known.astype("u1").tobytes(), lengths.astype("<i8").tobytes(), *(p.tobytes() for p in matrix.planes))]
-    return head + b"".join(struct.pack("<Q", len(p)) + p for p in parts)
+    raw = [doc_ids.astype("<i8").tobytes(), known.astype("u1").tobytes(), lengths.astype("<i8").tobytes(), *(p.tobytes() for p in matrix.planes)]
+    parts = [PACK.compress(x, asbytes=True) for x in raw]
+    return head + b"".join(struct.pack("<QQ", len(p), len(x)) + p for p, x in zip(parts, raw, strict=True))
 
 
 def from_bytes(data: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, np.ndarray]:
@@ -129,8 +132,9 @@ def from_bytes(data: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, np.n
     at, parts = 28 + 8 * bits, []
     while at < len(data):
         (size,) = struct.unpack_from("<Q", data, at)
-        parts.append(zlib.decompress(data[at + 8 : at + 8 + size]))
-        at += 8 + size
+        (raw,) = struct.unpack_from("<Q", data, at + 8)
+        parts.append(PACK.decompress(data[at + 16 : at + 16 + size], raw, asbytes=True))
+        at += 16 + size
     ids, known, lengths = (np.frombuffer(p, t, docs) for p, t in zip(parts, ("<i8", "u1", "<i8"), strict=False))
     return WaveletMatrix(n, [np.frombuffer(p, np.uint8) for p in parts[3:]], zeros), ids, known.astype(bool), lengths
 
