@@ -7,6 +7,8 @@ from .hyperminhash import near_duplicates
 from .languages import identify
 from .mixing import mix
 from .packing import pack_documents
+from .projections import nearest
+from .quantise import near_vectors
 from .toxicity import score as toxicity_score
 from .wavelet import read_documents, write_tokens
 
@@ -53,6 +55,14 @@ def op4_toxicity(spark, sf_dir):
     return toxicity_score(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_projected_neighbours(spark, sf_dir):
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op6_iterative_quantisation(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_language_field(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return identify(docs).select("doc_id", "held_out", "lang_pred", "score")
@@ -89,15 +99,39 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+
+OP6_SQL = """
+WITH RECURSIVE good AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reach(vec_id, r) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT l.b, reach.r FROM reach JOIN links l ON l.a = reach.vec_id
+), comp AS (
+  SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id
+), counted AS (
+  SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN comp USING (vec_id) LEFT JOIN counted USING (vec_id)
+"""
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_wavelet_tokens": op2_wavelet_tokens,
     "op4_toxicity": op4_toxicity,
+    "op5_projected_neighbours": op5_projected_neighbours,
+    "op6_iterative_quantisation": op6_iterative_quantisation,
     "op8_mixing": op8_mixing,
     "op9_language_field": op9_language_field,
     "op10_hyperminhash": op10_hyperminhash,
 }
 ORACLE_SQL = {
+    "op6_iterative_quantisation": OP6_SQL,
     "op8_mixing": OP8_SQL,
     "op10_hyperminhash": OP10_SQL,
 }
