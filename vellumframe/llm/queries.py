@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .attention import score as attention_score
 from .common import table
 from .hyperminhash import near_duplicates
 from .languages import identify
@@ -63,6 +64,10 @@ def op6_iterative_quantisation(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op7_attention_score(spark, sf_dir):
+    return attention_score(table(spark, sf_dir, "documents"))
+
+
 def op9_language_field(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return identify(docs).select("doc_id", "held_out", "lang_pred", "score")
@@ -126,6 +131,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_projected_neighbours": op5_projected_neighbours,
     "op6_iterative_quantisation": op6_iterative_quantisation,
+    "op7_attention_score": op7_attention_score,
     "op8_mixing": op8_mixing,
     "op9_language_field": op9_language_field,
     "op10_hyperminhash": op10_hyperminhash,
