@@ -10,6 +10,7 @@ from .mixing import mix
 from .packing import pack_documents
 from .projections import nearest
 from .quantise import near_vectors
+from .quotations import link_quotations
 from .toxicity import score as toxicity_score
 from .wavelet import read_documents, write_tokens
 
@@ -51,6 +52,10 @@ def op2_wavelet_tokens(spark, sf_dir):
     return read_documents(write_tokens(table(spark, sf_dir, "documents")))
 
 
+def op3_quotation_linking(spark, sf_dir):
+    return link_quotations(table(spark, sf_dir, "conversations"))
+
+
 def op4_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity_score(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
@@ -128,6 +133,7 @@ FROM embeddings e JOIN comp USING (vec_id) LEFT JOIN counted USING (vec_id)
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_wavelet_tokens": op2_wavelet_tokens,
+    "op3_quotation_linking": op3_quotation_linking,
     "op4_toxicity": op4_toxicity,
     "op5_projected_neighbours": op5_projected_neighbours,
     "op6_iterative_quantisation": op6_iterative_quantisation,
