@@ -1,0 +1 @@
+"""Operators over documents, pages, tokens and events: DataFrames in, DataFrames out, nothing collected."""

@@ -1,0 +1,6 @@
+"""Registered queries with their SQL: each applies an operator to the tables of a scale-factor directory."""
+
+from . import text_queries
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "text_queries"]

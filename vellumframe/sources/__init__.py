@@ -1,0 +1 @@
+"""Readers and writers, and what turns decoded texts into rows."""
