@@ -238,13 +238,13 @@ def find_literal(spark, sf_dir):
 
 
 @query("find_snippets", """
-WITH p AS (SELECT doc_id, text, string_split(lower(text), ' there ') AS parts FROM documents WHERE contains(lower(text), ' there ')),
+WITH p AS (SELECT doc_id, text, string_split(lower(text), ' the ') AS parts FROM documents WHERE contains(lower(text), ' the ')),
 h AS (SELECT doc_id, text, unnest(range(1, len(parts))) AS k, parts FROM p),
-o AS (SELECT doc_id, text, k, CAST(list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * 7 AS BIGINT) AS "at" FROM h)
-SELECT doc_id, CAST(k AS BIGINT) AS match_index, "at", substring(text, greatest(1, "at" - 39), CAST(least("at", 40) + 7 + 40 AS BIGINT)) AS snippet FROM o
+o AS (SELECT doc_id, text, k, CAST(list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * 5 AS BIGINT) AS "at" FROM h)
+SELECT doc_id, CAST(k AS BIGINT) AS match_index, "at", substring(text, greatest(1, "at" - 39), CAST(least("at", 40) + 5 + 40 AS BIGINT)) AS snippet FROM o
 """)
 def find_snippets(spark, sf_dir):
-    return P.find_snippets(table(spark, sf_dir, "documents"), " there ")
+    return P.find_snippets(table(spark, sf_dir, "documents"), " the ")
 
 
 @query("replace_terms", r"""

@@ -1,0 +1 @@
+"""Event streams: batch operators and Structured Streaming forms."""
