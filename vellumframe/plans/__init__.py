@@ -1,6 +1,6 @@
 """Registered queries with their SQL: each applies an operator to the tables of a scale-factor directory."""
 
-from . import order_queries, text_queries
+from . import corpus_queries, order_queries, text_queries
 from .registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "order_queries", "text_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "corpus_queries", "order_queries", "text_queries"]
