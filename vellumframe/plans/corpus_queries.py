@@ -42,13 +42,13 @@ _BITS = " + ".join(f"CASE WHEN embedding[{i + 1}] >= 0 THEN {1 << i}::HUGEINT EL
 SIGNS = f"s AS (SELECT vec_id, label, {_BITS} AS h FROM embeddings)"
 
 
-@query("near_dups", f"""WITH RECURSIVE {SIGNS}, e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.vec_id <> b.vec_id AND bit_count(xor(a.h, b.h)) <= 14),
+@query("near_dups", f"""WITH RECURSIVE {SIGNS}, e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.vec_id <> b.vec_id AND bit_count(xor(a.h, b.h)) <= 4),
 reach(v, r) AS (SELECT vec_id, vec_id FROM s UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.v), c AS (SELECT v, min(r) AS g FROM reach GROUP BY v)
 SELECT v AS vec_id, g AS group_id, count(*) OVER (PARTITION BY g) AS size, v = g AS keep FROM c""")
 def near_dups(spark, sf_dir):
-    """Sign hashes of the embeddings within 14 bits (4, the default, finds no pair in random vectors)."""
+    """Sign hashes of the embeddings within 4 bits."""
     h = table(spark, sf_dir, "embeddings").select("vec_id", D.sign_hash(F.col("embedding")).alias("h"))
-    return D.near_dups(h, "vec_id", "h", 14)
+    return D.near_dups(h, "vec_id", "h", 4)
 
 
 @query("connected_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 100000000 AS b FROM lineitem WHERE l_orderkey % 50 = 0 AND l_linenumber = 1),
