@@ -19,7 +19,7 @@ from .common import ready
 from .words import Words, batch, binary, pieces
 
 #: Bounds of the fitting sample, in documents, and of the features kept.
-POSITIVES, UNLABELLED, FEATURES = 2500, 7500, 2048
+POSITIVES, UNLABELLED, FEATURES = 2000, 6000, 2048
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»…–—“”‘’"
 
 
@@ -72,7 +72,7 @@ def document_features(docs: DataFrame) -> DataFrame:
 
 
 def without_copies(sets: list[np.ndarray], bands: int = 12, rows: int = 3) -> list[np.ndarray]:
-    """The sets without those that share half their features with an earlier one: copies would pass chance words off
+    """The sets without those of Jaccard similarity 0.7 or more to an earlier one: copies would pass chance words off
     as frequent. Candidates come from banded minima of the (bounded) sample."""
     kept: list[np.ndarray] = []
     seen: dict[tuple, int] = {}
@@ -82,7 +82,7 @@ def without_copies(sets: list[np.ndarray], bands: int = 12, rows: int = 3) -> li
         least = [int((s * np.uint64(2 * k + 1) ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)).min()) for k in range(bands * rows)]
         keys = [(k, *least[k : k + rows]) for k in range(0, bands * rows, rows)]
         near = {seen[k] for k in keys if k in seen}
-        if any(2 * (both := len(np.intersect1d(s, kept[i], assume_unique=True))) >= len(s) + len(kept[i]) - both for i in near):
+        if any(10 * (both := len(np.intersect1d(s, kept[i], assume_unique=True))) >= 7 * (len(s) + len(kept[i]) - both) for i in near):
             continue
         for k in keys:
             seen.setdefault(k, len(kept))
