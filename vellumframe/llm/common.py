@@ -9,12 +9,18 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch: texts can be long, and two workers share what an executor leaves them.
+ARROW_ROWS = 2048
+
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package when it is run from a source checkout."""
+    """Let Python workers import this package when it is run from a source checkout, and keep batches of texts small."""
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
     return spark
 
 

@@ -125,7 +125,7 @@ def fit(texts: list[str], langs: list[str], length: int = 96, sequences: int = 6
     rng = np.random.default_rng(seed)
     by = [usable[owner[usable] == k] for k in range(len(languages))]
     by = [b for b in by if len(b)]
-    table = features(vocab)
+    table = np.concatenate([features(vocab[k : k + 8192]).astype(np.int32) for k in range(0, len(vocab), 8192)])
     x = np.empty((sequences, length), np.int64)
     y = np.empty((sequences, length), np.int64)
     for s in range(sequences):
@@ -236,7 +236,7 @@ def identify(docs: DataFrame, field: Field | None = None) -> DataFrame:
     text = own.index("text")
 
     def run(batches):
-        for b in pieces(batches, 2048):
+        for b in pieces(batches):
             lang, score = predict(b.column(text), field)
             yield batch(**{c: b.column(i) for i, c in enumerate(own)}, lang_pred=pa.array(lang, pa.string()), score=pa.array(score, pa.float64()))
 

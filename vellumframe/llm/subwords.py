@@ -30,7 +30,7 @@ class Encoder:
     order. Words are looked up in a bounded cache; words outside PLAIN go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, cap: int = 700_000):
+    def __init__(self, path: str, cap: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
