@@ -103,10 +103,16 @@ def split_max_size(df: DataFrame, doc: str, size: str, ceiling: float) -> DataFr
     return df.groupBy(doc).applyInPandas(plan, df.withColumn("part", F.lit(0).cast("long")).schema)
 
 
-def interleave(df: DataFrame, *, reverse: Column | None = None, sources: Column) -> Column:
-    """Sort key of a round robin over sources, optionally reversed in some."""
-    place = F.col("pos") if reverse is None else F.when(reverse, F.col("n") + 1 - F.col("pos")).otherwise(F.col("pos"))
-    return F.struct(place.alias("round"), sources.alias("source"))
+def interleave(df: DataFrame, source: str) -> DataFrame:
+    """Round robin over sources by `round` (a row's turn within its source): adds out_pos.
+
+    Rows before a round are counted by round first, so that no task orders all rows: a window holds one round's rows,
+    one of each source, or the list of rounds.
+    """
+    sizes = df.groupBy("round").agg(F.count("*").alias("_n"))
+    before = sizes.select("round", (F.sum("_n").over(Window.orderBy("round")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("round").orderBy(source))
+    return df.withColumn("_in", inside).join(before, "round").withColumn("out_pos", F.col("_before") + F.col("_in")).drop("_in", "_before")
 
 
 def insert_at(base: DataFrame, extra: DataFrame, anchor: int, after: bool = True) -> DataFrame:

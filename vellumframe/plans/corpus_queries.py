@@ -51,10 +51,10 @@ def near_dups(spark, sf_dir):
     return D.near_dups(h, "vec_id", "h", 4)
 
 
-@query("connected_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 100000000 AS b FROM lineitem WHERE l_orderkey % 50 = 0 AND l_linenumber = 1),
+@query("connected_components", """WITH RECURSIVE e AS (SELECT o_orderkey AS a, o_custkey + 1000000000000 AS b FROM orders),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), reach(id, r) AS (SELECT a, a FROM u UNION SELECT u.b, reach.r FROM reach JOIN u ON u.a = reach.id) SELECT id, min(r) AS component FROM reach GROUP BY id""")
 def connected_components(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0 and l_linenumber = 1").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 100000000).alias("b")).distinct()
+    e = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), (F.col("o_custkey") + 1000000000000).alias("b"))
     ids = e.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     return D.connected_components(ids, e)
 
@@ -80,10 +80,10 @@ def set_diff_added_removed(spark, sf_dir):
     return new.exceptAll(old).withColumn("change", F.lit("added")).unionByName(old.exceptAll(new).withColumn("change", F.lit("removed")))
 
 
-@query("dedupe_first_seen", f"""WITH w AS (SELECT doc_id, lower(unnest(l)) AS w, unnest(l) AS seen_as, unnest(range(1, len(l) + 1)) AS p FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '{S}+'), lambda x: x <> '') AS l FROM documents WHERE length(text) < 3000))
+@query("dedupe_first_seen", f"""WITH w AS (SELECT doc_id, lower(unnest(l)) AS w, unnest(l) AS seen_as, unnest(range(1, len(l) + 1)) AS p FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '{S}+'), lambda x: x <> '') AS l FROM documents))
 SELECT doc_id, w, seen_as, CAST(p AS BIGINT) AS p FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, w ORDER BY p) AS k FROM w) WHERE k = 1""")
 def dedupe_first_seen(spark, sf_dir):
-    w = table(spark, sf_dir, "documents").filter(F.length("text") < 3000).select("doc_id", F.posexplode(T.spaced_words(F.col("text"))).alias("k", "seen_as"))
+    w = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.spaced_words(F.col("text"))).alias("k", "seen_as"))
     return w.groupBy("doc_id", F.lower("seen_as").alias("w")).agg(F.min(F.struct("k", "seen_as")).alias("f")).select("doc_id", "w", "f.seen_as", (F.col("f.k") + 1).cast("long").alias("p"))
 
 
@@ -191,12 +191,13 @@ def url_risk_filter(spark, sf_dir):
     return u.groupBy("page_id").agg(F.count("*").alias("urls"), F.sum(P.forbidden_url(F.col("url")).cast("long")).alias("forbidden"))
 
 
-@query("fingerprint_drift", """WITH a AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 7 <> 0), b AS (SELECT doc_id, md5(CASE WHEN doc_id % 5 = 0 THEN text || 'x' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0)
+@query("fingerprint_drift", """WITH a AS (SELECT doc_id, md5(text) AS h FROM documents WHERE lang <> 'fr'), b AS (SELECT doc_id, md5(CASE WHEN source LIKE '%5' THEN text || 'x' ELSE text END) AS h FROM documents WHERE lang <> 'de')
 SELECT doc_id, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'removed' WHEN a.h = b.h THEN 'identical' ELSE 'changed' END AS status FROM a FULL JOIN b USING (doc_id)""")
 def fingerprint_drift(spark, sf_dir):
+    """An old version without French texts against a new one without German ones, some sources changed."""
     d = table(spark, sf_dir, "documents")
-    old = d.filter("doc_id % 7 <> 0").select("doc_id", F.md5("text").alias("h"))
-    new = d.filter("doc_id % 11 <> 0").select("doc_id", F.md5(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))).alias("h"))
+    old = d.filter("lang <> 'fr'").select("doc_id", F.md5("text").alias("h"))
+    new = d.filter("lang <> 'de'").select("doc_id", F.md5(F.when(F.col("source").endswith("5"), F.concat("text", F.lit("x"))).otherwise(F.col("text"))).alias("h"))
     return D.drift(old, new, "doc_id", "h").select("doc_id", "status")
 
 

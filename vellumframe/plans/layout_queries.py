@@ -48,9 +48,9 @@ def cells_from_grid(spark, sf_dir):
     return L.cells_from_grid(g, t, "page")
 
 
-@query("multi_column_flag", f"WITH {TOKENS} SELECT page, count(*) >= 6 AND count(*) FILTER (x + width < 260) >= 3 AND count(*) FILTER (x > 280) >= 3 AS two_columns FROM tok WHERE pos % 6 < 1 + page % 6 GROUP BY page")
+@query("multi_column_flag", f"WITH {TOKENS} SELECT page, count(*) >= 6 AND count(*) FILTER (x + width < 260) >= 3 AND count(*) FILTER (x > 280) >= 3 AS two_columns FROM tok GROUP BY page")
 def multi_column_flag(spark, sf_dir):
-    return L.multi_column_flag(tokens(spark, sf_dir).filter("pos % 6 < 1 + page % 6"), "page", 540.0)
+    return L.multi_column_flag(tokens(spark, sf_dir), "page", 540.0)
 
 
 _BLOCKS = f"""{TOKENS}, s AS (SELECT *, CASE WHEN x < 260 AND x + width > 280 THEN 0 WHEN x + width / 2 < 270 THEN 1 ELSE 2 END AS c FROM tok), l AS (SELECT *, lag(c) OVER w AS pc, abs(y - lag(y) OVER w) AS dy, abs(x - lag(x) OVER w) AS dx, row_number() OVER w AS p FROM s WINDOW w AS (PARTITION BY page ORDER BY c, y DESC, x, text)),

@@ -74,11 +74,11 @@ def split_max_size(spark, sf_dir):
     return O.split_max_size(df, "user_id", "size", 500).select("event_id", "part")
 
 
-@query("interleave", f"""WITH {EV} SELECT event_id, CAST(row_number() OVER (ORDER BY CASE WHEN user_id % 2 = 1 THEN n + 1 - pos ELSE pos END, user_id) AS BIGINT) AS out_pos FROM ev WHERE user_id < 10""")
+@query("interleave", f"""WITH {EV} SELECT event_id, CAST(row_number() OVER (ORDER BY CASE WHEN user_id % 2 = 1 THEN n + 1 - pos ELSE pos END, user_id) AS BIGINT) AS out_pos FROM ev""")
 def interleave(spark, sf_dir):
-    df = rows(spark, sf_dir).filter("user_id < 10")
-    key = O.interleave(df, reverse=F.col("user_id") % 2 == 1, sources=F.col("user_id"))
-    return df.select("event_id", F.row_number().over(Window.orderBy(key)).cast("long").alias("out_pos"))
+    """A source of rows is a user; odd users are read backwards."""
+    place = F.when(F.col("user_id") % 2 == 1, F.col("n") + 1 - F.col("pos")).otherwise(F.col("pos"))
+    return O.interleave(rows(spark, sf_dir).withColumn("round", place), "user_id").select("event_id", "out_pos")
 
 
 @query("insert_at", f"""WITH {EV}, b AS (SELECT * FROM ev WHERE event_type <> 'signup'), bp AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS p, count(*) OVER (PARTITION BY user_id) AS c FROM b),

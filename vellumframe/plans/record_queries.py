@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import extraction as X
 from ..operators import records as R
+from ..operators import sensitive as P
+from ..sources import csv as V
 from ..sources import pages as G
+from ..sources.shared import scratch
 from .registry import query, table
 from .text_queries import STOPS_SQL, S
 
@@ -128,14 +131,14 @@ def classify_generic(spark, sf_dir):
     return X.classify(table(spark, sf_dir, "documents"), CORPUS_RULES, 20, "Other").select("doc_id", "score", "category")
 
 
-@query("rule_packs", """WITH r AS (SELECT n_nationkey AS rank, ['the', 'que', 'les', 'und', 'der', 'tion', 'los', 'and', 'une', 'est'][n_nationkey % 10 + 1] AS term, 'class' || n_nationkey % 4 AS category, 10 + n_nationkey AS weight FROM nation WHERE n_nationkey < 10),
+@query("rule_packs", """WITH r AS (SELECT n_nationkey AS rank, ['the', 'que', 'les', 'und', 'der', 'tion', 'los', 'and', 'une', 'est'][n_nationkey % 10 + 1] AS term, 'class' || n_nationkey % 4 AS category, 10 + n_nationkey AS weight FROM nation),
 w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM documents), s AS (SELECT doc_id, category, sum(weight) AS score, min(rank) AS rank FROM w JOIN r USING (term) GROUP BY 1, 2),
 b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, rank) AS k FROM s) SELECT d.doc_id, CAST(coalesce(score, 0) AS BIGINT) AS score, CASE WHEN coalesce(score, 0) < 15 THEN 'none' ELSE category END AS category FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id AND k = 1""")
 def rule_packs(spark, sf_dir):
     """A rule table joined on words."""
     terms = F.array(*map(F.lit, ["the", "que", "les", "und", "der", "tion", "los", "and", "une", "est"]))
     k = F.col("n_nationkey")
-    rules = table(spark, sf_dir, "nation").filter("n_nationkey < 10").select(k.alias("rank"), F.element_at(terms, (k % 10 + 1).cast("int")).alias("term"), F.concat(F.lit("class"), (k % 4).cast("string")).alias("category"), (10 + k).alias("weight"))
+    rules = table(spark, sf_dir, "nation").select(k.alias("rank"), F.element_at(terms, (k % 10 + 1).cast("int")).alias("term"), F.concat(F.lit("class"), (k % 4).cast("string")).alias("category"), (10 + k).alias("weight"))
     return X.classify_by_table(table(spark, sf_dir, "documents"), rules, 15, "none")
 
 
@@ -355,3 +358,60 @@ def page_align(spark, sf_dir):
     """Even conversations as old and the next odd one as new versions; the alignment is a dynamic program, not SQL."""
     c = table(spark, sf_dir, "conversations")
     return R.page_align(c.select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair"), F.when(F.col("conv_id") % 2 == 0, "old").otherwise("new").alias("side"), F.col("turn").alias("page_no"), "text"), "pair")
+
+
+CARDS_SQL = """cards AS (SELECT c_custkey AS doc_id, 'Jane Doe' || chr(10) || 'Senior Engineer' || chr(10) || 'Acme ' || c_nationkey || ' Ltd' || chr(10) || CASE WHEN c_custkey % 4 > 0 THEN 'mail: c' || c_custkey || '@example.com' ELSE 'no mail' END || chr(10) || '+44 20 7946 ' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || chr(10) || 'www.example.com/' || c_custkey AS text FROM customer)"""
+
+
+@query("extract_contact", f"""WITH {CARDS_SQL} SELECT doc_id, unnest(['email', 'url', 'phone', 'organization', 'title', 'name']) AS key, unnest([CASE WHEN regexp_extract(text, '([a-z0-9]+@example.com)', 1) <> '' THEN regexp_extract(text, '([a-z0-9]+@example.com)', 1) END, 'www.example.com/' || doc_id, regexp_extract(text, '(\\+44[ 0-9]+)', 1), regexp_extract(text, '(Acme [0-9]+ Ltd)', 1), 'Senior Engineer', 'Jane Doe']) AS value FROM cards""")
+def extract_contact(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    text = F.concat_ws("\n", F.lit("Jane Doe"), F.lit("Senior Engineer"), F.concat(F.lit("Acme "), F.col("c_nationkey").cast("string"), F.lit(" Ltd")), F.when(k % 4 > 0, F.concat(F.lit("mail: c"), k.cast("string"), F.lit("@example.com"))).otherwise("no mail"), F.concat(F.lit("+44 20 7946 "), F.lpad((k % 10000).cast("string"), 4, "0")), F.concat(F.lit("www.example.com/"), k.cast("string")))
+    d = c.select(k.alias("doc_id"), text.alias("text"))
+    return X.extract_contact(X.lines(d), d)
+
+
+@query("extract_event", """SELECT event_id AS doc_id, 'Review of ' || event_type AS title, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H:%M') AS start,
+  CASE WHEN event_id % 2 = 0 THEN '23:59' ELSE lpad(CAST((hour(ts) + 1) % 24 AS VARCHAR), 2, '0') || strftime(ts, ':%M') END AS "end", CASE WHEN event_id % 3 = 0 THEN 'Room ' || user_id END AS location, CASE WHEN event_id % 5 = 0 THEN 'https://meet.example.com/' || event_id END AS link FROM events""")
+def extract_event(spark, sf_dir):
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    when = F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(" at "), F.date_format("ts", "HH:mm"), F.when(k % 2 == 0, " - 23:59").otherwise(""))
+    text = F.concat_ws("\n", F.concat(F.lit("Review of "), "event_type"), when, F.when(k % 3 == 0, F.concat(F.lit("Location: Room "), F.col("user_id").cast("string"))), F.when(k % 5 == 0, F.concat(F.lit("Join https://meet.example.com/"), k.cast("string"))))
+    return X.extract_event(X.lines(e.select(k.alias("doc_id"), text.alias("text"))))
+
+
+def _csv_rows(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    note = F.concat(F.lit(' say "'), "event_type", F.lit('",\nnext '), F.col("event_id").cast("string"))
+    return e.select(F.col("event_id").cast("string").alias("id"), note.alias("note"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("kind"))
+
+
+@query("csv_scan", """SELECT CAST(event_id AS VARCHAR) AS id, 'say "' || event_type || '",' || chr(10) || 'next ' || event_id AS note, CASE WHEN event_id % 2 = 0 THEN event_type END AS kind FROM events""")
+def csv_scan(spark, sf_dir):
+    """Rows with quotes, commas and newlines written as CSV and scanned again."""
+    path = scratch(spark, "csv")
+    _csv_rows(spark, sf_dir).write.csv(path, header=True, quoteAll=True, escape='"')
+    return V.csv_scan(spark, path)
+
+
+@query("csv_all_quoted_sink", """SELECT '"' || event_id || '"' AS id_cell, count(*) AS n FROM events GROUP BY event_id""")
+def csv_all_quoted_sink(spark, sf_dir):
+    """The written lines themselves: every field quoted, CRLF ends, a byte-order mark before the header."""
+    path = scratch(spark, "csv")
+    V.csv_all_quoted(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), path)
+    lines = spark.read.option("lineSep", "\r\n").text(path).filter(~F.col("value").startswith('"\ufeff'))
+    return lines.groupBy(F.regexp_extract("value", r'^("\d+"),"[a-z]+","\d+"$', 1).alias("id_cell")).agg(F.count("*").alias("n"))
+
+
+@query("regex_safety_check", r"""SELECT p_partkey, p_name, regexp_matches(p_name, 'r(ed|ing)') AS hit FROM part""")
+def regex_safety_check(spark, sf_dir):
+    """A user's pattern is checked before any row is read."""
+    return table(spark, sf_dir, "part").select("p_partkey", "p_name", F.col("p_name").rlike(P.safe_pattern("r(ed|ing)")).alias("hit"))
+
+
+@query("recipe_io", "SELECT event_id, upper(event_type) AS event_type FROM events WHERE value >= 50")
+def recipe_io(spark, sf_dir):
+    """A recipe exported to JSON, loaded again and run."""
+    text = R.dump_recipe("upper", [{"tool": "filter_min", "parameters": {"column": "value", "least": 50}}, {"tool": "upper", "parameters": {"column": "event_type"}}])
+    return R.run_recipe(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), R.load_recipe(text)).select("event_id", "event_type")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -13,3 +14,9 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vellum-"))
     return df.checkpoint()
+
+
+def scratch(spark, name: str) -> str:
+    """A new path in the shared folder."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="vellum-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
