@@ -166,3 +166,42 @@ def test_entities_first_seen_and_absent_fields(spark):
     assert got[("date", "2024-01-05")] == "Effective Date" and got[("amount", "USD 1,200.50")] == "Total Amount" and ("amount", "$85") in got
     f = {r["key"]: (r["value"], r["confidence"]) for r in X.extract_fields(X.lines(docs), docs, {"total": (r"(?i)total.*?([0-9.,]+)", "last"), "iban": (r"IBAN (\w+)", "first")}).collect()}
     assert f["iban"] == (None, 0) and f["total"][0] == "1,200.50"
+
+
+def test_history_stream_keeps_the_newest(spark, tmp_path):
+    from vellumframe.sources.csv import streaming_history
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(u, k, t0 + dt.timedelta(minutes=k)) for u in (1, 2) for k in range(30)]
+    df = spark.createDataFrame(rows, "user long, id long, ts timestamp")
+    for part in range(3):
+        df.filter(F.col("id") % 3 == part).coalesce(1).write.parquet(str(tmp_path / f"in/p={part}"))
+    stream = spark.readStream.schema("user long, id long, ts timestamp, p int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = streaming_history(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "user", "ts", "id", 7)
+    q.processAllAvailable()
+    q.stop()
+    last = max(int(p.name[2:]) for p in (tmp_path / "out").iterdir() if p.name.startswith("v="))
+    got = sorted((r["user"], r["id"]) for r in spark.read.parquet(str(tmp_path / f"out/v={last}")).collect())
+    assert got == [(u, k) for u in (1, 2) for k in range(23, 30)]
+
+
+def test_paragraphs_keep_all_words(spark):
+    from vellumframe.operators.layout import paragraph_split
+
+    docs = spark.createDataFrame([(1, "First part here is long enough.\n\nSecond part is long enough too.\n\nShort"), (2, "A. " * 400), (3, None), (4, "One line that is long enough to stay\nAnother line that is long enough")], "doc_id long, text string")
+    got = {}
+    for r in paragraph_split(docs).collect():
+        got.setdefault(r["doc_id"], []).append((r["paragraph_no"], r["paragraph"]))
+    assert len(got[1]) == 2 and got[1][1][1].endswith("Short") and len(got[4]) == 2 and 3 not in got
+    assert " ".join(p for _, p in sorted(got[2])).split() == ("A. " * 400).split() and len(got[2]) >= 4
+
+
+def test_csv_round_trip_and_bytes(spark, tmp_path):
+    from vellumframe.sources import csv as V
+
+    (tmp_path / "in.csv").write_bytes('a,b\n" x ""q"" ",y\n"line\nbreak",\n,\n1\n'.encode())
+    got = sorted((r["a"] or "", r["b"]) for r in V.csv_scan(spark, str(tmp_path / "in.csv")).collect())
+    assert got == sorted([(' x "q" ', "y"), ("line\nbreak", None), ("1", None)]) or got == sorted([('x "q"', "y"), ("line\nbreak", None), ("1", None)])
+    V.csv_all_quoted(spark.createDataFrame([(1, "a,b"), (2, None)], "n long, t string"), str(tmp_path / "out"))
+    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert data.startswith('"﻿n","t"\r\n'.encode()) and b'"1","a,b"\r\n' in data

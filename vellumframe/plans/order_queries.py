@@ -308,3 +308,8 @@ def blank_report(spark, sf_dir):
 def comment_summary(spark, sf_dir):
     first, last = F.min_by("role", "turn"), F.max_by("role", "turn")
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg((F.count("*") - 1).alias("replies"), F.max("turn").alias("last_turn"), first.alias("opened_by"), (last != first).alias("answered"))
+
+
+@query("to_letters", "SELECT o_orderkey, CASE WHEN n >= 1 THEN repeat(chr(CAST((n - 1) % 26 + 97 AS INT)), CAST(ceil(n / 26.0::DOUBLE) AS BIGINT)) ELSE CAST(n AS VARCHAR) END AS letters FROM (SELECT o_orderkey, o_orderkey % 80 AS n FROM orders)")
+def to_letters(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", O.to_letters(F.col("o_orderkey") % 80).alias("letters"))

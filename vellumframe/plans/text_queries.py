@@ -126,7 +126,7 @@ _TOP = "CASE " + " ".join(f"WHEN {n} = greatest({', '.join(T.SCRIPTS)}) THEN '{n
 
 
 @query("script_distribution", rf"""
-WITH c AS (SELECT doc_id, {_COUNTS} FROM (SELECT doc_id, substring(text, 1, 10000) AS s FROM documents)),
+WITH c AS (SELECT doc_id, {_COUNTS} FROM (SELECT doc_id, text AS s FROM documents)),
 t AS (SELECT *, {_TOTAL} AS total, greatest({', '.join(T.SCRIPTS)}) AS top FROM c)
 SELECT doc_id, CASE WHEN total = 0 THEN 'unknown' ELSE {_TOP} END AS script, CAST(total AS BIGINT) AS script_chars,
   CAST(CASE WHEN total = 0 THEN 0 ELSE floor(latin * 100.0::DOUBLE / total + 0.5) END AS BIGINT) AS latin_percent,
@@ -349,3 +349,15 @@ SELECT doc_id, section, CAST(len({WORDS_SQL}) AS BIGINT) AS words, CAST(coalesce
 def section_readability(spark, sf_dir):
     s = P.section_split(lines_of(spark, sf_dir)).select("doc_id", "section", F.col("content").alias("text"))
     return R.doc_statistics(s).select("doc_id", "section", "words", "syllables")
+
+
+@query("tokenize", rf"""
+WITH w AS (SELECT doc_id, regexp_replace(lower(unnest(l)), '[^a-z0-9\x{{0900}}-\x{{097F}}\x{{0980}}-\x{{09FF}}\x{{0A00}}-\x{{0A7F}}]', '', 'g') AS word FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '{S}+'), lambda x: x <> '') AS l FROM documents))
+SELECT doc_id, count(*) AS n, count(DISTINCT word) AS n_distinct, max(word) AS last_word FROM w WHERE length(word) > 2 AND word NOT IN {STOPS_SQL} GROUP BY doc_id
+""")
+def tokenize(spark, sf_dir):
+    """The keyword variant: marks go inside words, words of over two characters that are no stop words."""
+    w = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.spaced_words(F.col("text"))).alias("raw"))
+    w = w.select("doc_id", F.regexp_replace(F.lower("raw"), r"[^a-z0-9\x{0900}-\x{097F}\x{0980}-\x{09FF}\x{0A00}-\x{0A7F}]", "").alias("word"))
+    w = w.filter((F.length("word") > 2) & ~F.col("word").isin(STOP_WORDS))
+    return w.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("word").alias("n_distinct"), F.max("word").alias("last_word"))

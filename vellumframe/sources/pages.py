@@ -26,12 +26,13 @@ def cell_type(v: Column) -> Column:
     return F.when(money, "currency").when(date, "date").when(number, "number").otherwise("text")
 
 
-def script_distribution(docs: DataFrame, text: str = "text", cap: int = 10_000) -> DataFrame:
+def script_distribution(docs: DataFrame, text: str = "text", cap: int | None = None) -> DataFrame:
     """Adds script (most characters; ties in table order), script_chars, a percentage per family and confidence.
 
-    Counts the first `cap` characters, as the feature does; pass a larger cap for whole texts.
+    Whole texts are counted; `cap` limits it to their first characters.
     """
-    df = docs.withColumn("_s", F.substring(F.coalesce(F.col(text), F.lit("")), 1, cap))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    df = docs.withColumn("_s", whole if cap is None else F.substring(whole, 1, cap))
     for name in T.SCRIPTS:
         df = df.withColumn(f"_{name}", F.regexp_count("_s", F.lit(T.script_class(name))))
     counts = {n: F.col(f"_{n}") for n in T.SCRIPTS}
