@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ready, staged
-from .subwords import default_path, encoder
+from .subwords import default_path, encoder, vocabulary_size
 from .words import batch, pieces
 
 MAGIC = b"WVMX0001"
@@ -148,7 +148,7 @@ def write_tokens(docs: DataFrame, name: str = "tokens", tokenizer: str | None =
     """
     ready(docs.sparkSession)
     path = tokenizer or default_path()
-    bits = 16 if "49k" in path else 17
+    bits = max(1, (max(vocabulary_size(path), end_id + 1) - 1).bit_length())
 
     def run(batches):
         enc = encoder(path)
