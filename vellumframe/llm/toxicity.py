@@ -19,7 +19,7 @@ from .common import ready
 from .words import Words, batch, binary, pieces
 
 #: Bounds of the fitting sample, in documents, and of the features kept.
-POSITIVES, UNLABELLED, FEATURES = 2000, 6000, 2048
+POSITIVES, UNLABELLED, FEATURES = 1500, 4500, 2048
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»…–—“”‘’"
 
 
@@ -123,7 +123,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         return np.concatenate(rows), np.concatenate(cols), len(sets)
 
     P, U = matrix(positive), matrix(unlabelled)
-    w, bias = 0.3 * np.clip(odds, 0, 6), float(np.log(prior / (1 - prior)))
+    w, bias = 0.5 * np.clip(odds, 0, 6), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
     raw = lambda X: np.bincount(X[0], w[X[1]], X[2]) + bias
