@@ -202,6 +202,14 @@ def test_quotations_link_and_order(spark):
         place = {r["turn"]: r["position"] for r in reversed(own)}
         assert all(place[r["parent_turn"]] < r["position"] for r in own if r["parent_turn"] is not None)
     assert quotations.link_quotations(df.limit(0)).count() == 0
+    import duckdb
+
+    from vellumframe.llm.queries import OP3_SQL
+
+    conversations = pa.table({c: [r[i] for r in rows] for i, c in enumerate(df.columns)})  # noqa: F841  read by the SQL
+    names = [d[0] for d in duckdb.execute(OP3_SQL).description]
+    want = Counter(duckdb.execute(OP3_SQL).fetchall())
+    assert Counter(tuple(r[n] for n in names) for r in got) == want
 
 
 def test_toxicity_on_held_out_rows(spark):

@@ -110,6 +110,65 @@ FROM placed
 """
 
 
+OP3_SQL = r"""
+WITH RECURSIVE messages AS MATERIALIZED (
+  SELECT row_number() OVER () AS msg, CAST(conv_id AS BIGINT) AS conv_id, coalesce(CAST(conv_id AS BIGINT), -1) AS conv, CAST(turn AS BIGINT) AS turn, role, coalesce(text, '') AS text FROM conversations
+), raw AS (
+  SELECT msg, conv, turn, unnest(l) AS raw, unnest(range(0, len(l))) AS pos FROM (SELECT *, regexp_split_to_array(text, '\r?\n') AS l FROM messages)
+), marked AS (
+  SELECT *, regexp_extract(raw, '^(?:[ \t]{0,3}>)+[ \t]?') AS mark FROM raw
+), levelled AS (
+  SELECT msg, conv, turn, pos, length(mark) - length(replace(mark, '>', '')) AS level, substring(raw, length(mark) + 1) AS line FROM marked
+), normal AS (
+  SELECT *, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS norm FROM levelled
+), near AS (
+  SELECT *, level = 0 AND lead(level, 1, 0) OVER w > 0 AND regexp_matches(line, '(?i)(wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$') AS intro,
+    level <> lag(level, 1, -1) OVER w OR lag(norm, 1, '') OVER w = '' AS new FROM normal WINDOW w AS (PARTITION BY msg ORDER BY pos)
+), lines AS MATERIALIZED (
+  SELECT *, sum(new::INT) OVER (PARTITION BY msg ORDER BY pos) AS passage FROM near
+), said AS (
+  SELECT * FROM lines WHERE level = 0 AND NOT intro AND norm <> ''
+), units AS (
+  SELECT conv, turn, norm AS said FROM said
+  UNION ALL SELECT conv, turn, string_agg(norm, ' ' ORDER BY pos) FROM said GROUP BY msg, conv, turn, passage
+  UNION ALL SELECT conv, turn, string_agg(norm, ' ' ORDER BY pos) FROM said GROUP BY msg, conv, turn
+), here AS (
+  SELECT said, conv, min(turn) AS origin FROM units WHERE turn IS NOT NULL GROUP BY 1, 2
+), anywhere AS (
+  SELECT DISTINCT said FROM units WHERE turn IS NOT NULL
+), quoted AS (
+  SELECT * FROM lines WHERE level > 0 AND norm <> ''
+), asked AS (
+  SELECT msg, conv, turn, level, passage, string_agg(norm, ' ' ORDER BY pos) AS said FROM quoted GROUP BY 1, 2, 3, 4, 5
+  UNION ALL SELECT msg, conv, turn, level, passage, norm FROM quoted
+), met AS MATERIALIZED (
+  SELECT a.*, CASE WHEN h.origin < a.turn THEN h.origin END AS origin, s.said IS NOT NULL AS somewhere
+  FROM asked a LEFT JOIN here h ON h.said = a.said AND h.conv = a.conv LEFT JOIN anywhere s ON s.said = a.said
+), per AS (
+  SELECT msg, level, passage, max((origin IS NOT NULL)::INT) AS linked, max(somewhere::INT) AS seen FROM met GROUP BY 1, 2, 3
+), counts AS (
+  SELECT msg, count(*) AS n_quotes, sum(linked) AS n_linked, sum(seen * (1 - linked)) AS n_elsewhere, max(level) AS max_level, min(level) FILTER (linked = 1) AS outermost FROM per GROUP BY msg
+), votes AS (
+  SELECT msg, origin, sum(length(said)) AS size FROM met JOIN counts USING (msg) WHERE origin IS NOT NULL AND level = outermost GROUP BY 1, 2
+), parents AS MATERIALIZED (
+  SELECT msg, arg_max(origin, (size, origin)) AS parent_turn FROM votes GROUP BY msg
+), up AS MATERIALIZED (
+  SELECT conv, turn, min(parent_turn) AS parent FROM messages JOIN parents USING (msg) GROUP BY 1, 2
+), climb(conv, turn, "at") AS (
+  SELECT conv, turn, parent FROM up UNION SELECT c.conv, c.turn, u.parent FROM climb c JOIN up u ON u.conv = c.conv AND u.turn = c."at"
+), roots AS (
+  SELECT conv, turn, min("at") AS root FROM climb GROUP BY 1, 2
+), bodies AS (
+  SELECT msg, string_agg(line, chr(10) ORDER BY pos) AS body FROM lines WHERE level = 0 AND NOT intro GROUP BY msg
+), whole AS (
+  SELECT m.*, parent_turn, coalesce(root, m.turn) AS thread_turn FROM messages m LEFT JOIN parents USING (msg) LEFT JOIN roots r ON r.conv = m.conv AND r.turn = m.turn
+)
+SELECT conv_id, turn, role, regexp_replace(coalesce(body, ''), '^\n+|\n+$', '', 'g') AS body, CAST(coalesce(n_quotes, 0) AS BIGINT) AS n_quotes, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked,
+  CAST(coalesce(n_elsewhere, 0) AS BIGINT) AS n_elsewhere, CAST(coalesce(max_level, 0) AS BIGINT) AS max_level, parent_turn, thread_turn,
+  row_number() OVER (PARTITION BY conv ORDER BY thread_turn NULLS FIRST, turn NULLS FIRST, msg) - 1 AS position
+FROM whole LEFT JOIN counts USING (msg) LEFT JOIN bodies USING (msg)
+"""
+
 OP6_SQL = """
 WITH RECURSIVE good AS MATERIALIZED (
   SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
@@ -143,6 +202,7 @@ QUERIES = {
     "op10_hyperminhash": op10_hyperminhash,
 }
 ORACLE_SQL = {
+    "op3_quotation_linking": OP3_SQL,
     "op6_iterative_quantisation": OP6_SQL,
     "op8_mixing": OP8_SQL,
     "op10_hyperminhash": OP10_SQL,
