@@ -19,7 +19,7 @@ from .vectors import common_length, usable
 
 DIMENSIONS, LEAF = 8, 32
 #: Rows a kd-tree holds, and queries searched in it at once.
-BLOCK, CHUNK = 8192, 2048
+BLOCK, CHUNK = 8192, 8192
 
 
 def chi_square(p: float, m: int) -> float:
