@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import extraction as X
 from ..operators import records as R
 from ..operators import sensitive as P
@@ -213,7 +212,6 @@ def profile_validate(spark, sf_dir):
     return e.select("event_id", error.alias("error"))
 
 
-_SQ = "'"
 
 
 @query("csv_safe_sink", r"""WITH v AS (SELECT event_id, k, ['=', '+', '-', '@', '|', ' =', ''][event_id % 7 + 1] || CASE WHEN k = 0 THEN event_type || ',x' ELSE CAST(event_id AS VARCHAR) END AS v FROM events, (SELECT unnest([0, 1]) AS k))

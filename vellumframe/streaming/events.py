@@ -33,23 +33,19 @@ def cooldown_dedup(events: DataFrame, key: str, ts: str, tie: str, cooldown_ms:
 
 
 def cooldown_stream(events: DataFrame, key: str, ts: str, cooldown_ms: int = 3000) -> DataFrame:
-    """Streaming form of cooldown_dedup: one accepted time a key is the state, dropped when it can no longer matter."""
+    """Streaming form of cooldown_dedup: the last accepted time of each key is the state."""
     out = events.schema
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         last = state.get[0] if state.exists else None
-        for f in frames:
-            f = f.sort_values(list(f.columns[f.columns == ts]) + [c for c in f.columns if c != ts][:1])
-            keep = []
-            for t in f[ts]:
-                now = t.value / 1e6
-                keep.append(last is None or now - last >= cooldown_ms)
-                if keep[-1]:
-                    last = now
-            yield f[keep]
+        f = pd.concat(list(frames)).sort_values(ts, kind="stable")  # one key's rows of one trigger
+        keep = []
+        for t in f[ts]:
+            now = t.value / 1e6
+            keep.append(last is None or now - last >= cooldown_ms)
+            if keep[-1]:
+                last = now
+        yield f[keep]
         if last is not None:
             state.update((last,))
 
