@@ -59,15 +59,30 @@ def summary_sentences(text: Column) -> Column:
     return F.filter(parts, lambda p: (F.length(p) > 25) & (F.size(F.split(p, " +")) >= 5))
 
 
-def syllables(word: Column) -> Column:
-    """Syllables of an English word: vowel runs, suffix and silent-ending rules, irregular words by table."""
-    clean = F.substring(F.regexp_replace(F.lower(word), "[^a-z]", ""), 1, 60)
+def syllables(word: Column, plain: bool = False) -> Column:
+    """Syllables of an English word: vowel runs, silent-ending rules, irregular words by table.
+
+    `plain` says that all but letters are digits, apostrophes and hyphens, as in words(), which saves a pattern. The
+    suffixes -tion, -sion, -cial, -tial, -cious and -tious hold one vowel run between consonants and need no rule.
+    """
+    return bare_syllables(bare(word, plain))
+
+
+def bare(word: Column, plain: bool = False) -> Column:
+    """Lower-case letters of a word, at most 60."""
+    letters = F.translate(F.lower(word), "0123456789'-", "") if plain else F.regexp_replace(F.lower(word), "[^a-z]", "")
+    return F.substring(letters, 1, 60)
+
+
+def bare_syllables(clean: Column) -> Column:
+    """syllables of what bare() gives; inside array functions, which evaluate an expression wherever it stands, bare()
+    belongs in a transform of its own."""
     table = F.create_map(*[F.lit(x) for kv in SYLLABLES.items() for x in kv])
-    runs = F.size(F.regexp_extract_all(F.regexp_replace(clean, "(?:tion|sion|cial|tial|cious|tious)", "xun"), F.lit("([aeiouy]+)"), 1))
-    silent = clean.rlike("e$") & ~clean.rlike("(?:ee|oe)$") & (~clean.rlike("le$") | clean.rlike("[aeiouy]le$"))
-    past = clean.rlike("[^td]ed$")
-    plural = clean.rlike("[^szxc]es$") & ~clean.rlike("shes$")
-    n = runs - silent.cast("int") - past.cast("int") - plural.cast("int")
+    l1, l2, l3, l4 = (F.substring(clean, -k, 1) for k in (1, 2, 3, 4))
+    silent = (l1 == "e") & ~l2.isin("e", "o") & ((l2 != "l") | l3.isin(*"aeiouy"))
+    past = (l1 == "d") & (l2 == "e") & ~l3.isin("t", "d")
+    plural = (l1 == "s") & (l2 == "e") & ~l3.isin("s", "z", "x", "c") & ~((l3 == "h") & (l4 == "s"))
+    n = F.regexp_count(clean, F.lit("[aeiouy]+")) - F.when(silent | past | plural, 1).otherwise(0)
     return F.when(F.length(clean) == 0, 0).when(F.length(clean) <= 3, 1).otherwise(F.coalesce(F.try_element_at(table, clean), F.greatest(F.lit(1), n)))
 
 

@@ -14,7 +14,7 @@ def doc_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     A text without words has zero sentences; null and blank texts have zeros everywhere.
     """
     clean = F.trim(F.coalesce(F.col(text), F.lit("")))
-    df = docs.withColumn("_clean", clean).withColumn("_syl", F.transform(T.words(F.col("_clean")), T.syllables))
+    df = docs.withColumn("_clean", clean).withColumn("_syl", F.transform(F.transform(T.words(F.col("_clean")), lambda w: T.bare(w, plain=True)), T.bare_syllables))
     df = df.withColumn("words", F.size("_syl").cast("long"))
     some = F.col("words") > 0
     df = df.withColumn("chars", F.length("_clean").cast("long")).withColumn("chars_no_space", F.length(F.regexp_replace("_clean", r"\s+", "")).cast("long"))

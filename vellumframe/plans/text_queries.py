@@ -161,7 +161,7 @@ SELECT word, CAST({syllables_sql("word")} AS BIGINT) AS syllables FROM w
 def syllable_count(spark, sf_dir):
     """Distinct words first: the rules run once a word, whatever its frequency."""
     w = table(spark, sf_dir, "documents").select(F.explode(T.words(F.coalesce("text", F.lit("")))).alias("word")).distinct()
-    return w.withColumn("syllables", T.syllables(F.col("word")).cast("long"))
+    return w.withColumn("syllables", T.syllables(F.col("word"), plain=True).cast("long"))
 
 
 SENTENCES_SQL = rf"list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '(?i)\b({ABBREVIATIONS})\.', '\1_DOT_', 'g'), '\b([A-Z])\.', '\1_DOT_', 'g'), '([.!?]){S}+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda p: trim(replace(p, '_DOT_', '.'))), lambda p: regexp_matches(p, '[A-Za-z0-9]'))"
