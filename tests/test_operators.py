@@ -28,7 +28,7 @@ def test_syllables(spark, word, n):
 
 
 def test_words_and_sentences(spark):
-    assert one(spark, "Don't stop-over, éabc x_y 12", T.words) == ["Don't", "stop-over", "abc", "12"] or True
+    assert one(spark, "Don't stop-over, éabc x_y 12", T.words) == ["Don't", "stop-over", "abc", "12"]
     assert one(spark, "Dr. Who met A. Smith. He left!\nFine?", T.sentences) == ["Dr. Who met A. Smith.", "He left!", "Fine?"]
 
 
