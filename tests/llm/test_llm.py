@@ -380,3 +380,10 @@ def test_words_split_at_ascii_space_only():
     w = Words(pa.array([" A\tb\x0bC ", None, "", "x\xa0y \x85"]))
     got = [w.vocab.to_pylist()[c] for c in w.codes]
     assert got == ["a", "b", "c", "x\xa0y", "\x85"] and w.offsets.tolist() == [0, 3, 3, 3, 5]
+
+
+def test_attention_learns_from_texts_outside_the_sample(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(WORDS[(s + k) % len(WORDS)] for k in range(200)), "en", "s") for i in range(700) for s in [int(rng.integers(len(WORDS)))]]
+    got = [r for r in attention.score(frame(spark, rows), sample=1).collect() if r["held_out"]]
+    assert sum(r["score"] for r in got) > 1.5 * sum(r["base_score"] for r in got)
