@@ -299,6 +299,21 @@ def test_near_vectors_against_brute_force(spark, vecs):
     assert quantise.near_vectors(vectors(spark, [])).count() == 0
 
 
+def test_near_vectors_with_a_strong_common_component(spark):
+    rng = np.random.default_rng(13)
+    common = np.zeros(32)
+    common[0] = 0.85
+    own = rng.standard_normal((300, 31))
+    own = np.concatenate([own, own[:, :] + rng.standard_normal((300, 31)) * 0.75])
+    own = own / np.linalg.norm(own, axis=1, keepdims=True) * np.sqrt(1 - 0.85**2)
+    x = (common + np.concatenate([np.zeros((600, 1)), own], axis=1)).astype(np.float32)
+    unit = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.93
+    np.fill_diagonal(near, False)
+    got = {r["vec_id"]: r["n_links"] for r in quantise.near_vectors(vectors(spark, [(i, v.tolist(), 1, "", "", "") for i, v in enumerate(x)])).collect()}
+    assert near.sum() > 200 and sum(got.values()) >= 0.98 * near.sum() and all(got[i] <= near[i].sum() for i in range(600))
+
+
 def test_nearest_against_brute_force(spark, vecs):
     got = projections.nearest(vectors(spark, vecs)).collect()
     good = [(i, np.array(v, float)) for i, v, *_ in vecs if i is not None and v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)]

@@ -1,6 +1,6 @@
 """Embedding near-duplicates by iterative quantisation and multi-index Hamming tables.
 
-Rotations are learned so that signs of the rotated vectors are balanced binary codes close to the vectors. Substrings
+Rotations are learned so that signs of the rotated vectors are binary codes close to the vectors. Substrings
 of the codes are the keys of many tables; vectors of a label that share a key in any table are compared by exact
 cosine. Every pair is examined in the first table it shares only, inside blocks of bounded size, and leaves counts
 and local roots behind rather than a row.
@@ -24,10 +24,13 @@ from .words import batch
 SAMPLE, BLOCK = 4096, 256
 
 
-def learn(sample: np.ndarray, bits: int, rounds: int = 30, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and (dimension, bits) projections: PCA, then rotations that alternate with their signs, several in a row."""
-    mean = sample.mean(axis=0)
-    x = sample - mean
+def learn(sample: np.ndarray, bits: int, rounds: int = 30, seed: int = 3) -> np.ndarray:
+    """(dimension, bits) projections: PCA, then rotations that alternate with their signs, several in a row.
+
+    Rotations are learned around the mean, but codes are signs of the vectors themselves: the angle between these, not
+    between centred vectors, is what the threshold bounds. A mean taken off would part vectors that share it.
+    """
+    x = sample - sample.mean(axis=0)
     _, axes = np.linalg.eigh(x.T @ x)
     x = x @ axes
     rng, parts = np.random.default_rng(seed), []
@@ -37,7 +40,7 @@ def learn(sample: np.ndarray, bits: int, rounds: int = 30, seed: int = 3) -> tup
             u, _, w = np.linalg.svd(np.where(x @ r >= 0, 1.0, -1.0).T @ x)
             r = (u @ w).T
         parts.append(axes @ r)
-    return mean, np.concatenate(parts, axis=1)[:, :bits]
+    return np.concatenate(parts, axis=1)[:, :bits]
 
 
 def tables_for(rows: int, cosine: float, miss: float = 0.002) -> tuple[int, int]:
@@ -130,14 +133,14 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, sample: int = SAMPLE)
         return out.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     width, tables = tables_for(most, cosine)
     x = matrix(fit).astype(np.float64)
-    mean, project = learn(x / np.linalg.norm(x, axis=1, keepdims=True), width * tables)
+    project = learn(x / np.linalg.norm(x, axis=1, keepdims=True), width * tables)
     powers = (1 << np.arange(width)).astype(np.int64)
 
     def codes(batches):
         for b in batches:
             v = matrix(b.column(1)).astype(np.float64)
             v /= np.linalg.norm(v, axis=1, keepdims=True)
-            keys = ((v - mean) @ project >= 0).reshape(len(v), tables, width) @ powers
+            keys = (v @ project >= 0).reshape(len(v), tables, width) @ powers
             yield batch(vec_id=b.column(0), label=b.column(2), keys=pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * tables, pa.int32()), pa.array(keys.astype(np.int32).ravel())))
 
     kind = dict(reps.dtypes)["label"]
