@@ -153,6 +153,27 @@ def test_bin_completion_beats_best_fit_where_it_can():
     assert sum(t for t, _ in packing.bin_completion(counts, 100)) == packing.lower_bound(counts, 100)
 
 
+def test_bin_completion_fills_with_many_pieces():
+    lengths = (441, 389, 332, 444, 442, 399, 394, 382, 307, 294, 272, 230, 358, 244, 309, 309, 346, 252)
+    counts = {k: 1000 * n for k, n in Counter(lengths).items()}
+    plan, used = packing.bin_completion(counts, 2048), Counter()
+    for times, items in plan:
+        assert times > 0 and sum(k * n for k, n in items) <= 2048
+        for k, n in items:
+            used[k] += n * times
+    assert used == counts and sum(t for t, _ in plan) < 0.98 * sum(t for t, _ in packing.best_fit(counts, 2048))
+
+
+def test_fillings_are_all_undominated_ones():
+    rng = np.random.default_rng(14)
+    for _ in range(20):
+        free = np.bincount(rng.integers(3, 30, 7), minlength=41)
+        found = {w for w in packing.fillings(free, 40, 40) if w is not None}
+        items = np.repeat(np.arange(41), free).tolist()
+        best = max(sum(x for k, x in enumerate(items) if m >> k & 1) for m in range(1 << 7) if sum(x for k, x in enumerate(items) if m >> k & 1) <= 40)
+        assert max(map(sum, found)) == best and all(not Counter(w) - Counter(items) and sum(w) <= 40 for w in found)
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.integers(0, 50_000, 3000), np.full(500, 7)]).astype(np.uint32)

@@ -104,16 +104,13 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fillings(free: np.ndarray, room: int, most: int = 8) -> list[tuple[int, ...]]:
-    """Undominated ways to fill the room with up to three free lengths, least waste first.
-
-    A filling no longer than the largest single length that fits is dominated by that length and left out.
-    """
+def exact_few(free: np.ndarray, room: int, most: int = 8) -> list[tuple[int, ...]]:
+    """Some ways to fill the room exactly with up to three free lengths: quick to find, and tried first."""
     if room <= 0:
-        return [()]
+        return []
     fits = np.flatnonzero(free[: room + 1])
     if not len(fits):
-        return [()]
+        return []
     top = int(fits[-1])
     found: dict[tuple[int, ...], int] = {(top,): room - top}
 
@@ -140,14 +137,71 @@ def fillings(free: np.ndarray, room: int, most: int = 8) -> list[tuple[int, ...]
         if min(found.values()):
             for a in fits[::-1][:6].tolist():
                 pairs(room - a, (a,))
-    return [f for f, _ in sorted(found.items(), key=lambda x: (x[1], len(x[0]), [-v for v in x[0]]))][:most]
+    return [f for f, waste in sorted(found.items(), key=lambda x: (len(x[0]), [-v for v in x[0]])) if not waste][:most]
+
+
+def fillings(free: np.ndarray, room: int, most: int):
+    """All undominated ways to fill the room with any number of free lengths, least waste first, none above `most`.
+
+    Yields None for a dominated way: one whose waste lets a length that stays free replace some of its pieces (or none)
+    and hold no less, so that the other way round is no worse (Martello and Toth).
+    """
+    lengths = np.flatnonzero(free[: room + 1]).tolist() if room > 0 else []
+    if not lengths:
+        yield ()
+        return
+    # sums[k]: bit s tells whether the k smallest free lengths can sum to s
+    mask, sums = (1 << (room + 1)) - 1, [1]
+    for v in lengths:
+        x, times, most_of = sums[-1], 1, min(int(free[v]), room // v) + 1
+        while times < most_of:
+            more = min(times, most_of - times)
+            x |= (x << more * v) & mask
+            times += more
+        sums.append(x)
+    unused = 0
+    for v in lengths:
+        unused |= 1 << v
+
+    def exactly(total: int, k: int):
+        """Every way to make the total of the k smallest lengths; larger ones first."""
+        if not total:
+            yield ()
+            return
+        while k and not total >= lengths[k - 1]:
+            k -= 1
+        for j in range(k, 0, -1):
+            v = lengths[j - 1]
+            if not sums[j] >> total & 1:
+                return  # nor can fewer lengths
+            for n in range(min(int(free[v]), total // v), 0, -1):
+                if sums[j - 1] >> (total - n * v) & 1:
+                    for rest in exactly(total - n * v, j - 1):
+                        yield ((v,) * n) + rest
+
+    def dominated(way: tuple[int, ...], waste: int) -> bool:
+        left, several, one = unused, 0, 1
+        for v in set(way):
+            if free[v] == way.count(v):
+                left &= ~(1 << v)
+        for v in way:
+            several |= (several << v) | ((one & ~1) << v)
+            one |= 1 << v
+        reached = several | one
+        return bool(several & left) or any((reached << d) & left for d in range(1, waste + 1))
+
+    for waste in range(min(room - lengths[-1], most) + 1):
+        if sums[-1] >> (room - waste) & 1:
+            for way in exactly(room - waste, len(lengths)):
+                yield None if dominated(way, waste) else way
 
 
 def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000) -> list[Pattern]:
     """Patterns that pack every length as often as counted, in as few bins as the search finds.
 
-    Depth-first over undominated fillings around the largest length left; a branch ends when its waste could no
-    longer beat the incumbent, which starts as the best-fit packing. Ends at the lower bound or after `nodes` steps.
+    Depth-first over all undominated fillings around the largest length left, as often as possible first and fewer times
+    later; a branch ends when its waste could no longer beat the incumbent, which starts as the best-fit packing. Ends at
+    the lower bound or after `nodes` steps, dominated fillings included.
     """
     counts = {k: n for k, n in counts.items() if n}
     best = best_fit(counts, capacity)
@@ -162,28 +216,44 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000) -
 
     def choices(waste: int):
         largest = int(np.flatnonzero(free)[-1])
-        free[largest] -= 1
-        ways = fillings(free, capacity - largest)
-        free[largest] += 1
-        for way in ways:
+
+        def ways():
+            quick = exact_few(alone, capacity - largest)
+            yield from quick
+            for way in fillings(alone, capacity - largest, (size - 1) * capacity - total - waste):
+                if way is None or way not in quick:
+                    yield way
+
+        alone = free.copy()
+        alone[largest] -= 1
+        tried = []
+        for way in ways():
+            if way is None:
+                yield None
+                continue
             need: dict[int, int] = {largest: 1}
             for v in way:
                 need[v] = need.get(v, 0) + 1
             lost = capacity - sum(k * n for k, n in need.items())
-            spare = (size - 1) * capacity - total - waste
-            times = min(int(free[k]) // n for k, n in need.items())
-            if lost:
-                times = min(times, spare // lost)
+            times = fit_times(need, lost, waste)
             if times > 0:
+                tried.append((need, times, lost))
                 yield need, times, lost
+        for need, times, lost in tried:
+            for t in range(min(times, fit_times(need, lost, waste) + 1) - 1, 0, -1):
+                yield need, t, lost
+
+    def fit_times(need: dict[int, int], lost: int, waste: int) -> int:
+        times = min(int(free[k]) // n for k, n in need.items())
+        return min(times, ((size - 1) * capacity - total - waste) // lost) if lost else times
 
     path: list[tuple[dict[int, int], int, int]] = []
     waste, steps = 0, 0
     stack = [choices(0)]
     while stack and steps < nodes:
         steps += 1
-        step = next(stack[-1], None)
-        if step is None:
+        step = next(stack[-1], False)
+        if step is False:
             stack.pop()
             if path:
                 need, times, lost = path.pop()
@@ -191,6 +261,8 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20_000) -
                 for k, n in need.items():
                     free[k] += n * times
             continue
+        if not step:
+            continue
         need, times, lost = step
         path.append(step)
         waste += lost * times
