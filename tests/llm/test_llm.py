@@ -277,6 +277,19 @@ def test_languages_on_held_out_and_switched_texts(spark):
     assert languages.identify(frame(spark, [])).count() == 0 and {r["lang_pred"] for r in languages.identify(frame(spark, [(1, "abc", None, "s")], extra=True)).collect()} == {"und"}
 
 
+def test_rare_languages_are_learned(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(15)
+    ids = [r["id"] for r in spark.range(12_000).orderBy(F.xxhash64(F.lit(9), "id")).collect()]
+    rare = set(ids[-12:])
+    rows = [(i, sample_language(rng, "zz" if i in rare else "xx", 12), "zz" if i in rare else "xx", "s") for i in ids]
+    df = frame(spark, rows)
+    field = languages.train(df)
+    assert field.languages == ["xx", "zz"]
+    assert {r["lang_pred"] for r in languages.identify(df.filter("lang = 'zz'"), field).collect()} == {"zz"}
+
+
 def test_posteriors_against_enumeration():
     rng = np.random.default_rng(7)
     emit, trans = rng.standard_normal((7, 3)).astype(np.float32), rng.standard_normal((3, 3))

@@ -11,15 +11,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ready
 from .toxicity import EDGES
 from .words import Words, batch, pieces
 
-#: Bounds of the fitting sample: documents looked at, and taken of a language.
-LOOKED_AT, PER_LANGUAGE = 6000, 300
+#: Bound of the fitting sample, documents of each language, and buckets, ever fewer, that share the work of a frequent one.
+PER_LANGUAGE, SALTS = 300, (64, 8, 1)
 BITS, WIDE = 17, 24
 
 
@@ -158,11 +158,11 @@ def fit(texts: list[str], langs: list[str], length: int = 96, sequences: int = 6
             b[:, t] /= b[:, t].sum(axis=1, keepdims=True)
         post = a * b
         post /= post.sum(axis=2, keepdims=True)
-        pair = a[:, :-1, :, None] * move * (e[:, 1:] * b[:, 1:])[:, :, None, :]
-        pair /= pair.sum(axis=(2, 3), keepdims=True)
+        left, right = a[:, :-1].reshape(-1, L), (e[:, 1:] * b[:, 1:]).reshape(-1, L)
+        pair = move * ((left / ((left @ move) * right).sum(axis=1, keepdims=True)).T @ right)
         gold = np.zeros_like(trans)
         np.add.at(gold, (ys[:, :-1].ravel(), ys[:, 1:].ravel()), 1)
-        g = (pair.sum(axis=(0, 1)) - gold) / len(xs) + 0.01 * trans
+        g = (pair - gold) / len(xs) + 0.01 * trans
         tsquare += g * g
         trans -= 0.5 * g / np.sqrt(tsquare)
         post[np.arange(len(xs))[:, None], np.arange(length), ys] -= 1
@@ -177,17 +177,16 @@ def fit(texts: list[str], langs: list[str], length: int = 96, sequences: int = 6
     return Field(languages, weights, trans.astype(np.float32))
 
 
-def train(docs: DataFrame, looked_at: int = LOOKED_AT, per_language: int = PER_LANGUAGE) -> Field:
-    """Fit on documents with a lang whose crc32(doc_id as text) mod 3 is not 1: of the `looked_at` with the smallest
-    hashes the first `per_language` of each language, with their whole texts."""
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Field:
+    """Fit on documents with a lang whose crc32(doc_id as text) mod 3 is not 1: of every language the `per_language`
+    with the smallest hashes, with their whole texts."""
     own = docs.filter("lang is not null").select(F.col("doc_id").cast("long"), "lang").filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-    seen = own.orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id", "lang").limit(looked_at).collect()
-    taken: dict[str, list[int]] = {}
-    for r in seen:
-        if len(taken.setdefault(r["lang"], [])) < per_language and r["doc_id"] not in taken[r["lang"]]:
-            taken[r["lang"]].append(r["doc_id"])
-    ids = docs.sparkSession.createDataFrame([(d, g) for g, ds in taken.items() for d in ds], "doc_id long, lang string")
-    rows = docs.select(F.col("doc_id").cast("long"), "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").collect()  # at most looked_at ids
+    own = own.distinct().withColumn("h", F.xxhash64(F.lit(9), "doc_id"))
+    for salts in SALTS:
+        first = Window.partitionBy("lang", F.pmod("h", F.lit(salts))).orderBy("h", "doc_id")
+        own = own.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language).drop("n")
+    ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["lang"]) for r in own.collect()], "doc_id long, lang string")
+    rows = docs.select(F.col("doc_id").cast("long"), "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").collect()  # at most per_language ids a language
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"] or ""))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
