@@ -277,6 +277,17 @@ def test_languages_on_held_out_and_switched_texts(spark):
     assert languages.identify(frame(spark, [])).count() == 0 and {r["lang_pred"] for r in languages.identify(frame(spark, [(1, "abc", None, "s")], extra=True)).collect()} == {"und"}
 
 
+def test_long_runs_are_read_to_their_end(spark):
+    rng = np.random.default_rng(16)
+    rows = [(i, sample_language(rng, lang, 40), lang, "s") for i in range(240) for lang in [("xx", "yy", "zz")[i % 3]]]
+    field = languages.train(frame(spark, rows))
+    glued = sample_language(rng, "xx", 12).replace(" ", "") + sample_language(rng, "zz", 300).replace(" ", "")
+    got = languages.label_words(frame(spark, [(1, glued, None, "s")]), field).collect()
+    assert languages.predict(pa.array([glued]), field)[0] == ["zz"] and {r["lang"] for r in got} >= {"xx", "zz"}
+    assert "".join(languages.parts_of(glued)) == glued and max(map(len, languages.parts_of(glued))) <= languages.WIDE
+    assert languages.parts_of("tokyo東京です") == ["tokyo", "東京です"] and languages.parts_of("l’été") == ["l’été"]
+
+
 def test_rare_languages_are_learned(spark):
     from pyspark.sql import functions as F
 

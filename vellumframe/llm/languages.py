@@ -24,7 +24,7 @@ BITS, WIDE = 17, 24
 
 
 def features(vocab: list[str]) -> np.ndarray:
-    """(words, features) hashed indices; 0 is no feature. Long words show their first WIDE characters and their end."""
+    """(words, features) hashed indices; 0 is no feature. Words have at most WIDE characters."""
     size = np.fromiter(map(len, vocab), np.int64, len(vocab))
     if not len(vocab):
         return np.zeros((0, 1), np.int64)
@@ -101,15 +101,55 @@ def posteriors(emit: np.ndarray, offsets: np.ndarray, trans: np.ndarray) -> np.n
     return alpha
 
 
+def script(char: str) -> int:
+    """Coarse script of a letter: Latin, Chinese and Japanese, or its block of 256 characters."""
+    c = ord(char)
+    if c < 0x250 or 0x1E00 <= c < 0x1F00:
+        return 0
+    return 1 if 0x2E80 <= c < 0xA000 or 0xF900 <= c < 0xFB00 or c >= 0x20000 else 2 + (c >> 8)
+
+
+def parts_of(word: str) -> list[str]:
+    """The word, cut where its script changes and into even parts of at most WIDE characters; parts without a letter go."""
+    runs = [word]
+    if not word.isascii() and max(word) >= "\u0250":
+        runs, first, last = [], 0, -1
+        for i, char in enumerate(word):
+            if char.isalpha():
+                now = script(char)
+                if last not in (-1, now):
+                    runs.append(word[first:i])
+                    first = i
+                last = now
+        runs.append(word[first:])
+    out = []
+    for r in runs:
+        n = -(-len(r) // WIDE)
+        out += [r[len(r) * k // n : len(r) * (k + 1) // n] for k in range(n)]
+    return [w for w in out if len(out) == 1 or any(map(str.isalpha, w))]
+
+
 def sequence_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Codes, offsets and vocabulary of the words that hold a letter, lower-cased and without edge marks."""
+    """Codes, offsets and vocabulary of the words that hold a letter, lower-cased and without edge marks.
+
+    Where a run without white space is long or mixes scripts, its parts stand in sequence as words of their own.
+    """
     words = Words(text, lower=False)
     bare = pc.utf8_trim(pc.utf8_lower(words.vocab), characters=EDGES + "0123456789").dictionary_encode()
     lettered = pc.match_substring_regex(bare.dictionary, r"\p{L}").to_numpy(zero_copy_only=False) if len(bare.dictionary) else np.zeros(0, bool)
     codes = bare.indices.to_numpy().astype(np.int64)[words.codes] if len(words.codes) else words.codes
-    keep = lettered[codes] if len(codes) else np.zeros(0, bool)
-    offsets = np.concatenate([[0], np.cumsum(keep)])[words.offsets]
-    return codes[keep], offsets, bare.dictionary.to_pylist()
+    vocab: dict[str, int] = {}
+    flat, sizes = [], np.zeros(len(lettered), np.int64)
+    for k, (word, some) in enumerate(zip(bare.dictionary.to_pylist(), lettered.tolist(), strict=True)):
+        own = (parts_of(word) if len(word) > WIDE or not word.isascii() else [word]) if some else []
+        sizes[k] = len(own)
+        flat += [vocab.setdefault(w, len(vocab)) for w in own]
+    first = np.cumsum(sizes) - sizes
+    n = sizes[codes] if len(codes) else np.zeros(0, np.int64)
+    ends = np.cumsum(n)
+    offsets = np.concatenate([[0], ends])[words.offsets]
+    at = np.repeat(first[codes] - (ends - n), n) + np.arange(int(n.sum())) if len(codes) else np.zeros(0, np.int64)
+    return np.array(flat, np.int64)[at], offsets, list(vocab)
 
 
 def fit(texts: list[str], langs: list[str], length: int = 96, sequences: int = 6000, seed: int = 5) -> Field:
@@ -206,7 +246,8 @@ def predict(text: pa.Array, field: Field) -> tuple[list[str], np.ndarray]:
 
 
 def label_words(docs: DataFrame, field: Field) -> DataFrame:
-    """Spans of one language inside each text: doc_id, first word, words, lang (over words that hold a letter)."""
+    """Spans of one language inside each text: doc_id, first word, words, lang (over the words, or parts of
+    long runs, that hold a letter)."""
 
     def run(batches):
         for b in pieces(batches):
