@@ -447,3 +447,51 @@ def test_attention_learns_from_texts_outside_the_sample(spark):
     rows = [(i, " ".join(WORDS[(s + k) % len(WORDS)] for k in range(200)), "en", "s") for i in range(700) for s in [int(rng.integers(len(WORDS)))]]
     got = [r for r in attention.score(frame(spark, rows), sample=1).collect() if r["held_out"]]
     assert sum(r["score"] for r in got) > 1.5 * sum(r["base_score"] for r in got)
+
+
+def test_attention_against_a_token_by_token_model():
+    rng = np.random.default_rng(17)
+    docs = [rng.integers(0, 40, int(k)) for k in (0, 5, 16, 40, 75)]
+    net = attention.fit(docs, np.bincount(np.concatenate(docs), minlength=50) + 1, 49, epochs=1).prepared()
+    s = attention.STRIDE
+    for d, got in zip(docs, net.score(docs, 49), strict=True):
+        inputs, targets, total = [*[50] * s, 51, *d.tolist()], [*d.tolist(), 49], 0.0
+        e = net.embed.astype(float)
+        for i, t in enumerate(targets):
+            first = i // s * s  # the window's first position; its later half holds this token
+            seen = inputs[first : s + i + 1]
+            q = e[inputs[s + i]] @ net.wq / math.sqrt(attention.HEAD)
+            w = np.array([q @ (e[x] @ net.wk) + net.near[s + i - (first + k)] for k, x in enumerate(seen)])
+            w = np.exp(w - w.max())
+            state = e[inputs[s + i]] + sum(a * (e[x] @ net.wv) for a, x in zip(w / w.sum(), seen))
+            z = state @ net.wo + net.bias
+            z -= z.max()
+            total += z[net.group[t]] - math.log(np.exp(z).sum()) + net.inside[t]
+        assert abs(got - total) < 1e-3 * len(targets)
+
+
+def test_phrases_depend_on_their_own_text_and_cover_it():
+    rng = np.random.default_rng(18)
+    docs = [rng.integers(0, 500, int(k)) for k in (300, 0, 1, 900)]
+    at, h = attention.phrases(docs, 999)
+    begins = attention.starts_of(docs)
+    assert set(begins) <= set(at) and len(at) == len(h) and 20 < len(at) < 120
+    for d, a in zip(docs, begins):
+        own, hashes = attention.phrases([d], 999)
+        inside = (at >= a) & (at <= a + len(d))
+        assert (at[inside] - a).tolist() == own.tolist() and h[inside].tolist() == hashes.tolist()
+
+
+def test_repeated_texts_are_recalled_and_a_text_does_not_recall_itself(spark):
+    rng = np.random.default_rng(19)
+    many = [a + b for a in WORDS for b in WORDS]
+    rows = [(i, text(rng, 120, many), "en", "s") for i in range(120)]
+    rows += [(1000 + i, rows[i][1], "en", "s") for i in range(20)]
+    got = {r["doc_id"]: r for r in attention.score(frame(spark, rows), sample=100).collect()}
+    learned = {i for i in got if not got[i]["held_out"]}
+    again = [i for i in range(20) if 1000 + i in learned] + [1000 + i for i in range(20) if i in learned]
+    each = lambda ids: np.array([got[i]["score"] / got[i]["n_tokens"] for i in ids])
+    assert each(again).min() > each(range(20, 120)).max() + 0.3
+    alone = [i for i in range(20, 120)]
+    trained, unseen = each([i for i in alone if i in learned]), each([i for i in alone if i not in learned])
+    assert abs(trained.mean() - unseen.mean()) < 0.3

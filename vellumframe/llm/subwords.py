@@ -60,9 +60,9 @@ class Encoder:
             return out
         return self.tokenizer.encode(w, add_special_tokens=False).ids
 
-    def encode(self, text) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids (int32) and the offsets of the documents in them."""
-        words = Words(text, lower=False)
+    def encode(self, text, words: Words | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids (int32) and the offsets of the documents in them; `words` are the texts' own, case kept, if at hand."""
+        words = words or Words(text, lower=False)
         vocab = words.vocab.to_pylist()
         place = np.fromiter(map(self.known.get, vocab, [-1] * len(vocab)), np.int64, len(vocab))
         extra: list[int] = []

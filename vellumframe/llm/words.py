@@ -40,9 +40,9 @@ class Words:
         """Index of the owning document, per word."""
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """64-bit hash per vocabulary entry; depends on the word alone."""
-        values = self.vocab.to_numpy(zero_copy_only=False)
+    def hashes(self, lower: bool = False) -> np.ndarray:
+        """64-bit hash per vocabulary entry; depends on the word alone, lower-cased A-Z if asked."""
+        values = (pc.ascii_lower(self.vocab) if lower else self.vocab).to_numpy(zero_copy_only=False)
         return pd.util.hash_array(values, categorize=False) if len(values) else np.zeros(0, np.uint64)
 
 
