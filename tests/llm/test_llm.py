@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from vellumframe.llm import attention, hyperminhash, languages, mixing, packing, projections, quantise, quotations, toxicity, wavelet
 from vellumframe.llm.components import connected_components
@@ -22,8 +23,6 @@ def frame(spark, rows, extra=False):
     """documents with nulls; with `extra`, columns whose names clash with those the operators add."""
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     if extra:
-        from pyspark.sql import functions as F
-
         for c in ("score", "predicted", "held_out", "length", "component_id", "kept", "size", "words", "row", "sequence_id"):
             df = df.withColumn(c, F.lit("x"))
     return df
@@ -289,8 +288,6 @@ def test_long_runs_are_read_to_their_end(spark):
 
 
 def test_rare_languages_are_learned(spark):
-    from pyspark.sql import functions as F
-
     rng = np.random.default_rng(15)
     ids = [r["id"] for r in spark.range(12_000).orderBy(F.xxhash64(F.lit(9), "id")).collect()]
     rare = set(ids[-12:])
@@ -372,6 +369,41 @@ def test_nearest_against_brute_force(spark, vecs):
             hits, total = hits + len({j for _, j in want} & {r["vec_id"] for r in own}), total + 20
     assert hits >= 0.97 * total
     assert projections.nearest(vectors(spark, [])).count() == 0 and projections.nearest(vectors(spark, vecs[:4])).count() == 3
+    clash = vectors(spark, vecs[:40]).withColumn("query_id", F.lit("x")).withColumn("key", F.lit("x")).withColumn("own", F.lit("x"))
+    assert projections.nearest(clash).count() == 40
+
+
+def test_nearest_with_repeated_ids_and_equal_vectors(spark):
+    rng = np.random.default_rng(20)
+    one, other = rng.standard_normal((2, 8)).astype(np.float32).tolist()
+    rows = [(i, one) for i in range(100, 160)] + [(-20, one), (-20, other), (-20, one), (200, other), (201, other)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in projections.nearest(df, k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    if np.dot(one, one) > np.dot(one, other):
+        assert got[100] == [-20, 101, 102, 103, 104] and got[120] == [-20, 100, 101, 102, 103]
+    assert sorted(got[-20])[:5] and -20 not in got[-20] and len(got[-20]) == 10
+
+
+def test_the_stop_spares_most_rows_of_clustered_vectors():
+    rng = np.random.default_rng(21)
+    centres = rng.standard_normal((40, 64))
+    rows = centres[rng.integers(40, size=6000)] + rng.standard_normal((6000, 64)) * 0.3
+    space = projections.Space(rows.mean(axis=0), float(np.linalg.norm(rows - rows.mean(axis=0), axis=1).max()))
+    queries = rows[::20]
+    limit = projections.chi_square(0.9, projections.DIMENSIONS)
+    got, verified = projections.search(np.arange(6000), rows, np.arange(300), queries, np.full(300, projections.NOBODY), np.full(300, -np.inf), 21, space, limit)
+    best = np.argsort(-(queries @ rows.T), axis=1, kind="stable")[:, :21]
+    hits = sum(len(set(best[k]) & set(g)) for k, g in got.groupby("key")["vec_id"])
+    assert hits >= 0.9 * best.size and verified < 300 * 6000 / 3
+
+
+def test_regions_part_all_points():
+    points = np.random.default_rng(22).standard_normal((1000, projections.DIMENSIONS))
+    regions = projections.Regions(points, 8)
+    sizes = np.bincount(regions.of(points), minlength=8)
+    assert sizes.min() >= 100 and sizes.sum() == 1000 and set(projections.Regions(points[:0], 4).of(points)) <= {0, 1, 2, 3}
 
 
 def test_chi_square_quantiles():
