@@ -22,6 +22,8 @@ ROWS = 6
 MANTISSA = 10
 EMPTY = 0xFFFF
 PARITY = 32  # 64-bit words of a set's parity sketch
+#: Members of a pivot that are paired in one group, and parts a pivot's rows are dealt to before that.
+BLOCK, SALT = 512, 32
 
 
 def bands_for(threshold: float, miss: float = 1e-5) -> int:
@@ -137,14 +139,41 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
     return out
 
 
+def _across(side: DataFrame, parity: DataFrame, percent: int, near) -> DataFrame:
+    """Pairs (a, b) of members of different components c that met the same pivot, from (a, b, n, c).
+
+    The members outside a pivot's largest component meet all its members, dealt to blocks so that no group holds more
+    than about BLOCK of either; members of one component are not paired with each other.
+    """
+    groups = side.groupBy("a", "c").agg(F.count("*").alias("m"))
+    pivots = groups.groupBy("a").agg(F.max(F.struct("m", "c")).alias("home"), F.sum("m").alias("all")).filter(F.col("all") > F.col("home.m"))
+    parts = lambda x: F.ceil(x / BLOCK).cast("int")
+    pivots = pivots.select("a", F.col("home.c").alias("home"), parts(F.col("all")).alias("wide"), parts(F.col("all") - F.col("home.m")).alias("deep"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    held = side.withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "b"), F.lit(SALT)).cast("int")).join(pivots, ["a", "salt"]).join(parity, "b").drop("salt")
+    held = staged(held, "mixed")
+    dealt = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "b"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = held.withColumn("i", dealt(1, "wide")).withColumn("j", every("deep"))
+    y = held.filter("c <> home").withColumn("j", dealt(2, "deep")).withColumn("i", every("wide"))
+    x, y = x.alias("x"), y.alias("y")
+    apart = sum((F.bit_count(F.col("x.parity")[i].bitwiseXOR(F.col("y.parity")[i])) for i in range(1, PARITY)), F.bit_count(F.col("x.parity")[0].bitwiseXOR(F.col("y.parity")[0])))
+    close = (100 + percent) * apart <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    once = (F.col("x.c") == F.col("x.home")) | (F.col("x.b") < F.col("y.b"))
+    same = (F.col("x.a") == F.col("y.a")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    pairs = x.join(y, same & (F.col("x.c") != F.col("y.c")) & once & near(F.col("x.n"), F.col("y.n")) & close)
+    out = staged(pairs.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct(), "across")
+    drop(held)
+    return out
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Groups of near-duplicate documents: one row per input row (doc_id, n_shingles, component_id, kept).
 
     Two documents are linked when 100 * |A and B| >= percent * |A or B| over their distinct word shingles. Equal sets
     become one class before anything is paired, so a group of copies of any size costs one row a document. In each band
     bucket every class is first compared with the bucket's smallest id; what one round has joined is not paired
-    again, and the second round compares only members of different components that met the same pivot, those whose
-    parity sketches are not already too far apart.
+    again, and the second round compares, in blocks of bounded size, the members of a pivot that are outside its largest
+    component with its members of other components, those whose parity sketches are not already too far apart.
 
     Defined cases: null or blank texts have n_shingles 0 and are linked with nothing; rows with a null doc_id are
     not linked, have a null component_id and are kept; rows that share a doc_id are one vertex; other columns are
@@ -157,7 +186,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sig = staged(sketch(docs, shingle, k), "sketch")
     some = sig.filter("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    reps = staged(some.join(classes, ["n_shingles", "h1", "h2"]).filter("doc_id = rep").select("doc_id", "n_shingles", "registers", "parity").dropDuplicates(["doc_id", "n_shingles"]), "reps")
+    reps = staged(some.join(classes, ["n_shingles", "h1", "h2"]).filter("doc_id = rep").dropDuplicates(["doc_id", "n_shingles", "h1", "h2"]).select("doc_id", "n_shingles", "registers", "parity"), "reps")
     width = 2 * ROWS
     nothing = F.lit(b"\xff" * width)
     piece = F.expr(f"substring(registers, band * {width} + 1, {width})")
@@ -172,15 +201,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     found = connected_components(links)
 
     side = met.join(found.select(F.col("v").alias("b"), "component"), "b", "left").select("a", "b", F.col("nb").alias("n"), F.coalesce("component", "b").alias("c"))
-    mixed = side.groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("a")
-    side = staged(side.join(mixed, "a", "left_semi").join(reps.select(F.col("doc_id").alias("b"), F.col("parity")), "b"), "mixed")
-    x, y = side.alias("x"), side.alias("y")
-    apart = sum((F.bit_count(F.col("x.parity")[i].bitwiseXOR(F.col("y.parity")[i])) for i in range(1, PARITY)), F.bit_count(F.col("x.parity")[0].bitwiseXOR(F.col("y.parity")[0])))
-    close = (100 + percent) * apart <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
-    again = x.join(y, (F.col("x.a") == F.col("y.a")) & (F.col("x.b") < F.col("y.b")) & (F.col("x.c") != F.col("y.c")) & near(F.col("x.n"), F.col("y.n")) & close)
-    again = again.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
+    again = _across(side, reps.select(F.col("doc_id").alias("b"), "parity"), percent, near)
     more = _verified(staged(_likely(again, reps, k, threshold), "pairs"), docs, shingle, percent)
-    drop(side, met)
+    drop(met)
     whole = connected_components(links.unionByName(more))
     groups = classes.join(whole.select(F.col("v").alias("rep"), "component"), "rep", "left").select("n_shingles", "h1", "h2", F.coalesce("component", "rep").alias("group"))
     out = sig.select("doc_id", "n_shingles", "h1", "h2").join(groups, ["n_shingles", "h1", "h2"], "left")
