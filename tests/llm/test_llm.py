@@ -23,7 +23,7 @@ def frame(spark, rows, extra=False):
     """documents with nulls; with `extra`, columns whose names clash with those the operators add."""
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     if extra:
-        for c in ("score", "predicted", "held_out", "length", "component_id", "kept", "size", "words", "row", "sequence_id"):
+        for c in ("Score", "predicted", "held_out", "lang_pred", "length", "component_id", "kept", "size", "words", "row", "sequence_id"):
             df = df.withColumn(c, F.lit("x"))
     return df
 
@@ -182,10 +182,21 @@ def test_wavelet_matrix():
     for v in (7, int(x[10]), 49_999, 65_000):
         assert m.count(v) == (x == v).sum() and m.occurrences(v).tolist() == np.flatnonzero(x == v).tolist() and m.rank(v, 1234) == (x[:1234] == v).sum()
     assert [m.access(i) for i in (0, 5, 3499)] == x[[0, 5, 3499]].tolist() and m.select(7, 2) == np.flatnonzero(x == 7)[2]
+    with pytest.raises(IndexError):
+        m.select(7, 10_000)
+    ends = rng.integers(0, 3501, 50)
+    assert m.ranks(7, ends).tolist() == [(x[:e] == 7).sum() for e in ends]
     empty = wavelet.WaveletMatrix.build(np.zeros(0, np.uint32), 16)
     assert len(empty.values()) == 0
 
 
+def test_look_ups_inflate_only_what_they_touch():
+    x = np.random.default_rng(23).integers(0, 4, 3_000_000).astype(np.uint32)
+    m, *_ = wavelet.from_bytes(wavelet.to_bytes(wavelet.WaveletMatrix.build(x, 2), np.zeros(0), np.zeros(0), np.zeros(0)))
+    assert m.access(1_234_567) == x[1_234_567] and m.rank(3, 200_000) == (x[:200_000] == 3).sum() and m.select(2, 5) == np.flatnonzero(x == 2)[5]
+    assert sum(p.inflated for p in m.planes) <= 8 < sum(len(p.chunks) for p in m.planes)
+
+
 def test_token_files_round_trip(spark, docs):
     enc = Encoder(default_path())
     files = wavelet.write_tokens(frame(spark, docs, extra=True), "test", shard_tokens=500)
@@ -194,7 +205,7 @@ def test_token_files_round_trip(spark, docs):
     at = 0
     for r, (d, t, _, _) in zip(got, sorted(docs, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))):
         ids = np.array([*enc.tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
-        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (d, at, len(ids), zlib.crc32(ids.tobytes()))
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"], r["n_ends"]) == (d, at, len(ids), zlib.crc32(ids.tobytes()), (ids == 1).sum())
         at += len(ids)
     amber = enc.tokenizer.encode("amber", add_special_tokens=False).ids
     hits = {}
@@ -208,13 +219,14 @@ def test_quotations_link_and_order(spark):
     rows = [
         (1, 0, "u", "Hello there.\nHow do I sort a list?"), (1, 1, "a", "On Monday u wrote:\n> How do I  sort a LIST?\nUse sorted()."),
         (1, 2, "u", "> > How do I sort a list?\n> Use sorted().\n\nThanks"), (1, 3, "x", "> Hello there.\nHi!"), (2, 0, "u", "plain"), (2, 1, "a", None),
-        (2, 2, "b", "> How do I sort a list?\n> plain\nok"), (2, 3, "b", "> never said\n>\nhm"), (None, None, "q", ">\n> "), (1, 3, "x", "> Hello there.\nHi!"),
+        (2, 2, "b", "> How do I sort a list?\n> plain\nok"), (2, 3, "b", "> never said\n>\nhm"), (None, None, "q", ">\n> "), (-1, 0, "u", "minus one"), (None, 1, "q", "> minus one"), (7, 5, "z", "far " * 20_000), (7, 6, "z", "> " + "far " * 20_000), (1, 3, "x", "> Hello there.\nHi!"),
     ]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = quotations.link_quotations(df).collect()
+    got = quotations.link_quotations(df.withColumn("body", F.lit("x")).withColumn("msg", F.lit("x")).withColumn("level", F.lit("x"))).collect()
     assert len(got) == len(rows)
     by = {(r["conv_id"], r["turn"]): r for r in got}
     assert by[1, 1]["parent_turn"] == 0 and by[1, 1]["body"] == "Use sorted()." and by[1, 2]["parent_turn"] == 1 and by[1, 2]["max_level"] == 2 and by[1, 2]["n_linked"] == 2
+    assert by[None, 1]["n_linked"] == 0 and by[None, 1]["n_elsewhere"] == 1 and by[7, 6]["parent_turn"] == 5 and by[None, 1]["position"] + by[None, None]["position"] == 1
     assert by[1, 3]["parent_turn"] == 0 and by[1, 2]["thread_turn"] == 0 and by[2, 2]["parent_turn"] == 0 and by[2, 3]["n_linked"] == 0 and by[2, 3]["n_quotes"] == 1
     for conv in (1, 2):
         own = sorted((r for r in got if r["conv_id"] == conv), key=lambda r: r["position"])
@@ -253,7 +265,9 @@ def test_toxicity_on_held_out_rows(spark):
     assert by[9002]["predicted"] == 1 and by[9000]["predicted"] == 0 and not by[None]["held_out"]
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got if r["doc_id"] is not None)
     assert {r["score"] for r in toxicity.score(frame(spark, rows[:5]), lab.limit(0)).collect()} <= {4.248354255291589e-18}
-    assert toxicity.score(frame(spark, [], extra=True), lab).count() == 0 and toxicity.score(frame(spark, rows[:9], extra=True), lab).count() == 9
+    clash = toxicity.score(frame(spark, rows[:9], extra=True), lab)
+    assert {(r["Score"], r["predicted"], r["held_out"]) for r in clash.collect()} == {("x", "x", "x")} and {"score_", "predicted_", "held_out_"} <= set(clash.columns)
+    assert toxicity.score(frame(spark, [], extra=True), lab).count() == 0
 
 
 SYL = {"xx": ["ba", "ko", "mi", "tu"], "yy": ["gré", "çou", "éla", "ñor"], "zz": ["sch", "ung", "keit", "ver"]}
@@ -273,7 +287,7 @@ def test_languages_on_held_out_and_switched_texts(spark):
     assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and got[900]["score"] == 0 and got[902]["lang_pred"] == "xx" and got[903]["lang_pred"] == "zz"
     spans = sorted((r["first"], r["words"], r["lang"]) for r in languages.label_words(df.filter("doc_id = 902"), languages.train(df)).collect())
     assert spans == [(0, 30, "xx"), (30, 20, "zz")]
-    assert languages.identify(frame(spark, [])).count() == 0 and {r["lang_pred"] for r in languages.identify(frame(spark, [(1, "abc", None, "s")], extra=True)).collect()} == {"und"}
+    assert languages.identify(frame(spark, [])).count() == 0 and {(r["lang_pred"], r["lang_pred_"], r["Score"]) for r in languages.identify(frame(spark, [(1, "abc", None, "s")], extra=True)).collect()} == {("x", "und", "x")}
 
 
 def test_long_runs_are_read_to_their_end(spark):
@@ -312,7 +326,8 @@ def test_posteriors_against_enumeration():
 
 
 def vectors(spark, rows):
-    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, score string, rank string, links string")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, score string, rank string, links string")
+    return df.withColumn("n_links", F.lit("x")).withColumn("component_id", F.lit("x")).withColumn("kept", F.lit("x")).withColumn("query_id", F.lit("x"))
 
 
 @pytest.fixture(scope="module")

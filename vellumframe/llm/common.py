@@ -24,11 +24,22 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """The name of an added column: underscores follow until none of the columns there has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset and all of
+    Spark runs in one process (tests)."""
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = getattr(shared_dir, "own", None)
         if base is None:
             base = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="vellum-")

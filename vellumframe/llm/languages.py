@@ -14,12 +14,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import free_name, ready
 from .toxicity import EDGES
 from .words import Words, batch, pieces
 
 #: Bound of the fitting sample, documents of each language, and buckets, ever fewer, that share the work of a frequent one.
-PER_LANGUAGE, SALTS = 300, (64, 8, 1)
+PER_LANGUAGE, SALTS = 300, (512, 16, 1)
 BITS, WIDE = 17, 24
 
 
@@ -264,7 +264,7 @@ def label_words(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def identify(docs: DataFrame, field: Field | None = None) -> DataFrame:
-    """All input columns and rows plus held_out, lang_pred and score.
+    """All input columns and rows plus held_out, lang_pred and score (with underscores behind a name that is taken).
 
     Null texts and texts without a letter are `und` with score 0, and so is every text if no language was learned;
     a null doc_id is not held out and trains nothing; ties go to the language that sorts first; repeated rows are
@@ -272,14 +272,14 @@ def identify(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """
     ready(docs.sparkSession)
     field = field or train(docs)
-    own = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
-    text = own.index("text")
+    own, text = docs.columns, docs.columns.index("text")
+    held_out, found, scores = (free_name(own, c) for c in ("held_out", "lang_pred", "score"))
 
     def run(batches):
         for b in pieces(batches):
             lang, score = predict(b.column(text), field)
-            yield batch(**{c: b.column(i) for i, c in enumerate(own)}, lang_pred=pa.array(lang, pa.string()), score=pa.array(score, pa.float64()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*own, found, scores])
 
-    out = docs.select(*own).mapInArrow(run, docs.select(*own, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema)
+    out = docs.mapInArrow(run, docs.select("*", F.lit("").alias(found), F.lit(0.0).alias(scores)).schema)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    return out.select(*own, held.alias("held_out"), "lang_pred", "score")
+    return out.select(*own, held.alias(held_out), found, scores)

@@ -92,15 +92,22 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
-    """The larger of the volume bound and the bound by items over half the capacity (with what cannot join them)."""
-    total = sum(k * n for k, n in counts.items())
-    best = -(-total // capacity)
-    for small in range(0, capacity // 2 + 1, 64):
-        alone = sum(n for k, n in counts.items() if k > capacity - small)
-        big = [(k, n) for k, n in counts.items() if capacity // 2 < k <= capacity - small]
-        rest = sum(k * n for k, n in counts.items() if small <= k <= capacity // 2)
-        room = sum((capacity - k) * n for k, n in big)
-        best = max(best, alone + sum(n for _, n in big) + max(0, -(-(rest - room) // capacity)))
+    """The largest of the volume bound and Martello and Toth's second bound at every threshold: items over half the
+    capacity have bins of their own, and the smaller ones not below the threshold fill the room that these leave."""
+    n = np.zeros(capacity + 1, np.int64)
+    for k, times in counts.items():
+        n[k] += times
+    size = np.arange(capacity + 1) * n
+    half = capacity // 2
+    best = -(-int(size.sum()) // capacity)
+    upto, volume = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(size)])
+    between = lambda a, lo, hi: a[hi + 1] - a[lo]  # noqa: E731  lengths lo to hi
+    for small in range(half + 1):
+        alone = between(upto, capacity - small + 1, capacity) if small else 0
+        big = between(upto, half + 1, capacity - small)
+        room = big * capacity - between(volume, half + 1, capacity - small)
+        rest = between(volume, small, half)
+        best = max(best, int(alone + big + max(0, -(-(rest - room) // capacity))))
     return best
 
 
@@ -299,15 +306,18 @@ def slots(patterns: list[Pattern]) -> dict[str, np.ndarray]:
 
 
 def pack(items: DataFrame, capacity: int = 2048, nodes: int = 20_000) -> DataFrame:
-    """Add sequence_id and offset to rows with a `length` column of 1 to capacity.
+    """Add sequence_id, offset and gap to rows with a `length` column of 1 to capacity.
 
+    gap is the same in every row: the sequences used above the lower bound, 0 where the packing is proven to be best.
     items must be a staged table or otherwise give the same rows each time it is read. Every row gets a place;
     equal rows get places of their own; an empty table stays empty. Other columns pass through untouched.
     """
     hist = {r[0]: r[1] for r in items.groupBy("length").count().collect()}  # at most `capacity` rows
     if any(not 1 <= k <= capacity for k in hist):
         raise ValueError("length must be between 1 and the capacity")
-    plan = slots(bin_completion(hist, capacity, nodes))
+    patterns = bin_completion(hist, capacity, nodes)
+    gap = sum(t for t, _ in patterns) - lower_bound(hist, capacity)
+    plan = slots(patterns)
     columns = items.columns
     salts = max(256, sum(hist.values()) // 50_000)
     salted = items.withColumn("_salt", F.pmod(F.xxhash64(*columns), F.lit(salts)))
@@ -326,11 +336,12 @@ def pack(items: DataFrame, capacity: int = 2048, nodes: int = 20_000) -> DataFra
             each = plan["each"][row]
             yield batch(**{c: b.column(i) for i, c in enumerate(columns)}, sequence_id=plan["base"][row] + k // each, offset=plan["at"][row] + k % each * length)
 
-    return ranked.mapInArrow(run, items.select(*columns, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema)
+    places = ranked.mapInArrow(run, items.select(*columns, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema)
+    return places.withColumn("gap", F.lit(gap).cast("long"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """Pieces of all documents with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """Pieces of all documents with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset, gap.
 
     Null and empty texts are the end id alone; rows that repeat are packed as often as they occur; null doc_ids pass
     through; other columns are ignored; an empty table gives an empty result.

@@ -112,7 +112,7 @@ FROM placed
 
 OP3_SQL = r"""
 WITH RECURSIVE messages AS MATERIALIZED (
-  SELECT row_number() OVER () AS msg, CAST(conv_id AS BIGINT) AS conv_id, coalesce(CAST(conv_id AS BIGINT), -1) AS conv, CAST(turn AS BIGINT) AS turn, role, coalesce(text, '') AS text FROM conversations
+  SELECT row_number() OVER () AS msg, CAST(conv_id AS BIGINT) AS conv_id, coalesce(CAST(CAST(conv_id AS BIGINT) AS VARCHAR), 'none') AS conv, CAST(turn AS BIGINT) AS turn, role, coalesce(text, '') AS text FROM conversations
 ), raw AS (
   SELECT msg, conv, turn, unnest(l) AS raw, unnest(range(0, len(l))) AS pos FROM (SELECT *, regexp_split_to_array(text, '\r?\n') AS l FROM messages)
 ), marked AS (

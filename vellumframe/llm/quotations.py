@@ -30,6 +30,11 @@ def quoted_lines(messages: DataFrame) -> DataFrame:
     return lines.withColumn("passage", F.sum(new.cast("int")).over(w)).drop("raw")
 
 
+def _own():
+    """The conversation as a key: a null conv_id is one of its own, apart from every number."""
+    return F.coalesce(F.col("conv_id").cast("string"), F.lit("none"))
+
+
 def _joined(rows: DataFrame, *keys: str) -> DataFrame:
     """Normal forms of each group's lines joined in order."""
     own = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "norm"))), lambda x: x["norm"]), " ")
@@ -58,10 +63,10 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     passages = _joined(quoted, "msg", "conv_id", "turn", "level", "passage")
     units = said.select("conv_id", "turn", F.col("norm").alias("said")).unionByName(_joined(said, "msg", "conv_id", "turn", "passage").select("conv_id", "turn", "said")).unionByName(_joined(said, "msg", "conv_id", "turn").select("conv_id", "turn", "said"))
     units = units.filter("turn is not null").select(F.md5("said").alias("key"), "conv_id", "turn")
-    here = units.groupBy("key", F.coalesce("conv_id", F.lit(-1)).alias("conv")).agg(F.min("turn").alias("origin"))
+    here = units.groupBy("key", _own().alias("conv")).agg(F.min("turn").alias("origin"))
     anywhere = units.groupBy("key").agg(F.lit(True).alias("somewhere"))
-    asked = passages.select("msg", F.coalesce("conv_id", F.lit(-1)).alias("conv"), "turn", "level", "passage", F.lit(0).alias("fine"), "said")
-    asked = asked.unionByName(quoted.select("msg", F.coalesce("conv_id", F.lit(-1)).alias("conv"), "turn", "level", "passage", F.lit(1).alias("fine"), F.col("norm").alias("said")))
+    asked = passages.select("msg", _own().alias("conv"), "turn", "level", "passage", F.lit(0).alias("fine"), "said")
+    asked = asked.unionByName(quoted.select("msg", _own().alias("conv"), "turn", "level", "passage", F.lit(1).alias("fine"), F.col("norm").alias("said")))
     asked = asked.select("msg", "conv", "turn", "level", "passage", "fine", F.length("said").alias("size"), F.md5("said").alias("key"))
     met = staged(asked.join(here, ["key", "conv"], "left").join(anywhere, "key", "left").withColumn("origin", F.when(F.col("origin") < F.col("turn"), F.col("origin"))), "met")
     per = met.groupBy("msg", "level", "passage").agg(F.max((F.col("origin").isNotNull()).cast("int")).alias("linked"), F.max((F.col("somewhere").isNotNull()).cast("int")).alias("seen"))
@@ -69,7 +74,7 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
     votes = met.filter("origin is not null").join(counts.select("msg", "outer"), "msg").filter("level = outer").groupBy("msg", "origin").agg(F.sum("size").alias("size"))
     parents = votes.groupBy("msg").agg(F.max(F.struct("size", "origin")).getField("origin").alias("parent_turn"))
     # threads: follow parents to the first message, doubling the step each round
-    at = staged(messages.select("msg", F.coalesce("conv_id", F.lit(-1)).alias("conv"), "turn").join(parents, "msg").groupBy("conv", "turn").agg(F.min("parent_turn").alias("up")), "parents")
+    at = staged(messages.select("msg", _own().alias("conv"), "turn").join(parents, "msg").groupBy("conv", "turn").agg(F.min("parent_turn").alias("up")), "parents")
     while not at.isEmpty():
         onward = at.select("conv", F.col("turn").alias("up"), F.col("up").alias("further"))
         nxt = staged(at.join(onward, ["conv", "up"], "left").select("conv", "turn", F.coalesce("further", "up").alias("up"), F.col("further").isNotNull().alias("moved")), "parents")
@@ -80,11 +85,11 @@ def link_quotations(conversations: DataFrame) -> DataFrame:
         if not more:
             break
     body = lines.filter("level = 0 and not intro").groupBy("msg").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("body"))
-    whole = messages.select("msg", "conv_id", F.coalesce("conv_id", F.lit(-1)).alias("conv"), "turn", "role")
+    whole = messages.select("msg", "conv_id", _own().alias("conv"), "turn", "role")
     whole = whole.join(parents, "msg", "left").join(at.select("conv", "turn", "up"), ["conv", "turn"], "left").join(counts.drop("outer"), "msg", "left").join(body, "msg", "left")
     whole = whole.withColumn("thread_turn", F.coalesce("up", "turn"))
     ordered = whole.repartitionByRange("conv_id", "thread_turn", "turn", "msg").sortWithinPartitions("conv_id", "thread_turn", "turn", "msg").withColumn("_id", F.monotonically_increasing_id())
-    ordered = staged(ordered.drop("up", "conv"), "ordered").withColumn("_p", F.shiftright("_id", 33)).withColumn("_c", F.coalesce("conv_id", F.lit(-1)))
+    ordered = staged(ordered.drop("up", "conv"), "ordered").withColumn("_p", F.shiftright("_id", 33)).withColumn("_c", _own())
     starts = ordered.groupBy("_c", "_p").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     starts = starts.select("_c", "_p", "_first", (F.sum("_n").over(Window.partitionBy("_c").orderBy("_p")) - F.col("_n")).alias("_before"))
     none = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)

@@ -15,11 +15,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import free_name, ready
 from .words import Words, batch, binary, pieces
 
 #: Bounds of the fitting sample, in documents, and of the features kept.
 POSITIVES, UNLABELLED, FEATURES = 1500, 4500, 2048
+#: Share of the documents with a feature that must be toxic for it to count, less its standard error.
+PURITY = 0.7
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»…–—“”‘’"
 
 
@@ -108,7 +110,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     gain = p * np.log((p + 0.5 / len(positive)) / (neg + 0.5 / len(unlabelled)))
     by_chance = len(positive) * np.maximum(u, 0.5 / len(unlabelled))
     surprise = 2 * (n_pos * np.log(n_pos / by_chance) - n_pos + by_chance)  # likelihood ratio against chance
-    gain[(surprise < 20) | (n_pos < by_chance) | (prior * p < (0.7 - 1 / np.sqrt(n_pos)) * u)] = 0  # mostly of positives, and not by chance
+    gain[(surprise < 20) | (n_pos < by_chance) | (prior * p < (PURITY - 1 / np.sqrt(n_pos)) * u)] = 0  # mostly of positives, and not by chance
     keep = np.sort(np.argsort(-gain, kind="stable")[:most])
     keep = keep[gain[keep] > 0]
     names, odds = names[keep], np.log((p + 0.5 / len(positive)) / (neg + 0.5 / len(unlabelled)))[keep]
@@ -167,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """All input columns and rows plus held_out, score and predicted.
+    """All input columns and rows plus held_out, score and predicted (with underscores behind a name that is taken).
 
     Null and empty texts get the score of a text without features; a null doc_id is not held out and trains nothing;
     without any toxic training label every score is 0; labels given twice count as toxic if one is; repeated rows are
@@ -179,13 +181,13 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFra
 
 
 def apply(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    own = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    text = own.index("text")
+    own, text = docs.columns, docs.columns.index("text")
+    held_out, scores, predicted = (free_name(own, c) for c in ("held_out", "score", "predicted"))
 
     def run(batches):
         for b in pieces(batches):
-            yield batch(**{c: b.column(i) for i, c in enumerate(own)}, score=model.score(b.column(text)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(b.column(text)))], names=[*own, scores])
 
-    scored = docs.select(*own).mapInArrow(run, docs.select(*own, F.lit(0.0).alias("score")).schema)
+    scored = docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias(scores)).schema)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
-    return scored.select(*own, held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select(*own, held.alias(held_out), scores, (F.col(scores) >= threshold).cast("int").alias(predicted))

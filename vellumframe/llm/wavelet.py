@@ -1,7 +1,7 @@
 """Token files as wavelet matrices: bit-planes with rank and select, one compressed file a shard.
 
-A shard holds whole documents in ascending doc_id order. Its file answers access, rank (counts), select and
-occurrence look-ups without decoding the rest, and gives all tokens back exactly.
+A shard holds whole documents in ascending doc_id order. Its file stores ranks beside the bits and answers access, rank
+(counts), select and occurrence look-ups from the chunks of bits they touch, and gives all tokens back exactly.
 """
 
 from __future__ import annotations
@@ -19,94 +19,143 @@ from .common import ready, staged
 from .subwords import default_path, encoder, vocabulary_size
 from .words import batch, pieces
 
-MAGIC = b"WVMX0001"
+MAGIC = b"WVMX0002"
 PACK = pa.Codec("zstd", compression_level=1)
-BLOCK = 512  # bits a rank directory entry covers
+BLOCK = 512  # bits between two stored ranks
+CHUNK = 1 << 15  # bytes of a plane that are compressed together
+
+
+class Plane:
+    """One bit-plane: stored ranks before every BLOCK bits, and chunks of bits that are inflated when they are needed."""
+
+    def __init__(self, n: int, ranks: np.ndarray, chunks: list):
+        self.n, self.ranks, self.chunks, self.inflated = n, ranks, chunks, 0
+
+    @classmethod
+    def of(cls, bits: np.ndarray) -> Plane:
+        packed = np.packbits(bits, bitorder="little")
+        full = np.zeros(-(-len(packed) * 8 // BLOCK) * BLOCK // 8, np.uint8)
+        full[: len(packed)] = packed
+        ranks = np.concatenate([[0], np.cumsum(np.bitwise_count(full.reshape(-1, BLOCK // 8)).sum(axis=1, dtype=np.int64))])
+        return cls(len(bits), ranks.astype(np.uint32), [full[k : k + CHUNK] for k in range(0, len(full), CHUNK)])
+
+    def chunk(self, k: int) -> np.ndarray:
+        if isinstance(self.chunks[k], tuple):
+            data, raw = self.chunks[k]
+            self.chunks[k] = np.frombuffer(PACK.decompress(data, raw, asbytes=True), np.uint8)
+            self.inflated += 1
+        return self.chunks[k]
+
+    def blocks(self, at: np.ndarray) -> np.ndarray:
+        """(positions, BLOCK) bits of the given blocks."""
+        each = CHUNK * 8 // BLOCK
+        out = np.zeros((len(at), BLOCK // 8), np.uint8)
+        for k in np.unique(at // each).tolist():
+            own = np.flatnonzero(at // each == k)
+            out[own] = self.chunk(k).reshape(-1, BLOCK // 8)[at[own] - k * each]
+        return np.unpackbits(out, axis=1, bitorder="little")
+
+    def ones(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each position (0 to n)."""
+        block, inside = at // BLOCK, at % BLOCK
+        out = self.ranks[block].astype(np.int64)
+        some = np.flatnonzero(inside)
+        for k in range(0, len(some), 4096):
+            own = some[k : k + 4096]
+            bits = self.blocks(block[own])
+            bits[np.arange(BLOCK)[None, :] >= inside[own, None]] = 0
+            out[own] += bits.sum(axis=1, dtype=np.int64)
+        return out
+
+    def bit(self, at: int) -> int:
+        return int(self.chunk(at // 8 // CHUNK)[at // 8 % CHUNK] >> (at & 7) & 1)
+
+    def select(self, bit: int, nth: np.ndarray) -> np.ndarray:
+        """Positions of the nth (from 0) ones or zeros: binary search in the stored ranks, then inside a block."""
+        before = self.ranks.astype(np.int64)
+        if not bit:
+            before = np.arange(len(before)) * BLOCK - before
+        block = np.searchsorted(before, nth, side="right") - 1
+        out = np.empty(len(nth), np.int64)
+        for k in range(0, len(nth), 4096):
+            own = block[k : k + 4096]
+            seen = np.cumsum(self.blocks(own) == bit, axis=1, dtype=np.int32)
+            out[k : k + 4096] = own * BLOCK + (seen <= (nth[k : k + 4096] - before[own])[:, None]).sum(axis=1)
+        return out
+
+    def all(self) -> np.ndarray:
+        whole = np.concatenate([self.chunk(k) for k in range(len(self.chunks))]) if self.chunks else np.zeros(0, np.uint8)
+        return np.unpackbits(whole, count=self.n, bitorder="little")
 
 
 class WaveletMatrix:
     """Bit-planes from the highest bit down; each level is the previous one stably parted into zeros, then ones."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]):
+    def __init__(self, n: int, planes: list[Plane], zeros: list[int]):
         self.n, self.planes, self.zeros, self.bits = n, planes, zeros, len(planes)
-        self._ranks: dict[int, np.ndarray] = {}
-        self._open: dict[int, np.ndarray] = {}
 
     @classmethod
     def build(cls, values: np.ndarray, bits: int) -> WaveletMatrix:
         planes, zeros, cur = [], [], values.astype(np.uint16 if bits <= 16 else np.uint32)
         for level in range(bits - 1, -1, -1):
             one = (cur & cur.dtype.type(1 << level)) != 0
-            planes.append(np.packbits(one, bitorder="little"))
+            planes.append(Plane.of(one))
             low = cur[~one]
             zeros.append(len(low))
             cur = np.concatenate([low, cur[one]])
         return cls(len(values), planes, zeros)
 
-    def plane(self, k: int) -> np.ndarray:
-        if k not in self._open:
-            self._open[k] = np.unpackbits(self.planes[k], count=self.n, bitorder="little")
-        return self._open[k]
-
-    def directory(self, k: int) -> np.ndarray:
-        """Ones before every BLOCK bits."""
-        if k not in self._ranks:
-            size = BLOCK // 8
-            full = np.zeros(-(-len(self.planes[k]) // size) * size, np.uint8)
-            full[: len(self.planes[k])] = self.planes[k]
-            self._ranks[k] = np.concatenate([[0], np.cumsum(np.bitwise_count(full.reshape(-1, size)).sum(axis=1, dtype=np.int64))])
-        return self._ranks[k]
-
-    def ones(self, k: int, at: int) -> int:
-        """Ones of plane k before position at."""
-        block = at // BLOCK
-        return int(self.directory(k)[block]) + int(self.plane(k)[block * BLOCK : at].sum())
-
     def access(self, at: int) -> int:
         value = 0
-        for k in range(self.bits):
-            one = int(self.plane(k)[at])
-            before = self.ones(k, at)
-            at = self.zeros[k] + before if one else at - before
+        for plane, zeros in zip(self.planes, self.zeros, strict=True):
+            one, before = plane.bit(at), int(plane.ones(np.array([at]))[0])
+            at = zeros + before if one else at - before
             value = value << 1 | one
         return value
 
-    def span(self, value: int, end: int | None = None) -> tuple[int, int]:
-        """Where the occurrences of a value before `end` lie in the last level."""
-        lo, hi = 0, self.n if end is None else end
-        for k in range(self.bits):
-            a, b = self.ones(k, lo), self.ones(k, hi)
-            if value >> (self.bits - 1 - k) & 1:
-                lo, hi = self.zeros[k] + a, self.zeros[k] + b
-            else:
-                lo, hi = lo - a, hi - b
-        return lo, hi
+    def span(self, value: int, ends: np.ndarray) -> tuple[int, np.ndarray]:
+        """Where the value's occurrences start in the last level, and where those before each of the ends stop."""
+        at = np.append(ends, 0)
+        for k, plane in enumerate(self.planes):
+            ones = plane.ones(at)
+            at = self.zeros[k] + ones if value >> (self.bits - 1 - k) & 1 else at - ones
+        return int(at[-1]), at[:-1]
+
+    def ranks(self, value: int, ends: np.ndarray) -> np.ndarray:
+        """Occurrences of a value before each of the ends."""
+        lo, hi = self.span(value, np.asarray(ends, np.int64))
+        return hi - lo
 
     def rank(self, value: int, end: int) -> int:
-        lo, hi = self.span(value, end)
-        return hi - lo
+        return int(self.ranks(value, np.array([end]))[0])
 
     def count(self, value: int) -> int:
         return self.rank(value, self.n)
 
-    def occurrences(self, value: int) -> np.ndarray:
-        """All positions of a value, ascending (select of every rank)."""
-        lo, hi = self.span(value)
-        at = np.arange(lo, hi)
+    def selects(self, value: int, nth: np.ndarray) -> np.ndarray:
+        """Positions of the nth occurrences (from 0) of a value."""
+        lo, hi = self.span(value, np.array([self.n]))
+        nth = np.asarray(nth, np.int64)
+        if ((nth < 0) | (nth >= hi[0] - lo)).any():
+            raise IndexError("the value does not occur so often")
+        at = lo + nth
         for k in range(self.bits - 1, -1, -1):
-            ones = value >> (self.bits - 1 - k) & 1
-            at = np.flatnonzero(self.plane(k) == ones)[at - (self.zeros[k] if ones else 0)]
+            one = value >> (self.bits - 1 - k) & 1
+            at = self.planes[k].select(one, at - (self.zeros[k] if one else 0))
         return at
 
     def select(self, value: int, nth: int) -> int:
-        return int(self.occurrences(value)[nth])
+        return int(self.selects(value, np.array([nth]))[0])
+
+    def occurrences(self, value: int) -> np.ndarray:
+        """All positions of a value, ascending."""
+        return self.selects(value, np.arange(self.count(value)))
 
     def values(self) -> np.ndarray:
         """Every token: the levels joined again from the last to the first."""
         cur = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for k in range(self.bits - 1, -1, -1):
-            one = self.plane(k).view(bool)
-            del self._open[k]
+            one = self.planes[k].all().view(bool)
             up = np.empty_like(cur)
             up[~one] = cur[: self.zeros[k]]
             up[one] = cur[self.zeros[k] :] | cur.dtype.type(1 << (self.bits - 1 - k))
@@ -115,28 +164,32 @@ class WaveletMatrix:
 
 
 def to_bytes(matrix: WaveletMatrix, doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray) -> bytes:
-    """The file: magic, counts, zeros per level, then compressed document index and planes, each with its
-    packed and its raw length."""
+    """The file: magic, counts, zeros per level, the document index, then every plane's ranks and chunks, each part
+    compressed by itself behind its packed and its raw length."""
     head = MAGIC + struct.pack("<QQI", matrix.n, len(lengths), matrix.bits) + np.array(matrix.zeros, "<u8").tobytes()
-    raw = [doc_ids.astype("<i8").tobytes(), known.astype("u1").tobytes(), lengths.astype("<i8").tobytes(), *(p.tobytes() for p in matrix.planes)]
+    raw = [doc_ids.astype("<i8").tobytes(), known.astype("u1").tobytes(), lengths.astype("<i8").tobytes()]
+    for p in matrix.planes:
+        raw += [p.ranks.astype("<u4").tobytes(), *(p.chunk(k).tobytes() for k in range(len(p.chunks)))]
     parts = [PACK.compress(x, asbytes=True) for x in raw]
     return head + b"".join(struct.pack("<QQ", len(p), len(x)) + p for p, x in zip(parts, raw, strict=True))
 
 
 def from_bytes(data: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, np.ndarray]:
-    """Matrix, doc_ids, which of them are not null, lengths in tokens."""
+    """Matrix, doc_ids, which of them are not null, lengths in tokens. Planes stay compressed until they are asked."""
     if data[:8] != MAGIC:
         raise ValueError("not a wavelet token file")
     n, docs, bits = struct.unpack_from("<QQI", data, 8)
     zeros = np.frombuffer(data, "<u8", bits, 28).astype(int).tolist()
-    at, parts = 28 + 8 * bits, []
+    at, parts, whole = 28 + 8 * bits, [], memoryview(data)
     while at < len(data):
-        (size,) = struct.unpack_from("<Q", data, at)
-        (raw,) = struct.unpack_from("<Q", data, at + 8)
-        parts.append(PACK.decompress(data[at + 16 : at + 16 + size], raw, asbytes=True))
+        size, raw = struct.unpack_from("<QQ", data, at)
+        parts.append((whole[at + 16 : at + 16 + size], raw))
         at += 16 + size
-    ids, known, lengths = (np.frombuffer(p, t, docs) for p, t in zip(parts, ("<i8", "u1", "<i8"), strict=False))
-    return WaveletMatrix(n, [np.frombuffer(p, np.uint8) for p in parts[3:]], zeros), ids, known.astype(bool), lengths
+    opened = lambda p, kind: np.frombuffer(PACK.decompress(*p, asbytes=True), kind)
+    ids, known, lengths = (opened(p, t) for p, t in zip(parts[:3], ("<i8", "u1", "<i8"), strict=True))
+    each = (len(parts) - 3) // bits
+    planes = [Plane(n, opened(parts[3 + k * each], "<u4"), list(parts[4 + k * each : 3 + (k + 1) * each])) for k in range(bits)]
+    return WaveletMatrix(n, planes, zeros), ids, known.astype(bool), lengths
 
 
 def write_tokens(docs: DataFrame, name: str = "tokens", tokenizer: str | None = None, end_id: int = 1, shard_tokens: int = 1 << 21) -> DataFrame:
@@ -186,8 +239,9 @@ def write_tokens(docs: DataFrame, name: str = "tokens", tokenizer: str | None =
     return staged(ordered.mapInArrow(run, "shard long, n_docs long, n_tokens long, payload binary"), name, maxRecordsPerFile=1)
 
 
-def read_documents(files: DataFrame) -> DataFrame:
-    """Read shard files back: doc_id, start (tokens of all documents before it), n_tokens, ids_crc32."""
+def read_documents(files: DataFrame, end_id: int = 1) -> DataFrame:
+    """Read shard files back: doc_id, start (tokens of all documents before it), n_tokens, ids_crc32, and n_ends, the
+    occurrences of the end id in the document, by rank."""
     totals = files.select("shard", "n_tokens", F.shiftright("shard", 32).alias("_p"))
     parts = totals.groupBy("_p").agg(F.sum("n_tokens").alias("_n"))
     parts = parts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_base"))
@@ -198,13 +252,14 @@ def read_documents(files: DataFrame) -> DataFrame:
         for b in batches:
             for shard, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 matrix, ids, known, lengths = from_bytes(data.as_buffer().to_pybytes())
-                raw = matrix.values().astype("<u4").tobytes()
                 ends = np.cumsum(lengths)
+                n_ends = np.diff(matrix.ranks(end_id, np.append(0, ends)))
+                raw = matrix.values().astype("<u4").tobytes()
                 crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-                yield batch(shard=pa.array([shard] * len(ids), pa.int64()), doc_id=pa.array(ids, pa.int64(), mask=~known), at=pa.array(ends - lengths, pa.int64()), n_tokens=pa.array(lengths, pa.int64()), ids_crc32=pa.array(crc, pa.int64()))
+                yield batch(shard=pa.array([shard] * len(ids), pa.int64()), doc_id=pa.array(ids, pa.int64(), mask=~known), at=pa.array(ends - lengths, pa.int64()), n_tokens=pa.array(lengths, pa.int64()), ids_crc32=pa.array(crc, pa.int64()), n_ends=n_ends)
 
-    read = files.select("shard", "payload").mapInArrow(run, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return read.join(bases, "shard").select("doc_id", (F.col("at") + F.col("_base")).alias("start"), "n_tokens", "ids_crc32")
+    read = files.select("shard", "payload").mapInArrow(run, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long, n_ends long")
+    return read.join(bases, "shard").select("doc_id", (F.col("at") + F.col("_base")).alias("start"), "n_tokens", "ids_crc32", "n_ends")
 
 
 def look_up(files: DataFrame, token: int) -> DataFrame:
