@@ -37,3 +37,32 @@ def test_stages(spark, tmp_path):
     pieces = seen["packing"].groupBy("doc_id").count().collect()
     assert {r["doc_id"]: r["count"] for r in pieces} == {i: ids["mixing"].count(i) for i in set(ids["mixing"])}
     assert corpus_pipeline.run(spark, str(tmp_path)).agg(F.sum("length")).first()[0] == seen["packing"].agg(F.sum("length")).first()[0]
+
+
+def test_odd_tables(spark, tmp_path):
+    """Empty tables, clashing columns, very long, repeated and equally named rows go through every stage."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(3)
+    syllables = "ba ko mi tu ren sol var dig pel nu".split()
+    say = lambda n: " ".join("".join(rng.choice(syllables, 3)) for _ in range(n))
+    one, other = say(50), say(50)
+    rows = [(i, say(60), "en", "s") for i in range(40)]
+    rows += [(100, say(30_000), "en", "s"), (101, one, "en", "s"), (101, one, "en", "s"), (101, other, "en", "s"), (102, one, "en", None), (-5, say(50), None, "t"), (None, say(50), "en", "t"), (None, say(50), "en", "t"), (103, "", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for c in ("_key", "_n", "Score", "predicted", "lang_pred", "kept", "size"):
+        docs = docs.withColumn(c, F.lit("x"))
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    cur = docs
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, cur, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / name))
+        cur = spark.read.parquet(str(tmp_path / name))
+        assert {tuple(r)[4:] for r in cur.collect()} == {("x",) * 7}
+        if name == "near_duplicate":
+            left = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in cur.collect())
+            same = {(False, 101, one), (False, 102, one)}  # one of these stays, whichever has the smaller key
+            assert len(left) == len(set(left)) and len(same & set(left)) == 1
+            assert set(left) - same == {(d is None, d or 0, t) for d, t, *_ in rows if t} - same
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert corpus_pipeline.packing(spark, docs.limit(0), str(tmp_path)).count() == 0
