@@ -155,7 +155,9 @@ def _across(side: DataFrame, parity: DataFrame, percent: int, near) -> DataFrame
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     x = held.withColumn("i", dealt(1, "wide")).withColumn("j", every("deep"))
     y = held.filter("c <> home").withColumn("j", dealt(2, "deep")).withColumn("i", every("wide"))
-    x, y = x.alias("x"), y.alias("y")
+    # few bytes but many comparisons: as many tasks as the session shuffles to, not as few as the bytes suggest
+    tasks = int(side.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x, y = x.repartition(tasks, "a", "i", "j").alias("x"), y.repartition(tasks, "a", "i", "j").alias("y")
     apart = sum((F.bit_count(F.col("x.parity")[i].bitwiseXOR(F.col("y.parity")[i])) for i in range(1, PARITY)), F.bit_count(F.col("x.parity")[0].bitwiseXOR(F.col("y.parity")[0])))
     close = (100 + percent) * apart <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
     once = (F.col("x.c") == F.col("x.home")) | (F.col("x.b") < F.col("y.b"))
