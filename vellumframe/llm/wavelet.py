@@ -47,13 +47,13 @@ class Plane:
         return self.chunks[k]
 
     def blocks(self, at: np.ndarray) -> np.ndarray:
-        """(positions, BLOCK) bits of the given blocks."""
+        """(positions, BLOCK / 8) bytes of the given blocks."""
         each = CHUNK * 8 // BLOCK
-        out = np.zeros((len(at), BLOCK // 8), np.uint8)
+        out = np.empty((len(at), BLOCK // 8), np.uint8)
         for k in np.unique(at // each).tolist():
             own = np.flatnonzero(at // each == k)
             out[own] = self.chunk(k).reshape(-1, BLOCK // 8)[at[own] - k * each]
-        return np.unpackbits(out, axis=1, bitorder="little")
+        return out
 
     def ones(self, at: np.ndarray) -> np.ndarray:
         """Ones before each position (0 to n)."""
@@ -62,9 +62,11 @@ class Plane:
         some = np.flatnonzero(inside)
         for k in range(0, len(some), 4096):
             own = some[k : k + 4096]
-            bits = self.blocks(block[own])
-            bits[np.arange(BLOCK)[None, :] >= inside[own, None]] = 0
-            out[own] += bits.sum(axis=1, dtype=np.int64)
+            held, whole = self.blocks(block[own]), inside[own] >> 3
+            rows = np.arange(len(own))
+            held[rows, np.minimum(whole, BLOCK // 8 - 1)] &= ((1 << (inside[own] & 7)) - 1).astype(np.uint8)
+            held[np.arange(BLOCK // 8)[None, :] > whole[:, None]] = 0
+            out[own] += np.bitwise_count(held).sum(axis=1, dtype=np.int64)
         return out
 
     def bit(self, at: int) -> int:
@@ -79,7 +81,7 @@ class Plane:
         out = np.empty(len(nth), np.int64)
         for k in range(0, len(nth), 4096):
             own = block[k : k + 4096]
-            seen = np.cumsum(self.blocks(own) == bit, axis=1, dtype=np.int32)
+            seen = np.cumsum(np.unpackbits(self.blocks(own), axis=1, bitorder="little") == bit, axis=1, dtype=np.int32)
             out[k : k + 4096] = own * BLOCK + (seen <= (nth[k : k + 4096] - before[own])[:, None]).sum(axis=1)
         return out
 
