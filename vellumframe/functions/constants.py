@@ -9,7 +9,16 @@ isn't it it's its itself let's me more most mustn't my myself no nor not of off
 out over own same shan't she she'd she'll she's should shouldn't so some such than that that's the their theirs them themselves
 then there there's these they they'd they'll they're they've this those through to too under until up very was wasn't we we'd
 we'll we're we've were weren't what what's when when's where where's which while who who's whom why why's with won't would
-wouldn't you you'd you'll you're you've your yours yourself yourselves
+wouldn't you you'd you'll you're you've your yours yourself yourselves will shall may might must page
+""".split()
+
+# The lists of retrieval and of summaries hold the same words.
+QA_STOP_WORDS = SUMMARY_STOP_WORDS = STOP_WORDS
+
+# The list of tags and classes knows `can` and words of documents, and not the last six above.
+TAG_STOP_WORDS = [w for w in STOP_WORDS if w not in ("will", "shall", "may", "might", "must")] + """
+can document total number date details please thank thanks regards sincerely www com org http https email phone tel fax null
+undefined pdf scanned scan copy file item items
 """.split()
 
 # Syllables of irregular words.
@@ -24,5 +33,6 @@ SYLLABLES = {
 # Abbreviations whose full stop ends no sentence.
 ABBREVIATIONS = r"Mr|Mrs|Ms|Dr|Prof|Sr|Jr|vs|etc|e\.g|i\.e|Ltd|Inc|Corp|No|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 
-#: ASCII word boundaries, which Java's \b is not.
+#: ASCII word boundaries, which Java's \b is not: before a word, behind one, and either.
 B, E = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+EDGE = f"(?:(?<=[A-Za-z0-9_]){E}|{B}(?=[A-Za-z0-9_]))"

@@ -30,10 +30,10 @@ def clean_cell(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.trim(one), r"^[|~_—]+|[|~_—]+$", "")), r"\s+", " "))
 
 
-def words(text: Column) -> Column:
-    """ASCII words with inner apostrophes and hyphens, at most 60 characters each."""
+def words(text: Column, most: int | None = None) -> Column:
+    """ASCII words with inner apostrophes and hyphens, whole or cut to `most` characters."""
     found = F.regexp_extract_all(text, F.lit(f"({B}[A-Za-z0-9](?:[A-Za-z0-9'-]*[A-Za-z0-9])?{E})"), 1)
-    return F.transform(found, lambda w: F.substring(w, 1, 60))
+    return F.transform(found, lambda w: F.substring(w, 1, most)) if most else found
 
 
 def spaced_words(text: Column) -> Column:
@@ -48,9 +48,16 @@ def sentences(text: Column) -> Column:
     return F.filter(parts, lambda p: p.rlike("[A-Za-z0-9]"))
 
 
-def sentence_count(text: Column) -> Column:
-    """Sentences, with blocks of over 1500 characters counted by their 1500-character parts."""
-    return F.aggregate(sentences(text), F.lit(0).cast("long"), lambda n, s: n + F.ceil(F.length(s) / 1500).cast("long"))
+def sentence_count(text: Column, most: int | None = None) -> Column:
+    """Sentences; with `most`, longer blocks count by their parts of so many characters."""
+    if not most:
+        return F.size(sentences(text)).cast("long")
+    return F.aggregate(sentences(text), F.lit(0).cast("long"), lambda n, s: n + F.ceil(F.length(s) / most).cast("long"))
+
+
+def clause_sentences(text: Column) -> Column:
+    """Parts of over 10 characters; a boundary is a stop and an upper-case letter or digit behind it."""
+    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+(?=[A-Z0-9])"), lambda p: F.trim(p)), lambda p: F.length(p) > 10)
 
 
 def summary_sentences(text: Column) -> Column:
@@ -68,10 +75,10 @@ def syllables(word: Column, plain: bool = False) -> Column:
     return bare_syllables(bare(word, plain))
 
 
-def bare(word: Column, plain: bool = False) -> Column:
-    """Lower-case letters of a word, at most 60."""
+def bare(word: Column, plain: bool = False, most: int | None = None) -> Column:
+    """Lower-case letters of a word, all or the first `most`."""
     letters = F.translate(F.lower(word), "0123456789'-", "") if plain else F.regexp_replace(F.lower(word), "[^a-z]", "")
-    return F.substring(letters, 1, 60)
+    return F.substring(letters, 1, most) if most else letters
 
 
 def bare_syllables(clean: Column) -> Column:

@@ -12,25 +12,28 @@ from pyspark.sql import functions as F
 from ..functions.text import rounded
 
 
-def lines_from_tokens(tokens: DataFrame, page: str, reach: float = 3.0) -> DataFrame:
-    """(page, text, x, y) -> page, line_no, y, text: tokens within `reach` of a line's first token join it, left to right."""
+def lines_from_tokens(tokens: DataFrame, page: str, reach: float = 3.0, gap: float = 1.4) -> DataFrame:
+    """(page, text, x, y[, height]) -> page, line_no, y, text, paragraph: tokens within `reach` of a line's first token
+    join it, left to right; a step down of over `gap` heights (12 where unknown) starts a paragraph, from 1."""
+    tall = F.coalesce(F.col("height").cast("double"), F.lit(12.0)) if "height" in tokens.columns else F.lit(12.0)
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["y", "x", "text"], kind="stable")
-        out, anchor, held = [], None, []
+        out, anchor, height, held, part = [], None, 12.0, [], 1
         for t in f.itertuples():
             if anchor is None or abs(t.y - anchor) > reach:
                 if held:
-                    out.append((anchor, held))
-                anchor, held = t.y, []
+                    out.append((anchor, held, part))
+                    part += abs(t.y - anchor) > gap * height
+                anchor, height, held = t.y, t.tall, []
             held.append((t.x, t.text))
         if held:
-            out.append((anchor, held))
+            out.append((anchor, held, part))
         name = f[page].iloc[0]
-        return pd.DataFrame([(name, k, y, " ".join(w for _, w in sorted(h))) for k, (y, h) in enumerate(out, 1)], columns=[page, "line_no", "y", "text"])
+        return pd.DataFrame([(name, k, y, " ".join(w for _, w in sorted(h)), p) for k, (y, h, p) in enumerate(out, 1)], columns=[page, "line_no", "y", "text", "paragraph"])
 
     kind = dict(tokens.dtypes)[page]
-    return tokens.groupBy(page).applyInPandas(run, f"{page} {kind}, line_no long, y double, text string")
+    return tokens.select(page, "text", "x", "y", tall.alias("tall")).groupBy(page).applyInPandas(run, f"{page} {kind}, line_no long, y double, text string, paragraph long")
 
 
 def tables_from_tokens(tokens: DataFrame, page: str, reach: float = 4.0) -> DataFrame:
@@ -63,6 +66,37 @@ def column_dividers(tokens: DataFrame, page: str, gutter: int = 8, margin: int =
     return gaps.join(ends, page).select(page, mid.alias("divider"), "lo", "hi").filter((F.col("divider") > F.col("lo") + margin) & (F.col("divider") < F.col("hi") - margin)).select(page, "divider")
 
 
+def row_dividers(tokens: DataFrame, page: str) -> DataFrame:
+    """(page, y, height) -> page, divider: middles between bands of words, top to bottom.
+
+    Words go by y; a word joins the first band whose first word's centre is within 0.75 of the page's median height.
+    The fold depends on the order of a page's words, so a page is one group; pages bound it.
+    """
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["y", "x", "text"], kind="stable")
+        median, bands = float(f.height.median()) or 16.0, []
+        for t in f.itertuples():
+            centre = t.y + (t.height or median) / 2
+            band = next((b for b in bands if abs(centre - b[0]) <= 0.75 * median), None)
+            if band is None:
+                bands.append([centre, t.y, t.y, t.y + t.height])
+            else:
+                band[2], band[3] = min(band[2], t.y), max(band[3], t.y + t.height)
+        bands.sort(key=lambda b: b[1])
+        cuts = [(f[page].iloc[0], float(int((a[3] + b[2]) / 2 + 0.5))) for a, b in zip(bands, bands[1:])]
+        return pd.DataFrame(cuts, columns=[page, "divider"])
+
+    kind = dict(tokens.dtypes)[page]
+    return tokens.select(page, "text", "x", "y", "height").groupBy(page).applyInPandas(run, f"{page} {kind}, divider double")
+
+
+def table_grid(tokens: DataFrame, page: str, gutter: int = 8, margin: int = 15) -> DataFrame:
+    """Dividers of a page's table: page, axis (column or row), divider."""
+    cols = column_dividers(tokens, page, gutter, margin).select(page, F.lit("column").alias("axis"), "divider")
+    return cols.unionByName(row_dividers(tokens, page).select(page, F.lit("row").alias("axis"), "divider"))
+
+
 def cells_from_grid(grid: DataFrame, words: DataFrame, page: str, slack: float = 3.0) -> DataFrame:
     """Words whose centre lies in a cell (page, cell, left, top, right, bottom), give or take the slack, joined by x.
 
@@ -141,33 +175,61 @@ def heading_tree(headings: DataFrame, doc: str, levels: int = 6) -> DataFrame:
     return headings.withColumn("parent", parent)
 
 
-def locate_bbox(values: DataFrame, tokens: DataFrame, doc: str) -> DataFrame:
-    """(doc, key, value) and tokens -> union box of the tokens that are words of the value, on the page with most of
-    them (ties: the first); a value without a token keeps its row with nulls."""
-    words = values.select(doc, "key", F.explode(F.array_distinct(F.split(F.lower("value"), r"\s+"))).alias("_w"))
-    hit = words.join(tokens.withColumn("_w", F.lower("text")), [doc, "_w"]).groupBy(doc, "key", "page").agg(F.count("*").alias("n"), F.min("x").alias("left"), F.min("y").alias("top"), F.max(F.col("x") + F.col("width")).alias("right"), F.max(F.col("y") + F.col("height")).alias("bottom"))
-    best = hit.groupBy(doc, "key").agg(F.max(F.struct("n", (-F.col("page")).alias("p"), "page", "left", "top", "right", "bottom")).alias("b"))
-    return values.join(best, [doc, "key"], "left").select(doc, "key", "b.page", "b.left", "b.top", "b.right", "b.bottom")
-
-
-def paragraph_split(docs: DataFrame, text: str = "text", pack: int = 300) -> DataFrame:
-    """doc_id, paragraph_no, paragraph: parts at blank lines, else at lines, else packs of sentences of about 300
-    characters; parts of at most 25 characters join the one before."""
-    t = F.trim(F.coalesce(F.col(text), F.lit("")))
-    keep = lambda a: F.filter(F.transform(a, lambda x: F.trim(x)), lambda x: x != "")
-    blank, lines = keep(F.split(t, r"\n\s*\n")), keep(F.split(t, r"\n"))
-    sentences = keep(F.split(t, r"(?<=[.!?])\s+"))
-    empty = F.array().cast("array<string>")
-
-    def join(limit):
-        def step(acc, s):
-            last = F.element_at(acc, -1)
-            merge = (F.size(acc) > 0) & limit(last, s)
-            return F.when(merge, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat_ws(" ", last, s)))).otherwise(F.concat(acc, F.array(s)))
-
-        return step
-
-    packed = F.aggregate(sentences, empty, join(lambda last, s: F.length(last) + F.length(s) < pack))
-    parts = F.when(F.size(blank) > 1, blank).when(F.size(lines) > 1, lines).otherwise(packed)
-    out = docs.select("doc_id", parts.alias("_p")).select("doc_id", F.aggregate("_p", empty, join(lambda last, s: F.length(s) <= 25)).alias("_p"))
-    return out.select("doc_id", F.posexplode("_p").alias("k", "paragraph")).select("doc_id", (F.col("k") + 1).cast("long").alias("paragraph_no"), "paragraph")
+def locate_bbox(values: DataFrame, tokens: DataFrame, doc: str, variant: str = "page") -> DataFrame:
+    """(doc, key, value[, line_index]) and tokens -> page, left, top, right, bottom and found of each value.
+
+    The box is the union of tokens that are words of the value. Variant "page" takes the page with most of them (ties:
+    the first); "all" takes them all and the first one's page. A value without a token gets a box that its line index
+    and length suggest, with found false.
+    """
+    if variant not in ("page", "all"):
+        raise ValueError(variant)
+    line = F.col("line_index") if "line_index" in values.columns else F.lit(0)
+    asked = values.select(doc, "key", "value", F.coalesce(line, F.lit(0)).alias("_line"))
+    words = asked.select(doc, "key", F.explode(F.array_distinct(F.split(F.lower("value"), r"\s+"))).alias("_w"))
+    by = [doc, "key", "page"] if variant == "page" else [doc, "key"]
+    edges = [F.min("x").alias("left"), F.min("y").alias("top"), F.max(F.col("x") + F.col("width")).alias("right"), F.max(F.col("y") + F.col("height")).alias("bottom")]
+    hit = words.join(tokens.withColumn("_w", F.lower("text")), [doc, "_w"]).groupBy(*by).agg(F.count("*").alias("n"), F.min("page").alias("_page"), *edges)
+    best = hit.groupBy(doc, "key").agg(F.max(F.struct("n", (-F.col("_page")).alias("p"), F.col("_page").alias("page"), "left", "top", "right", "bottom")).alias("b"))
+    j, none = asked.join(best, [doc, "key"], "left"), F.col("b").isNull()
+    # Where an unseen value is drawn.
+    (x, y, least, most, each, high) = (72, 100, 60, 450, 7.5, 18) if variant == "page" else (40, 40, 80, 480, 9, 20)
+    wide, down = F.least(F.lit(most), F.greatest(F.lit(least), rounded(F.length("value") * each))), y + F.col("_line") * 24
+    guess = {"page": F.lit(1), "left": F.lit(x), "top": down, "right": x + wide, "bottom": down + high}
+    return j.select(doc, "key", *[F.when(none, g.cast("double" if c != "page" else "long")).otherwise(F.col(f"b.{c}")).alias(c) for c, g in guess.items()], (~none).alias("found"))
+
+
+def paragraph_split(docs: DataFrame, text: str = "text", pack: int = 300, gate: int = 350) -> DataFrame:
+    """doc_id, paragraph_no, paragraph: parts at blank lines, else at lines, else, for texts over `gate` characters, packs
+    of sentences of about `pack`.
+
+    Headings (short parts without a stop, or short numbered or named ones) go in front of the next paragraph, or at the
+    end of the last one; parts of at most 25 characters join the one before. Text behind the last stop is kept; blank
+    and null texts give no rows.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    keep = lambda a: F.filter(F.transform(a, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    df = docs.select("doc_id", t.alias("_t"), keep(F.split(t, r"\n\s*\n")).alias("_blank"), keep(F.split(t, r"\n+")).alias("_lines"))
+    state = F.struct(F.lit("").alias("cur"), F.array().cast("array<string>").alias("out"))
+
+    def packed(acc, s):
+        full = (F.length(F.trim(F.concat(acc["cur"], F.lit(" "), s))) > pack) & (F.length(acc["cur"]) > 50)
+        joined = F.concat(acc["cur"], F.when(acc["cur"] != "", " ").otherwise(""), s)
+        return F.struct(F.when(full, s).otherwise(joined).alias("cur"), F.when(full, F.array_append(acc["out"], F.trim(acc["cur"]))).otherwise(acc["out"]).alias("out"))
+
+    sentences = F.regexp_extract_all("_t", F.lit(r"([^.!?]+[.!?]+(?:\s+|$)|[^.!?]+$)"), 1)
+    packs = F.aggregate(sentences, state, packed, lambda acc: F.when(F.trim(acc["cur"]) != "", F.array_append(acc["out"], F.trim(acc["cur"]))).otherwise(acc["out"]))
+    parts = F.when(F.size("_blank") > 1, F.col("_blank")).when(F.size("_lines") > 1, F.col("_lines")).when((F.length("_t") > gate) & (F.size("_blank") > 0), packs).otherwise(F.col("_blank"))
+    df = df.select("doc_id", F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))), lambda p: p != "").alias("_p"))
+    longer = lambda out, more: F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.concat(F.element_at(out, -1), F.lit(" "), more)))
+
+    def carried(acc, p):
+        heading = (F.length(p) < 90) & (~p.rlike(r"[.!?]$") | p.rlike(r"(?i)^(Section|Chapter|Part|Article|\d+\.)"))
+        whole = F.concat(F.when(acc["cur"] != "", F.concat(acc["cur"], F.lit(". "))).otherwise(""), p)
+        kept = F.when((F.length(whole) > 25) | (F.size(acc["out"]) == 0), F.array_append(acc["out"], whole)).otherwise(longer(acc["out"], whole))
+        named = F.concat(F.when(acc["cur"] != "", F.concat(acc["cur"], F.lit(": "))).otherwise(""), p)
+        return F.struct(F.when(heading, named).otherwise("").alias("cur"), F.when(heading, acc["out"]).otherwise(kept).alias("out"))
+
+    done = lambda acc: F.when(acc["cur"] == "", acc["out"]).when(F.size(acc["out"]) > 0, longer(acc["out"], acc["cur"])).otherwise(F.array(acc["cur"]))
+    out = df.select("doc_id", F.posexplode(F.aggregate("_p", state, carried, done)).alias("k", "paragraph"))
+    return out.select("doc_id", (F.col("k") + 1).cast("long").alias("paragraph_no"), "paragraph")

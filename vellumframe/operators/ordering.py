@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 
 def positioned(df: DataFrame, doc: str, *order: str) -> DataFrame:
     """Adds pos (from 1, in the given order) and n within each document."""
@@ -83,24 +85,48 @@ def split_on_bookmark(df: DataFrame, doc: str, level: str, most: int) -> DataFra
     return df.withColumn("part", F.sum(F.coalesce(F.col(level) <= most, F.lit(False)).cast("long")).over(w))
 
 
-def split_max_size(df: DataFrame, doc: str, size: str, ceiling: float) -> DataFrame:
-    """Greedy longest runs of rows whose sizes stay within the ceiling; a larger row is a part alone.
+def greedy_starts(rows: DataFrame, group: list[str], at: str, reach: str, id: str, strict: bool = False) -> DataFrame:
+    """(group, id) of the rows where a greedy walk stops: each group's first row, and from a row the first one behind it
+    whose `at` is at least (strict: over) the row's `reach`. Rows of a group are ordered by at and id.
 
-    The fold is sequential, so it runs per document; a document is one group.
+    Every row finds its next stop by one window over rows and reaches together. Stops are then the rows that the first
+    one leads to; a round doubles the distance that is followed, so a walk of n stops takes log2(n) rounds of equi-joins
+    and no group is ever held as a whole.
     """
+    asked = rows.select(*group, F.col(reach).alias("_at"), F.lit(0).alias("_row"), F.col(id).alias("_id"))
+    both = rows.select(*group, F.col(at).alias("_at"), F.lit(1).alias("_row"), F.col(id).alias("_id")).unionByName(asked)
+    # from the largest down, a reach sees the smallest row at or over it as the last one before
+    kind = F.col("_row").asc() if strict else F.col("_row").desc()
+    down = Window.partitionBy(*group).orderBy(F.desc("_at"), F.desc("_row") if not strict else kind, F.desc("_id")).rowsBetween(Window.unboundedPreceding, 0)
+    to = both.withColumn("_to", F.last(F.when(F.col("_row") == 1, F.col("_id")), ignorenulls=True).over(down)).filter("_row = 0")
+    jump = cut(to.select(*group, F.col("_id").alias("_from"), "_to").filter(F.col("_to").isNotNull() & (F.col("_to") != F.col("_from"))))
+    first = rows.groupBy(*group).agg(F.min(F.struct(at, id)).alias("_f")).select(*group, F.col(f"_f.{id}").alias("_id"))
+    seen = cut(first)
+    while True:
+        new = seen.join(jump.withColumnRenamed("_from", "_id"), [*group, "_id"]).select(*group, F.col("_to").alias("_id"))
+        more = cut(seen.unionByName(new).distinct())
+        if more.count() == seen.count():
+            break
+        onward = jump.select(*group, F.col("_from").alias("_to"), F.col("_to").alias("_far"))
+        seen, jump = more, cut(jump.join(onward, [*group, "_to"]).select(*group, "_from", F.col("_far").alias("_to")))
+    return more.withColumnRenamed("_id", id)
 
-    def plan(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("pos")
-        part, used, out = 0, None, []
-        for s in f[size]:
-            if used is None or used + s > ceiling:
-                part, used = part + 1, s
-            else:
-                used += s
-            out.append(part)
-        return f.assign(part=pd.array(out, "int64"))
 
-    return df.groupBy(doc).applyInPandas(plan, df.withColumn("part", F.lit(0).cast("long")).schema)
+def split_max_size(df: DataFrame, doc: str, size: str, ceiling: float) -> DataFrame:
+    """Adds part: greedy longest runs of rows whose sizes (0 or more) stay within the ceiling; a larger row is a part
+    alone.
+
+    With sizes summed up, a part ends before the first row whose sum exceeds the sum before the part by more than the
+    ceiling, so parts are the stops of a greedy walk.
+    """
+    w = Window.partitionBy(doc).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    summed = df.select(doc, "pos", F.col(size).alias("_size"), F.sum(size).over(w).alias("_end"))
+    # a row over the ceiling is left by the very next row, also by one without a size
+    place = F.struct("_end", "pos")
+    reach = F.when(F.col("_size") > ceiling, F.struct(F.col("_end"), F.col("pos"))).otherwise(F.struct((F.col("_end") - F.col("_size") + ceiling).cast(dict(summed.dtypes)["_end"]).alias("_end"), F.lit(1 << 62).alias("pos")))
+    starts = greedy_starts(summed.select(doc, "pos", place.alias("at"), reach.alias("reach")), [doc], "at", "reach", "pos", strict=True)
+    marked = df.join(starts.withColumn("_start", F.lit(1)), [doc, "pos"], "left")
+    return marked.withColumn("part", F.sum(F.coalesce("_start", F.lit(0)).cast("long")).over(w)).select(*df.columns, "part")
 
 
 def interleave(df: DataFrame, source: str) -> DataFrame:
@@ -239,3 +265,47 @@ def gutter_valley(ink: DataFrame, page: str, tolerance: float = 0.0, band: float
     runs = low.withColumn("_g", F.col("x") - F.row_number().over(w)).groupBy(page, "_g").agg(F.min("x").alias("start"), F.max("x").alias("end"), F.max("width").alias("width"))
     best = F.max(F.struct((F.col("end") - F.col("start")).alias("size"), (-F.abs((F.col("start") + F.col("end")) / 2 - mid)).alias("near"), (-F.col("start")).alias("s"), "start", "end"))
     return runs.groupBy(page).agg(best.alias("b")).select(page, F.col("b.start").alias("start"), F.col("b.end").alias("end"))
+
+
+def confidence_stats(words: DataFrame, confidence: str, by: list[str]) -> DataFrame:
+    """Words of high (85 and more), medium (60 and more) and low rounded confidence, their shares in whole percent, and
+    the rounded mean of the rounded values."""
+    r = F.floor(F.col(confidence) + 0.5)
+    n = lambda c: F.sum(c.cast("long"))
+    tiers = {"high": F.col("_r") >= 85, "medium": (F.col("_r") >= 60) & (F.col("_r") < 85), "low": F.col("_r") < 60}
+    g = words.withColumn("_r", r).groupBy(*by).agg(*[n(c).alias(k) for k, c in tiers.items()], F.count("*").alias("_n"), F.sum("_r").alias("_s"))
+    whole = lambda x: F.floor(x + 0.5).cast("long")
+    return g.select(*by, *tiers, *[whole(F.col(k) * 100.0 / F.col("_n")).alias(f"{k}_percent") for k in tiers], whole(F.col("_s") / F.col("_n")).alias("average"))
+
+
+def orientation_vote(runs: DataFrame, page: str, angle: str, chars: str, share: float = 0.7, least: int = 10) -> DataFrame:
+    """Per page the angle that most characters have (ties: the smaller) and what follows: review for under `least`
+    characters or a share below `share`, else upright at 0 and rotate at other angles."""
+    by = runs.groupBy(page, angle).agg(F.sum(chars).alias("w"))
+    t = by.groupBy(page).agg(F.sum("w").alias("chars"), F.max(F.struct("w", (-F.col(angle)).alias("o"), F.col(angle).alias("angle"))).alias("m"))
+    sure = (F.col("chars") >= least) & (F.col("m.w") / F.greatest(F.col("chars"), F.lit(1)) >= share)
+    return t.select(page, F.col("m.angle").alias("angle"), "chars", F.when(~sure, "review").when(F.col("m.angle") == 0, "upright").otherwise("rotate").alias("decision"))
+
+
+def subset_pages(expression: Column, n: Column) -> Column:
+    """Pages of an ordered subset such as `5,1-2` or `3-1`, repeats dropped; null where it cannot be read. Blank: all."""
+    all_pages = F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)).otherwise(F.array().cast("array<bigint>"))
+    parts = F.filter(F.transform(F.split(F.coalesce(expression, F.lit("")), ","), lambda p: F.trim(p)), lambda p: p != "")
+    first, last = (lambda p: F.regexp_extract(p, r"^(\d+)", 1).try_cast("long")), (lambda p: F.regexp_extract(p, r"(\d+)$", 1).try_cast("long"))
+    good = F.forall(parts, lambda p: F.coalesce(p.rlike(r"^\d+(\s*-\s*\d+)?$") & first(p).between(1, n) & last(p).between(1, n), F.lit(False)))
+    pages = F.array_distinct(F.flatten(F.transform(parts, lambda p: F.sequence(first(p), last(p)))))
+    return F.when(F.trim(F.coalesce(expression, F.lit(""))) == "", all_pages).when(good & (F.size(parts) > 0), pages)
+
+
+def merge_plan(sources: DataFrame, key: str, order: Column | None = None) -> DataFrame:
+    """(key, n_pages, subset) in the order given -> key, pages, first_out (output position of the first one), invalid.
+
+    Sources are sorted by `order`, ties by key, so that equal ones keep their place; a subset that cannot be read takes
+    the whole source and is marked; sources without pages go. The sources of a merge are a catalogue, so one ordered
+    window serves.
+    """
+    whole = F.when(F.col("n_pages") > 0, F.sequence(F.lit(1).cast("long"), F.col("n_pages").cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    df = sources.withColumn("_p", subset_pages(F.col("subset"), F.col("n_pages").cast("long"))).withColumn("invalid", F.col("_p").isNull())
+    df = df.withColumn("pages", F.coalesce("_p", whole)).filter(F.size("pages") > 0)
+    w = Window.orderBy(*([order] if order is not None else []), key)
+    return df.withColumn("first_out", (F.sum(F.size("pages").cast("long")).over(w) - F.size("pages") + 1).cast("long")).drop("_p")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.constants import B, E
 from ..functions.text import rounded
 
 
@@ -19,11 +20,27 @@ def unit_to_px(value: Column, unit: Column, dpi: Column) -> Column:
     return rounded(F.when(unit == "in", value * d).when(unit == "mm", value / 25.4 * d).when(unit == "cm", value / 2.54 * d).otherwise(value)).cast("long")
 
 
-def safe_filename(name: Column, most: int = 60) -> Column:
-    """Letters, digits, dots, dashes and underscores; runs of others become one underscore; never empty or a path."""
-    out = F.regexp_replace(F.regexp_replace(F.trim(name), r"[^A-Za-z0-9._-]+", "_"), r"^[._]+|[._]+$", "")
-    out = F.substring(out, 1, most)
-    return F.when(out == "", "document").otherwise(out)
+def safe_filename(name: Column, variant: str = "strict", most: int | None = None) -> Column:
+    """A name without paths and marks that file systems mind. Variants:
+
+    "strict" (60): letters, digits, dots, dashes and underscores, runs of others one underscore; `document` if empty.
+    "title" (60): only marks no file system takes and white space become underscores; other letters stay; may be empty.
+    "shared" (120): the last part of a path without leading dots, others one underscore each; `shared_file` if empty.
+    """
+    n = F.coalesce(name, F.lit(""))
+    if variant == "strict":
+        out = F.regexp_replace(F.regexp_replace(F.trim(n), r"[^A-Za-z0-9._-]+", "_"), r"^[._]+|[._]+$", "")
+        out = F.substring(out, 1, most or 60)
+        return F.when(out == "", "document").otherwise(out)
+    if variant == "title":
+        ends = r"^[._-]+|[._-]+$"
+        out = F.regexp_replace(F.regexp_replace(F.regexp_replace(n, r'[\\/:*?"<>|\x00]', "_"), r"[\s_]+", "_"), ends, "")
+        return F.when(F.length(out) > (most or 60), F.regexp_replace(F.substring(out, 1, most or 60), ends, "")).otherwise(out)
+    if variant == "shared":
+        out = F.regexp_replace(F.regexp_replace(F.regexp_extract(n, r"([^/\\]*)$", 1), r"^\.+", ""), r"[^a-zA-Z0-9._-]", "_")
+        out = F.substring(out, 1, most or 120)
+        return F.when(out == "", "shared_file").otherwise(out)
+    raise ValueError(variant)
 
 
 def render(template: str, values: dict[str, Column]) -> Column:
@@ -44,17 +61,20 @@ def padded(n: Column, width: int) -> Column:
     return F.when(F.length(t) < width, F.lpad(t, width, "0")).otherwise(t)
 
 
-def name_uniquify(df: DataFrame, name: str, order: str) -> DataFrame:
-    """Adds unique_name: the first of a name keeps it, the k-th becomes name_k.
+def name_uniquify(df: DataFrame, name: str, order: str, first: int = 2) -> DataFrame:
+    """Adds unique_name: the first row of a name keeps it, later ones become name_2, name_3 and so on (from `first`).
 
-    A made name that a row bears already moves to the next free number; only such stems are looked at again.
+    Names that rows bear are theirs: a made name skips every number that would give one of them, so that no two rows
+    share a name whatever the order. Numbers taken come to a name's rows as one sorted array.
     """
+    numbered = df.select(F.regexp_extract(name, r"^(.*)_([1-9][0-9]{0,17})$", 1).alias("_stem"), F.regexp_extract(name, r"^(.*)_([1-9][0-9]{0,17})$", 2).try_cast("long").alias("_s"))
+    taken = numbered.filter(F.col("_s") >= first).groupBy("_stem").agg(F.array_sort(F.collect_set("_s")).alias("_s"))
     w = Window.partitionBy(name).orderBy(order)
-    out = df.withColumn("_k", F.row_number().over(w)).withColumn("unique_name", F.when(F.col("_k") == 1, F.col(name)).otherwise(F.concat_ws("_", name, "_k")))
-    taken = df.select(F.col(name).alias("unique_name")).distinct().withColumn("_t", F.lit(True))
-    clash = out.join(taken, "unique_name", "left").withColumn("_clash", F.col("_t") & (F.col("_k") > 1))
-    shift = F.sum(F.coalesce(F.col("_clash"), F.lit(False)).cast("int")).over(w)
-    return clash.withColumn("unique_name", F.when(F.col("_k") == 1, F.col(name)).otherwise(F.concat_ws("_", name, F.col("_k") + shift))).drop("_k", "_t", "_clash")
+    out = df.withColumn("_k", F.row_number().over(w)).join(taken, F.col(name) == F.col("_stem"), "left")
+    j = F.col("_k") - 2  # place among the later rows
+    # the i-th number taken, s, stands before the j-th free one if at most j numbers below it are free
+    passed = F.size(F.filter(F.transform(F.coalesce("_s", F.array().cast("array<bigint>")), lambda s, i: s - first - i), lambda free: free <= j))
+    return out.withColumn("unique_name", F.when(F.col("_k") == 1, F.col(name)).otherwise(F.concat_ws("_", F.col(name), (j + first + passed).cast("string")))).drop("_k", "_stem", "_s")
 
 
 def csv_guard(value: Column, policy: str) -> Column:
@@ -86,6 +106,7 @@ def csv_delimiter(head: Column) -> Column:
     return out
 
 
+# Fixed values below: likeness of equal names, of equal letters and digits, and of names that hold each other.
 def similarity(a: Column, b: Column) -> Column:
     """1 if equal, .95 if equal in letters and digits, .7 to .9 if one contains the other, else 1 - edits / length."""
     x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
@@ -107,7 +128,8 @@ def fuzzy_column_map(fields: DataFrame, headers: DataFrame, least: float = 0.6)
 
 
 def tiered_key_match(names: DataFrame, data: DataFrame) -> DataFrame:
-    """(name), (key, value) -> name, key, tier: exact, then case-insensitive, then letters and digits; three equi-joins."""
+    """(name), (key) -> name, key, tier: exact, then case-insensitive, then letters and digits; three equi-joins. Names
+    without a key are `unmatched`, keys that no name takes are `unused` with a null name."""
     forms = [("exact", lambda c: c), ("case", F.lower), ("alnum", lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", ""))]
     left, out = names.select("name"), None
     for tier, f in forms:
@@ -115,7 +137,9 @@ def tiered_key_match(names: DataFrame, data: DataFrame) -> DataFrame:
         hit = left.withColumn("_f", f(F.col("name"))).join(keys, "_f").select("name", "key", F.lit(tier).alias("tier"))
         out = hit if out is None else out.unionByName(hit)
         left = left.join(hit.select("name"), "name", "left_anti")
-    return out.unionByName(left.select("name", F.lit(None).cast("string").alias("key"), F.lit("unmatched").alias("tier")))
+    none = F.lit(None).cast("string")
+    unused = data.select("key").distinct().join(out.select("key"), "key", "left_anti").select(none.alias("name"), "key", F.lit("unused").alias("tier"))
+    return out.unionByName(left.select("name", none.alias("key"), F.lit("unmatched").alias("tier"))).unionByName(unused)
 
 
 def longest_common(a: list, b: list) -> list[tuple[int, int]]:
@@ -142,30 +166,74 @@ def longest_common(a: list, b: list) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def text_diff(pairs: DataFrame, key: list[str]) -> DataFrame:
+def text_diff(pairs: DataFrame, key: list[str], ignore_case: bool = False, ignore_whitespace: bool = True) -> DataFrame:
     """(key, a, b) -> tokens of both texts with a change: unchanged, removed, added; a removed run followed by an added
-    one is changed. One row a token: side, pos, token, change."""
+    one is changed. One row a token: side, pos, token, change.
+
+    `ignore_case` compares lower-cased tokens; without `ignore_whitespace` the runs of white space are tokens too. A
+    pair of texts is one unit of work, bounded by their lengths; no pair meets another.
+    """
     schema = pairs.select(*key).schema.add("side", "string").add("pos", "long").add("token", "string").add("change", "string")
 
+    def tokens(t: str | None) -> list[str]:
+        return (t or "").split() if ignore_whitespace else [x for x in re.split(r"(\s+)", t or "") if x]
+
     def run(frames):
         for f in frames:
             rows = []
             for r in f.to_dict("records"):
-                a, b = (r["a"] or "").split(), (r["b"] or "").split()
-                same = longest_common(a, b)
+                a, b, k = tokens(r["a"]), tokens(r["b"]), [r[c] for c in key]
+                same = longest_common([x.lower() for x in a], [x.lower() for x in b]) if ignore_case else longest_common(a, b)
                 i = j = 0
                 for x, y in [*same, (len(a), len(b))]:
                     both = x > i and y > j
-                    rows += [(*[r[k] for k in key], "old", p, a[p], "changed" if both else "removed") for p in range(i, x)]
-                    rows += [(*[r[k] for k in key], "new", p, b[p], "changed" if both else "added") for p in range(j, y)]
+                    rows += [(*k, "old", p, a[p], "changed" if both else "removed") for p in range(i, x)]
+                    rows += [(*k, "new", p, b[p], "changed" if both else "added") for p in range(j, y)]
                     if x < len(a):
-                        rows.append((*[r[k] for k in key], "both", x, a[x], "unchanged"))
+                        rows.append((*k, "both", x, a[x], "unchanged"))
                     i, j = x + 1, y + 1
             yield pd.DataFrame(rows, columns=[*key, "side", "pos", "token", "change"])
 
     return pairs.select(*key, "a", "b").mapInPandas(run, schema)
 
 
+def diff_counts(pairs: DataFrame, key: list[str], ignore_case: bool = False, ignore_whitespace: bool = True) -> DataFrame:
+    """(key, a, b) -> words added, removed and changed of every pair: where removed words meet added ones, the last
+    removed and the first added are one changed word."""
+    schema = pairs.select(*key).schema.add("added", "long").add("removed", "long").add("changed", "long")
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for r in f.to_dict("records"):
+                a, b = ((r[c] or "").lower() if ignore_case else r[c] or "" for c in ("a", "b"))
+                a, b = (x.split() if ignore_whitespace else [t for t in re.split(r"(\s+)", x) if t] for x in (a, b))
+                added = removed = changed = i = j = 0
+                for x, y in [*longest_common(a, b), (len(a), len(b))]:
+                    both = int(x > i and y > j)
+                    added, removed, changed = added + y - j - both, removed + x - i - both, changed + both
+                    i, j = x + 1, y + 1
+                rows.append((*[r[k] for k in key], added, removed, changed))
+            yield pd.DataFrame(rows, columns=[*key, "added", "removed", "changed"])
+
+    return pairs.select(*key, "a", "b").mapInPandas(run, schema)
+
+
+def diff_summary(aligned: DataFrame, pages: DataFrame, pair: str, **options) -> DataFrame:
+    """page_align's rows and its pages -> per pair: pages compared, identical, changed, added and removed, and total
+    words added, removed and changed (all words of pages on one side only)."""
+    side = lambda s, no, t: pages.filter(F.col("side") == s).select(pair, F.col("page_no").alias(no), F.coalesce("text", F.lit("")).alias(t))
+    both = aligned.join(side("old", "old_no", "a"), [pair, "old_no"], "left").join(side("new", "new_no", "b"), [pair, "new_no"], "left")
+    d = diff_counts(both, [pair, "old_no", "new_no"], **options)
+    n = lambda c: F.sum(c.cast("long"))
+    old, new = F.col("old_no").isNotNull(), F.col("new_no").isNotNull()
+    same = F.col("added") + F.col("removed") + F.col("changed") == 0
+    return d.groupBy(pair).agg(
+        F.greatest(n(old), n(new)).alias("pages_compared"), n(old & new & same).alias("pages_identical"), n(old & new & ~same).alias("pages_changed"), n(~old).alias("pages_added"), n(~new).alias("pages_removed"),
+        F.sum("added").alias("words_added"), F.sum("removed").alias("words_removed"), F.sum("changed").alias("words_changed"),
+    )
+
+
 def page_align(pages: DataFrame, pair: str, gap: float = -0.15) -> DataFrame:
     """(pair, side, page_no, text) -> aligned pages: pair, old_no, new_no, similarity, in page order.
 
@@ -218,6 +286,203 @@ def audit(rows: DataFrame, rules: dict[str, tuple[Column, bool]], key: str) -> D
     return rows.select(key, failed.alias("failed")).withColumn("passed", F.size("failed") == 0).withColumn("fixable", (F.size("failed") > 0) & ~F.arrays_overlap("failed", hard))
 
 
+# Rules of a preflight and whether a miss fails or warns.
+PREFLIGHT = {
+    "max_file_size": "fail", "page_count_range": "fail", "page_size_uniformity": "fail", "orientation_uniformity": "fail", "min_image_dpi": "warn", "fonts_embedded": "warn", "no_encryption": "fail",
+    "no_javascript": "fail", "no_attachments": "fail", "searchable_text": "warn", "no_blank_pages": "warn",
+}
+# Two profiles; a rule that a profile does not name is not applied.
+PROFILES = {
+    "200kb_a4": {"max_bytes": 200 * 1024, "min_pages": 1, "max_pages": 2, "uniform_size": True, "uniform_orientation": True, "min_dpi": 150, "fonts": True, "no_encryption": True, "no_javascript": True, "no_attachments": True, "searchable": True, "no_blank": True},
+    "1mb_standard": {"max_bytes": 1024 * 1024, "min_pages": 1, "max_pages": 10, "uniform_orientation": True, "min_dpi": 150, "no_encryption": True, "no_javascript": True, "no_attachments": True, "searchable": True, "no_blank": True},
+}
+
+
+def preflight(files: DataFrame, pages: DataFrame, key: str, profile: dict) -> DataFrame:
+    """Eleven rules of a profile: files (key, bytes, encrypted, scripts, attachments, loose_fonts), pages (key, width,
+    height, dpi, chars) -> key, a status (pass, fail, warn; null where the profile has no such rule) for each rule, counts
+    of each and passed (nothing fails; warnings are allowed).
+
+    Sizes are compared in whole units, images by the lowest dpi of pages that have one, text by 50 characters in all,
+    blank pages by none. A file without pages has none.
+    """
+    d = lambda c: F.coalesce(c, F.lit(0))
+    size = F.struct(rounded(F.col("width")).alias("w"), rounded(F.col("height")).alias("h"))
+    wide = (F.col("width") > F.col("height")).cast("int")
+    g = pages.groupBy(key).agg(F.count("*").alias("_n"), F.countDistinct(size).alias("_sizes"), F.countDistinct(wide).alias("_kinds"), F.min("dpi").alias("_dpi"), F.sum(d(F.col("chars"))).alias("_chars"), F.sum((d(F.col("chars")) == 0).cast("long")).alias("_blank"))
+    df = files.join(g, key, "left")
+    n = d(F.col("_n"))
+    on = lambda *names: any(profile.get(x) for x in names)
+    checks = {
+        "max_file_size": F.col("bytes") <= profile["max_bytes"] if on("max_bytes") else None,
+        "page_count_range": n.between(profile.get("min_pages", 1), profile.get("max_pages", 9999)) if on("min_pages", "max_pages") else None,
+        "page_size_uniformity": d(F.col("_sizes")) <= 1 if on("uniform_size") else None,
+        "orientation_uniformity": d(F.col("_kinds")) <= 1 if on("uniform_orientation") else None,
+        "min_image_dpi": F.col("_dpi").isNull() | (F.col("_dpi") >= profile["min_dpi"]) if on("min_dpi") else None,
+        "fonts_embedded": d(F.col("loose_fonts")) == 0 if on("fonts") else None,
+        "no_encryption": ~F.coalesce("encrypted", F.lit(False)) if on("no_encryption") else None,
+        "no_javascript": d(F.col("scripts")) == 0 if on("no_javascript") else None,
+        "no_attachments": d(F.col("attachments")) == 0 if on("no_attachments") else None,
+        "searchable_text": d(F.col("_chars")) >= 50 if on("searchable") else None,
+        "no_blank_pages": d(F.col("_blank")) == 0 if on("no_blank") else None,
+    }
+    status = {r: F.lit(None).cast("string") if ok is None else F.when(ok, "pass").otherwise(PREFLIGHT[r]) for r, ok in checks.items()}
+    out = df.select(key, *[c.alias(r) for r, c in status.items()])
+    count = lambda s: sum((F.coalesce((F.col(r) == s).cast("long"), F.lit(0)) for r in status), F.lit(0))
+    return out.withColumn("passes", count("pass")).withColumn("fails", count("fail")).withColumn("warns", count("warn")).withColumn("passed", F.col("fails") == 0)
+
+
+# Units of a requirement.
+UNITS = ("px", "mm", "cm", "in")
+_REQUIREMENT = "maxKb string, minKb string, width string, height string, unit string, dpi string"
+PROFILE_SCHEMA = f"version string, id string, name string, photo struct<{_REQUIREMENT.replace(' ', ':').replace(',:', ',')}>, signature struct<{_REQUIREMENT.replace(' ', ':').replace(',:', ',')}>, pdf struct<{_REQUIREMENT.replace(' ', ':').replace(',:', ',')}>"
+
+
+def profile_error(text: Column, most: int = 102_400) -> Column:
+    """Why a requirement profile in JSON is not valid, the first reason only; null if it is valid."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    p = F.from_json(t, PROFILE_SCHEMA, {"mode": "PERMISSIVE"})
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    keys = F.coalesce(F.json_object_keys(t), F.array().cast("array<string>"))
+    checks: list[tuple[Column, str]] = [
+        (t != "", "Empty input: Please provide valid profile JSON text."),
+        (F.length(t) <= most, f"Payload too large: Profile JSON cannot exceed {most // 1024} KB."),
+        (~t.rlike(r'(?i)"(?:__proto__|constructor|prototype)"\s*:'), "Security violation: Prototype pollution attempt detected."),
+        (F.try_parse_json(t).isNotNull(), "Malformed JSON: The provided text is not valid JSON syntax."),
+        (t.startswith("{"), "Malformed JSON: Expected a JSON object definition."),
+        (F.array_contains(keys, "version"), "Missing required field 'version'"),
+        (p["version"] == "1.0", "Unsupported profile version. Only version '1.0' is supported."),
+        (~blank(p["id"]), "Missing required field 'id'"),
+        (~blank(p["name"]), "Missing required field 'name'"),
+        (p["photo"].isNotNull() | p["signature"].isNotNull() | p["pdf"].isNotNull(), "Profile must contain at least one specification section: 'photo', 'signature', or 'pdf'."),
+    ]
+    for s in ("photo", "signature", "pdf"):
+        r = p[s]
+        number = lambda c, r=r: r[c].try_cast("double")
+        optional = lambda c, ok, s=s, r=r: r.isNull() | r[c].isNull() | F.coalesce(ok, F.lit(False))
+        checks += [
+            (r.isNull() | r["maxKb"].isNotNull(), f"Field '{s}.maxKb' is required and must be a positive number."),
+            (optional("maxKb", number("maxKb") > 0), f"Field '{s}.maxKb' must be a positive number."),
+            (optional("minKb", number("minKb") >= 0), f"Field '{s}.minKb' must be a non-negative number."),
+            (optional("minKb", number("minKb") <= number("maxKb")), f"Field '{s}.minKb' cannot exceed '{s}.maxKb'."),
+            *[(optional(c, number(c) > 0), f"Field '{s}.{c}' must be a positive number.") for c in ("width", "height")],
+            (optional("unit", r["unit"].isin(*UNITS)), f"Field '{s}.unit' must be one of 'px', 'mm', 'cm', or 'in'."),
+            (optional("dpi", number("dpi") > 0), f"Field '{s}.dpi' must be a positive number."),
+        ]
+    return first_error(checks)
+
+
+# Sizes in KB or MB and their order of trial, sizes in length units, and ratios of known formats.
+_N, _KB = r"(\d{1,8}(?:\.\d{1,4})?)", r"(kb|kbytes?|mb|mbytes?)"
+_D, _UNIT = r"(\d{1,6}(?:\.\d{1,4})?)", r'(px|pixels?|mm|cms?|centimeters?|millimeters?|in|inch(?:es)?|")'
+SIZES = {
+    "range": rf"(?i)(?:between|from)?\s{{0,20}}{_N}\s{{0,20}}{_KB}\s{{0,20}}(?:to|and|-|–)\s{{0,20}}{_N}\s{{0,20}}{_KB}",
+    "short": rf"(?i)(?:size[\s:]{{0,10}})?{_N}\s{{0,20}}(?:-|–|to)\s{{0,20}}{_N}\s{{0,20}}{_KB}",
+    "min": rf"(?i)(?:min(?:imum)?\.?|not\s+less\s+than|at\s+least|above|>=?)[\s:]{{0,10}}{_N}\s{{0,20}}{_KB}",
+    "max": rf"(?i)(?:max(?:imum)?\.?|not\s+(?:more\s+than|exceeding)|up\s+to|less\s+than|within|<=?)[\s:]{{0,10}}{_N}\s{{0,20}}{_KB}",
+    "after": rf"(?i){_N}\s{{0,20}}{_KB}\s{{0,20}}(?:max(?:imum)?|\(maximum\)|or\s+less)",
+    "plain": rf"(?i)(?:file\s*size|size)[\s:]{{0,10}}{_N}\s{{0,20}}{_KB}",
+}
+DIMENSIONS = {
+    "both": rf'(?i){_D}\s{{0,10}}(px|mm|cms?|in|inch(?:es)?|")?\s{{0,10}}(?:x|×|\*|by)\s{{0,10}}{_D}\s{{0,10}}{_UNIT}{E}',
+    "width": rf"(?i)(?:width|w)[\s:]{{0,10}}{_D}\s{{0,10}}{_UNIT}?",
+    "height": rf"(?i)(?:height|h)[\s:]{{0,10}}{_D}\s{{0,10}}{_UNIT}?",
+    "width_after": rf"(?i){_D}\s{{0,10}}{_UNIT}?\s{{0,10}}(?:\(width\)|width{E})",
+    "height_after": rf"(?i){_D}\s{{0,10}}{_UNIT}?\s{{0,10}}(?:\(height\)|height{E})",
+}
+KNOWN_RATIOS = {(3.5, 4.5): "3.5:4.5", (35.0, 45.0): "3.5:4.5", (350.0, 450.0): "3.5:4.5", (200.0, 230.0): "20:23"}
+
+
+def parse_requirements(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds min_kb, max_kb, width, height, unit, ratio, dpi, formats, format and confidence of an upload instruction.
+
+    Sizes come from the first of five patterns that matches, dimensions from the first of three (joint, width and
+    height, the same behind their numbers). Ratios are stated, or of known formats, or by the greatest common divisor.
+    Without sizes and dimensions parsed is false and the rest null.
+    """
+    df = docs.withColumn("_t", F.trim(F.coalesce(F.col(text), F.lit(""))))
+    g = lambda p, k: F.regexp_extract("_t", p, k)
+    num = lambda p, k: g(p, k).try_cast("double")
+    kb = lambda p, v, u: rounded(F.when(F.lower(g(p, u)).startswith("m"), num(p, v) * 1024).otherwise(num(p, v))).cast("long")
+    s, d = SIZES, DIMENSIONS
+    ranges = [(g(s["range"], 1) != "", kb(s["range"], 1, 2), kb(s["range"], 3, 4)), (g(s["short"], 1) != "", kb(s["short"], 1, 3), kb(s["short"], 2, 3))]
+    either = (g(s["min"], 1) != "") | (g(s["max"], 1) != "")
+    low = F.when(ranges[0][0], F.least(*ranges[0][1:])).when(ranges[1][0], F.least(*ranges[1][1:])).when(either, kb(s["min"], 1, 2))
+    high = F.when(ranges[0][0], F.greatest(*ranges[0][1:])).when(ranges[1][0], F.greatest(*ranges[1][1:])).when(either, kb(s["max"], 1, 2)).when(g(s["after"], 1) != "", kb(s["after"], 1, 2)).when(g(s["plain"], 1) != "", kb(s["plain"], 1, 2))
+    two = lambda a, b: (g(d[a], 1) != "") & (g(d[b], 1) != "")
+    some = lambda *cs: F.coalesce(*[F.when(c != "", c) for c in cs], F.lit("px"))
+    joint, apart, after = g(d["both"], 1) != "", two("width", "height"), two("width_after", "height_after")
+    pick = lambda x, y, z: F.when(joint, x).when(apart, y).when(after, z)
+    unit = F.lower(pick(some(g(d["both"], 4), g(d["both"], 2)), some(g(d["width"], 2), g(d["height"], 2)), some(g(d["width_after"], 2), g(d["height_after"], 2))))
+    named = F.when(unit.startswith("mm") | F.contains(unit, F.lit("milli")), "mm").when(unit.startswith("cm") | F.contains(unit, F.lit("centi")), "cm").when(unit.startswith("in") | (unit == '"'), "in").when(unit.isNotNull(), "px")
+    df = df.withColumn("min_kb", low).withColumn("max_kb", high).withColumn("width", pick(num(d["both"], 1), num(d["width"], 1), num(d["width_after"], 1))).withColumn("height", pick(num(d["both"], 3), num(d["height"], 1), num(d["height_after"], 1))).withColumn("unit", named)
+    said = [r"(?i)(?:aspect\s+ratio|ratio)[\s:]*(\d+(?:\.\d+)?)\s*[:/]\s*(\d+(?:\.\d+)?)", r"(?i)(\d+(?:\.\d+)?)\s*[:/]\s*(\d+(?:\.\d+)?)\s+aspect\s+ratio"]
+    w, h = F.col("width"), F.col("height")
+    ratio = F.when(g(said[0], 1) != "", F.concat_ws(":", g(said[0], 1), g(said[0], 2))).when(g(said[1], 1) != "", F.concat_ws(":", g(said[1], 1), g(said[1], 2))).when((w > 0) & (w == h), "1:1")
+    for (x, y), name in KNOWN_RATIOS.items():
+        ratio = ratio.when((w == x) & (h == y), name)
+    a, b = rounded(w * 10).cast("long"), rounded(h * 10).cast("long")
+    # Euclid's rule as a fold; numbers of seven digits need at most 33 steps
+    step = lambda acc, _: F.when(acc["b"] == 0, acc).otherwise(F.struct(acc["b"].alias("a"), (acc["a"] % F.greatest(acc["b"], F.lit(1))).alias("b")))
+    gcd = F.aggregate(F.sequence(F.lit(1), F.lit(40)), F.struct(a.alias("a"), b.alias("b")), step, lambda acc: acc["a"])
+    df = df.withColumn("_g", F.when((w > 0) & (h > 0), gcd)).withColumn("ratio", ratio.when(F.col("_g") > 1, F.concat_ws(":", (a / F.col("_g")).cast("long").cast("string"), (b / F.col("_g")).cast("long").cast("string"))))
+    dpi = g(rf"(?i)(?:resolution[\s:]*)?(\d{{2,4}})\s*(?:dpi|dots\s+per\s+inch){E}", 1).try_cast("long")
+    df = df.withColumn("dpi", F.when(dpi.between(50, 2400), dpi)).withColumn("formats", F.array_distinct(F.transform(F.regexp_extract_all("_t", F.lit(rf"(?i){B}(jpeg|jpg|png|pdf){E}"), 1), lambda x: F.upper(x))))
+    has = lambda f: F.array_contains("formats", f)
+    df = df.withColumn("format", F.when(has("PDF"), "PDF").when(has("JPEG"), "JPEG").when(has("JPG"), "JPG").when(has("PNG"), "PNG").otherwise("JPEG"))
+    size, shape = F.col("min_kb").isNotNull() | F.col("max_kb").isNotNull(), w.isNotNull() & h.isNotNull()
+    sure = 0.4 + F.when(size, 0.25).otherwise(0.0) + F.when(shape, 0.25).otherwise(0.0) + F.when(F.col("dpi").isNotNull(), 0.05).otherwise(0.0) + F.when(F.size("formats") > 0, 0.05).otherwise(0.0)
+    df = df.withColumn("parsed", size | shape).withColumn("confidence", F.when(F.col("parsed"), F.round(F.least(F.lit(1.0), sure), 2)))
+    for c in ("ratio", "dpi", "formats", "format"):
+        df = df.withColumn(c, F.when(F.col("parsed"), F.col(c)))
+    return df.drop("_t", "_g")
+
+
+def form_format(text: Column) -> Column:
+    """json for objects and lists, else csv."""
+    return F.when(F.trim(text).rlike(r"^[{\[]"), "json").otherwise("csv")
+
+
+def csv_cells(line: Column) -> Column:
+    """Cells of one CSV record: commas part them outside of quotes, doubled quotes are one."""
+    raw = F.regexp_extract_all(line, F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,"]*)'), 1)
+    return F.transform(raw, lambda c: F.when(c.startswith('"'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+
+
+def form_fields(forms: DataFrame, id: str, text: str = "text") -> DataFrame:
+    """(id, text) -> id, format, key, value of filled-in forms: JSON objects, or CSV with a line of names and one of values.
+
+    Names are trimmed, cells get back the formula mark that a guard has quoted; nested JSON with a value gives that;
+    fields named __proto__, constructor or prototype go; blank and malformed forms give no rows.
+    """
+    df = forms.select(id, F.trim(F.coalesce(F.col(text), F.lit(""))).alias("_t")).withColumn("format", form_format(F.col("_t")))
+    given = F.from_json("_t", "map<string,string>")
+    js = F.transform(F.map_entries(given), lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.get_json_object(F.when(e["value"].startswith("{"), e["value"]), "$.value"), e["value"]).alias("value")))
+    bare = lambda v: F.regexp_replace(v, r"^'(?=[=+\-@\t\r])", "")
+    records = F.regexp_extract_all("_t", F.lit(r'((?:"(?:[^"]|"")*"|[^"\r\n])+)'), 1)
+    names, values = csv_cells(F.try_element_at(records, F.lit(1))), csv_cells(F.try_element_at(records, F.lit(2)))
+    cs = F.when(F.size(records) > 1, F.transform(names, lambda n, i: F.struct(bare(F.trim(n)).alias("key"), bare(F.coalesce(F.try_element_at(values, i + 1), F.lit(""))).alias("value"))))
+    out = df.select(id, "format", F.explode(F.when(F.col("format") == "json", js).otherwise(cs)).alias("p")).select(id, "format", "p.key", "p.value")
+    return out.filter((F.col("key") != "") & ~F.col("key").isin("__proto__", "constructor", "prototype"))
+
+
+def related(items: DataFrame, key: str, group: list[str], links: DataFrame, limit: int = 4) -> DataFrame:
+    """(key, group...), explicit (key, other, place) -> key, other, rank: explicit relations in their order first, then
+    the first others of the same group by key, `limit` in all; nothing is related to itself.
+
+    Of a group only the first rows can be anybody's fillers, so each item meets a bounded list, not its whole group.
+    """
+    known = items.select(key).distinct().withColumnRenamed(key, "other")
+    own = links.filter(F.col(key) != F.col("other")).join(known, "other").groupBy(key, "other").agg(F.min("place").alias("place"))
+    own = own.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("place", "other"))).filter(F.col("rank") <= limit)
+    first = items.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy(key))).filter(F.col("_n") <= 2 * limit + 1)
+    lists = first.groupBy(*group).agg(F.array_sort(F.collect_list(key)).alias("_all"))  # at most 2 * limit + 1 keys
+    mine = own.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "other"))), lambda x: x["other"]).alias("_own"))
+    df = items.select(key, *group).join(lists, group).join(mine, key, "left").withColumn("_own", F.coalesce("_own", F.array().cast(dict(lists.dtypes)["_all"])))
+    picked = F.slice(F.concat("_own", F.filter("_all", lambda x: (x != F.col(key)) & ~F.array_contains("_own", x))), 1, limit)
+    return df.select(key, F.posexplode(picked).alias("_k", "other")).select(key, "other", (F.col("_k") + 1).cast("long").alias("rank"))
+
+
 def first_error(checks: list[tuple[Column, str]]) -> Column:
     """Message of the first check that fails, else null."""
     return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(m)) for ok, m in checks])

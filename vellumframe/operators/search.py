@@ -2,28 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.constants import QA_STOP_WORDS
+from ..sources.pages import with_keywords
+from ..sources.shared import cut
+from .layout import paragraph_split
 
 
-def bm25(tokens: DataFrame, queries: DataFrame, k: int = 3, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(doc_id, term), (query_id, term) -> query_id, doc_id, score (6 places), rank; query terms count as often as given.
+def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Paragraphs as units of retrieval: doc_id, chunk_no, chunk. A heading is part of the paragraph below it."""
+    p = paragraph_split(docs, text)
+    return p.select("doc_id", F.col("paragraph_no").alias("chunk_no"), F.col("paragraph").alias("chunk"))
 
-    Only terms that a query holds are counted per document: their rows are the only ones shuffled.
+
+def terms(text: Column) -> Column:
+    """Search terms of a text in order: over one character and no stop words."""
+    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\x{0900}-\x{097F}\x{0980}-\x{09FF}\x{0A00}-\x{0A7F}]+")
+    return F.filter(parts, lambda x: (F.length(x) > 1) & ~x.isin(QA_STOP_WORDS))
+
+
+def bm25(units: DataFrame, queries: DataFrame, unit: list[str], text: str, k: int = 3, k1: float = 1.2, b: float = 0.75, least: float = 0.15, df_scope: str = "enabled", enabled: Column | None = None) -> DataFrame:
+    """(unit, text), (query_id, query) -> query_id, unit, score (6 places), rank, confidence of the best k units.
+
+    A query whose best unit scores below `least` has no rows; query terms count as often as given; confidence is the
+    share of the best score times 95, 30 to 99. `enabled` limits the search; lengths and counts are of what it leaves,
+    document frequencies too unless df_scope is "loaded".
+
+    One pass over the units cuts them into terms: terms that no query holds go before anything is shuffled, and a mark
+    in each unit, spread over some keys, brings its length along.
     """
-    asked = queries.select("term").distinct()
-    stats = tokens.groupBy("doc_id").agg(F.count("*").alias("len"))
-    size = stats.agg(F.count("*").alias("N"), F.avg("len").alias("avgdl"))
-    tf = tokens.join(asked, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    if df_scope not in ("enabled", "loaded"):
+        raise ValueError(df_scope)
+    marks = 64
+    asked = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    known = asked.select("term").distinct().unionByName(queries.sparkSession.range(marks).select(F.concat(F.lit("\x00"), F.col("id").cast("string")).alias("term")))
+    words = units.select(*unit, (F.lit(True) if enabled is None else enabled).alias("on"), terms(F.col(text)).alias("_t")).withColumn("len", F.size("_t"))
+    mark = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(*unit), F.lit(marks)).cast("string"))
+    held = words.select(*unit, "on", "len", F.explode(F.array_append("_t", mark)).alias("term")).join(known, "term", "left_semi")
+    held = cut(held.groupBy(*unit, "on", "len", "term").agg(F.count("*").alias("tf")))
+    tf = held.filter(~F.col("term").startswith("\x00"))
+    size = held.filter(F.col("term").startswith("\x00") & F.col("on")).agg(F.count("*").alias("N"), F.avg("len").alias("avgdl"))
+    df = (tf if df_scope == "loaded" else tf.filter("on")).groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = queries.groupBy("query_id", "term").agg(F.count("*").alias("times")).join(df, "term").join(F.broadcast(size)).withColumn("idf", idf)  # one row of totals
+    weights = asked.join(df, "term").join(F.broadcast(size)).withColumn("idf", idf)  # one row of totals
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    scored = tf.join(stats, "doc_id").join(weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    scored = tf.filter("on").join(weights, "term").groupBy("query_id", *unit).agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), *unit)
+    best = scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    top = F.max("score").over(Window.partitionBy("query_id"))
+    sure = F.least(F.lit(99), F.greatest(F.lit(30), T.rounded(F.col("score") / F.col("_top") * 95))).cast("long")
+    return best.withColumn("_top", top).filter(F.col("_top") >= least).withColumn("confidence", sure).drop("_top")
 
 
 def passages(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -43,13 +74,16 @@ def passage_overlap(docs: DataFrame, questions: dict[int, list[str]], k: int = 3
     return s.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
-def sentence_rank(docs: DataFrame, keywords: DataFrame, text: str = "text") -> DataFrame:
-    """Summary sentences scored by the counts of keywords in them: doc_id, sentence_no, sentence, score, rank.
+def sentence_rank(docs: DataFrame, text: str = "text", k: int = 15) -> DataFrame:
+    """Summary sentences scored by the counts of the text's k keywords in them: doc_id, sentence_no, sentence, score, rank.
 
-    The first sentence weighs 1.4, the second and third 1.2. keywords: (doc_id, word, n).
+    The first sentence weighs 1.4, the second and third 1.2. Texts without a keyword give no rows. Keywords stay in
+    the row as a map, so nothing is joined.
     """
-    table = keywords.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("_m"))  # at most k rows a document
-    s = docs.select("doc_id", T.summary_sentences(F.col(text)).alias("_s")).join(table, "doc_id").select("doc_id", "_m", F.posexplode("_s").alias("k", "sentence"))
+    table = F.map_from_entries(F.transform("keywords", lambda x: F.struct(x["word"], x["n"])))
+    s = with_keywords(docs.select("doc_id", text), k, text).filter(F.size("keywords") > 0)
+    s = s.select("doc_id", table.alias("_m"), T.summary_sentences(F.col(text)).alias("_s"))
+    s = s.select("doc_id", "_m", F.posexplode("_s").alias("k", "sentence"))
     w = F.split(F.lower("sentence"), r"\s+")
     hits = F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(F.try_element_at(F.col("_m"), F.regexp_replace(x, "[^a-z0-9]", "")), F.lit(0)))
     boost = F.when(F.col("k") == 0, 1.4).when(F.col("k") < 3, 1.2).otherwise(1.0)
@@ -57,6 +91,14 @@ def sentence_rank(docs: DataFrame, keywords: DataFrame, text: str = "text") -> D
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "sentence_no")).cast("long"))
 
 
+def section_highlights(sections: DataFrame) -> DataFrame:
+    """(doc_id, section, title, content) -> the best sentence of each section, the section's own keywords deciding."""
+    key = F.struct("doc_id", "section")
+    ranked = sentence_rank(sections.select(key.alias("doc_id"), F.col("content").alias("text"))).filter("rank = 1")
+    best = ranked.select("doc_id.doc_id", "doc_id.section", "sentence", "score")
+    return sections.select("doc_id", "section", "title").join(best, ["doc_id", "section"], "left")
+
+
 def extractive_summary(ranked: DataFrame) -> DataFrame:
     """Top three sentences by rank, top six in reading order and the number of key points, per document."""
     join = lambda n, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") <= n, F.struct(by, "sentence")))), lambda x: x["sentence"]), " ")

@@ -43,21 +43,24 @@ def safe_pattern(pattern: str) -> str:
 def pii_scan(docs: DataFrame, kinds: list[str] | None = None, custom: dict[str, str] | None = None, text: str = "text") -> DataFrame:
     """One row a valid match: doc_id, kind, match_no (from 1, per kind, before validation), match, masked, before, after."""
     patterns = {k: PRESETS[k] for k in kinds or PRESETS} | {k: safe_pattern(p) for k, p in (custom or {}).items()}
-    found = []
-    for kind, p in patterns.items():
-        m = docs.select("doc_id", F.col(text).alias("_t"), F.regexp_extract_all(text, F.lit(f"({p})" if not p.startswith("(?i)") else f"(?i)({p[4:]})"), 1).alias("_m")).filter(F.size("_m") > 0)
-        m = m.withColumn("_s", F.split("_t", p, -1)).select("doc_id", "_t", "_m", "_s", F.posexplode("_m").alias("_k", "match"))
-        before = F.aggregate(F.slice("_s", F.lit(1), F.col("_k") + 1), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("_m", F.lit(1), F.col("_k")), F.lit(0), lambda a, x: a + F.length(x))
-        m = m.withColumn("_at", before).filter(valid(kind, F.col("match")))
-        found.append(m.select(
-            "doc_id", F.lit(kind).alias("kind"), (F.col("_k") + 1).cast("long").alias("match_no"), "match", T.mask_sensitive(F.col("match")).alias("masked"),
-            F.trim(F.substring(F.col("_t"), F.greatest(F.lit(1), F.col("_at") - 19), F.least(F.lit(20), F.col("_at")))).alias("before"),
-            F.trim(F.substring(F.col("_t"), F.col("_at") + F.length("match") + 1, F.lit(20))).alias("after"),
-        ))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    df = docs.select("doc_id", F.col(text).alias("_t"))
+    for k, p in enumerate(patterns.values()):
+        df = df.withColumn(f"_m{k}", F.regexp_extract_all("_t", F.lit(f"({p})" if not p.startswith("(?i)") else f"(?i)({p[4:]})"), 1)).withColumn(f"_s{k}", F.split("_t", p, -1))
+    long = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(x))
+
+    def matches(k: int, kind: str) -> Column:
+        at = lambda i: long(F.slice(f"_s{k}", F.lit(1), i + 1)) + long(F.slice(f"_m{k}", F.lit(1), i))
+        return F.transform(f"_m{k}", lambda m, i: F.struct(F.lit(kind).alias("kind"), (i + 1).cast("long").alias("match_no"), m.alias("match"), at(i).alias("at")))
+
+    found = F.flatten(F.array(*[matches(k, kind) for k, kind in enumerate(patterns)]))
+    df = df.select("doc_id", "_t", F.explode(found).alias("f")).select("doc_id", "_t", "f.*")
+    ok = F.lit(True)
+    for kind in patterns:
+        ok = F.when(F.col("kind") == kind, valid(kind, F.col("match"))).otherwise(ok)
+    return df.filter(ok).select(
+        "doc_id", "kind", "match_no", "match", T.mask_sensitive(F.col("match")).alias("masked"), F.trim(F.substring(F.col("_t"), F.greatest(F.lit(1), F.col("at") - 19), F.least(F.lit(20), F.col("at")))).alias("before"),
+        F.trim(F.substring(F.col("_t"), F.col("at") + F.length("match") + 1, F.lit(20))).alias("after"),
+    )
 
 
 def pii_redact(text: Column, kinds: list[str]) -> Column:
@@ -71,11 +74,26 @@ def pii_redact(text: Column, kinds: list[str]) -> Column:
     return text
 
 
-def pii_verify(targets: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Targets (doc_id, target) against outputs (doc_id, text): per document verified, failed and all_purged."""
-    flat = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
-    j = targets.join(outputs.select("doc_id", flat(F.col("text")).alias("_o")), "doc_id").withColumn("_left", F.contains("_o", flat(F.col("target"))))
-    return j.groupBy("doc_id").agg(F.sum((~F.col("_left")).cast("long")).alias("verified"), F.sum(F.col("_left").cast("long")).alias("failed"), (F.sum(F.col("_left").cast("long")) == 0).alias("all_purged"))
+def pii_verify(targets: DataFrame, outputs: DataFrame, metadata: str | None = None) -> DataFrame:
+    """Targets (doc_id, target[, reason]) against outputs (doc_id, text[, metadata]): status of each target.
+
+    failed where the text or the metadata still holds the target, white space and case aside; else residual_risk where
+    the reason says so, else verified. A document without output cannot hold anything.
+    """
+    flat = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", "")
+    extra = flat(F.col(metadata)) if metadata else F.lit("")
+    j = targets.join(outputs.select("doc_id", flat(F.col("text")).alias("_o"), extra.alias("_x")), "doc_id", "left").withColumn("_f", flat(F.col("target")))
+    here = lambda c: F.coalesce((F.col("_f") != "") & F.contains(c, F.col("_f")), F.lit(False))
+    j = j.withColumn("in_text", here("_o")).withColumn("in_metadata", here("_x"))
+    risky = F.coalesce(F.col("reason") == "residual_risk", F.lit(False)) if "reason" in targets.columns else F.lit(False)
+    return j.withColumn("status", F.when(F.col("in_text") | F.col("in_metadata"), "failed").when(risky, "residual_risk").otherwise("verified")).drop("_o", "_x", "_f")
+
+
+def pii_report(verified: DataFrame) -> DataFrame:
+    """Per document of pii_verify: counts by status, leaks in metadata, and all_purged if every target is verified."""
+    n = lambda c: F.sum(c.cast("long"))
+    s = F.col("status")
+    return verified.groupBy("doc_id").agg(n(s == "verified").alias("verified"), n(s == "residual_risk").alias("residual_risk"), n(s == "failed").alias("failed"), n(F.col("in_metadata")).alias("in_metadata"), (n(s != "verified") == 0).alias("all_purged"))
 
 
 # Points a privacy signal takes off, and the ceiling it sets.
@@ -100,10 +118,27 @@ def privacy_score(signals: DataFrame, doc: str = "doc_id") -> DataFrame:
     return g.select(doc, "score", F.element_at(F.array(*map(F.lit, ("F", "D", "C", "B", "A", "A+"))), F.least(level, top) + 1).alias("grade"))
 
 
+# Elements that go; those with text of their own go with it.
+WITH_TEXT = "script|noscript|iframe|object|applet|form|button|select|textarea|style|svg"
+EMPTY = "frame|embed|meta|link|base|input"
+
+
+def html_sanitized(html: Column) -> Column:
+    """The page without comments, disallowed elements, event handlers, and addresses that are forbidden."""
+    out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", " ")
+    out = F.regexp_replace(out, rf"(?is)<({WITH_TEXT})\b[^>]*>.*?</\1\s*>", " ")
+    out = F.regexp_replace(out, rf"(?i)</?(?:{WITH_TEXT}|{EMPTY})\b[^>]*>", " ")
+    out = F.regexp_replace(out, r"(?i)(<[^>]*?)\s+on[a-z]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "$1")
+    address = r"(?i)\s(?:href|src|action)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
+    found = F.zip_with(F.regexp_extract_all(out, F.lit(address), 0), F.zip_with(F.regexp_extract_all(out, F.lit(address), 1), F.regexp_extract_all(out, F.lit(address), 2), lambda a, b: F.concat(a, b)), lambda whole, url: F.when(forbidden_url(url), F.lit("")).otherwise(whole))
+    return F.array_join(F.zip_with(F.split(out, address, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
 def html_text(html: Column) -> Column:
-    """Text of a page: scripts, styles, other blocked elements, comments and tags go, common entities are decoded."""
-    out = F.regexp_replace(html, r"(?is)<(script|style|iframe|object|embed|form|noscript|template|svg|math)\b.*?</(script|style|iframe|object|embed|form|noscript|template|svg|math)\s*>", " ")
-    out = F.regexp_replace(F.regexp_replace(out, r"(?s)<!--.*?-->", " "), r"<[^>]*>", " ")
+    """Text of a page: disallowed elements, comments and tags go, common entities are decoded."""
+    out = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
+    out = F.regexp_replace(out, rf"(?is)<({WITH_TEXT})\b[^>]*>.*?</\1\s*>", " ")
+    out = F.regexp_replace(out, r"<[^>]*>", " ")
     for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         out = F.replace(out, F.lit(name), F.lit(sign))
     return F.trim(F.regexp_replace(out, r"[ \t\n\r\f]+", " "))

@@ -8,9 +8,10 @@ from ..functions import text as T
 from ..operators import duplicates as D
 from ..operators import search as Q
 from ..operators import sensitive as P
+from .literals import STOPS_SQL
 from ..sources import pages as G
-from .registry import QUERIES, query, table
-from .text_queries import STOPS_SQL, SUMMARY_SQL, S
+from .registry import documents, query, table
+from .text_queries import _SECTIONS, SUMMARY_SQL, S, marked_documents
 
 NORM = f"trim(regexp_replace(lower(text), '{S}+', ' ', 'g'))"
 DUPS = f"""k AS (SELECT doc_id, sha256({NORM}) AS h FROM documents WHERE {NORM} <> ''), g AS (SELECT h, min(doc_id) AS group_id, count(*) AS size FROM k GROUP BY h HAVING count(*) > 1), dups AS (SELECT doc_id, group_id, size, doc_id = group_id AS keep FROM k JOIN g USING (h))"""
@@ -42,8 +43,9 @@ SIGNS = f"s AS (SELECT vec_id, label, {_BITS} AS h FROM embeddings)"
 
 
 @query("near_dups", f"""WITH RECURSIVE {SIGNS}, e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.vec_id <> b.vec_id AND bit_count(xor(a.h, b.h)) <= 4),
-reach(v, r) AS (SELECT vec_id, vec_id FROM s UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.v), c AS (SELECT v, min(r) AS g FROM reach GROUP BY v)
-SELECT v AS vec_id, g AS group_id, count(*) OVER (PARTITION BY g) AS size, v = g AS keep FROM c""")
+reach(v, r) AS (SELECT vec_id, vec_id FROM s UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.v), c AS (SELECT v, min(r) AS g FROM reach GROUP BY v),
+reps AS (SELECT h, min(vec_id) AS v FROM s GROUP BY h), p AS (SELECT x.v AS a, y.v AS b, bit_count(xor(x.h, y.h)) AS d FROM reps x JOIN reps y ON x.v < y.v AND bit_count(xor(x.h, y.h)) <= 4), m AS (SELECT g, CAST(floor(avg(d) + 0.5) AS BIGINT) AS distance FROM p JOIN c ON c.v = p.a GROUP BY g)
+SELECT v AS vec_id, c.g AS group_id, count(*) OVER (PARTITION BY c.g) AS size, v = c.g AS keep, distance FROM c LEFT JOIN m ON m.g = c.g""")
 def near_dups(spark, sf_dir):
     """Sign hashes of the embeddings within 4 bits."""
     h = table(spark, sf_dir, "embeddings").select("vec_id", D.sign_hash(F.col("embedding")).alias("h"))
@@ -68,15 +70,20 @@ def text_similarity(spark, sf_dir):
     return c.join(n, ["conv_id", "turn"]).select("conv_id", "turn", D.jaccard(F.col("w"), F.col("v")).alias("similarity"), F.size(F.array_intersect("w", "v")).cast("long").alias("shared"))
 
 
-QUERIES["set_intersection_size"] = lambda spark, sf_dir: text_similarity(spark, sf_dir).select("conv_id", "turn", "shared")
+@query("set_intersection_size", f"""WITH w AS (SELECT DISTINCT conv_id, turn, unnest(list_filter(regexp_split_to_array(lower(text), '{S}+'), lambda x: x <> '')) AS w FROM conversations)
+SELECT c.conv_id, c.turn, (SELECT count(*) FROM w a JOIN w b ON a.w = b.w WHERE a.conv_id = c.conv_id AND b.conv_id = c.conv_id AND a.turn = c.turn AND b.turn = c.turn + 1) AS shared FROM conversations c JOIN conversations n ON n.conv_id = c.conv_id AND n.turn = c.turn + 1""")
+def set_intersection_size(spark, sf_dir):
+    return text_similarity(spark, sf_dir).select("conv_id", "turn", "shared")
 
 
-@query("set_diff_added_removed", f"""WITH w AS (SELECT DISTINCT conv_id, turn, unnest(list_filter(regexp_split_to_array(lower(text), '{S}+'), lambda x: x <> '')) AS w FROM conversations WHERE turn <= 1)
-(SELECT conv_id, w, 'added' AS change FROM w WHERE turn = 1 EXCEPT SELECT conv_id, w, 'added' FROM w WHERE turn = 0) UNION ALL (SELECT conv_id, w, 'removed' FROM w WHERE turn = 0 EXCEPT SELECT conv_id, w, 'removed' FROM w WHERE turn = 1)""")
+@query("set_diff_added_removed", f"""WITH w AS (SELECT DISTINCT conv_id, turn, unnest(list_filter(regexp_split_to_array(lower(text), '{S}+'), lambda x: x <> '')) AS w FROM conversations), c AS (SELECT DISTINCT conv_id, turn FROM conversations)
+SELECT w.conv_id, w.turn - 1 AS turn, w, 'added' AS change FROM w JOIN c ON c.conv_id = w.conv_id AND c.turn = w.turn - 1 WHERE NOT EXISTS (SELECT 1 FROM w o WHERE o.conv_id = w.conv_id AND o.turn = w.turn - 1 AND o.w = w.w)
+UNION ALL SELECT w.conv_id, w.turn, w, 'removed' FROM w JOIN c ON c.conv_id = w.conv_id AND c.turn = w.turn + 1 WHERE NOT EXISTS (SELECT 1 FROM w o WHERE o.conv_id = w.conv_id AND o.turn = w.turn + 1 AND o.w = w.w)""")
 def set_diff_added_removed(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").filter("turn <= 1").select("conv_id", "turn", F.explode(T.spaced_words(F.lower("text"))).alias("w"))
-    old, new = (c.filter(F.col("turn") == k).select("conv_id", "w").distinct() for k in (0, 1))
-    return new.exceptAll(old).withColumn("change", F.lit("added")).unionByName(old.exceptAll(new).withColumn("change", F.lit("removed")))
+    """Words that every turn adds to the one before, and leaves out of it."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_distinct(T.spaced_words(F.lower("text"))).alias("a"))
+    n = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b"))
+    return D.set_changes(c.join(n, ["conv_id", "turn"]), ["conv_id", "turn"], "a", "b").withColumnRenamed("value", "w")
 
 
 @query("dedupe_first_seen", f"""WITH w AS (SELECT doc_id, lower(unnest(l)) AS w, unnest(l) AS seen_as, unnest(range(1, len(l) + 1)) AS p FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '{S}+'), lambda x: x <> '') AS l FROM documents))
@@ -90,13 +97,24 @@ TERMS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9\\x{0900}-\\x{0
 
 
 @query("bm25_search", f"""WITH t AS (SELECT doc_id, unnest({TERMS}) AS term FROM documents), q AS (SELECT item_id AS query_id, unnest({TERMS}) AS term FROM benchmark),
-l AS (SELECT doc_id, count(*) AS len FROM t GROUP BY doc_id), n AS (SELECT count(*) AS N, avg(len) AS avgdl FROM l),
+l AS (SELECT doc_id, len({TERMS}) AS len FROM documents), n AS (SELECT count(*) AS N, avg(len) AS avgdl FROM l),
 f AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM f GROUP BY term), w AS (SELECT query_id, term, count(*) AS times FROM q GROUP BY 1, 2),
-s AS (SELECT query_id, doc_id, round(sum(times * ln(1 + (N - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl))), 6) AS score FROM f JOIN l USING (doc_id) JOIN d USING (term) JOIN w USING (term), n GROUP BY 1, 2)
-SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 3""")
+s AS (SELECT query_id, doc_id, round(sum(times * ln(1 + (N - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl))), 6) AS score FROM f JOIN l USING (doc_id) JOIN d USING (term) JOIN w USING (term), n GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, max(score) OVER (PARTITION BY query_id) AS top FROM s WHERE score > 0)
+SELECT query_id, doc_id, score, rank, CAST(least(99, greatest(30, floor(score / top * 95 + 0.5))) AS BIGINT) AS confidence FROM r WHERE rank <= 3 AND top >= 0.15""")
 def bm25_search(spark, sf_dir):
-    q = G.search_tokens(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id")).select(F.col("doc_id").alias("query_id"), "term")
-    return Q.bm25(G.search_tokens(table(spark, sf_dir, "documents")), q)
+    """Whole documents as units."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return Q.bm25(documents(spark, sf_dir).select("doc_id", "text"), q, ["doc_id"], "text")
+
+
+@query("bm25_chunks")
+def bm25_chunks(spark, sf_dir):
+    """Paragraphs as units, searched in documents with a language; tests hold it against a plain version."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    docs = documents(spark, sf_dir)
+    units = Q.chunks(docs).join(docs.select("doc_id", F.col("lang").isNotNull().alias("on")), "doc_id")
+    return Q.bm25(units, q, ["doc_id", "chunk_no"], "chunk", df_scope="loaded", enabled=F.col("on"))
 
 
 QUESTIONS = {1: ["the", "tion", "onst", "ered"], 2: ["que", "ment", "les"], 3: ["der", "und", "ung", "heit", "zu"], 4: ["xyzzy", "ness"], 5: ["ción", "para", "los"]}
@@ -117,8 +135,7 @@ ranked AS (SELECT doc_id, sentence_no, sentence, score, row_number() OVER (PARTI
 
 
 def ranked_sentences(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return Q.sentence_rank(docs, G.keywords(docs, 15))
+    return Q.sentence_rank(documents(spark, sf_dir))
 
 
 @query("sentence_rank", f"WITH {_KEYS} SELECT doc_id, sentence_no, score, rank FROM ranked")
@@ -131,6 +148,12 @@ def extractive_summary(spark, sf_dir):
     return Q.extractive_summary(ranked_sentences(spark, sf_dir))
 
 
+@query("section_highlights")
+def section_highlights(spark, sf_dir):
+    """The best sentence of every section; tests hold it against sentence_rank of the section alone."""
+    return Q.section_highlights(G.section_split(marked_documents(spark, sf_dir)))
+
+
 def _ascii(p: str) -> str:
     return p.replace("(?<![A-Za-z0-9_])", r"\b").replace("(?![A-Za-z0-9_])", r"\b").replace("'", "''")
 
@@ -143,7 +166,7 @@ _MASK = "CASE WHEN length(match) <= 4 THEN '••••' ELSE match[1:1] || rep
 
 @query("pii_scan", f"WITH s AS ({_SCAN}) SELECT doc_id, kind, match_no, match, {_MASK} AS masked FROM s")
 def pii_scan(spark, sf_dir):
-    return P.pii_scan(table(spark, sf_dir, "documents")).select("doc_id", "kind", "match_no", "match", "masked")
+    return P.pii_scan(documents(spark, sf_dir)).select("doc_id", "kind", "match_no", "match", "masked")
 
 
 _EMAIL, _PHONE = _ascii(P.PRESETS["email"]), _ascii(P.PRESETS["phone"])
@@ -157,11 +180,17 @@ def pii_redact(spark, sf_dir):
     return d.select("doc_id", F.length("text").cast("long").alias("n_before"), F.regexp_count("text", F.lit(P.PRESETS["email"])).cast("long").alias("hits"), P.pii_redact(F.col("text"), ["email"]).alias("redacted"))
 
 
-@query("pii_verify", f"WITH s AS ({_SCAN}) SELECT doc_id, count(*) FILTER (kind = 'email') AS verified, count(*) FILTER (kind <> 'email') AS failed, count(*) FILTER (kind <> 'email') = 0 AS all_purged FROM s WHERE kind IN ('email', 'phone') GROUP BY doc_id")
+@query("pii_verify", f"""WITH s AS ({_SCAN}), t AS (SELECT doc_id, kind = 'email' AND doc_id % 5 = 0 AS leak, kind <> 'email' AS kept, kind = 'email' AND doc_id % 5 = 1 AND match_no = 1 AS risk FROM s WHERE kind IN ('email', 'phone'))
+SELECT doc_id, count(*) FILTER (NOT leak AND NOT kept AND NOT risk) AS verified, count(*) FILTER (risk) AS residual_risk, count(*) FILTER (leak OR kept) AS failed, count(*) FILTER (leak) AS in_metadata, count(*) FILTER (leak OR kept OR risk) = 0 AS all_purged FROM t GROUP BY doc_id""")
 def pii_verify(spark, sf_dir):
+    """E-mail addresses are blanked and phone numbers are not; every fifth document keeps its addresses as metadata, and
+    the first address of others is marked as a residual risk."""
     docs = table(spark, sf_dir, "documents")
-    targets = P.pii_scan(docs, ["email", "phone"]).select("doc_id", F.col("match").alias("target"))
-    return P.pii_verify(targets, docs.select("doc_id", P.pii_redact(F.col("text"), ["email"]).alias("text")))
+    risk = F.when((F.col("kind") == "email") & (F.col("doc_id") % 5 == 1) & (F.col("match_no") == 1), "residual_risk")
+    targets = P.pii_scan(docs, ["email", "phone"]).select("doc_id", F.col("match").alias("target"), risk.alias("reason"))
+    kept = F.when(F.col("doc_id") % 5 == 0, F.array_join(F.regexp_extract_all("text", F.lit(P.PRESETS["email"]), 0), " "))
+    outputs = docs.select("doc_id", P.pii_redact(F.col("text"), ["email"]).alias("text"), kept.alias("metadata"))
+    return P.pii_report(P.pii_verify(targets, outputs, "metadata"))
 
 
 @query("privacy_score", f"""WITH s AS ({_SCAN}), g AS (SELECT d.doc_id, max((kind = 'email')::INT) AS em, max((kind = 'phone')::INT) AS ph, max((kind = 'credit_card')::INT) AS cc, max((kind = 'date')::INT) AS dt FROM documents d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id),
@@ -176,9 +205,21 @@ def privacy_score(spark, sf_dir):
     return P.privacy_score(found.unionByName(docs.select("doc_id", F.lit("none").alias("signal"), F.lit(0).alias("count"))))
 
 
-@query("html_clean", r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|iframe|object|embed|form|noscript|template|svg|math)\b.*?</(script|style|iframe|object|embed|form|noscript|template|svg|math)\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\r\f]+', ' ', 'g')) AS body FROM pages""")
+@query("html_clean", r"""WITH p AS (SELECT page_id, html || '<script>a</style>b</script><SELECT><option>x</SELECT><input value="q"><noscript>n</noscript><math>m</math>' AS h FROM pages),
+a AS (SELECT page_id, regexp_replace(h, '(?s)<!--.*?-->', ' ', 'g') AS h FROM p), """ + ", ".join(f"""a{k} AS (SELECT page_id, regexp_replace(h, '(?is)<{t}\\b[^>]*>.*?</{t}\\s*>', ' ', 'g') AS h FROM a{k - 1 if k else ''})""" for k, t in enumerate(["script", "noscript", "iframe", "object", "applet", "form", "button", "select", "textarea", "style", "svg"])) + r"""
+SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(h, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&'), '[ \t\n\r\f]+', ' ', 'g')) AS body FROM a10""")
 def html_clean(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", P.html_text(F.col("html")).alias("body"))
+    """Pages with some disallowed elements behind them."""
+    planted = '<script>a</style>b</script><SELECT><option>x</SELECT><input value="q"><noscript>n</noscript><math>m</math>'
+    return table(spark, sf_dir, "pages").select("page_id", P.html_text(F.concat("html", F.lit(planted))).alias("body"))
+
+
+@query("html_sanitize", r"""SELECT page_id, '<p class="a"> ' || CASE WHEN page_id % 2 = 0 THEN '<a>x</a>' ELSE '<a href="https://e.com/' || page_id || '">x</a>' END || '</p>' AS clean FROM pages""")
+def html_sanitize(spark, sf_dir):
+    """Fragments made of page ids: handlers, forbidden addresses and disallowed elements go."""
+    link = F.when(F.col("page_id") % 2 == 0, F.lit("javascript:alert(1)")).otherwise(F.concat(F.lit("https://e.com/"), F.col("page_id").cast("string")))
+    html = F.concat(F.lit('<p class="a" onclick="go()"><script>evil</script><a href="'), link, F.lit('">x</a></p>'))
+    return table(spark, sf_dir, "pages").select("page_id", P.html_sanitized(html).alias("clean"))
 
 
 @query("url_risk_filter", r"""WITH u AS (SELECT page_id, unnest(list_concat(regexp_extract_all(html, '(?i)href="([^"]*)"', 1), [url, CASE page_id % 4 WHEN 0 THEN 'javascript:x' WHEN 1 THEN 'http://10.0.0.' || page_id % 250 || '/a' WHEN 2 THEN 'http://172.20.1.1' ELSE 'http://LOCALHOST:80' END])) AS url FROM pages)
@@ -190,14 +231,17 @@ def url_risk_filter(spark, sf_dir):
     return u.groupBy("page_id").agg(F.count("*").alias("urls"), F.sum(P.forbidden_url(F.col("url")).cast("long")).alias("forbidden"))
 
 
-@query("fingerprint_drift", """WITH a AS (SELECT doc_id, md5(text) AS h FROM documents WHERE lang <> 'fr'), b AS (SELECT doc_id, md5(CASE WHEN source LIKE '%5' THEN text || 'x' ELSE text END) AS h FROM documents WHERE lang <> 'de')
-SELECT doc_id, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'removed' WHEN a.h = b.h THEN 'identical' ELSE 'changed' END AS status FROM a FULL JOIN b USING (doc_id)""")
+@query("fingerprint_drift", """WITH a AS (SELECT conv_id AS doc, turn AS page, md5(text) AS c, role AS m FROM conversations WHERE (conv_id + turn) % 11 <> 0), b AS (SELECT conv_id AS doc, turn AS page, md5(CASE WHEN conv_id % 4 = 1 AND turn = 1 THEN text || 'x' ELSE text END) AS c, CASE WHEN conv_id % 4 = 2 THEN upper(role) ELSE role END AS m FROM conversations WHERE (conv_id + turn) % 13 <> 0),
+j AS (SELECT coalesce(a.doc, b.doc) AS doc, coalesce(a.page, b.page) AS page, CASE WHEN a.doc IS NULL THEN 'added' WHEN b.doc IS NULL THEN 'missing' WHEN a.c <> b.c THEN 'modified' WHEN a.m = b.m THEN 'matched' ELSE 'metadata' END AS k FROM a FULL JOIN b ON a.doc = b.doc AND a.page = b.page)
+SELECT doc, coalesce(list(page ORDER BY page) FILTER (k IN ('matched', 'metadata')), []) AS matched, coalesce(list(page ORDER BY page) FILTER (k = 'modified'), []) AS modified, coalesce(list(page ORDER BY page) FILTER (k = 'missing'), []) AS missing, coalesce(list(page ORDER BY page) FILTER (k = 'added'), []) AS added,
+  CASE WHEN count(*) FILTER (k IN ('modified', 'missing', 'added')) > 0 THEN 'content_drift' WHEN count(*) FILTER (k = 'metadata') > 0 THEN 'metadata_only' ELSE 'identical' END AS status FROM j GROUP BY doc""")
 def fingerprint_drift(spark, sf_dir):
-    """An old version without French texts against a new one without German ones, some sources changed."""
-    d = table(spark, sf_dir, "documents")
-    old = d.filter("lang <> 'fr'").select("doc_id", F.md5("text").alias("h"))
-    new = d.filter("lang <> 'de'").select("doc_id", F.md5(F.when(F.col("source").endswith("5"), F.concat("text", F.lit("x"))).otherwise(F.col("text"))).alias("h"))
-    return D.drift(old, new, "doc_id", "h").select("doc_id", "status")
+    """Conversations as documents and turns as pages: some changed, some with other metadata, some on one side only."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page_no"), "text", "role")
+    old = c.filter((F.col("doc") + F.col("page_no")) % 11 != 0).select("doc", "page_no", F.md5("text").alias("content"), F.col("role").alias("metadata"))
+    edited = F.when((F.col("doc") % 4 == 1) & (F.col("page_no") == 1), F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    new = c.filter((F.col("doc") + F.col("page_no")) % 13 != 0).select("doc", "page_no", F.md5(edited).alias("content"), F.when(F.col("doc") % 4 == 2, F.upper("role")).otherwise(F.col("role")).alias("metadata"))
+    return D.fingerprint_drift(old, new, "doc")
 
 
 @query("metadata_drift", """WITH a AS (SELECT c_custkey || ':' || k AS key, v FROM (SELECT c_custkey, unnest(['name', 'segment']) AS k, unnest([c_name, c_mktsegment]) AS v FROM customer)), b AS (SELECT c_custkey || ':' || k AS key, v FROM (SELECT c_custkey, unnest(['name', 'segment', 'nation']) AS k, unnest([c_name, CASE WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END, CAST(c_nationkey AS VARCHAR)]) AS v FROM customer))

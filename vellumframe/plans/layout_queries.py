@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import layout as L
 from ..operators import ordering as O
 from ..sources import csv as C
-from .registry import query, table
+from ..sources.shared import scratch
+from .registry import documents, query, table
 
 TOKENS = """tok AS (SELECT event_id, user_id AS page, event_type AS text, (k % 6) * 90 + event_id % 3 + 0.0::DOUBLE AS x, (k // 6) * 14 + event_id % 2 + 0.0::DOUBLE AS y, CASE WHEN event_type = 'purchase' THEN 70.0::DOUBLE ELSE 50.0::DOUBLE END AS width, 10.0::DOUBLE AS height,
   CASE WHEN event_id % 4 > 0 THEN event_id % 100 + 0.0::DOUBLE END AS confidence, k + 1 AS pos, CASE event_type WHEN 'signup' THEN 18.0::DOUBLE WHEN 'error' THEN 14.0::DOUBLE ELSE 10.0::DOUBLE END AS size FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS k FROM events))"""
@@ -22,9 +23,11 @@ def tokens(spark, sf_dir):
     )
 
 
-@query("lines_from_tokens", f"WITH {TOKENS} SELECT page, CAST(l + 1 AS BIGINT) AS line_no, min(y) AS y, string_agg(text, ' ' ORDER BY x, text) AS text FROM (SELECT *, (pos - 1) // 6 AS l FROM tok) GROUP BY page, l")
+@query("lines_from_tokens", f"WITH {TOKENS} SELECT page, CAST(l + 1 AS BIGINT) AS line_no, min(y) + l // 4 * 30 AS y, string_agg(text, ' ' ORDER BY x, text) AS text, CAST(1 + l // 4 AS BIGINT) AS paragraph FROM (SELECT *, (pos - 1) // 6 AS l FROM tok) GROUP BY page, l")
 def lines_from_tokens(spark, sf_dir):
-    return L.lines_from_tokens(tokens(spark, sf_dir), "page")
+    """Every fourth line steps further down, which starts a paragraph."""
+    t = tokens(spark, sf_dir).withColumn("y", F.col("y") + F.floor(F.floor((F.col("pos") - 1) / 6) / 4) * 30).withColumn("height", F.lit(20.0))
+    return L.lines_from_tokens(t, "page")
 
 
 @query("tables_from_tokens", f"WITH {TOKENS}, r AS (SELECT *, (pos - 1) // 6 AS l, count(*) OVER (PARTITION BY page, (pos - 1) // 6) AS c FROM tok), d AS (SELECT *, dense_rank() OVER (PARTITION BY page ORDER BY l) - 1 AS row FROM r WHERE c >= 2), n AS (SELECT page, row, row_number() OVER (PARTITION BY page, row ORDER BY x, text) - 1 AS col, text FROM d), w AS (SELECT page, max(row) AS rows, max(col) AS cols FROM n GROUP BY page), g AS (SELECT page, unnest(range(0, rows + 1)) AS row, cols FROM w WHERE rows >= 1), h AS (SELECT page, row, unnest(range(0, cols + 1)) AS col FROM g) SELECT page, CAST(row AS BIGINT) AS row, CAST(col AS BIGINT) AS col, coalesce(text, '') AS text FROM h LEFT JOIN n USING (page, row, col)")
@@ -32,9 +35,11 @@ def tables_from_tokens(spark, sf_dir):
     return L.tables_from_tokens(tokens(spark, sf_dir), "page")
 
 
-@query("table_grid_from_words", f"WITH {TOKENS}, u AS (SELECT DISTINCT page, unnest(range(CAST(floor(x) AS BIGINT), CAST(floor(x + width) AS BIGINT) + 1)) AS u FROM tok), g AS (SELECT page, u, lag(u) OVER (PARTITION BY page ORDER BY u) AS p FROM u), e AS (SELECT page, min(x) AS lo, max(x + width) AS hi FROM tok GROUP BY page) SELECT page, (p + u) / 2.0::DOUBLE AS divider FROM g JOIN e USING (page) WHERE u - p - 1 >= 8 AND (p + u) / 2.0 > lo + 15 AND (p + u) / 2.0 < hi - 15")
+@query("table_grid_from_words", f"""WITH {TOKENS}, u AS (SELECT DISTINCT page, unnest(range(CAST(floor(x) AS BIGINT), CAST(floor(x + width) AS BIGINT) + 1)) AS u FROM tok), g AS (SELECT page, u, lag(u) OVER (PARTITION BY page ORDER BY u) AS p FROM u), e AS (SELECT page, min(x) AS lo, max(x + width) AS hi FROM tok GROUP BY page),
+b AS (SELECT page, (pos - 1) // 6 AS l, min(y) AS top, max(y) + 10 AS bottom FROM tok GROUP BY 1, 2), n AS (SELECT page, bottom, lead(top) OVER (PARTITION BY page ORDER BY l) AS below FROM b)
+SELECT page, 'column' AS axis, (p + u) / 2.0::DOUBLE AS divider FROM g JOIN e USING (page) WHERE u - p - 1 >= 8 AND (p + u) / 2.0 > lo + 15 AND (p + u) / 2.0 < hi - 15 UNION ALL SELECT page, 'row', floor((bottom + below) / 2 + 0.5) FROM n WHERE below IS NOT NULL""")
 def table_grid_from_words(spark, sf_dir):
-    return L.column_dividers(tokens(spark, sf_dir), "page")
+    return L.table_grid(tokens(spark, sf_dir), "page")
 
 
 @query("cells_from_grid", f"""WITH {TOKENS}, g AS (SELECT DISTINCT page, c AS cell, c % 3 * 180.0::DOUBLE AS "left", c // 3 * 56.0::DOUBLE AS top, c % 3 * 180.0::DOUBLE + 180 AS "right", c // 3 * 56.0::DOUBLE + 56 AS bottom FROM tok, (SELECT unnest(range(0, 12)) AS c)),
@@ -84,21 +89,25 @@ def heading_tree(spark, sf_dir):
 
 @query("locate_bbox", f"""WITH {TOKENS}, t AS (SELECT page % 10 AS doc, * FROM tok), v AS (SELECT DISTINCT doc, k AS key, v FROM t, (SELECT unnest(['a', 'b', 'c']) AS k, unnest(['signup error', 'Purchase', 'nothing']) AS v)), w AS (SELECT doc, key, unnest(string_split(lower(v), ' ')) AS w FROM v),
 h AS (SELECT w.doc, key, page, count(*) AS n, min(x) AS "left", min(y) AS top, max(x + width) AS "right", max(y + height) AS bottom FROM w JOIN t ON w.doc = t.doc AND lower(t.text) = w GROUP BY 1, 2, 3), b AS (SELECT *, row_number() OVER (PARTITION BY doc, key ORDER BY n DESC, page) AS k FROM h)
-SELECT v.doc, v.key, page, "left", top, "right", bottom FROM v LEFT JOIN b ON b.doc = v.doc AND b.key = v.key AND k = 1""")
+SELECT v.doc, v.key, CASE WHEN page IS NULL THEN 1 ELSE page END AS page, coalesce("left", 72) AS "left", coalesce(top, 100 + v.doc * 24) AS top, coalesce("right", 72 + least(450, greatest(60, floor(length(v) * 7.5::DOUBLE + 0.5)))) AS "right", coalesce(bottom, 118 + v.doc * 24) AS bottom, page IS NOT NULL AS found FROM v LEFT JOIN b ON b.doc = v.doc AND b.key = v.key AND k = 1""")
 def locate_bbox(spark, sf_dir):
     t = tokens(spark, sf_dir).withColumn("doc", F.col("page") % 10)
     pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in (("a", "signup error"), ("b", "Purchase"), ("c", "nothing"))])
-    values = t.select("doc").distinct().withColumn("p", F.explode(pairs)).select("doc", "p.*")
+    values = t.select("doc").distinct().withColumn("p", F.explode(pairs)).select("doc", "p.*", F.col("doc").alias("line_index"))
     return L.locate_bbox(values, t, "doc")
 
 
 @query("paragraph_split")
 def paragraph_split(spark, sf_dir):
-    """Packing carries state from part to part, so SQL has no equal; tests hold the parts against the text."""
-    return L.paragraph_split(table(spark, sf_dir, "documents"))
+    """Packing carries state from part to part, so SQL has no equal; tests hold it against a plain version."""
+    return L.paragraph_split(documents(spark, sf_dir))
 
 
 @query("streaming_history", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 10")
 def streaming_history(spark, sf_dir):
-    """What the stream keeps, as a batch; tests replay the stream itself."""
-    return C.newest(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 10).select("user_id", "event_id")
+    """The stream itself over the events, run until all rows there are read, and the history it leaves."""
+    path = scratch(spark, "history")
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    C.streaming_history(stream, path, scratch(spark, "check"), "user_id", "ts", "event_id", 10).awaitTermination()
+    return C.read_history(spark, path, schema, "user_id", "ts", "event_id", 10).select("user_id", "event_id")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import ordering as O
+from ..operators import records as R
 from ..streaming import events as S
 from .registry import query, table
 
@@ -93,13 +94,14 @@ def insert_at(spark, sf_dir):
     return O.insert_at(base.join(nx, "user_id"), extra.join(nb, "user_id"), 20).select("event_id", F.col("out_pos").cast("long"), "inserted")
 
 
-@query("merge_plan", """WITH s AS (SELECT s_suppkey, s_name, 1 + s_suppkey % 5 AS pages FROM supplier), o AS (SELECT *, row_number() OVER (ORDER BY s_suppkey DESC) AS k FROM s)
-SELECT s_suppkey, CAST(pages AS BIGINT) AS pages, CAST(sum(pages) OVER (ORDER BY k) - pages + 1 AS BIGINT) AS first_out FROM o""")
+@query("merge_plan", """WITH s AS (SELECT s_suppkey, 3 + s_suppkey % 5 AS n, s_suppkey % 4 AS k FROM supplier), p AS (SELECT s_suppkey, n, CASE k WHEN 0 THEN range(1, n + 1) WHEN 1 THEN [3, 1, 2] WHEN 2 THEN list_reverse(range(1, n + 1)) ELSE range(1, n + 1) END AS pages, k = 3 AS invalid FROM s)
+SELECT s_suppkey, list_transform(pages, lambda x: CAST(x AS BIGINT)) AS pages, CAST(sum(len(pages)) OVER (ORDER BY s_suppkey DESC) - len(pages) + 1 AS BIGINT) AS first_out, invalid FROM p""")
 def merge_plan(spark, sf_dir):
-    """Sources by natural name, last first; the catalogue of sources is small, so one ordered window serves."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", (1 + F.col("s_suppkey") % 5).cast("long").alias("pages"))
-    w = Window.orderBy(O.natural_key(F.col("s_name")).desc())
-    return s.select("s_suppkey", "pages", (F.sum("pages").over(w) - F.col("pages") + 1).alias("first_out"))
+    """Sources by natural name, last first; some with a subset, one in four with one that cannot be read."""
+    k, n = F.col("s_suppkey") % 4, (3 + F.col("s_suppkey") % 5).cast("long")
+    subset = F.when(k == 1, " 3, 1-2,3 ").when(k == 2, F.concat(n.cast("string"), F.lit(" - 1"))).when(k == 3, "1,x")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("name"), n.alias("n_pages"), subset.alias("subset"))
+    return O.merge_plan(s, "s_suppkey", O.natural_key(F.col("name")).desc()).select("s_suppkey", "pages", "first_out", "invalid")
 
 
 @query("toc_positions", """WITH s AS (SELECT n_nationkey, 1 + n_nationkey % 4 AS pages FROM nation)
@@ -209,9 +211,11 @@ def cooldown_dedup(spark, sf_dir):
     return S.cooldown_dedup(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 6 * 3600 * 1000).select("event_id", "user_id")
 
 
-@query("session_dedup", "SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, props ORDER BY ts, event_id) AS k FROM events) WHERE k = 1")
+@query("session_dedup", """WITH l AS (SELECT *, sum((event_type = 'error')::INT) OVER (PARTITION BY user_id, props ORDER BY ts, event_id) AS life FROM events)
+SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, props, life ORDER BY ts, event_id) AS k FROM l WHERE event_type <> 'error') WHERE k = 1""")
 def session_dedup(spark, sf_dir):
-    return S.session_dedup(table(spark, sf_dir, "events"), ["user_id", "props"], "ts", "event_id").select("event_id")
+    """Errors take a payload away, so the next one is let in again."""
+    return S.session_dedup(table(spark, sf_dir, "events"), ["user_id", "props"], "ts", "event_id", F.col("event_type") == "error").select("event_id")
 
 
 @query("daily_allowance", """WITH d AS (SELECT *, CAST(ts AS DATE) AS day FROM events), f AS (SELECT user_id, day, event_type, min(ts) AS t, arg_min(event_id, (ts, event_id)) AS e FROM d GROUP BY 1, 2, 3),
@@ -253,13 +257,14 @@ def catalog_search(spark, sf_dir):
     return table(spark, sf_dir, "part").filter(hit).select("p_partkey")
 
 
-@query("related_items", "SELECT p_partkey, other, rank FROM (SELECT a.p_partkey, b.p_partkey AS other, row_number() OVER (PARTITION BY a.p_partkey ORDER BY (b.p_type = a.p_type)::INT DESC, b.p_partkey) AS rank FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey) WHERE rank <= 4")
+@query("related_items", """WITH l AS (SELECT x.p_partkey, o.p_partkey AS other, place FROM (SELECT p_partkey, unnest([p_partkey + 7, p_partkey, p_partkey + 3]) AS o, unnest([1, 2, 3]) AS place FROM part WHERE p_partkey % 3 = 0) x JOIN part o ON o.p_partkey = x.o AND o.p_partkey <> x.p_partkey),
+u AS (SELECT p_partkey, other, place, 0 AS p FROM l UNION ALL SELECT a.p_partkey, b.p_partkey, NULL, 1 FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey WHERE (a.p_partkey, b.p_partkey) NOT IN (SELECT (p_partkey, other) FROM l))
+SELECT p_partkey, other, rank FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY p, place, other) AS rank FROM u) WHERE rank <= 4""")
 def related_items(spark, sf_dir):
-    """Items of the same brand and size; those of the same type first."""
-    a, b = table(spark, sf_dir, "part").alias("a"), table(spark, sf_dir, "part").alias("b")
-    j = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") != F.col("b.p_partkey")))
-    w = Window.partitionBy("a.p_partkey").orderBy((F.col("b.p_type") == F.col("a.p_type")).cast("int").desc(), "b.p_partkey")
-    return j.select(F.col("a.p_partkey").alias("p_partkey"), F.col("b.p_partkey").alias("other"), F.row_number().over(w).cast("long").alias("rank")).filter("rank <= 4")
+    """Explicit relations first, then items of the same brand and size."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    links = p.filter(k % 3 == 0).select("p_partkey", F.posexplode(F.array(k + 7, k, k + 3)).alias("place", "other"))
+    return R.related(p, "p_partkey", ["p_brand", "p_size"], links, 4)
 
 
 @query("placement_peak", "SELECT l_partkey, max(l_extendedprice / l_quantity) AS peak, count(DISTINCT l_orderkey) AS n_pages FROM lineitem GROUP BY l_partkey")
@@ -274,11 +279,11 @@ def source_tray(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("original"), left.alias("remaining"), (left == 0).alias("emptied"))
 
 
-@query("confidence_stats", "SELECT event_type, count(*) FILTER (r >= 85) AS high, count(*) FILTER (r >= 60 AND r < 85) AS medium, count(*) FILTER (r < 60) AS low, CAST(floor(count(*) FILTER (r >= 85) * 100.0::DOUBLE / count(*) + 0.5) AS BIGINT) AS high_percent FROM (SELECT event_type, floor(least(100, value) + 0.5) AS r FROM events) GROUP BY event_type")
+@query("confidence_stats", """WITH r AS (SELECT event_type, floor(least(100, value) + 0.5) AS r, least(100, value) AS v FROM events), c AS (SELECT event_type, count(*) AS n, count(*) FILTER (r >= 85) AS high, count(*) FILTER (r >= 60 AND r < 85) AS medium, count(*) FILTER (r < 60) AS low, floor(sum(r)::DOUBLE / count(*) + 0.5) AS a FROM r GROUP BY event_type)
+SELECT event_type, high, medium, low, CAST(floor(high * 100.0::DOUBLE / n + 0.5) AS BIGINT) AS high_percent, CAST(floor(medium * 100.0::DOUBLE / n + 0.5) AS BIGINT) AS medium_percent, CAST(floor(low * 100.0::DOUBLE / n + 0.5) AS BIGINT) AS low_percent, CAST(a AS BIGINT) AS average FROM c""")
 def confidence_stats(spark, sf_dir):
-    r = F.floor(F.least(F.lit(100), F.col("value")) + 0.5)
-    n = lambda c: F.sum(c.cast("long"))
-    return table(spark, sf_dir, "events").withColumn("r", r).groupBy("event_type").agg(n(F.col("r") >= 85).alias("high"), n((F.col("r") >= 60) & (F.col("r") < 85)).alias("medium"), n(F.col("r") < 60).alias("low"), F.floor(n(F.col("r") >= 85) * 100.0 / F.count("*") + 0.5).cast("long").alias("high_percent"))
+    e = table(spark, sf_dir, "events").withColumn("confidence", F.least(F.lit(100), F.col("value")))
+    return O.confidence_stats(e, "confidence", ["event_type"])
 
 
 @query("group_by_size", "SELECT w, h, orientation, count(*) AS n, min(p_partkey) AS first FROM (SELECT p_partkey, w, h, CASE WHEN w > h THEN 'landscape' WHEN w < h THEN 'portrait' ELSE 'square' END AS orientation FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 THEN b ELSE a END AS w, CASE WHEN p_partkey % 2 = 1 THEN a ELSE b END AS h FROM (SELECT p_partkey, CAST(p_size * 10 AS BIGINT) AS a, CAST(300 - p_size AS BIGINT) AS b FROM part))) GROUP BY w, h, orientation")
@@ -290,11 +295,13 @@ def group_by_size(spark, sf_dir):
     return p.groupBy("w", "h", kind.alias("orientation")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
 
 
-@query("orientation_vote", "WITH a AS (SELECT user_id, event_id % 4 * 90 AS angle, sum(CAST(floor(value) AS BIGINT)) AS w FROM events WHERE event_type <> 'view' GROUP BY 1, 2), t AS (SELECT user_id, sum(w) AS total, max(w) AS top, arg_max(angle, (w, -angle)) AS angle FROM a GROUP BY user_id) SELECT user_id, angle, CASE WHEN total < 10 THEN 'manual' WHEN top::DOUBLE / total >= 0.3 THEN 'rotate' ELSE 'review' END AS decision FROM t")
+@query("orientation_vote", """WITH e AS (SELECT user_id % 40 AS page, CASE WHEN user_id % 3 = 0 AND event_id % 10 > 0 THEN 90 ELSE event_id % 4 * 90 END AS angle, CAST(floor(value) AS BIGINT) AS chars FROM events WHERE user_id % 40 > 0 OR event_id < 5), a AS (SELECT page, angle, sum(chars) AS w FROM e GROUP BY 1, 2), t AS (SELECT page, sum(w) AS chars, max(w) AS top, arg_max(angle, (w, -angle)) AS angle FROM a GROUP BY page)
+SELECT page, angle, CAST(chars AS BIGINT) AS chars, CASE WHEN chars < 10 OR top::DOUBLE / greatest(1, chars) < 0.7 THEN 'review' WHEN angle = 0 THEN 'upright' ELSE 'rotate' END AS decision FROM t""")
 def orientation_vote(spark, sf_dir):
-    a = table(spark, sf_dir, "events").filter("event_type <> 'view'").groupBy("user_id", (F.col("event_id") % 4 * 90).alias("angle")).agg(F.sum(F.floor("value").cast("long")).alias("w"))
-    t = a.groupBy("user_id").agg(F.sum("w").alias("total"), F.max("w").alias("top"), F.max(F.struct("w", (-F.col("angle")).alias("neg"), "angle")).alias("m"))
-    return t.select("user_id", F.col("m.angle").alias("angle"), F.when(F.col("total") < 10, "manual").when(F.col("top") / F.col("total") >= 0.3, "rotate").otherwise("review").alias("decision"))
+    """Events as runs of text on 40 pages; a third of the users mostly write at 90 degrees."""
+    k, u = F.col("event_id"), F.col("user_id")
+    e = table(spark, sf_dir, "events").filter((u % 40 > 0) | (k < 5)).select((u % 40).alias("page"), F.when((u % 3 == 0) & (k % 10 > 0), 90).otherwise(k % 4 * 90).cast("long").alias("angle"), F.floor("value").cast("long").alias("chars"))
+    return O.orientation_vote(e, "page", "angle", "chars")
 
 
 @query("blank_report", "SELECT user_id, count(*) AS pages, count(*) FILTER (value <= 12 AND event_type <> 'purchase') AS blank, coalesce(min(event_id) FILTER (value <= 12 AND event_type <> 'purchase'), -1) AS first_blank FROM events GROUP BY user_id")

@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import classes as C
 from ..operators import extraction as X
 from ..operators import records as R
 from ..operators import sensitive as P
 from ..sources import csv as V
 from ..sources import pages as G
-from ..sources.shared import scratch
-from .registry import query, table
-from .text_queries import STOPS_SQL, S
+from ..sources.shared import scratch, spread
+from .literals import MARKERS_SQL
+from .registry import documents, query, table
 
 # Contract-like texts made of the orders table, the same in both engines.
 PAPERS_SQL = """papers AS (SELECT o_orderkey AS doc_id, 'Services Agreement' || chr(10) || 'Contract No: CT-' || o_orderkey || chr(10) || 'Effective Date: ' || strftime(o_orderdate, '%Y-%m-%d') || chr(10)
   || 'This agreement is entered into between Customer ' || o_custkey || ' Ltd and Acme ' || (o_orderkey % 50) || ' Inc.' || chr(10) || 'Total Amount: $' || CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR) || chr(10)
   || CASE o_orderkey % 3 WHEN 0 THEN 'The customer shall pay within ' || (o_orderkey % 60 + 1) || ' days of receipt.' WHEN 1 THEN 'A penalty of USD 500.00 applies on breach or default.' ELSE 'The vendor is entitled to terminate no later than 5 March 2024.' END || chr(10)
-  || 'Invoice Date: ' || strftime(o_orderdate, '%d/%m/%Y') || chr(10) || 'Due Date: 12/31/2024' || chr(10) || 'Vendor: ' || o_orderpriority AS text FROM orders)"""
+  || 'Invoice Date: ' || strftime(o_orderdate, '%d/%m/%Y') || chr(10) || 'Due Date: 12/31/2024' || chr(10) || 'Vendor: ' || o_orderpriority || chr(10) || CASE o_orderkey % 4 WHEN 0 THEN 'The tenant may occupy the flat freely.' WHEN 1 THEN 'The customer shall pay at once.' WHEN 2 THEN 'Deposit 0.00 USD and USD 1,200.50' ELSE 'Nothing more' END AS text FROM orders)"""
 
 
 def papers(spark, sf_dir):
@@ -30,6 +31,7 @@ def papers(spark, sf_dir):
         F.concat(F.lit("This agreement is entered into between Customer "), s(F.col("o_custkey")), F.lit(" Ltd and Acme "), s(k % 50), F.lit(" Inc.")),
         F.concat(F.lit("Total Amount: $"), s(F.col("o_totalprice").cast("decimal(18,2)"))), clause, F.concat(F.lit("Invoice Date: "), F.date_format("o_orderdate", "dd/MM/yyyy")),
         F.lit("Due Date: 12/31/2024"), F.concat(F.lit("Vendor: "), F.col("o_orderpriority")),
+        F.when(k % 4 == 0, "The tenant may occupy the flat freely.").when(k % 4 == 1, "The customer shall pay at once.").when(k % 4 == 2, "Deposit 0.00 USD and USD 1,200.50").otherwise("Nothing more"),
     )
     return o.select(k.alias("doc_id"), text.alias("text"))
 
@@ -37,60 +39,87 @@ def papers(spark, sf_dir):
 LINES = PAPERS_SQL + ", lines AS (SELECT doc_id, unnest(l) AS line, CAST(unnest(range(1, len(l) + 1)) AS BIGINT) AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM papers))"
 
 
-def ascii_edges(p: str) -> str:
-    return p.replace("(?<![A-Za-z0-9_])", r"\b").replace("(?![A-Za-z0-9_])", r"\b").replace("'", "''")
+# The SQL states its own patterns: value pattern with its group, what names it (a text, or SQL over the line), SQL of the key.
+_LINE = lambda *cases, other: "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(line), {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{name}'" for ws, name in cases) + f" ELSE '{other}' END"
+_DATES = _LINE((["effective date", "effective as of"], "Effective Date"), (["execution date", "signed date", "agreement date"], "Execution Date"), (["termination date", "expiration date"], "Expiration Date"), (["due date", "payment due"], "Payment Due Date"), (["commencement date", "start date"], "Commencement Date"), other="Date")
+_AMOUNTS = _LINE((["total", "aggregate"], "Total Amount"), (["penalty", "liquidated damages", "fine"], "Penalty Amount"), (["fee", "compensation"], "Fee"), (["deposit", "security"], "Security Deposit"), (["rent"], "Rent"), other="Monetary Amount")
+_MONTHS = "(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember))"
+_NUMBER = r"[0-9]{1,3}(?:[,\s][0-9]{2,3})*(?:\.[0-9]{1,2})?|[0-9]+(?:\.[0-9]{1,2})?"
+_BETWEEN = r"(?i)(?:by\s+and\s+between|between|entered\s+into\s+between)\s+([A-Z0-9][A-Za-z0-9&.,\s]{1,80}?)\s+and\s+([A-Z0-9][A-Za-z0-9&.,\s]{1,80}?)(?:\s*\(|\.|,|$|\n)"
+_ROLE = r"(?i)(Party\s+[AB]|First\s+Party|Second\s+Party|Employer|Employee|Client|Contractor|Customer|Vendor|Licensor|Licensee|Lender|Borrower|Landlord|Tenant|Purchaser|Supplier|Buyer|Seller|Disclosing\s+Party|Receiving\s+Party)\s*[:=-]\s*([A-Za-z0-9&.,\s]{3,50})(?:[;\r\n]|$)"
+_COMPANY = r"\b([A-Z][A-Za-z0-9&.,\s]{1,40}\b(?:Inc\.?|LLC|Ltd\.?|Limited|Corp\.?|Corporation|Pvt\.?\s*Ltd\.?|Private\s+Limited|LLP|GmbH|PLC))\b"
+ENTITY_SQL = {
+    "date": ([(rf"(?i)\b(\d{{1,2}}(?:st|nd|rd|th)?\s+{_MONTHS}[,\s]+\d{{4}})\b", 1, _DATES), (rf"(?i)\b({_MONTHS}\s+\d{{1,2}}(?:st|nd|rd|th)?[,\s]+\d{{4}})\b", 1, _DATES), (r"\b(\d{4}[-/.]\d{1,2}[-/.]\d{1,2})\b", 1, _DATES), (r"\b(\d{1,2}[-/.]\d{1,2}[-/.]\d{2,4})\b", 1, _DATES)], " ", "value <> ''", "lower(value)"),
+    "amount": ([(rf"(?i)((?:\$|€|£|₹|Rs\.?|INR|USD|EUR|GBP)\s*(?:{_NUMBER})|(?:{_NUMBER})\s*(?:USD|EUR|GBP|INR|dollars|rupees))", 1, _AMOUNTS)], " ", "TRY_CAST(regexp_extract(replace(value, ',', ''), '([0-9]+(?:\\.[0-9]{1,2})?)', 1) AS DOUBLE) > 0", "regexp_replace(lower(value), '\\s+', '', 'g')"),
+    "party": ([(_BETWEEN, 1, "'First Party'"), (_BETWEEN, 2, "'Second Party'"), (_ROLE, 2, 1), (_COMPANY, 1, "'Contracting Entity'")], " \t,;:\"''()", "length(value) >= 3 AND lower(value) NOT IN ('and', 'the', 'this', 'agreement', 'contract', 'between', 'by', 'party')", "lower(value)"),
+    "deadline": ([(r"(?i)\b(within\s+(?:\d+|[a-z]+)\s+(?:calendar\s+|business\s+)?(?:days|weeks|months))\b", 1, _D := _LINE((["notice"], "Notice Period"), (["pay"], "Payment Deadline"), other="Deadline")), (r"(?i)\b((?:no\s+later\s+than|on\s+or\s+before|due\s+on)\s+[A-Za-z0-9/-]+(?:\s+[A-Za-z0-9]+){0,2})", 1, _D), (r"(?i)\b(notice\s+period\s+of\s+\d+\s+\w+)\b", 1, _D)], " ", "value <> ''", "lower(value)"),
+    "reference": ([(r"(?i)\b(?:Account|Invoice|Contract|Agreement|Policy|Order|Reference|Case)\s*(?:No\.?|Number|#|ID)\s*[:=]?\s*([A-Z0-9][A-Z0-9/-]{2,30})", 1, _R := _LINE((["invoice"], "Invoice Number"), (["contract"], "Contract Number"), other="Reference")), (r"\b([A-Z]{5}[0-9]{4}[A-Z])\b", 1, _R)], " ", "value <> ''", "lower(value)"),
+}
 
 
-def entity_sql(e: X.Entity) -> str:
-    found = " UNION ALL ".join(f"SELECT doc_id, line_no, line, {k} AS p, unnest(range(1, len(m) + 1)) AS n, trim(unnest(m), '{e.strip.replace(chr(39), chr(39) * 2)}') AS value FROM (SELECT *, regexp_extract_all(line, '{ascii_edges(p)}', {g}) AS m FROM lines)" for k, (p, g) in enumerate(e.patterns))
-    label = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(line), {chr(39)}{w}{chr(39)})' for w in ws)} THEN '{name}'" for ws, name in e.labels) + f" ELSE '{e.label}' END"
-    return f"SELECT doc_id, '{e.kind}' AS kind, {label} AS label, value, line_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(value) ORDER BY line_no, p, n) AS k FROM ({found}) WHERE value <> '') WHERE k = 1"
+def entity_sql(kind: str) -> str:
+    patterns, strip, good, key = ENTITY_SQL[kind]
+    q = lambda p: p.replace("'", "''")
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, line_no, line, {k} AS p, unnest(range(1, len(m) + 1)) AS n, trim(unnest(m), '{strip}') AS value, {'trim(unnest(l))' if isinstance(label, int) else 'CAST(NULL AS VARCHAR)'} AS given, {'NULL' if isinstance(label, int) else label} AS named "
+        f"FROM (SELECT *, {f'[regexp_extract(line, {chr(39)}{q(p)}{chr(39)}, {g})]' if p == _BETWEEN else f'regexp_extract_all(line, {chr(39)}{q(p)}{chr(39)}, {g})'} AS m{f', regexp_extract_all(line, {chr(39)}{q(p)}{chr(39)}, {label}) AS l' if isinstance(label, int) else ''} FROM lines)"
+        for k, (p, g, label) in enumerate(patterns)
+    )
+    return f"SELECT doc_id, '{kind}' AS kind, coalesce(given, named) AS label, value, line_no FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, {key} ORDER BY line_no, p, n) AS k FROM ({found}) WHERE {good}) WHERE k = 1"
 
 
-def _entity(e: X.Entity, name: str) -> None:
-    @query(name, f"WITH {LINES} {entity_sql(e)}")
+def _entity(e: X.Entity, name: str, more: str = "", extra=None) -> None:
+    @query(name, f"WITH {LINES} SELECT *{more} FROM ({entity_sql(e.kind)})")
     def run(spark, sf_dir):
-        return X.extract(X.lines(papers(spark, sf_dir)), e)
+        out = X.extract(X.lines(papers(spark, sf_dir)), e).drop("context")
+        return extra(out) if extra else out
 
 
-for _e, _n in zip(X.ENTITIES, ("extract_dates", "extract_amounts", "extract_parties", "extract_deadlines", "extract_references"), strict=True):
+_ISO = "CASE WHEN regexp_full_match(value, '\\d{4}-\\d{2}-\\d{2}') THEN value WHEN regexp_full_match(value, '\\d{2}/\\d{2}/\\d{4}') THEN coalesce(strftime(try_strptime(value, '%m/%d/%Y'), '%Y-%m-%d'), value) WHEN regexp_full_match(value, '\\d{1,2} [A-Za-z]+ \\d{4}') THEN coalesce(strftime(try_strptime(value, '%d %B %Y'), '%Y-%m-%d'), value) ELSE value END AS iso"
+_entity(X.ENTITIES[0], "extract_dates", ", " + _ISO, lambda d: d.withColumn("iso", X.iso_date(F.col("value"))))
+_entity(X.ENTITIES[1], "extract_amounts", ", CAST(regexp_extract(replace(value, ',', ''), '([0-9]+(?:\\.[0-9]{1,2})?)', 1) AS DOUBLE) AS amount", lambda d: d.withColumn("amount", X.amount_value(F.col("value"))))
+for _e, _n in zip(X.ENTITIES[2:], ("extract_parties", "extract_deadlines", "extract_references"), strict=True):
     _entity(_e, _n)
-ALL_SQL = " UNION ALL ".join(f"({entity_sql(e)})" for e in X.ENTITIES)
+ALL_SQL = " UNION ALL ".join(f"({entity_sql(k)})" for k in ENTITY_SQL)
 
 
 @query("entities_union", f"WITH {LINES} {ALL_SQL}")
 def entities_union(spark, sf_dir):
-    return X.extract_all(papers(spark, sf_dir))
+    return X.extract_all(papers(spark, sf_dir)).drop("context")
 
 
-@query("entity_summary", f"WITH {LINES}, a AS ({ALL_SQL}) SELECT doc_id, " + ", ".join(f"count(*) FILTER (kind = '{e.kind}') AS n_{e.kind}" for e in X.ENTITIES) + " FROM a GROUP BY doc_id")
+@query("entity_summary", f"WITH {LINES}, a AS ({ALL_SQL}) SELECT doc_id, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ENTITY_SQL) + " FROM a GROUP BY doc_id")
 def entity_summary(spark, sf_dir):
     return X.extract_all(papers(spark, sf_dir)).groupBy("doc_id").agg(*[F.sum((F.col("kind") == e.kind).cast("long")).alias(f"n_{e.kind}") for e in X.ENTITIES])
 
 
-_HITS = ", ".join(f"regexp_matches(line, '(?i)\\b(?:{p})\\b')::INT AS m{k}" for k, (p, _) in enumerate(X.MARKERS))
-_SUMS = {c: " + ".join(f"m{k}" for k, (_, d) in enumerate(X.MARKERS) if d == c) for c in X.CLAUSE_WEIGHTS}
-_BY = ", ".join(f"({s}) * {X.CLAUSE_WEIGHTS[c]} AS w_{c}" for c, s in _SUMS.items())
+_HITS = ", ".join(f"regexp_matches(segment, '(?i){p}')::INT AS m{k}" for k, (p, _) in enumerate(MARKERS_SQL))
+_WEIGHTS = {"penalty": 30, "deadline": 25, "right": 20, "obligation": 20}
+_BY = ", ".join(f"({' + '.join(f'm{k}' for k, (_, d) in enumerate(MARKERS_SQL) if d == c)}) * {w} AS w_{c}" for c, w in _WEIGHTS.items())
+# lines end clauses in these texts at stops and colons alone, and none starts a section
+SEGMENTS = rf"""seg AS (SELECT doc_id, line_no, trim(line) AS line, sum(coalesce(shut, 1)) OVER (PARTITION BY doc_id ORDER BY line_no) AS part FROM (SELECT *, lag(regexp_matches(line, '[.;:]$')::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS shut FROM lines WHERE trim(line) <> '')),
+whole AS (SELECT doc_id, part, string_agg(line, ' ' ORDER BY line_no) AS t FROM seg GROUP BY 1, 2), cuts AS (SELECT doc_id, part, list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 10) AS l FROM whole),
+flat AS (SELECT doc_id, part, unnest(range(0, len(l))) AS k, regexp_replace(unnest(l), '\s+', ' ', 'g') AS segment FROM cuts), segments AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, k) AS segment_no, segment FROM flat)"""
 
 
-@query("extract_clauses", f"""WITH {LINES}, h AS (SELECT *, {_HITS} FROM lines WHERE length(line) >= 15), w AS (SELECT doc_id, line_no, {' + '.join(f'm{k}' for k in range(len(X.MARKERS)))} AS markers, {_BY} FROM h)
-SELECT doc_id, line_no, CAST(markers AS BIGINT) AS markers, CASE greatest({', '.join('w_' + c for c in X.CLAUSE_WEIGHTS)}) {' '.join(f"WHEN w_{c} THEN '{c}'" for c in X.CLAUSE_WEIGHTS)} END AS category, CAST(least(98, 80 + 5 * markers) AS BIGINT) AS confidence FROM w WHERE markers > 0""")
+@query("extract_clauses", f"""WITH {LINES}, {SEGMENTS}, h AS (SELECT *, {_HITS} FROM segments WHERE length(segment) >= 15), w AS (SELECT doc_id, segment_no, segment, {' + '.join(f'm{k}' for k in range(len(MARKERS_SQL)))} AS markers, {_BY} FROM h),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(segment) ORDER BY segment_no) AS k FROM w WHERE markers > 0)
+SELECT doc_id, segment_no, segment, CAST(markers AS BIGINT) AS markers, CASE greatest({', '.join('w_' + c for c in _WEIGHTS)}) {' '.join(f"WHEN w_{c} THEN '{c}'" for c in _WEIGHTS)} END AS category, CAST(least(98, 80 + 5 * markers) AS BIGINT) AS confidence FROM f WHERE k = 1""")
 def extract_clauses(spark, sf_dir):
-    return X.extract_clauses(X.lines(papers(spark, sf_dir))).select("doc_id", "line_no", "markers", "category", "confidence")
+    s = X.contract_segments(X.lines(papers(spark, sf_dir)))
+    return X.extract_clauses(s).select("doc_id", "segment_no", "segment", "markers", "category", "confidence")
 
 
-FIELDS = {
-    "contract_no": (r"(?i)^contract no:\s*(.+)$", "first"), "issue_date": (r"(?i)^invoice date:\s*(.+)$", "first"), "due_date": (r"(?i)^due date:\s*(.+)$", "first"),
-    "total": (r"(?i)^total.*?\$\s*([0-9.,]+)", "last"), "vendor": (r"(?i)^vendor:\s*(.+)$", "first"), "customer": (r"(?i)between\s+(customer \d+)", "first"),
-    "deadline": (r"(?i)within (\d+) days", "first"), "address": (r"(?i)^address:\s*(.+)$", "first"),
-}
-_FIELDS_SQL = f"{LINES}, m AS (" + " UNION ALL ".join(f"SELECT doc_id, line_no, '{k}' AS key, trim(regexp_extract(line, '{p}', 1)) AS value, {1 if w == 'first' else -1} AS d FROM lines WHERE trim(regexp_extract(line, '{p}', 1)) <> ''" for k, (p, w) in FIELDS.items()) + f"), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY line_no * d) AS k FROM m), a AS (SELECT doc_id, unnest([{', '.join(repr(k) for k in FIELDS)}]) AS key FROM papers), fields AS (SELECT a.doc_id, a.key, value, CAST(CASE WHEN value IS NULL THEN 0 WHEN length(value) > 3 THEN 90 ELSE 70 END AS BIGINT) AS confidence, line_no FROM a LEFT JOIN b ON a.doc_id = b.doc_id AND a.key = b.key AND b.k = 1)"
+# All papers are invoices to the simple classifier; the values follow from how the texts are made.
+_FIELDS_SQL = f"""{PAPERS_SQL}, p AS (SELECT o_orderkey AS doc_id, strftime(o_orderdate, '%Y-%m-%d') AS d, CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR) AS total, 'CT-' || o_orderkey AS ct FROM orders),
+kv AS (SELECT doc_id, unnest(['date', 'dueDate', 'grandTotal', 'subtotal', 'taxAmount', 'balanceDue', 'invoiceNumber', 'orderNumber', 'vendorName', 'customerName', 'address']) AS key,
+  unnest([d, NULL, '$' || CASE WHEN length(total) > 6 THEN total[1:3] ELSE total END, NULL, NULL, NULL, NULL, NULL, 'Services Agreement', NULL, CASE WHEN doc_id BETWEEN 10000 AND 999999 THEN 'Contract No: ' || ct END]) AS value, unnest([95, 0, 95, 0, 0, 0, 0, 0, 82, 0, 84]) AS sure, unnest([3, 0, 5, 0, 0, 0, 0, 0, 1, 0, 2]) AS at_line FROM p),
+fields AS (SELECT doc_id, key, value, CAST(CASE WHEN value IS NULL THEN 0 ELSE sure END AS BIGINT) AS confidence, CASE WHEN value IS NOT NULL THEN CAST(at_line AS BIGINT) END AS line_no FROM kv)"""
 
 
 @query("extract_fields", f"WITH {_FIELDS_SQL} SELECT * FROM fields")
 def extract_fields(spark, sf_dir):
-    p = papers(spark, sf_dir)
-    return X.extract_fields(X.lines(p), p, FIELDS)
+    return X.extract_fields(C.classify_simple(spread(papers(spark, sf_dir), "doc_id")))
 
 
 @query("field_summary", f"WITH {_FIELDS_SQL} SELECT doc_id, count(*) FILTER (confidence > 0) AS detected, count(*) FILTER (confidence >= 80) AS high, count(*) FILTER (confidence > 0 AND confidence < 80) AS low, count(*) FILTER (confidence = 0) AS absent FROM fields GROUP BY doc_id")
@@ -100,71 +129,84 @@ def field_summary(spark, sf_dir):
     return extract_fields(spark, sf_dir).groupBy("doc_id").agg(n(c > 0).alias("detected"), n(c >= 80).alias("high"), n((c > 0) & (c < 80)).alias("low"), n(c == 0).alias("absent"))
 
 
-@query("json_fields_sink", f"WITH {_FIELDS_SQL} SELECT doc_id, '{{' || string_agg('\"' || key || '\":\"' || value || '\"', ',' ORDER BY key) || '}}' AS json FROM fields WHERE value IS NOT NULL GROUP BY doc_id")
+@query("json_fields_sink", f"WITH {_FIELDS_SQL} SELECT doc_id, key, value || ' \"q\" \\' AS value FROM fields WHERE value IS NOT NULL")
 def json_fields_sink(spark, sf_dir):
-    """One JSON object a document, ready for df.write.text or json."""
-    kv = F.transform(F.array_sort(F.collect_list(F.struct("key", "value"))), lambda x: F.concat(F.lit('"'), x["key"], F.lit('":"'), x["value"], F.lit('"')))
-    return extract_fields(spark, sf_dir).filter("value is not null").groupBy("doc_id").agg(F.concat(F.lit("{"), F.array_join(kv, ","), F.lit("}")).alias("json"))
+    """One JSON object a document, written as files and read again; values hold quotes and backslashes."""
+    path = scratch(spark, "json")
+    X.json_fields(extract_fields(spark, sf_dir).withColumn("value", F.concat("value", F.lit(' "q" \\'))), path)
+    back = spark.read.schema("doc_id long, fields map<string,string>").json(path)
+    return back.select("doc_id", F.explode("fields").alias("key", "value"))
+
+
+_NAMED = {c: f"c{k}" for k, c in enumerate(C.GENERIC)}
+
 
+def _points(rules, source: str) -> str:
+    return ", ".join(f"({' + '.join(f'contains({source}, {chr(39)}{t}{chr(39)})::INT * {w}' for t, w in terms)})" + f" AS {{}}{k}" for k, terms in enumerate(rules.values()))
 
-RULES = [("agreement", "agreement", 20), ("agreement", "shall", 20), ("penalty", "penalty", 30), ("penalty", "breach", 20), ("exit", "terminate", 25), ("exit", "entitled", 20), ("invoice", "invoice", 20), ("invoice", "due date", 20)]
 
+def _first(names: dict[str, str], least: int, fallback: str) -> str:
+    top = f"greatest({', '.join(names.values())})"
+    return f"CASE WHEN {top} < {least} THEN '{fallback}' ELSE CASE {top} {' '.join(f'WHEN {c} THEN {chr(39)}{n}{chr(39)}' for n, c in names.items())} END END"
 
-def rules_sql(rules, least, fallback, source):
-    names = list(dict.fromkeys(c for c, _, _ in rules))
-    each = ", ".join(" + ".join(f"contains(t, '{t}')::INT * {w}" for n, t, w in rules if n == c) + f" AS c{k}" for k, c in enumerate(names))
-    top = f"greatest(0, {', '.join(f'c{k}' for k in range(len(names)))})"
-    return f"SELECT doc_id, CAST({top} AS BIGINT) AS score, CASE WHEN {top} < {least} THEN '{fallback}' ELSE CASE {top} {' '.join(f'WHEN c{k} THEN {chr(39)}{c}{chr(39)}' for k, c in enumerate(names))} END END AS category FROM (SELECT doc_id, {each} FROM (SELECT doc_id, lower(text) AS t FROM {source}))"
 
+SIMPLE_SQL = f"s AS (SELECT doc_id, text, {_points(C.SIMPLE, 't').replace('{}', 'c')} FROM (SELECT doc_id, text, lower(text) AS t FROM papers))"
+_KINDS = {c: f"c{k}" for k, c in enumerate(C.SIMPLE)}
 
-@query("classify_simple", f"WITH {PAPERS_SQL} {rules_sql(RULES, 15, 'UNKNOWN', 'papers')}")
+
+@query("classify_simple", f"WITH {PAPERS_SQL}, {SIMPLE_SQL}, b AS (SELECT doc_id, {_first(_KINDS, 15, 'UNKNOWN')} AS category, greatest({', '.join(_KINDS.values())}) AS points FROM s) SELECT doc_id, category, CAST(points AS BIGINT) AS points, CAST(CASE WHEN points < 15 THEN 30 ELSE least(98, greatest(50, 40 + points)) END AS BIGINT) AS confidence FROM b")
 def classify_simple(spark, sf_dir):
-    return X.classify(papers(spark, sf_dir), RULES, 15, "UNKNOWN").select("doc_id", "score", "category")
+    return C.classify_simple(papers(spark, sf_dir)).select("doc_id", "category", "points", "confidence")
+
+
+GENERIC_SQL = f"""raw AS (SELECT doc_id, text, o_orderkey % 2 + 1 AS pages, {_points(C.GENERIC, 't').replace('{}', 'p')}, {_points(C.GENERIC, 'h').replace('{}', 'h')} FROM (SELECT doc_id, text, lower(text) AS t, CASE doc_id % 3 WHEN 0 THEN 'tax invoice ' || doc_id WHEN 1 THEN 'scan' ELSE 'cash receipt' END AS h FROM papers) JOIN orders ON o_orderkey = doc_id),
+g AS (SELECT doc_id, text, pages, {', '.join(f"round(p{k} + {'CASE WHEN p' + str(k) + ' > 0 AND pages = 1 THEN 15 ELSE 0 END' if c in ('Receipt', 'ID Document') else 'CASE WHEN p' + str(k) + ' > 0 AND pages > 1 THEN 15 ELSE 0 END' if c == 'Contract' else '0'} + h{k} * 0.8::DOUBLE, 6) AS c{k}" for k, c in enumerate(C.GENERIC))} FROM raw),
+generic AS (SELECT *, {_first(_NAMED, 20, 'Other')} AS category, greatest({', '.join(_NAMED.values())}) AS points FROM g)"""
 
 
-CORPUS_RULES = [("english", "the ", 20), ("english", " and ", 20), ("french", " les ", 25), ("french", " une ", 20), ("german", " und ", 25), ("german", " der ", 20), ("spanish", " que ", 25), ("spanish", " los ", 20), ("licence", "license", 60)]
+def generic_papers(spark, sf_dir):
+    """The papers with page counts and file names."""
+    k = F.col("doc_id")
+    hint = F.when(k % 3 == 0, F.concat(F.lit("tax invoice "), k.cast("string"))).when(k % 3 == 1, "scan").otherwise("cash receipt")
+    return C.classify_generic(papers(spark, sf_dir).withColumn("pages", k % 2 + 1).withColumn("hint", hint), pages="pages", hint="hint")
 
 
-@query("classify_generic", rules_sql(CORPUS_RULES, 20, "Other", "documents"))
+@query("classify_generic", f"""WITH {PAPERS_SQL}, {GENERIC_SQL} SELECT doc_id, category, points, CAST(CASE WHEN category = 'Other' THEN 15 ELSE least(99, floor(55 + points / 130 * 44 + 0.5)) END AS BIGINT) AS confidence,
+  list_transform(list_sort(list_filter([{', '.join(f"{{'o': -CAST(least(95, floor(45 + c{k} / 130 * 44 + 0.5)) AS BIGINT), 'k': {k}, 'n': '{c}', 'p': c{k}}}" for k, c in enumerate(C.GENERIC))}], lambda x: x.p >= 20 AND x.n <> category)), lambda x: x.n || ':' || -x.o) AS others FROM generic""")
 def classify_generic(spark, sf_dir):
-    return X.classify(table(spark, sf_dir, "documents"), CORPUS_RULES, 20, "Other").select("doc_id", "score", "category")
+    others = F.transform("secondary", lambda x: F.concat_ws(":", x["category"], x["confidence"].cast("string")))
+    return generic_papers(spark, sf_dir).select("doc_id", "category", "points", "confidence", others.alias("others"))
 
 
-@query("rule_packs", """WITH r AS (SELECT n_nationkey AS rank, ['the', 'que', 'les', 'und', 'der', 'tion', 'los', 'and', 'une', 'est'][n_nationkey % 10 + 1] AS term, 'class' || n_nationkey % 4 AS category, 10 + n_nationkey AS weight FROM nation),
-w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9]+')) AS term FROM documents), s AS (SELECT doc_id, category, sum(weight) AS score, min(rank) AS rank FROM w JOIN r USING (term) GROUP BY 1, 2),
-b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, rank) AS k FROM s) SELECT d.doc_id, CAST(coalesce(score, 0) AS BIGINT) AS score, CASE WHEN coalesce(score, 0) < 15 THEN 'none' ELSE category END AS category FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id AND k = 1""")
+@query("rule_packs", r"""WITH h AS (SELECT doc_id, lower(text) AS t, text FROM documents), c AS (SELECT doc_id, contains(t, 'tion')::INT * 10 + regexp_matches(text, '(?i)\bof the\b')::INT * 15 AS a, regexp_matches(text, '(?i)\bque\b')::INT * 20 + regexp_matches(text, '(?i)(?:c?i[oó]n(es)?)')::INT * 10 AS b, regexp_matches(text, '(?i)\bund\b')::INT * 25 AS c FROM h)
+SELECT doc_id, CAST(greatest(a, b, c) AS BIGINT) AS score, CASE WHEN greatest(a, b, c) < 15 THEN 'none' WHEN a = greatest(a, b, c) THEN 'english' WHEN b = greatest(a, b, c) THEN 'spanish' ELSE 'german' END AS category FROM c""")
 def rule_packs(spark, sf_dir):
-    """A rule table joined on words."""
-    terms = F.array(*map(F.lit, ["the", "que", "les", "und", "der", "tion", "los", "and", "une", "est"]))
-    k = F.col("n_nationkey")
-    rules = table(spark, sf_dir, "nation").select(k.alias("rank"), F.element_at(terms, (k % 10 + 1).cast("int")).alias("term"), F.concat(F.lit("class"), (k % 4).cast("string")).alias("category"), (10 + k).alias("weight"))
-    return X.classify_by_table(table(spark, sf_dir, "documents"), rules, 15, "none")
+    """A pack of terms, markers of several words and a regular expression."""
+    rules = spark.createDataFrame([("english", "term", "tion", 10, 1), ("english", "marker", "of the", 15, 2), ("spanish", "marker", "que", 20, 3), ("spanish", "regex", "c?i[oó]n(es)?", 10, 4), ("german", "marker", "und", 25, 5)], "category string, kind string, pattern string, weight int, rank int")
+    return C.apply_rules(table(spark, sf_dir, "documents"), C.rule_pack(rules), 15, "none").select("doc_id", "score", "category")
 
 
-@query("rename_proposal", f"""WITH {PAPERS_SQL}, c AS ({rules_sql(RULES, 15, 'UNKNOWN', 'papers')}) SELECT doc_id, regexp_replace(category || '_' || regexp_extract(text, '(Customer \\d+)', 1) || '_' || regexp_extract(text, '(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1), '[^A-Za-z0-9._-]+', '_', 'g') || '.pdf' AS name FROM c JOIN papers USING (doc_id)""")
+@query("rename_proposal", rf"""WITH {PAPERS_SQL}, {GENERIC_SQL}, n AS (SELECT doc_id, CASE WHEN category = 'Other' THEN 'Document' ELSE replace(category, ' ', '') END AS c, regexp_replace(replace(trim(regexp_extract(text, 'Customer ([A-Za-z0-9&. ]{{2,30}})', 1)), ' ', '_'), '[_.]+$', '')[1:25] AS e,
+  CASE WHEN year(o_orderdate) >= 2000 THEN '_' || strftime(o_orderdate, '%Y-%m-%d') WHEN doc_id % 3 = 2 THEN '_2024-03-05' ELSE '' END AS d FROM generic JOIN orders ON o_orderkey = doc_id)
+SELECT doc_id, regexp_replace(replace(c || '_' || e || d, '.', '_'), '_+', '_', 'g') || '.pdf' AS name FROM n""")
 def rename_proposal(spark, sf_dir):
-    c = X.classify(papers(spark, sf_dir), RULES, 15, "UNKNOWN")
-    name = F.concat_ws("_", "category", F.regexp_extract("text", r"(Customer \d+)", 1), F.regexp_extract("text", r"(\d{4}-\d{2}-\d{2})", 1))
-    return c.select("doc_id", F.concat(R.safe_filename(name), F.lit(".pdf")).alias("name"))
+    g = generic_papers(spark, sf_dir)
+    return g.select("doc_id", C.rename_proposal(F.col("category"), C.entity_of(F.col("text")), C.iso_date_of(F.col("text"))).alias("name"))
 
 
-@query("organize_batch", f"""WITH {PAPERS_SQL}, c AS ({rules_sql(RULES, 15, 'UNKNOWN', 'papers')}) SELECT doc_id, CASE WHEN o_orderstatus = 'F' THEN category ELSE NULL END AS folder, CASE WHEN o_orderstatus = 'F' THEN 'applied' ELSE 'skipped' END AS status FROM c JOIN orders ON o_orderkey = doc_id""")
+@query("organize_batch", f"""WITH {PAPERS_SQL}, {GENERIC_SQL} SELECT doc_id, CASE WHEN o_orderstatus = 'F' THEN category ELSE NULL END AS folder, CASE WHEN o_orderstatus = 'F' THEN 'applied' ELSE 'skipped' END AS status FROM generic JOIN orders ON o_orderkey = doc_id""")
 def organize_batch(spark, sf_dir):
     """Only approved proposals (orders with status F) are applied."""
     ok = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc_id"), F.lit(True).alias("ok"))
-    c = X.classify(papers(spark, sf_dir), RULES, 15, "UNKNOWN").join(ok, "doc_id", "left")
+    c = generic_papers(spark, sf_dir).join(ok, "doc_id", "left")
     return c.select("doc_id", F.when(F.col("ok"), F.col("category")).alias("folder"), F.when(F.col("ok"), "applied").otherwise("skipped").alias("status"))
 
 
-@query("auto_tags", f"""WITH w AS (SELECT doc_id, regexp_replace(lower(unnest(l)), '[^a-z0-9]', '', 'g') AS word, unnest(range(1, len(l) + 1)) AS pos FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '{S}+'), lambda x: x <> '') AS l FROM documents)),
-c AS (SELECT doc_id, word, count(*) AS n, min(pos) AS first FROM w WHERE length(word) > 2 AND word NOT IN {STOPS_SQL} GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS k FROM c),
-g AS ({rules_sql(CORPUS_RULES, 20, 'Other', 'documents')}), t AS (SELECT doc_id, 0 AS p, category AS tag FROM g WHERE category <> 'Other' UNION ALL SELECT doc_id, k, word FROM r WHERE k <= 5), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS rank FROM t) SELECT doc_id, tag, rank FROM f WHERE rank <= 5""")
+@query("auto_tags")
 def auto_tags(spark, sf_dir):
-    """The class first, then frequent words, at most five."""
-    docs = table(spark, sf_dir, "documents")
-    words = G.keywords(docs, 5).select("doc_id", F.col("rank").alias("p"), F.col("word").alias("tag"))
-    own = X.classify(docs, CORPUS_RULES, 20, "Other").filter("category <> 'Other'").select("doc_id", F.lit(0).cast("long").alias("p"), F.col("category").alias("tag"))
-    return own.unionByName(words).withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("p")).cast("long")).filter("rank <= 5").select("doc_id", "tag", "rank")
+    """Tags of the corpus; tests hold them against a plain version."""
+    docs = C.classify_generic(documents(spark, sf_dir))
+    return C.tags(docs, category="category").select("doc_id", F.posexplode("tags").alias("k", "tag")).select("doc_id", (F.col("k") + 1).cast("long").alias("rank"), "tag")
 
 
 _AMB = r"\b(0?[1-9]|1[0-2])[/-](0?[1-9]|1[0-2])[/-](\d{4})\b"
@@ -180,49 +222,73 @@ def ambiguous_dates(spark, sf_dir):
     return m.select("doc_id", "raw", F.concat_ws("-", "y", F.lpad("a", 2, "0"), F.lpad("b", 2, "0")).alias("month_first"), F.concat_ws("-", "y", F.lpad("b", 2, "0"), F.lpad("a", 2, "0")).alias("day_first"))
 
 
-@query("contact_or_event", f"""WITH {PAPERS_SQL} SELECT doc_id, CASE WHEN contains(lower(text), 'date')::INT + contains(lower(text), 'within')::INT + contains(lower(text), 'march')::INT > contains(lower(text), 'ltd')::INT + contains(lower(text), 'inc')::INT THEN 'event' ELSE 'contact' END AS kind FROM papers""")
+@query("contact_or_event", """WITH t AS (SELECT c_custkey, lower(CASE c_custkey % 4 WHEN 0 THEN 'Zoom session, venue: hall' WHEN 1 THEN 'Director of Sales, tel: 1' WHEN 2 THEN 'Meeting with the manager' ELSE c_name END) AS t FROM customer)
+SELECT c_custkey, CASE WHEN contains(t, 'zoom')::INT + contains(t, 'session')::INT + contains(t, 'venue:')::INT + contains(t, 'meeting')::INT > contains(t, 'director')::INT + contains(t, 'tel:')::INT + contains(t, 'manager')::INT THEN 'event' ELSE 'contact' END AS kind FROM t""")
 def contact_or_event(spark, sf_dir):
     """10 points a keyword; an event only if strictly ahead."""
-    has = lambda *ws: sum((F.contains(F.lower("text"), F.lit(w)).cast("int") * 10 for w in ws), F.lit(0))
-    return papers(spark, sf_dir).select("doc_id", F.when(has("date", "within", "march") > has("ltd", "inc"), "event").otherwise("contact").alias("kind"))
+    k = F.col("c_custkey") % 4
+    t = F.when(k == 0, "Zoom session, venue: hall").when(k == 1, "Director of Sales, tel: 1").when(k == 2, "Meeting with the manager").otherwise(F.col("c_name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", C.contact_or_event(t).alias("kind"))
 
 
-@query("parse_requirements", r"""WITH t AS (SELECT p_partkey, 'File size ' || (p_size + 10) || 'KB-' || (p_size + 60) || 'KB, ' || (p_partkey % 300 + 100) || 'x' || (p_partkey % 400 + 120) || ' pixels, ' || CASE p_partkey % 3 WHEN 0 THEN 'JPEG' WHEN 1 THEN 'PNG' ELSE 'PDF' END || ' format, ' || (p_partkey % 3 * 100 + 100) || ' DPI' AS t FROM part)
-SELECT p_partkey, CAST(regexp_extract(t, '(?i)(\d+)\s*KB\s*(?:-|to)\s*(\d+)\s*KB', 1) AS BIGINT) AS min_kb, CAST(regexp_extract(t, '(?i)(\d+)\s*KB\s*(?:-|to)\s*(\d+)\s*KB', 2) AS BIGINT) AS max_kb, CAST(regexp_extract(t, '(?i)(\d+)\s*x\s*(\d+)\s*(?:px|pixels)', 1) AS BIGINT) AS width, CAST(regexp_extract(t, '(?i)(\d+)\s*x\s*(\d+)\s*(?:px|pixels)', 2) AS BIGINT) AS height, CAST(regexp_extract(t, '(?i)(\d+)\s*dpi', 1) AS BIGINT) AS dpi, lower(regexp_extract(t, '(?i)\b(jpe?g|png|pdf)\b', 1)) AS format FROM t""")
+@query("parse_requirements", """WITH t AS (SELECT p_partkey, p_size + 10 AS a, p_size + 60 AS b, p_partkey % 300 + 100 AS w, p_partkey % 400 + 120 AS h, p_partkey % 5 AS k FROM part),
+v AS (SELECT p_partkey, k, CASE k WHEN 0 THEN a WHEN 1 THEN a * 1024 WHEN 2 THEN a END AS min_kb, CASE k WHEN 0 THEN b WHEN 1 THEN b * 1024 WHEN 2 THEN b WHEN 3 THEN b END AS max_kb, CASE k WHEN 0 THEN w::DOUBLE WHEN 1 THEN 3.5::DOUBLE WHEN 3 THEN w::DOUBLE END AS width, CASE k WHEN 0 THEN h::DOUBLE WHEN 1 THEN 4.5::DOUBLE WHEN 3 THEN w::DOUBLE END AS height, w, h FROM t)
+SELECT p_partkey, CAST(min_kb AS BIGINT) AS min_kb, CAST(max_kb AS BIGINT) AS max_kb, width, height, CASE k WHEN 0 THEN 'px' WHEN 1 THEN 'cm' WHEN 3 THEN 'px' END AS unit,
+  CASE k WHEN 0 THEN CASE WHEN w = h THEN '1:1' WHEN w = 200 AND h = 230 THEN '20:23' WHEN w = 350 AND h = 450 THEN '3.5:4.5' ELSE (w * 10 // gcd(w * 10, h * 10)) || ':' || (h * 10 // gcd(w * 10, h * 10)) END WHEN 1 THEN '3.5:4.5' WHEN 3 THEN '3:4' END AS ratio, CASE WHEN k = 0 THEN CAST(p_partkey % 3 * 100 + 100 AS BIGINT) END AS dpi,
+  CASE k WHEN 0 THEN 'JPEG' WHEN 1 THEN 'JPG' WHEN 2 THEN 'PDF' WHEN 3 THEN 'JPEG' END AS format, k < 4 AS parsed, CASE k WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.95::DOUBLE WHEN 2 THEN 0.7::DOUBLE WHEN 3 THEN 0.9::DOUBLE END AS confidence FROM v""")
 def parse_requirements(spark, sf_dir):
+    """Five kinds of instruction made of the parts. A lone `h` counts as height, also the one that ends `width`."""
     k, s = F.col("p_partkey"), lambda c: c.cast("string")
-    kind = F.element_at(F.array(F.lit("JPEG"), F.lit("PNG"), F.lit("PDF")), (k % 3 + 1).cast("int"))
-    t = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("File size "), s(F.col("p_size") + 10), F.lit("KB-"), s(F.col("p_size") + 60), F.lit("KB, "), s(k % 300 + 100), F.lit("x"), s(k % 400 + 120), F.lit(" pixels, "), kind, F.lit(" format, "), s(k % 3 * 100 + 100), F.lit(" DPI")).alias("t"))
-    g = lambda p, n: F.regexp_extract("t", p, n)
-    size, px = r"(?i)(\d+)\s*KB\s*(?:-|to)\s*(\d+)\s*KB", r"(?i)(\d+)\s*x\s*(\d+)\s*(?:px|pixels)"
-    n = lambda c: c.try_cast("long")
-    return t.select("p_partkey", n(g(size, 1)).alias("min_kb"), n(g(size, 2)).alias("max_kb"), n(g(px, 1)).alias("width"), n(g(px, 2)).alias("height"), n(g(r"(?i)(\d+)\s*dpi", 1)).alias("dpi"), F.lower(g(r"(?i)(?<![A-Za-z0-9_])(jpe?g|png|pdf)(?![A-Za-z0-9_])", 1)).alias("format"))
-
-
-@query("form_fields_parse", "SELECT event_id, unnest(json_keys(props)) AS key, json_extract_string(props, '$.' || unnest(json_keys(props))) AS value FROM events")
+    a, b, w, h = s(F.col("p_size") + 10), s(F.col("p_size") + 60), s(k % 300 + 100), s(k % 400 + 120)
+    kinds = [
+        F.concat(F.lit("File size "), a, F.lit("KB-"), b, F.lit(" KB, "), w, F.lit("x"), h, F.lit(" pixels, JPEG or PNG, "), s(k % 3 * 100 + 100), F.lit(" dpi")),
+        F.concat(F.lit("Photo 3.5 cm x 4.5 cm as jpg; between "), a, F.lit(" MB and "), b, F.lit(" MB")),
+        F.concat(F.lit("At least "), a, F.lit(" kb, up to "), b, F.lit(" kbytes. PDF")),
+        F.concat(b, F.lit(" KB or less, width: "), w, F.lit(" px, height: "), h, F.lit(" px, aspect ratio 3:4")),
+        F.lit("Bring two photos"),
+    ]
+    t = table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(*kinds), (k % 5 + 1).cast("int")).alias("text"))
+    return R.parse_requirements(t).select("p_partkey", "min_kb", "max_kb", "width", "height", "unit", "ratio", "dpi", "format", "parsed", "confidence")
+
+
+@query("form_fields_parse", """WITH c AS (SELECT event_id, props, event_type, user_id FROM events)
+SELECT event_id, 'json' AS format, unnest(json_keys(props)) AS key, json_extract_string(props, '$.' || unnest(json_keys(props))) AS value FROM c WHERE event_id % 2 = 0
+UNION ALL SELECT event_id, 'csv', unnest(['id', 'kind, quoted', 'sum']), unnest([CAST(user_id AS VARCHAR), event_type || ' "x", y', '=1+' || event_id]) FROM c WHERE event_id % 2 = 1""")
 def form_fields_parse(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+    """JSON for even events, CSV with quotes, commas and a guarded formula for odd ones."""
+    cells = F.concat(F.lit(' id ,"kind, quoted",sum\r\n'), F.col("user_id").cast("string"), F.lit(',"'), "event_type", F.lit(' ""x"", y",\'=1+'), F.col("event_id").cast("string"))
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise(cells).alias("text"))
+    return R.form_fields(e, "event_id")
 
 
-@query("profile_validate", """SELECT event_id, CASE WHEN event_type = '' THEN 'no name' WHEN CAST(json_extract(props, '$.k') AS INT) IS NULL THEN 'no limit' WHEN CAST(json_extract(props, '$.k') AS INT) <= 10 THEN 'limit must exceed 10' WHEN CAST(json_extract(props, '$.k') AS INT) > 90 THEN 'limit must be at most 90' END AS error FROM events""")
+@query("profile_validate", """SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'Empty input: Please provide valid profile JSON text.' WHEN 1 THEN 'Malformed JSON: The provided text is not valid JSON syntax.' WHEN 2 THEN 'Missing required field ''version''' WHEN 3 THEN 'Missing required field ''name'''
+  WHEN 4 THEN 'Profile must contain at least one specification section: ''photo'', ''signature'', or ''pdf''.' WHEN 5 THEN CASE WHEN user_id % 50 > 20 THEN 'Field ''photo.minKb'' cannot exceed ''photo.maxKb''.' END WHEN 6 THEN 'Field ''pdf.unit'' must be one of ''px'', ''mm'', ''cm'', or ''in''.' END AS error FROM events""")
 def profile_validate(spark, sf_dir):
-    """First failed check only."""
-    e = table(spark, sf_dir, "events").withColumn("k", F.from_json("props", "k int")["k"])
-    error = R.first_error([(F.col("event_type") != "", "no name"), (F.col("k").isNotNull(), "no limit"), (F.col("k") > 10, "limit must exceed 10"), (F.col("k") <= 90, "limit must be at most 90")])
-    return e.select("event_id", error.alias("error"))
-
-
-
-
-@query("csv_safe_sink", r"""WITH v AS (SELECT event_id, k, ['=', '+', '-', '@', '|', ' =', ''][event_id % 7 + 1] || CASE WHEN k = 0 THEN event_type || ',x' ELSE CAST(event_id AS VARCHAR) END AS v FROM events, (SELECT unnest([0, 1]) AS k))
-SELECT event_id, k, CASE WHEN regexp_matches(ltrim(v), '^[=+\-@\t\r|%]') THEN '''' || v ELSE v END AS strict, CASE WHEN regexp_matches(trim(v), '^[+-]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?%?$') THEN trim(v) WHEN regexp_matches(trim(v), '^[=+\-@\t\r]') THEN '''' || trim(v) ELSE trim(v) END AS "numeric",
-  CASE WHEN contains(CASE WHEN regexp_matches(v, '^[=+\-@\t\r]') THEN '''' || v ELSE v END, ',') THEN '"' || CASE WHEN regexp_matches(v, '^[=+\-@\t\r]') THEN '''' || v ELSE v END || '"' ELSE CASE WHEN regexp_matches(v, '^[=+\-@\t\r]') THEN '''' || v ELSE v END END AS raw_cell FROM v""")
+    """Profiles made of the events, one kind of fault each; every eighth is valid."""
+    low = (F.col("user_id") % 50).cast("string")
+    kinds = [
+        F.lit("  "), F.lit("{oops"), F.lit('{"id": "a"}'), F.lit('{"version": "1.0", "id": "a", "name": " "}'), F.lit('{"version": "1.0", "id": "a", "name": "n"}'),
+        F.concat(F.lit('{"version": "1.0", "id": "a", "name": "n", "photo": {"maxKb": 20, "minKb": '), low, F.lit("}}")), F.lit('{"version": "1.0", "id": "a", "name": "n", "pdf": {"maxKb": 20, "unit": "ft"}}'),
+        F.lit('{"version": "1.0", "id": "a", "name": "n", "signature": {"maxKb": 20, "width": 3.5, "unit": "cm"}}'),
+    ]
+    text = F.element_at(F.array(*kinds), (F.col("event_id") % 8 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", R.profile_error(text).alias("error"))
+
+
+@query("csv_safe_sink", r"""WITH v AS (SELECT event_id, ['=', '+', '-', '@', '|', ' =', ''][event_id % 7 + 1] || event_type || ',"x"' AS a, ['=', '+', '-', '@', '|', ' =', ''][event_id % 7 + 1] || event_id AS b FROM events)
+SELECT CAST(event_id AS VARCHAR) AS event_id, CASE WHEN regexp_matches(ltrim(a), '^[=+\-@\t\r|%]') THEN '''' || a ELSE a END AS "text", CASE WHEN regexp_matches(ltrim(b), '^[=+\-@\t\r|%]') THEN '''' || b ELSE b END AS "number",
+  CASE WHEN regexp_matches(trim(b), '^[+-]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?%?$') THEN trim(b) WHEN regexp_matches(trim(b), '^[=+\-@\t\r]') THEN '''' || trim(b) ELSE trim(b) END AS "numeric", CASE WHEN regexp_matches(b, '^[=+\-@\t\r]') THEN '''' || b ELSE b END AS raw FROM v""")
 def csv_safe_sink(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    """Guarded files of all three policies, read back as they stand."""
     lead = F.element_at(F.array(*map(F.lit, ["=", "+", "-", "@", "|", " =", ""])), (F.col("event_id") % 7 + 1).cast("int"))
-    v = F.concat(lead, F.when(F.col("k") == 0, F.concat("event_type", F.lit(",x"))).otherwise(F.col("event_id").cast("string")))
-    e = e.select("event_id", "k", v.alias("v"))
-    return e.select("event_id", "k", R.csv_guard(F.col("v"), "strict").alias("strict"), R.csv_guard(F.col("v"), "numeric").alias("numeric"), R.csv_quote(R.csv_guard(F.col("v"), "raw")).alias("raw_cell"))
+    e = table(spark, sf_dir, "events").select("event_id", F.concat(lead, "event_type", F.lit(',"x"')).alias("text"), F.concat(lead, F.col("event_id").cast("string")).alias("number"))
+    back = {}
+    for policy in ("strict", "numeric", "raw"):
+        path = scratch(spark, "csv")
+        V.csv_safe(e, path, policy)
+        back[policy] = spark.read.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    out = back["strict"].join(back["numeric"].select("event_id", F.col("number").alias("numeric")), "event_id")
+    return out.join(back["raw"].select("event_id", F.col("number").alias("raw")), "event_id")
 
 
 @query("csv_unescape_formula", r"""SELECT event_id, CASE WHEN regexp_matches(v, '^''[=+\-@\t\r]') THEN v[2:] ELSE v END AS cell FROM (SELECT event_id, '''' || ['=', '+', 'a', '@'][event_id % 4 + 1] || event_type AS v FROM events)""")
@@ -240,11 +306,16 @@ def csv_delimiter_profile(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", R.csv_delimiter(t).alias("delimiter"))
 
 
-@query("batch_log_sink", "SELECT o_orderkey, o_orderkey || ',' || CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS VARCHAR) || ',' || CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'skipped' ELSE 'failed' END || ',' || CASE WHEN o_orderstatus = 'P' THEN 'partial' ELSE '' END AS line FROM orders")
+@query("batch_log_sink", """SELECT 'order "' || o_orderkey || '", ' || o_orderpriority AS name, CAST(o_orderkey * 10 AS VARCHAR) AS size, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'skipped' ELSE 'failed' END AS status,
+  CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderkey * 7 AS VARCHAR) END AS out_size, CASE WHEN o_orderstatus = 'P' THEN 'partial, retry' END AS reason FROM orders""")
 def batch_log_sink(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "skipped").otherwise("failed")
-    return o.select("o_orderkey", F.concat_ws(",", F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), status, F.when(F.col("o_orderstatus") == "P", "partial").otherwise("")).alias("line"))
+    """The written log scanned again: names with quotes and commas, sizes, status and reason."""
+    o, s = table(spark, sf_dir, "orders"), F.col("o_orderstatus")
+    status = F.when(s == "F", "completed").when(s == "O", "skipped").otherwise("failed")
+    runs = o.select(F.concat(F.lit('order "'), F.col("o_orderkey").cast("string"), F.lit('", '), "o_orderpriority").alias("name"), (F.col("o_orderkey") * 10).alias("size"), status.alias("status"), F.when(s == "F", F.col("o_orderkey") * 7).alias("out_size"), F.when(s == "P", "partial, retry").alias("reason"))
+    path = scratch(spark, "log")
+    V.batch_log(runs, path)
+    return V.csv_scan(spark, path)
 
 
 @query("unit_to_px", "SELECT p_partkey, CAST(floor(CASE p_partkey % 4 WHEN 0 THEN p_size * d WHEN 1 THEN p_size / 25.4::DOUBLE * d WHEN 2 THEN p_size / 2.54::DOUBLE * d ELSE p_size END + 0.5) AS BIGINT) AS px FROM (SELECT p_partkey, p_size, CASE WHEN p_partkey % 3000 BETWEEN 50 AND 2400 THEN p_partkey % 3000 ELSE 300 END AS d FROM part)")
@@ -268,14 +339,20 @@ def page_template(spark, sf_dir):
     return e.select("event_id", R.render("Page {PAGE} of {totalPages} - {filename}", {"page": F.col("p"), "totalpages": F.col("t"), "filename": F.concat(F.lit("user"), F.col("user_id").cast("string"))}).alias("header"))
 
 
-@query("safe_filename", r"SELECT p_partkey, CASE WHEN n = '' THEN 'document' ELSE n END AS name FROM (SELECT p_partkey, regexp_replace(regexp_replace(trim('../' || p_name || ': ' || p_type || ' é?'), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g')[1:60] AS n FROM part)")
+@query("safe_filename", r"SELECT p_partkey, CASE WHEN n = '' THEN 'document' ELSE n END AS name, CASE WHEN length(t) > 60 THEN regexp_replace(t[1:60], '^[._-]+|[._-]+$', '', 'g') ELSE t END AS title, s AS shared FROM (SELECT p_partkey, regexp_replace(regexp_replace(trim('../' || p_name || ': ' || p_type || ' é?'), '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g')[1:60] AS n, regexp_replace(regexp_replace(regexp_replace('../' || p_name || ': ' || p_type || ' é?', '[\\/:*?\"<>|]', '_', 'g'), '[\s_]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') AS t, regexp_replace(p_name || ': ' || p_type || ' é?', '[^a-zA-Z0-9._-]', '_', 'g')[1:120] AS s FROM part)")
 def safe_filename(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", R.safe_filename(F.concat(F.lit("../"), "p_name", F.lit(": "), "p_type", F.lit(" é?"))).alias("name"))
+    name = F.concat(F.lit("../"), "p_name", F.lit(": "), "p_type", F.lit(" é?"))
+    return table(spark, sf_dir, "part").select("p_partkey", R.safe_filename(name).alias("name"), R.safe_filename(name, "title").alias("title"), R.safe_filename(name, "shared").alias("shared"))
 
 
-@query("name_uniquify", "SELECT p_partkey, CASE WHEN k = 1 THEN p_name ELSE p_name || '_' || k END AS unique_name FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS k FROM part)")
+@query("name_uniquify", """WITH n AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_brand || '_' || (p_partkey % 7 + 2) ELSE p_brand END AS name FROM part), taken AS (SELECT DISTINCT name FROM n), c AS (SELECT name, count(*) AS c FROM n GROUP BY name),
+free AS (SELECT name, i, row_number() OVER (PARTITION BY name ORDER BY i) + 1 AS k FROM (SELECT name, unnest(range(2, c + 20)) AS i FROM c) WHERE name || '_' || i NOT IN (SELECT name FROM taken)), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY p_partkey) AS k FROM n)
+SELECT p_partkey, CASE WHEN r.k = 1 THEN r.name ELSE r.name || '_' || i END AS unique_name FROM r LEFT JOIN free ON free.name = r.name AND free.k = r.k""")
 def name_uniquify(spark, sf_dir):
-    return R.name_uniquify(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "p_partkey").select("p_partkey", "unique_name")
+    """Brands as names, some rows with a numbered one already."""
+    k = F.col("p_partkey")
+    n = table(spark, sf_dir, "part").select("p_partkey", F.when(k % 6 == 0, F.concat_ws("_", "p_brand", (k % 7 + 2).cast("string"))).otherwise(F.col("p_brand")).alias("name"))
+    return R.name_uniquify(n, "name", "p_partkey").select("p_partkey", "unique_name")
 
 
 @query("mail_merge", "SELECT c_custkey, 'Dear ' || c_name || ', your ' || lower(c_mktsegment) || ' account in ' || coalesce(n_name, '') || ' {missing}' AS letter FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 5 <> 0")
@@ -300,7 +377,7 @@ def fuzzy_column_map(spark, sf_dir):
 @query("tiered_key_match", """WITH n AS (SELECT DISTINCT p_brand AS name FROM part), d AS (SELECT CASE n_nationkey % 4 WHEN 0 THEN 'Brand#' || n_nationkey WHEN 1 THEN 'BRAND#' || n_nationkey WHEN 2 THEN 'brand ' || n_nationkey ELSE 'other' || n_nationkey END AS key FROM nation),
 a AS (SELECT name, min(key) AS key, 'exact' AS tier FROM n JOIN d ON name = key GROUP BY name), b AS (SELECT name, min(key) AS key, 'case' AS tier FROM n JOIN d ON lower(name) = lower(key) WHERE name NOT IN (SELECT name FROM a) GROUP BY name),
 c AS (SELECT name, min(key) AS key, 'alnum' AS tier FROM n JOIN d ON regexp_replace(lower(name), '[^a-z0-9]', '', 'g') = regexp_replace(lower(key), '[^a-z0-9]', '', 'g') WHERE name NOT IN (SELECT name FROM a UNION ALL SELECT name FROM b) GROUP BY name), u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)
-SELECT * FROM u UNION ALL SELECT name, NULL, 'unmatched' FROM n WHERE name NOT IN (SELECT name FROM u)""")
+SELECT * FROM u UNION ALL SELECT name, NULL, 'unmatched' FROM n WHERE name NOT IN (SELECT name FROM u) UNION ALL SELECT DISTINCT NULL, key, 'unused' FROM d WHERE key NOT IN (SELECT key FROM u)""")
 def tiered_key_match(spark, sf_dir):
     k, s = F.col("n_nationkey"), F.col("n_nationkey").cast("string")
     d = table(spark, sf_dir, "nation").select(F.when(k % 4 == 0, F.concat(F.lit("Brand#"), s)).when(k % 4 == 1, F.concat(F.lit("BRAND#"), s)).when(k % 4 == 2, F.concat(F.lit("brand "), s)).otherwise(F.concat(F.lit("other"), s)).alias("key"))
@@ -315,14 +392,18 @@ def batch_audit(spark, sf_dir):
     return R.audit(table(spark, sf_dir, "part"), rules, "p_partkey")
 
 
-@query("preflight_rules", """WITH g AS (SELECT l_orderkey, count(*) AS pages, count(DISTINCT l_returnflag) AS sizes, count(DISTINCT l_linestatus) AS kinds, min(l_quantity) AS dpi, sum(l_extendedprice) AS bytes FROM lineitem GROUP BY 1),
-c AS (SELECT l_orderkey, (bytes > 300000)::INT + (pages NOT BETWEEN 1 AND 6)::INT + (sizes <> 1)::INT + (kinds <> 1)::INT AS fails, (dpi < 10)::INT + (pages < 2)::INT AS warns FROM g) SELECT l_orderkey, CAST(fails AS BIGINT) AS fails, CAST(warns AS BIGINT) AS warns, fails = 0 AS passed FROM c""")
+@query("preflight_rules", """WITH p AS (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'R' THEN 842 ELSE 595 END AS w, CASE WHEN l_returnflag = 'R' THEN 595 ELSE 842 END AS h, CASE WHEN l_quantity > 10 THEN CAST(l_quantity * 20 AS BIGINT) END AS dpi, CASE WHEN l_quantity < 3 THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS chars FROM lineitem),
+g AS (SELECT l_orderkey, count(*) AS n, count(DISTINCT (w, h)) AS sizes, count(DISTINCT w > h) AS kinds, min(dpi) AS dpi, sum(chars) AS chars, count(*) FILTER (chars = 0) AS blank FROM p GROUP BY 1),
+f AS (SELECT o_orderkey, o_orderkey % 300 * 1024 AS bytes, o_orderkey % 10 = 0 AS enc, o_orderkey % 7 = 0 AS js, o_orderkey % 9 = 0 AS att, o_orderkey % 4 = 0 AS loose, coalesce(n, 0) AS n, coalesce(sizes, 0) AS sizes, coalesce(kinds, 0) AS kinds, dpi, coalesce(chars, 0) AS chars, coalesce(blank, 0) AS blank FROM orders LEFT JOIN g ON l_orderkey = o_orderkey),
+c AS (SELECT o_orderkey, (bytes > 204800)::INT + (n NOT BETWEEN 1 AND 2)::INT + (sizes > 1)::INT + (kinds > 1)::INT + enc::INT + js::INT + att::INT AS fails, coalesce(dpi < 150, false)::INT + loose::INT + (chars < 50)::INT + (blank > 0)::INT AS warns, CASE WHEN chars < 50 THEN 'warn' ELSE 'pass' END AS searchable_text FROM f)
+SELECT o_orderkey, CAST(11 - fails - warns AS BIGINT) AS passes, CAST(fails AS BIGINT) AS fails, CAST(warns AS BIGINT) AS warns, fails = 0 AS passed, searchable_text FROM c""")
 def preflight_rules(spark, sf_dir):
-    """Fail-level: size, page range, uniform size and kind; warn-level: resolution and a single page."""
-    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("pages"), F.countDistinct("l_returnflag").alias("sizes"), F.countDistinct("l_linestatus").alias("kinds"), F.min("l_quantity").alias("dpi"), F.sum("l_extendedprice").alias("bytes"))
-    n = lambda *cs: sum((c.cast("long") for c in cs), F.lit(0))
-    c = g.select("l_orderkey", n(F.col("bytes") > 300000, ~F.col("pages").between(1, 6), F.col("sizes") != 1, F.col("kinds") != 1).alias("fails"), n(F.col("dpi") < 10, F.col("pages") < 2).alias("warns"))
-    return c.withColumn("passed", F.col("fails") == 0)
+    """Orders as files and their items as pages, against the strict profile."""
+    k, q = F.col("o_orderkey"), F.col("l_quantity")
+    files = table(spark, sf_dir, "orders").select("o_orderkey", (k % 300 * 1024).alias("bytes"), (k % 10 == 0).alias("encrypted"), (k % 7 == 0).cast("int").alias("scripts"), (k % 9 == 0).cast("int").alias("attachments"), (k % 4 == 0).cast("int").alias("loose_fonts"))
+    wide = F.col("l_returnflag") == "R"
+    pages = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.when(wide, 842).otherwise(595).alias("width"), F.when(wide, 595).otherwise(842).alias("height"), F.when(q > 10, (q * 20).cast("long")).alias("dpi"), F.when(q < 3, 0).otherwise(q.cast("long")).alias("chars"))
+    return R.preflight(files, pages, "o_orderkey", R.PROFILES["200kb_a4"]).select("o_orderkey", "passes", "fails", "warns", "passed", "searchable_text")
 
 
 @query("recipe_pipeline", "SELECT event_id, upper(event_type) AS event_type, value + 5 AS value, CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS INT) END AS code, CASE WHEN event_id % 3 <> 0 THEN 4 END AS failed_step FROM events WHERE value >= 20")
@@ -346,26 +427,35 @@ def text_diff(spark, sf_dir):
 
 @query("diff_summary")
 def diff_summary(spark, sf_dir):
-    d = R.text_diff(turns(spark, sf_dir), ["conv_id", "turn"])
-    n = lambda s: F.sum((F.col("change") == s).cast("long")).alias(s)
-    return d.groupBy("conv_id").agg(n("unchanged"), n("added"), n("removed"), n("changed"))
+    """Pages and words of the aligned conversations; tests hold the counts against a plain version."""
+    pages = paired_pages(spark, sf_dir)
+    return R.diff_summary(R.page_align(pages, "pair"), pages, "pair")
+
+
+def paired_pages(spark, sf_dir):
+    """Even conversations as old and the next odd one as new versions."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair"), F.when(F.col("conv_id") % 2 == 0, "old").otherwise("new").alias("side"), F.col("turn").alias("page_no"), "text")
 
 
 @query("page_align")
 def page_align(spark, sf_dir):
-    """Even conversations as old and the next odd one as new versions; the alignment is a dynamic program, not SQL."""
-    c = table(spark, sf_dir, "conversations")
-    return R.page_align(c.select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair"), F.when(F.col("conv_id") % 2 == 0, "old").otherwise("new").alias("side"), F.col("turn").alias("page_no"), "text"), "pair")
+    """The alignment is a dynamic program, not SQL."""
+    return R.page_align(paired_pages(spark, sf_dir), "pair")
 
 
-CARDS_SQL = """cards AS (SELECT c_custkey AS doc_id, 'Jane Doe' || chr(10) || 'Senior Engineer' || chr(10) || 'Acme ' || c_nationkey || ' Ltd' || chr(10) || CASE WHEN c_custkey % 4 > 0 THEN 'mail: c' || c_custkey || '@example.com' ELSE 'no mail' END || chr(10) || '+44 20 7946 ' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') || chr(10) || 'www.example.com/' || c_custkey AS text FROM customer)"""
+CARDS_SQL = """cards AS (SELECT c_custkey AS doc_id, c_nationkey, c_custkey % 4 AS k FROM customer)"""
 
 
-@query("extract_contact", f"""WITH {CARDS_SQL} SELECT doc_id, unnest(['email', 'url', 'phone', 'organization', 'title', 'name']) AS key, unnest([CASE WHEN regexp_extract(text, '([a-z0-9]+@example.com)', 1) <> '' THEN regexp_extract(text, '([a-z0-9]+@example.com)', 1) END, 'www.example.com/' || doc_id, regexp_extract(text, '(\\+44[ 0-9]+)', 1), regexp_extract(text, '(Acme [0-9]+ Ltd)', 1), 'Senior Engineer', 'Jane Doe']) AS value FROM cards""")
+@query("extract_contact", f"""WITH {CARDS_SQL} SELECT doc_id, unnest(['name', 'title', 'organization', 'mobile', 'work', 'email', 'url', 'address', 'postal_code']) AS key, unnest(['Jane Doe', 'Senior Engineer', 'Acme ' || c_nationkey || ' Solutions', '+442079460' || lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0'), CASE WHEN k = 1 THEN '02055501' || lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') END,
+  CASE WHEN k > 0 THEN 'c' || doc_id || '@example.com' END, 'www.example.com/' || doc_id, CASE WHEN k = 2 THEN '12 Baker Street, London NW1 6XE' END, CASE WHEN k = 2 THEN 'NW1 6XE' END]) AS value FROM cards""")
 def extract_contact(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    k = F.col("c_custkey")
-    text = F.concat_ws("\n", F.lit("Jane Doe"), F.lit("Senior Engineer"), F.concat(F.lit("Acme "), F.col("c_nationkey").cast("string"), F.lit(" Ltd")), F.when(k % 4 > 0, F.concat(F.lit("mail: c"), k.cast("string"), F.lit("@example.com"))).otherwise("no mail"), F.concat(F.lit("+44 20 7946 "), F.lpad((k % 10000).cast("string"), 4, "0")), F.concat(F.lit("www.example.com/"), k.cast("string")))
+    k, s = F.col("c_custkey"), lambda x: x.cast("string")
+    text = F.concat_ws(
+        "\n", F.lit("Jane Doe"), F.lit("Senior Engineer"), F.concat(F.lit("Acme "), s(F.col("c_nationkey")), F.lit(" Solutions")), F.when(k % 4 > 0, F.concat(F.lit("mail: c"), s(k), F.lit("@example.com"))), F.concat(F.lit("+44 20 7946 0"), F.lpad(s(k % 1000), 3, "0")),
+        F.when(k % 4 == 1, F.concat(F.lit("Office: 020 555 01"), F.lpad(s(k % 100), 2, "0"))), F.concat(F.lit("www.example.com/"), s(k)), F.when(k % 4 == 2, "12 Baker Street"), F.when(k % 4 == 2, "London NW1 6XE"),
+    )
     d = c.select(k.alias("doc_id"), text.alias("text"))
     return X.extract_contact(X.lines(d), d)
 

@@ -8,11 +8,11 @@ from ..functions import text as T
 from ..functions.constants import ABBREVIATIONS, STOP_WORDS, SYLLABLES
 from ..operators import readability as R
 from ..sources import pages as P
-from .registry import query, table
+from .literals import STOPS_SQL
+from .registry import documents, query, table
 
 S = r"[ \t\n\r\f]"
-STOPS_SQL = "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS) + ")"
-WORDS_SQL = r"list_transform(regexp_extract_all(c, '\b[A-Za-z0-9](?:[A-Za-z0-9''-]*[A-Za-z0-9])?\b'), lambda w: w[1:60])"
+WORDS_SQL = r"regexp_extract_all(c, '\b[A-Za-z0-9](?:[A-Za-z0-9''-]*[A-Za-z0-9])?\b')"
 TRIMMED = r"trim(coalesce(text, ''))"
 
 
@@ -145,7 +145,7 @@ def script_label(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", P.script_label(F.concat("event_type", letter)).alias("label"))
 
 
-_CLEAN = "regexp_replace(lower({0}), '[^a-z]', '', 'g')[1:60]"
+_CLEAN = "regexp_replace(lower({0}), '[^a-z]', '', 'g')"
 _TABLE = "CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SYLLABLES.items()) + " ELSE greatest(1, len(regexp_extract_all(regexp_replace({c}, '(?:tion|sion|cial|tial|cious|tious)', 'xun', 'g'), '[aeiouy]+')) - CAST(regexp_matches({c}, 'e$') AND NOT regexp_matches({c}, '(?:ee|oe)$') AND (NOT regexp_matches({c}, 'le$') OR regexp_matches({c}, '[aeiouy]le$')) AS INT) - CAST(regexp_matches({c}, '[^td]ed$') AS INT) - CAST(regexp_matches({c}, '[^szxc]es$') AND NOT regexp_matches({c}, 'shes$') AS INT)) END"
 
 
@@ -218,21 +218,49 @@ def heading_flag(spark, sf_dir):
     return lines_of(spark, sf_dir).select("doc_id", "line_no", T.is_heading(F.col("line")).alias("heading"))
 
 
-@query("section_split", f"""
+_SECTIONS = r"""marked AS (SELECT doc_id, text AS t, CASE doc_id % 3 WHEN 0 THEN 'intro' || chr(10) || '# One' || chr(10) || text || chr(10) || '## Two' || chr(10) || '### Three' || chr(10) || 'end #4' WHEN 1 THEN text || chr(12) || 'second' ELSE coalesce(text, '') END AS m FROM documents),
+parts AS (SELECT doc_id, m, list_filter(string_split(m, chr(12)), lambda x: x <> '') AS pages, list_filter(string_split(regexp_replace('# Introduction' || chr(10) || m, '(?m)^#{1,3}[ \t]+', chr(1), 'g'), chr(1)), lambda x: x <> '') AS h FROM marked),
+heads AS (SELECT doc_id, m, pages, list_filter(list_transform(h, lambda x: {'title': trim(regexp_extract(x, '^([^\n]*)', 1)), 'content': trim(regexp_replace(x, '^[^\n]*\n?', ''), chr(10) || chr(13) || chr(9) || ' ')}), lambda s: s.content <> '') AS h FROM parts),
+listed AS (SELECT doc_id, CASE WHEN contains(m, chr(12)) THEN list_transform(range(1, len(pages) + 1), lambda i: {'title': 'Page ' || i, 'content': trim(pages[i], chr(10) || chr(13) || chr(9) || ' ')}) WHEN len(h) > 1 THEN h ELSE [{'title': 'Full Document', 'content': trim(m, chr(10) || chr(13) || chr(9) || ' ')}] END AS l FROM heads),
+sections AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS section, unnest(l) AS s FROM listed)"""
+
+
+@query("section_split", f"WITH {_SECTIONS} SELECT doc_id, CAST(section AS BIGINT) AS section, s.title AS title, s.content AS content FROM sections")
+def section_split(spark, sf_dir):
+    return P.section_split(marked_documents(spark, sf_dir))
+
+
+def marked_documents(spark, sf_dir):
+    """Documents of three kinds: with headings, with a form feed, as they are."""
+    k, n = F.col("doc_id") % 3, F.lit("\n")
+    headed = F.concat(F.lit("intro\n# One\n"), "text", n, F.lit("## Two\n### Three\nend #4"))
+    text = F.when(k == 0, headed).when(k == 1, F.concat("text", F.lit("\fsecond"))).otherwise(F.coalesce("text", F.lit("")))
+    return documents(spark, sf_dir).select("doc_id", text.alias("text"))
+
+
+@query("heading_sections", f"""
 WITH {LINES_SQL}, h AS (SELECT doc_id, line_no, line, {HEADING_SQL} AS heading FROM (SELECT *, {LINE_WORDS} FROM lines)),
 g AS (SELECT *, sum(CAST(heading AS INT)) OVER (PARTITION BY doc_id ORDER BY line_no) AS section FROM h)
 SELECT doc_id, CAST(section AS BIGINT) AS section, coalesce(max(line) FILTER (heading), 'Introduction') AS title, count(*) FILTER (NOT heading) AS n_lines,
   coalesce(string_agg(line, ' ' ORDER BY line_no) FILTER (NOT heading), '') AS content FROM g GROUP BY doc_id, section
 """)
-def section_split(spark, sf_dir):
-    return P.section_split(lines_of(spark, sf_dir))
+def heading_sections(spark, sf_dir):
+    return P.heading_sections(lines_of(spark, sf_dir))
 
 
 @query("find_literal", r"""
-SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)\bthe\b')) AS BIGINT) AS whole_word_hits, CAST(len(string_split(lower(text), 'tion')) - 1 AS BIGINT) AS substring_hits FROM documents WHERE contains(lower(text), 'the')
+WITH h AS (SELECT doc_id, string_split(text, 'tion') AS s FROM documents), k AS (SELECT doc_id, s, unnest(range(1, len(s))) AS k FROM h)
+SELECT doc_id, CAST(k AS BIGINT) AS hit, CAST(list_sum(list_transform(s[1:k], lambda x: length(x))) + (k - 1) * 4 AS BIGINT) AS "at", 'tion' AS found FROM k
 """)
 def find_literal(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(F.contains(F.lower("text"), F.lit("the")))
+    return P.find_literal(documents(spark, sf_dir), "tion", case_sensitive=True)
+
+
+@query("find_count", r"""
+SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)\bthe\b')) AS BIGINT) AS whole_word_hits, CAST(len(string_split(lower(text), 'tion')) - 1 AS BIGINT) AS substring_hits FROM documents
+""")
+def find_count(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", P.find_count(F.col("text"), "the", whole_word=True).alias("whole_word_hits"), P.find_count(F.col("text"), "tion").alias("substring_hits"))
 
 
@@ -247,25 +275,26 @@ def find_snippets(spark, sf_dir):
 
 
 @query("replace_terms", r"""
-SELECT doc_id, regexp_replace(regexp_replace(replace(text, 'tion', 'TION'), '\bthe\b', 'THE', 'g'), '\band\b', '&', 'g') AS replaced FROM documents
+SELECT doc_id, regexp_replace(regexp_replace(replace(text, 'tion', 'TION'), '\bthe\b', 'THE', 'g'), '\band\b', '&', 'g') AS replaced,
+  regexp_replace(regexp_replace(regexp_replace(text, '\bOF\b', 'FROM', 'g'), '\bOf\b', 'From', 'g'), '\b(of|oF)\b', 'from', 'g') AS cased FROM documents
 """)
 def replace_terms(spark, sf_dir):
     rules = [("literal", "tion", "TION"), ("word", "the", "THE"), ("word", "and", "&")]
-    return table(spark, sf_dir, "documents").select("doc_id", P.replace_terms(F.col("text"), rules).alias("replaced"))
+    return table(spark, sf_dir, "documents").select("doc_id", P.replace_terms(F.col("text"), rules).alias("replaced"), P.replace_terms(F.col("text"), [("cased_word", "of", "from")]).alias("cased"))
 
 
 @query("glossary_translate", r"""
-SELECT doc_id, t AS translated, floor(length(t)::DOUBLE / length(text) * 100 + 0.5) / 100 AS expansion FROM (
-  SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '(?i)\bthe\b', 'le', 'g'), '(?i)\band\b', 'et', 'g'), '(?i)\bof\b', 'de', 'g') AS t FROM documents WHERE length(text) > 0)
+SELECT doc_id, t AS translated, CASE WHEN length(text) > 0 THEN floor(length(t)::DOUBLE / length(text) * 100 + 0.5) / 100 END AS expansion FROM (
+  SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '(?i)\bthe\b', 'le', 'g'), '(?i)\band\b', 'et', 'g'), '(?i)\bof\b', 'de', 'g') AS t FROM documents)
 """)
 def glossary_translate(spark, sf_dir):
     lexicon = [("the", "le"), ("and", "et"), ("of", "de")]
-    docs = table(spark, sf_dir, "documents").filter(F.length("text") > 0).withColumn("translated", P.glossary(F.col("text"), lexicon))
-    return docs.select("doc_id", "translated", T.rounded(F.length("translated") / F.length("text"), 2).alias("expansion"))
+    docs = table(spark, sf_dir, "documents").withColumn("translated", P.glossary(F.col("text"), lexicon))
+    return docs.select("doc_id", "translated", F.when(F.length("text") > 0, T.rounded(F.length("translated") / F.length("text"), 2)).alias("expansion"))
 
 
 @query("spelling_variants", r"""
-WITH w AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9]+'), lambda x: length(x) > 2)) AS word FROM documents WHERE doc_id IS NOT NULL),
+WITH w AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9]+'), lambda x: length(x) > 2)) AS word FROM documents),
 v AS (SELECT word, list_filter([replace(word, '0', 'O'), replace(word, '1', 'l'), replace(word, 'rn', 'm'), replace(word, 'cl', 'd'), replace(word, 'vv', 'w'), replace(word, '5', 'S'), replace(word, '8', 'B'), replace(word, 'O', '0'), replace(word, 'l', '1'), replace(word, 'm', 'rn'), upper(word[1:1]) || lower(word[2:])], lambda x: x <> word) AS c FROM w)
 SELECT word, list_transform(list_filter(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN list_position(c, c[i]) = i THEN c[i] END), lambda x: x IS NOT NULL)[1:5], lambda x: x) AS variants FROM v
 """)
@@ -277,13 +306,13 @@ def spelling_variants(spark, sf_dir):
 _STATS_SQL = rf"""stats AS (
   SELECT doc_id, len(y) AS words, length(c) AS chars, length(regexp_replace(c, '\s+', '', 'g')) AS chars_no_space,
     CASE WHEN len(y) > 0 THEN greatest(1, sn) ELSE 0 END AS sentences, CASE WHEN len(y) > 0 THEN list_sum(y) ELSE 0 END AS syllables, len(list_filter(y, lambda x: x >= 3)) AS complex_words
-  FROM (SELECT doc_id, c, list_transform({WORDS_SQL}, lambda q: {syllables_sql("q")}) AS y, coalesce(list_sum(list_transform({SENTENCES_SQL}, lambda q: ceil(length(q) / 1500.0::DOUBLE))), 0) AS sn
+  FROM (SELECT doc_id, c, list_transform({WORDS_SQL}, lambda q: {syllables_sql("q")}) AS y, len({SENTENCES_SQL}) AS sn
         FROM (SELECT doc_id, {TRIMMED} AS c FROM documents))
 )"""
 
 
 def stats_of(spark, sf_dir):
-    return R.doc_statistics(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return R.doc_statistics(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
 @query("doc_statistics", f"""
@@ -308,7 +337,7 @@ def readability_scores(spark, sf_dir):
 
 @query("complexity_band", f"WITH {_SCORES_SQL} SELECT lang, {_BAND} AS band, count(*) AS n FROM scores JOIN documents USING (doc_id) GROUP BY lang, {_BAND}")
 def complexity_band(spark, sf_dir):
-    docs = R.readability_scores(R.doc_statistics(table(spark, sf_dir, "documents").select("lang", "text")))
+    docs = R.readability_scores(R.doc_statistics(documents(spark, sf_dir).select("lang", "text")))
     return docs.groupBy("lang", "band").agg(F.count("*").alias("n"))
 
 
@@ -336,20 +365,28 @@ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) A
 SELECT doc_id, word, n, CAST(least(100, floor(n::DOUBLE / greatest(1, total) * 1000 + 0.5)) AS BIGINT) AS score, rank FROM r WHERE rank <= 15
 """)
 def keywords_topk(spark, sf_dir):
-    return P.keywords(table(spark, sf_dir, "documents"), 15)
+    return P.keywords(documents(spark, sf_dir), 15)
 
 
 @query("section_readability", f"""
-WITH {LINES_SQL}, h AS (SELECT doc_id, line_no, line, {HEADING_SQL} AS heading FROM (SELECT *, {LINE_WORDS} FROM lines)),
-g AS (SELECT *, sum(CAST(heading AS INT)) OVER (PARTITION BY doc_id ORDER BY line_no) AS section FROM h),
-t AS (SELECT doc_id, CAST(section AS BIGINT) AS section, trim(coalesce(string_agg(line, ' ' ORDER BY line_no) FILTER (NOT heading), '')) AS c FROM g GROUP BY doc_id, section)
+WITH {_SECTIONS}, t AS (SELECT doc_id, CAST(section AS BIGINT) AS section, trim(s.content) AS c FROM sections)
 SELECT doc_id, section, CAST(len({WORDS_SQL}) AS BIGINT) AS words, CAST(coalesce(list_sum(list_transform({WORDS_SQL}, lambda q: {syllables_sql("q")})), 0) AS BIGINT) AS syllables FROM t
 """)
 def section_readability(spark, sf_dir):
-    s = P.section_split(lines_of(spark, sf_dir)).select("doc_id", "section", F.col("content").alias("text"))
+    s = P.section_split(marked_documents(spark, sf_dir)).select("doc_id", "section", F.col("content").alias("text"))
     return R.doc_statistics(s).select("doc_id", "section", "words", "syllables")
 
 
+@query("sentence_split_clause", r"""
+WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 10) AS l FROM documents)
+SELECT doc_id, CAST(len(l) AS BIGINT) AS n, l[1] AS first_sentence, l[len(l)] AS last_sentence FROM p
+""")
+def sentence_split_clause(spark, sf_dir):
+    l = F.col("l")
+    d = table(spark, sf_dir, "documents").select("doc_id", T.clause_sentences(F.col("text")).alias("l"))
+    return d.select("doc_id", F.size(l).cast("long").alias("n"), F.try_element_at(l, F.lit(1)).alias("first_sentence"), F.try_element_at(l, F.lit(-1)).alias("last_sentence"))
+
+
 @query("tokenize", rf"""
 WITH w AS (SELECT doc_id, regexp_replace(lower(unnest(l)), '[^a-z0-9\x{{0900}}-\x{{097F}}\x{{0980}}-\x{{09FF}}\x{{0A00}}-\x{{0A7F}}]', '', 'g') AS word FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '{S}+'), lambda x: x <> '') AS l FROM documents))
 SELECT doc_id, count(*) AS n, count(DISTINCT word) AS n_distinct, max(word) AS last_word FROM w WHERE length(word) > 2 AND word NOT IN {STOPS_SQL} GROUP BY doc_id

@@ -22,7 +22,12 @@ def csv_safe(df: DataFrame, path: str, policy: str = "strict") -> None:
     """Write text columns behind the formula guard of a policy."""
     from ..operators.records import csv_guard
 
-    df.select(*[csv_guard(F.col(c), policy).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes]).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    df.select(*[csv_guard(F.col(c), policy).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes]).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def batch_log(runs: DataFrame, path: str) -> None:
+    """(name, size, status, out_size, reason) of a batch as CSV, quoted where it is needed."""
+    runs.select("name", "size", "status", "out_size", "reason").write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
 
 
 def newest(history: DataFrame, user: str, ts: str, tie: str, n: int = 100) -> DataFrame:
@@ -30,13 +35,28 @@ def newest(history: DataFrame, user: str, ts: str, tie: str, n: int = 100) -> Da
     return history.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
 
 
-def streaming_history(stream: DataFrame, path: str, checkpoint: str, user: str, ts: str, tie: str, n: int = 100):
-    """Keep the newest n rows of each user as Parquet versions under `path`: each batch merges the last version with
-    its rows and writes the next, so a replayed batch overwrites its own version only."""
+def streaming_history(stream: DataFrame, path: str, checkpoint: str, user: str, ts: str, tie: str, n: int = 100, parts: int = 16):
+    """Keep the newest n rows of each user under `path`; runs until all rows there are read.
+
+    Each batch writes the newest n of its own rows per user to a folder of its own, dealt to `parts` by user, so that a
+    trigger costs its rows, not the history, and a replayed batch overwrites its own folder only. read_history merges
+    the folders; compact_history makes them one.
+    """
+
+    def add(batch: DataFrame, epoch: int) -> None:
+        kept = newest(batch.dropDuplicates([user, tie]), user, ts, tie, n)
+        kept.withColumn("part", F.pmod(F.xxhash64(user), F.lit(parts))).write.mode("overwrite").partitionBy("part").parquet(f"{path}/batch={epoch}")
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_history(spark: SparkSession, path: str, schema, user: str, ts: str, tie: str, n: int = 100) -> DataFrame:
+    """The newest n rows of each user over all batches; a row that came twice counts once."""
+    rows = spark.read.option("basePath", path).option("recursiveFileLookup", "true").schema(schema).parquet(path)
+    return newest(rows.dropDuplicates([user, tie]), user, ts, tie, n)
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.schema(batch.schema).parquet(f"{path}/v={epoch - 1}").select(batch.columns) if epoch else batch.limit(0)
-        newest(old.unionByName(batch).dropDuplicates([user, tie]), user, ts, tie, n).write.mode("overwrite").parquet(f"{path}/v={epoch}")
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
+def compact_history(spark: SparkSession, path: str, to: str, schema, user: str, ts: str, tie: str, n: int = 100, parts: int = 16) -> None:
+    """Write what read_history gives as one batch under a new path, for the next stream to go on from."""
+    rows = read_history(spark, path, schema, user, ts, tie, n)
+    rows.withColumn("part", F.pmod(F.xxhash64(user), F.lit(parts))).write.partitionBy("part").parquet(f"{to}/batch=0")

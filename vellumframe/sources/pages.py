@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.constants import STOP_WORDS, B, E
+from ..functions.constants import QA_STOP_WORDS, STOP_WORDS, B, E
 
 
 def scan_doc_pages(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -60,24 +60,59 @@ def script_label(text: Column) -> Column:
 def search_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, term, pos): search terms of over one character that are no stop words."""
     parts = F.split(F.lower(F.col(text)), r"[^a-z0-9\x{0900}-\x{097F}\x{0980}-\x{09FF}\x{0A00}-\x{0A7F}]+")
-    terms = F.filter(parts, lambda x: (F.length(x) > 1) & ~x.isin(STOP_WORDS))
+    terms = F.filter(parts, lambda x: (F.length(x) > 1) & ~x.isin(QA_STOP_WORDS))
     return docs.select("doc_id", F.posexplode(terms).alias("pos", "term")).select("doc_id", "term", (F.col("pos") + 1).cast("long").alias("pos"))
 
 
-def section_split(lines: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) -> sections that start at heading lines: section, title, n_lines, content."""
+def heading_sections(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, line) -> sections that start at lines that look like headings: section, title, n_lines, content."""
     df = lines.withColumn("heading", T.is_heading(F.col("line")))
     df = df.withColumn("section", F.sum(F.col("heading").cast("long")).over(Window.partitionBy("doc_id").orderBy("line_no")))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("heading"), F.struct("line_no", "line")))), lambda x: x["line"]), " ")
     return df.groupBy("doc_id", "section").agg(F.coalesce(F.max(F.when(F.col("heading"), F.col("line"))), F.lit("Introduction")).alias("title"), F.sum((~F.col("heading")).cast("long")).alias("n_lines"), body.alias("content"))
 
 
+def section_split(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, text) -> section (from 1), title, content: parts at form feeds, else at `#` to `###` lines if these give
+    two sections with text, else the whole. Null texts are one empty section.
+
+    A heading names the lines up to the next one; lines before the first are the Introduction; headings without text
+    below them give no section.
+    """
+    t = F.coalesce(F.col(text), F.lit(""))
+    trim = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    row = lambda title, body: F.struct(title.alias("title"), trim(body).alias("content"))
+    pages = F.transform(F.filter(F.split(t, "\f"), lambda p: p != ""), lambda p, i: row(F.concat(F.lit("Page "), (i + 1).cast("string")), p))
+    # a mark before every heading line parts the text; each part but the first begins with its heading
+    parts = F.split(F.regexp_replace(F.concat(F.lit("# Introduction\n"), F.regexp_replace(t, "\r\n", "\n")), r"(?m)^#{1,3}[ \t]+(?=\S)", "\x01"), "\x01")
+    named = F.transform(F.filter(parts, lambda p: p != ""), lambda p: row(F.trim(F.regexp_extract(p, r"^([^\n]*)", 1)), F.regexp_replace(p, r"^[^\n]*\n?", "")))
+    named = F.filter(named, lambda s: s["content"] != "")
+    whole = F.array(row(F.lit("Full Document"), t))
+    sections = F.when(F.contains(t, F.lit("\f")), pages).when(F.size(named) > 1, named).otherwise(whole)
+    out = docs.select("doc_id", F.posexplode(sections).alias("_k", "_s"))
+    return out.select("doc_id", (F.col("_k") + 1).cast("long").alias("section"), "_s.title", "_s.content")
+
+
+def literal_pattern(term: str, case_sensitive: bool = False, whole_word: bool = False) -> str:
+    """Pattern of a literal term; word edges are ASCII."""
+    pattern = B + re.escape(term) + E if whole_word else re.escape(term)
+    return pattern if case_sensitive else "(?i)" + pattern
+
+
 def find_count(text: Column, term: str, case_sensitive: bool = False, whole_word: bool = False) -> Column:
-    """Hits of a literal term; word edges are ASCII."""
-    pattern = re.escape(term)
-    if whole_word:
-        pattern = B + pattern + E
-    return F.regexp_count(text, F.lit(pattern if case_sensitive else "(?i)" + pattern)).cast("long")
+    """Hits of a literal term."""
+    return F.regexp_count(text, F.lit(literal_pattern(term, case_sensitive, whole_word))).cast("long")
+
+
+def find_literal(docs: DataFrame, term: str, case_sensitive: bool = False, whole_word: bool = False, text: str = "text") -> DataFrame:
+    """(doc_id, text) -> every hit of a literal term: hit (from 1), at (from 0) and the matched text."""
+    p = literal_pattern(term, case_sensitive, whole_word)
+    df = docs.select("doc_id", F.split(F.col(text), p, -1).alias("_s"), F.regexp_extract_all(F.col(text), F.lit(f"({p})"), 1).alias("_m")).filter(F.size("_m") > 0)
+    # one fold carries the place along, so a text's hits cost its length once
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("all"))
+    place = F.aggregate("_s", start, lambda acc, part: F.struct((acc["at"] + F.length(part) + len(term)).alias("at"), F.array_append(acc["all"], acc["at"] + F.length(part)).alias("all")))["all"]
+    df = df.select("doc_id", F.posexplode(F.arrays_zip(F.slice(place, F.lit(1), F.size("_m")).alias("at"), F.col("_m").alias("found"))).alias("_k", "_h"))
+    return df.select("doc_id", (F.col("_k") + 1).cast("long").alias("hit"), F.col("_h.at").alias("at"), F.col("_h.found").alias("found"))
 
 
 def find_snippets(docs: DataFrame, term: str, around: int = 40) -> DataFrame:
@@ -91,11 +126,23 @@ def find_snippets(docs: DataFrame, term: str, around: int = 40) -> DataFrame:
     return df.select("doc_id", F.col("k").cast("long").alias("match_index"), "at", snippet.alias("snippet"))
 
 
+def cased(match: Column, to: str) -> Column:
+    """The replacement in the case of what it replaces: all capitals, one capital in front, else lower."""
+    shout, one = (match == F.upper(match)) & (match != F.lower(match)), (F.substring(match, 1, 1) == F.upper(F.substring(match, 1, 1))) & (F.substring(match, 2, 1 << 20) == F.lower(F.substring(match, 2, 1 << 20)))
+    return F.when(shout, to.upper()).when(one, to[:1].upper() + to[1:].lower()).otherwise(to.lower())
+
+
 def replace_terms(text: Column, rules: list[tuple[str, str, str]]) -> Column:
-    """Apply (kind, find, replacement) rules in order; kinds: literal, word (whole words), regex."""
+    """Apply (kind, find, replacement) rules in order; kinds: literal, word (whole words), regex, and cased or cased_word,
+    which match any case and keep that of each hit."""
     for kind, find, to in rules:
         if kind == "literal":
             text = F.replace(text, F.lit(find), F.lit(to))
+        elif kind in ("cased", "cased_word"):
+            pattern = literal_pattern(find, whole_word=kind == "cased_word")
+            hits = F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), lambda m: cased(m, to))  # noqa: B023  built at once
+            pairs = F.zip_with(F.split(text, pattern, -1), hits, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+            text = F.array_join(pairs, "")
         else:
             pattern = find if kind == "regex" else B + re.escape(find) + E
             text = F.regexp_replace(text, pattern, to.replace("\\", "\\\\").replace("$", "\\$") if kind == "word" else to)
@@ -120,10 +167,23 @@ def spelling_variants(word: Column, most: int = 5) -> Column:
     return F.slice(F.array_distinct(F.filter(tried, lambda x: x != word)), 1, most)
 
 
+def with_keywords(docs: DataFrame, k: int = 15, text: str = "text") -> DataFrame:
+    """Adds keywords, an array of (n, word), the k most frequent words of each text (ties: first occurrence), and
+    total, its words. Sorted words are counted in their runs, so nothing leaves the row."""
+    df = docs.withColumn("_raw", T.spaced_words(F.coalesce(F.col(text), F.lit("")))).withColumn("total", F.size("_raw"))
+    clean = F.transform("_raw", lambda w, i: F.struct(F.regexp_replace(F.lower(w), "[^a-z0-9ऀ-ॿঀ-৿਀-੿]", "").alias("w"), i.alias("i")))
+    df = df.withColumn("_kept", F.array_sort(F.filter(clean, lambda x: (F.length(x["w"]) > 2) & ~x["w"].isin(STOP_WORDS))))
+    before = F.concat(F.array(F.lit(None).cast("struct<w:string,i:int>")), "_kept")
+    runs = F.filter(F.transform(F.arrays_zip(F.col("_kept").alias("x"), before.alias("y")), lambda z, j: F.struct(z["x"]["w"].alias("w"), z["x"]["i"].alias("i"), j.alias("j"), (z["y"]["w"].isNull() | (z["y"]["w"] != z["x"]["w"])).alias("new"))), lambda r: r["new"])
+    df = df.withColumn("_runs", runs)
+    ends = F.concat(F.transform(F.slice("_runs", F.lit(2), F.greatest(F.size("_runs"), F.lit(0))), lambda r: r["j"]), F.array(F.size("_kept")))
+    counted = F.transform(F.filter(F.arrays_zip(F.col("_runs").alias("r"), ends.alias("e")), lambda z: z["r"].isNotNull()), lambda z: F.struct((z["r"]["j"] - z["e"]).alias("n"), z["r"]["i"].alias("first"), z["r"]["w"].alias("word")))
+    best = F.transform(F.slice(F.array_sort(counted), 1, k), lambda x: F.struct((-x["n"]).cast("long").alias("n"), x["word"].alias("word")))
+    return df.withColumn("keywords", best).drop("_raw", "_kept", "_runs")
+
+
 def keywords(docs: DataFrame, k: int = 15, text: str = "text") -> DataFrame:
-    """The k most frequent words of each text (ties: first occurrence): doc_id, word, n, score, rank."""
-    w = docs.withColumn("_w", T.spaced_words(F.col(text))).select("doc_id", F.size("_w").alias("total"), F.posexplode("_w").alias("pos", "raw"))
-    w = w.withColumn("word", F.regexp_replace(F.lower("raw"), "[^a-z0-9ऀ-ॿঀ-৿਀-੿]", "")).filter((F.length("word") > 2) & ~F.col("word").isin(STOP_WORDS))
-    c = w.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("total").alias("total"))
-    c = c.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first"))).filter(F.col("rank") <= k)
-    return c.select("doc_id", "word", "n", F.least(F.lit(100), T.rounded(F.col("n") / F.greatest(F.lit(1), F.col("total")) * 1000)).cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
+    """The k most frequent words of each text: doc_id, word, n, score, rank."""
+    w = with_keywords(docs.select("doc_id", text), k, text).select("doc_id", "total", F.posexplode("keywords").alias("_r", "_w"))
+    score = F.least(F.lit(100), T.rounded(F.col("_w.n") / F.greatest(F.lit(1), F.col("total")) * 1000)).cast("long")
+    return w.select("doc_id", "_w.word", "_w.n", score.alias("score"), (F.col("_r") + 1).cast("long").alias("rank"))

@@ -2,59 +2,86 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.ordering import greedy_starts
+
 
 def cooldown_dedup(events: DataFrame, key: str, ts: str, tie: str, cooldown_ms: int = 3000) -> DataFrame:
     """Events that come at least the cooldown after the last accepted one of their key.
 
-    Rejected events do not extend the cooldown, so the decision is a fold over a key's sorted times. Times are folded
-    in buckets of a key and time stretch first where gaps allow: a gap of at least the cooldown starts a new session,
-    which is decided on its own.
+    Rejected events do not extend the cooldown, so accepted events are the stops of a greedy walk along a key's times.
     """
-    w = Window.partitionBy(key).orderBy(ts, tie)
-    ms = F.expr(f"unix_micros(CAST({ts} AS TIMESTAMP))") / 1000.0
-    df = events.withColumn("_ms", ms)
-    df = df.withColumn("_s", F.sum(F.coalesce((F.col("_ms") - F.lag("_ms").over(w) >= cooldown_ms).cast("int"), F.lit(1))).over(w))
-    folded = df.groupBy(key, "_s").agg(F.array_sort(F.collect_list(F.struct("_ms", F.col(tie).alias("_t")))).alias("_e"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-
-    def step(acc, x):
-        take = acc["last"].isNull() | (x["_ms"] - acc["last"] >= cooldown_ms)
-        return F.struct(F.when(take, x["_ms"]).otherwise(acc["last"]).alias("last"), F.when(take, F.array_append(acc["kept"], x["_t"])).otherwise(acc["kept"]).alias("kept"))
-
-    kept = folded.select(key, F.explode(F.aggregate("_e", start, step)["kept"]).alias(tie))
-    return events.join(kept.select(tie), tie, "left_semi")
+    ms = F.expr(f"unix_micros(CAST({ts} AS TIMESTAMP))")
+    rows = events.select(key, F.col(tie), F.struct(ms.alias("t"), F.col(tie).alias("tie")).alias("at"), F.struct((ms + cooldown_ms * 1000).alias("t"), F.lit(None).cast(dict(events.dtypes)[tie]).alias("tie")).alias("reach"))
+    return events.join(greedy_starts(rows, [key], "at", "reach", tie).select(tie), tie, "left_semi")
 
 
-def cooldown_stream(events: DataFrame, key: str, ts: str, cooldown_ms: int = 3000) -> DataFrame:
-    """Streaming form of cooldown_dedup: the last accepted time of each key is the state."""
-    out = events.schema
+def _keyed_stream(events: DataFrame, key: list[str], ts: str, delay: str, keep_ms: int, added: str, decide):
+    """A stream with state per key: `decide(rows in order of time, what is known)` gives the rows to put out and what is
+    known then. State goes once the watermark is `keep_ms` behind the key's last event."""
+    schema = events.schema
+    for c in filter(None, added.split(",")):
+        schema = schema.add(*c.split())
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known, last = (json.loads(state.get[0]), state.get[1]) if state.exists else (None, 0)
         f = pd.concat(list(frames)).sort_values(ts, kind="stable")  # one key's rows of one trigger
+        out, known = decide(f, known)
+        last = max(last, int(f[ts].max().value // 1_000_000))
+        state.update((json.dumps(known), last))
+        state.setTimeoutTimestamp(max(last + keep_ms, state.getCurrentWatermarkMs() + 1))
+        yield out[schema.names]
+
+    return events.withWatermark(ts, delay).groupBy(*key).applyInPandasWithState(run, schema, "known string, last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def cooldown_stream(events: DataFrame, key: str, ts: str, cooldown_ms: int = 3000, delay: str = "10 minutes") -> DataFrame:
+    """Streaming form of cooldown_dedup: the last accepted time of each key is the state, and goes with the watermark."""
+
+    def decide(f: pd.DataFrame, last: float | None):
         keep = []
         for t in f[ts]:
             now = t.value / 1e6
             keep.append(last is None or now - last >= cooldown_ms)
-            if keep[-1]:
-                last = now
-        yield f[keep]
-        if last is not None:
-            state.update((last,))
+            last = now if keep[-1] else last
+        return f[keep], last
+
+    return _keyed_stream(events, [key], ts, delay, cooldown_ms, "", decide)
+
+
+def session_dedup(events: DataFrame, key: list[str], ts: str, tie: str, removed: Column | None = None) -> DataFrame:
+    """The first event of each key; where `removed` says that an event takes the key's item away, the next one is
+    admitted again. Removing events themselves are not put out."""
+    gone = F.coalesce(removed, F.lit(False)) if removed is not None else F.lit(False)
+    w = Window.partitionBy(*key).orderBy(ts, tie)
+    df = events.withColumn("_gone", gone).withColumn("_life", F.sum(F.col("_gone").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("not _gone")
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key, "_life").orderBy(ts, tie))).filter("_n = 1").drop("_n", "_gone", "_life")
 
-    return events.groupBy(key).applyInPandasWithState(run, out, "last double", "append", GroupStateTimeout.NoTimeout)
 
+def session_stream(events: DataFrame, key: list[str], ts: str, removed: str | None = None, session: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """Streaming form of session_dedup: whether a key is in is the state; it goes a session after its last event.
+    `removed` names a boolean column. Without one, Spark's own de-duplication within a watermark serves."""
+    if not removed:
+        return events.withWatermark(ts, session).dropDuplicatesWithinWatermark(key)
 
-def session_dedup(events: DataFrame, key: list[str], ts: str, tie: str) -> DataFrame:
-    """The first event of each key."""
-    return events.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(ts, tie))).filter("_n = 1").drop("_n")
+    def decide(f: pd.DataFrame, there: bool | None):
+        keep = []
+        for gone in f[removed].fillna(False):
+            keep.append(not gone and not there)
+            there = not gone
+        return f[keep], bool(there)
+
+    return _keyed_stream(events, key, ts, delay, int(pd.Timedelta(session).total_seconds() * 1000), "", decide)
 
 
 def daily_allowance(events: DataFrame, user: str, operation: str, ts: str, tie: str, limit: int = 5) -> DataFrame:
@@ -65,6 +92,21 @@ def daily_allowance(events: DataFrame, user: str, operation: str, ts: str, tie:
     return df.join(ranked, [user, "day", operation])
 
 
+def allowance_stream(events: DataFrame, user: str, operation: str, ts: str, limit: int = 5, delay: str = "10 minutes") -> DataFrame:
+    """Streaming form of daily_allowance: a user's operations of the day are the state, `limit` granted and then only
+    refused ones by name; it goes a day after the last one."""
+
+    def decide(f: pd.DataFrame, known: dict | None):
+        known = known or {}
+        granted = []
+        for x in f[operation].astype(str):
+            known.setdefault(x, sum(known.values()) < limit)
+            granted.append(known[x])
+        return f.assign(granted=granted), known
+
+    return _keyed_stream(events.withColumn("day", F.to_date(ts)), [user, "day"], ts, delay, 86_400_000, "granted boolean", decide)
+
+
 def quota_gate(items: DataFrame, group: str, order: str, success: str, allowance: int) -> DataFrame:
     """Status of each item in order: completed, failed or skipped_quota. Only successes use the allowance, so an item
     is skipped once the successes before it reach the allowance."""
@@ -74,6 +116,20 @@ def quota_gate(items: DataFrame, group: str, order: str, success: str, allowance
     return items.withColumn("status", status)
 
 
+def quota_stream(items: DataFrame, group: str, ts: str, success: str, allowance: int, idle: str = "1 day", delay: str = "10 minutes") -> DataFrame:
+    """Streaming form of quota_gate in order of time: a group's successes so far are the state; it goes when the group
+    has been idle for so long."""
+
+    def decide(f: pd.DataFrame, done: int | None):
+        done, status = done or 0, []
+        for ok in f[success]:
+            status.append("skipped_quota" if done >= allowance else "completed" if ok else "failed")
+            done += bool(ok)
+        return f.assign(status=status), done
+
+    return _keyed_stream(items, [group], ts, delay, int(pd.Timedelta(idle).total_seconds() * 1000), "status string", decide)
+
+
 def history_last_n(events: DataFrame, user: str, ts: str, tie: str, n: int = 100) -> DataFrame:
     """The newest n events of each user."""
     return events.withColumn("_n", F.row_number().over(Window.partitionBy(user).orderBy(F.desc(ts), F.desc(tie)))).filter(F.col("_n") <= n).drop("_n")
