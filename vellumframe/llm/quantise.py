@@ -20,8 +20,8 @@ from .components import connected_components
 from .vectors import common_length, matrix, usable
 from .words import batch
 
-#: Bounds of the fitting sample and of the members a block holds.
-SAMPLE, BLOCK = 4096, 256
+#: Bounds of the fitting sample and of the members a block holds; from so many members on a block is one matrix product.
+SAMPLE, BLOCK, LARGE = 4096, 1024, 24
 
 
 def learn(sample: np.ndarray, bits: int, rounds: int = 30, seed: int = 3) -> np.ndarray:
@@ -59,28 +59,41 @@ def _links_of(rows: dict[str, np.ndarray], cosine: float):
     a_all, b_all = [], []
     pending_a, pending_b, held = [], [], 0
 
+    def keep(a: np.ndarray, b: np.ndarray) -> None:
+        """Linked pairs, those left out that an earlier table holds."""
+        t, keys = rows["table"][a], rows["keys"]
+        new = np.ones(len(a), bool)
+        for k in range(0, len(a), 1 << 15):
+            own = slice(k, k + (1 << 15))
+            new[own] = ~((keys[a[own]] == keys[b[own]]) & (np.arange(keys.shape[1])[None, :] < t[own, None])).any(axis=1)
+        a_all.append(a[new])
+        b_all.append(b[new])
+
     def flush():
         nonlocal pending_a, pending_b, held
         if not held:
             return
         a, b = np.concatenate(pending_a), np.concatenate(pending_b)
         pending_a, pending_b, held = [], [], 0
-        t = rows["table"][a]
-        keys = rows["keys"]
         ok = np.einsum("ij,ij->i", unit[a], unit[b]) >= cosine
-        a, b, t = a[ok], b[ok], t[ok]
-        earlier = (keys[a] == keys[b]) & (np.arange(keys.shape[1])[None, :] < t[:, None])
-        new = ~earlier.any(axis=1)
-        a_all.append(a[new])
-        b_all.append(b[new])
+        keep(a[ok], b[ok])
 
     for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
         if n < 2:
             continue
         if rows["diagonal"][s]:
+            if n >= LARGE:
+                own = unit[s : s + n]
+                i, j = np.nonzero(np.triu(own @ own.T >= cosine, 1))
+                keep(s + i, s + j)
+                continue
             i, j = np.triu_indices(n, 1)
         else:
             left, right = np.flatnonzero(side[s : s + n] == 0), np.flatnonzero(side[s : s + n] == 1)
+            if n >= LARGE:
+                i, j = np.nonzero(unit[s + left] @ unit[s + right].T >= cosine)
+                keep(s + left[i], s + right[j])
+                continue
             i, j = np.repeat(left, len(right)), np.tile(right, len(left))
         pending_a.append(s + i)
         pending_b.append(s + j)
