@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -24,6 +26,16 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def give_back() -> None:
+    """Hand memory that a fit has freed back to the system, where the C library can: the driver lives on beside Spark's
+    own process, and what it keeps for later is memory that nobody else has."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def free_name(columns: list[str], name: str) -> str:
     """The name of an added column: underscores follow until none of the columns there has it in any case."""
     taken = {c.lower() for c in columns}

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, ready
+from .common import free_name, give_back, ready
 from .toxicity import EDGES
 from .words import Words, batch, pieces
 
@@ -165,9 +165,11 @@ def fit(texts: list[str], langs: list[str], length: int = 96, sequences: int = 6
     rng = np.random.default_rng(seed)
     by = [usable[owner[usable] == k] for k in range(len(languages))]
     by = [b for b in by if len(b)]
-    table = np.concatenate([features(vocab[k : k + 8192]).astype(np.int32) for k in range(0, len(vocab), 8192)])
-    x = np.empty((sequences, length), np.int64)
-    y = np.empty((sequences, length), np.int64)
+    table = np.zeros((len(vocab), features(vocab[:1]).shape[1]), np.int32)
+    for k in range(0, len(vocab), 2048):
+        table[k : k + 2048] = features(vocab[k : k + 2048])
+    x = np.empty((sequences, length), np.int32)
+    y = np.empty((sequences, length), np.int16)
     for s in range(sequences):
         at = 0
         while at < length:
@@ -228,7 +230,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Field:
     ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["lang"]) for r in own.collect()], "doc_id long, lang string")
     rows = docs.select(F.col("doc_id").cast("long"), "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").collect()  # at most per_language ids a language
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"] or ""))
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    field = fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    del rows
+    give_back()
+    return field
 
 
 def predict(text: pa.Array, field: Field) -> tuple[list[str], np.ndarray]:

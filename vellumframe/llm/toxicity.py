@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, ready
+from .common import free_name, give_back, ready
 from .words import Words, batch, binary, pieces
 
 #: Bounds of the fitting sample, in documents, and of the features kept.
@@ -26,21 +26,21 @@ EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿
 
 
 def word_features(vocab: pa.Array) -> np.ndarray:
-    """(words, 4) 64-bit hashes: the lower-cased word without edge marks and its first 4, 5 and 6 characters; 0: none."""
+    """(words, 4) 32-bit hashes: the lower-cased word without edge marks and its first 4, 5 and 6 characters; 0: none."""
     bare = pc.utf8_trim(pc.utf8_lower(vocab), characters=EDGES)
     size = pc.utf8_length(bare).to_numpy()
-    out = np.zeros((len(vocab), 4), np.uint64)
+    out = np.zeros((len(vocab), 4), np.uint32)
     if len(vocab):
         for k, n in enumerate((0, 4, 5, 6)):
             part = bare if not n else pc.utf8_slice_codeunits(bare, 0, n)
             h = pd.util.hash_array(part.to_numpy(zero_copy_only=False), categorize=False) ^ np.uint64(n * 0x9E3779B97F4A7C15 % 2**64)
-            out[:, k] = np.where(size >= max(1, n), h, np.uint64(0))
+            out[:, k] = np.where(size >= max(1, n), (h >> np.uint64(32)).astype(np.uint32), np.uint32(0))
     return out
 
 
 @dataclass
 class Model:
-    features: np.ndarray  # sorted 64-bit hashes
+    features: np.ndarray  # sorted 32-bit hashes
     weights: np.ndarray
     bias: float
 
@@ -81,7 +81,7 @@ def without_copies(sets: list[np.ndarray], bands: int = 12, rows: int = 3) -> li
     for s in sets:
         if not len(s):
             continue
-        least = [int((s * np.uint64(2 * k + 1) ^ np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)).min()) for k in range(bands * rows)]
+        least = [int((s.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) * np.uint64(2 * k + 1) ^ np.uint64(k * 0xD6E8FEB86659FD93 % 2**64)).min()) for k in range(bands * rows)]
         keys = [(k, *least[k : k + rows]) for k in range(0, bands * rows, rows)]
         near = {seen[k] for k in keys if k in seen}
         if any(10 * (both := len(np.intersect1d(s, kept[i], assume_unique=True))) >= 7 * (len(s) + len(kept[i]) - both) for i in near):
@@ -95,7 +95,7 @@ def without_copies(sets: list[np.ndarray], bands: int = 12, rows: int = 3) -> li
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int = FEATURES, steps: int = 250) -> Model:
     """nnPU with the logistic loss, Adam and full batches, over features that positives have more often than others."""
     if not positive or not unlabelled:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -40.0)
+        return Model(np.zeros(0, np.uint32), np.zeros(0), -40.0)
     positive, unlabelled = without_copies(positive) or positive, without_copies(unlabelled) or unlabelled
     names, n_pos = np.unique(np.concatenate(positive), return_counts=True)
     some = (n_pos >= min(2, len(positive))) & (names != 0)
@@ -164,8 +164,11 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     ids = picked.groupBy("doc_id").agg(F.max("p").alias("p"), (F.min("p") == 0).alias("u"))
     text = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")  # at most positives + unlabelled ids
     sets = document_features(text).join(F.broadcast(ids), "doc_id").toArrow()
-    rows = sorted(zip(sets["doc_id"].to_pylist(), sets["p"].to_pylist(), sets["u"].to_pylist(), (np.frombuffer(x.as_buffer(), np.uint64) for x in sets["features"]), strict=True), key=lambda r: (r[0], len(r[3]), r[3].tobytes()))
-    return fit([r[3] for r in rows if r[1]], [r[3] for r in rows if r[2]], prior)
+    rows = sorted(zip(sets["doc_id"].to_pylist(), sets["p"].to_pylist(), sets["u"].to_pylist(), (np.frombuffer(x.as_buffer(), np.uint32) for x in sets["features"]), strict=True), key=lambda r: (r[0], len(r[3]), r[3].tobytes()))
+    model = fit([r[3] for r in rows if r[1]], [r[3] for r in rows if r[2]], prior)
+    del rows, sets
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
