@@ -239,11 +239,12 @@ def arrange(rows: DataFrame, expression: str, longest: int) -> DataFrame:
     return rows.withColumn("_s", F.explode(F.filter(spots, lambda s: s["at"] == F.col("pos")))).withColumn("out_pos", F.col("_s.out")).drop("_s")
 
 
-def tile_grid(pages: DataFrame, tile_w: float, tile_h: float, overlap: float, most: int = 500) -> DataFrame:
+def tile_grid(pages: DataFrame, tile_w: float, tile_h: float, overlap: float, most: int | None = None) -> DataFrame:
     """Tiles that cover each page (width, height): column, row, x, y; the last tile of a line is pulled back.
 
-    Orientation with fewer tiles wins (portrait on ties); pages over the cap get no tiles.
+    Orientation with fewer tiles wins (portrait on ties). With `most`, a page that needs more tiles has an empty plan.
     """
+
     def count(size: Column, tile: float) -> Column:
         return F.greatest(F.lit(1), F.ceil((size - overlap) / (tile - overlap))).cast("int")
 
@@ -251,7 +252,8 @@ def tile_grid(pages: DataFrame, tile_w: float, tile_h: float, overlap: float, mo
     upright, lying = count(w, tile_w) * count(h, tile_h), count(w, tile_h) * count(h, tile_w)
     turn = lying < upright
     df = pages.withColumn("_tw", F.when(turn, tile_h).otherwise(tile_w)).withColumn("_th", F.when(turn, tile_w).otherwise(tile_h))
-    df = df.withColumn("_nx", F.when(turn, count(w, tile_h)).otherwise(count(w, tile_w))).withColumn("_ny", F.when(turn, count(h, tile_w)).otherwise(count(h, tile_h))).filter(F.col("_nx") * F.col("_ny") <= most)
+    df = df.withColumn("_nx", F.when(turn, count(w, tile_h)).otherwise(count(w, tile_w))).withColumn("_ny", F.when(turn, count(h, tile_w)).otherwise(count(h, tile_h)))
+    df = df.filter(F.col("_nx") * F.col("_ny") <= most) if most else df
     df = df.withColumn("column", F.explode(F.sequence(F.lit(0), F.col("_nx") - 1))).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("_ny") - 1)))
     df = df.withColumn("x", F.greatest(F.lit(0.0), F.least(F.col("column") * (F.col("_tw") - overlap), w - F.col("_tw"))))
     return df.withColumn("y", F.greatest(F.lit(0.0), F.least(F.col("row") * (F.col("_th") - overlap), h - F.col("_th")))).drop("_tw", "_th", "_nx", "_ny")
