@@ -270,6 +270,35 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score(frame(spark, [], extra=True), lab).count() == 0
 
 
+def test_toxicity_scores_against_a_plain_version():
+    import pandas as pd
+
+    rng = np.random.default_rng(24)
+    mark = lambda w: int(pd.util.hash_array(np.array([w], object), categorize=False)[0])
+    salt = lambda n: n * 0x9E3779B97F4A7C15 % 2**64
+
+    def plain(word):
+        bare = word.lower().strip(toxicity.EDGES)
+        return {(mark(bare[: n or None]) ^ salt(n)) >> 32 for n in (0, 4, 5, 6) if len(bare) >= max(1, n)}
+
+    texts = ["Vile grumpexes, vile!", "", None, "(amber) BIRCH birchwood 12", "é " * 3]
+    known = sorted({f for t in texts for w in (t or "").split() for f in plain(w)})
+    names = np.array(known[::2], np.uint32)
+    model = toxicity.Model(names, rng.standard_normal(len(names)), -0.3)
+    weight = dict(zip(names.tolist(), model.weights.tolist()))
+    want = [1 / (1 + math.exp(-(model.bias + sum(weight.get(f, 0.0) for f in {f for w in (t or "").split() for f in plain(w)})))) for t in texts]
+    assert np.allclose(model.score(pa.array(texts)), want)
+
+
+def test_non_negative_risk_falls_and_never_turns_negative():
+    rng = np.random.default_rng(25)
+    bad = [np.unique(np.append(rng.integers(100, 400, 30), rng.integers(1, 9, 3))).astype(np.uint32) for _ in range(120)]
+    fine = [np.unique(rng.integers(100, 400, 30)).astype(np.uint32) for _ in range(400)]
+    model = toxicity.fit(bad, fine + bad[:40], 0.1)
+    raw = lambda sets: np.array([model.bias + model.weights[np.isin(model.features, s)].sum() for s in sets])
+    assert set(model.features.tolist()) <= set(range(1, 9)) and (raw(bad) > 0).mean() > 0.95 and (raw(fine) < 0).mean() > 0.99
+
+
 SYL = {"xx": ["ba", "ko", "mi", "tu"], "yy": ["gré", "çou", "éla", "ñor"], "zz": ["sch", "ung", "keit", "ver"]}
 
 

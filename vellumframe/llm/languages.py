@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, give_back, ready
-from .toxicity import EDGES
+from .toxicity import EDGES, LONGEST
 from .words import Words, batch, pieces
 
 #: Bound of the fitting sample, documents of each language, and buckets, ever fewer, that share the work of a frequent one.
@@ -221,15 +221,16 @@ def fit(texts: list[str], langs: list[str], length: int = 96, sequences: int = 6
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Field:
     """Fit on documents with a lang whose crc32(doc_id as text) mod 3 is not 1: of every language the `per_language`
-    with the smallest hashes, with their whole texts."""
+    with the smallest hashes, a row each, with their whole texts of at most LONGEST characters."""
     own = docs.filter("lang is not null").select(F.col("doc_id").cast("long"), "lang").filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     own = own.distinct().withColumn("h", F.xxhash64(F.lit(9), "doc_id"))
     for salts in SALTS:
         first = Window.partitionBy("lang", F.pmod("h", F.lit(salts))).orderBy("h", "doc_id")
         own = own.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language).drop("n")
     ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["lang"]) for r in own.collect()], "doc_id long, lang string")
-    rows = docs.select(F.col("doc_id").cast("long"), "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").collect()  # at most per_language ids a language
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"] or ""))
+    rows = docs.select(F.col("doc_id").cast("long"), "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").filter(F.length("text") <= LONGEST)
+    rows = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()  # at most per_language rows a language
+    rows.sort(key=lambda r: (r["doc_id"], r["lang"]))
     field = fit([r["text"] for r in rows], [r["lang"] for r in rows])
     del rows
     give_back()

@@ -81,13 +81,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed
     block, words, shard, position): where each taken copy goes, and its place in the shard's local shuffle.
 
     Defined cases: null or blank texts have size 0 and are taken 0 times; a null source is a source of its own; rows
-    that repeat are rows of their own; rows with null doc_id take part in the order with an empty key; an empty table
+    that repeat are rows of their own; rows with null doc_id go by a digest of their text; an empty table
     gives empty results. The last copy that reaches a source's target is cut there, so targets are met to the word.
     Sources are a catalogue of bounded size (a row each on the driver), documents are not.
     """
     spark = ready(docs.sparkSession)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = staged(docs.select(F.col("doc_id").cast("long"), "source", size.alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_key")), "sizes")
+    rows = staged(docs.select(F.col("doc_id").cast("long"), "source", size.alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit(""))))))).alias("_key")), "sizes")
     targets = staged(source_targets(rows, weights, most), "targets")
     n = rows.count()
     digits = max(1, math.ceil(math.log(max(n, 1) / 500 + 1, 16)))

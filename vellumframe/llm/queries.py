@@ -85,7 +85,7 @@ def op8_mixing(spark, sf_dir):
 
 OP8_SQL = rf"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len({WORDS_SQL}) AS BIGINT) AS size, md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents
+  SELECT doc_id, source, CAST(len({WORDS_SQL}) AS BIGINT) AS size, md5('11:' || coalesce(CAST(doc_id AS VARCHAR), 'text ' || md5(coalesce(text, '')))) AS k FROM documents
 ), sources AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), numbered AS (

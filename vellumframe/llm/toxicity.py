@@ -20,6 +20,8 @@ from .words import Words, batch, binary, pieces
 
 #: Bounds of the fitting sample, in documents, and of the features kept.
 POSITIVES, UNLABELLED, FEATURES = 1500, 4500, 2048
+#: Longest text, in characters, that takes part in fitting; longer ones are scored like all others.
+LONGEST = 1_000_000
 #: Share of the documents with a feature that must be toxic for it to count, less its standard error.
 PURITY = 0.7
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»…–—“”‘’"
@@ -151,7 +153,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """Fit on the rows whose crc32(doc_id as text) mod 3 is not 1: at most `positives` toxic and `unlabelled` other ones,
-    those with the smallest hashes. The class prior is the toxic share of those labels (0.001 to 0.5)."""
+    those with the smallest hashes, a row each and of at most LONGEST characters. The class prior is the toxic share of those labels (0.001 to 0.5)."""
     own = lambda df: df.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     known = own(labels.filter("toxic is not null").select(F.col("doc_id").cast("long"), "toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.join(docs.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_semi")
@@ -163,6 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     picked = pos.withColumn("p", F.lit(1)).unionByName(un.withColumn("p", F.lit(0)))
     ids = picked.groupBy("doc_id").agg(F.max("p").alias("p"), (F.min("p") == 0).alias("u"))
     text = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")  # at most positives + unlabelled ids
+    text = text.filter(F.length("text") <= LONGEST).groupBy("doc_id").agg(F.min("text").alias("text"))  # one row an id
     sets = document_features(text).join(F.broadcast(ids), "doc_id").toArrow()
     rows = sorted(zip(sets["doc_id"].to_pylist(), sets["p"].to_pylist(), sets["u"].to_pylist(), (np.frombuffer(x.as_buffer(), np.uint32) for x in sets["features"]), strict=True), key=lambda r: (r[0], len(r[3]), r[3].tobytes()))
     model = fit([r[3] for r in rows if r[1]], [r[3] for r in rows if r[2]], prior)
