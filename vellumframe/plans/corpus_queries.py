@@ -11,7 +11,7 @@ from ..operators import sensitive as P
 from .literals import STOPS_SQL
 from ..sources import pages as G
 from .registry import documents, query, table
-from .text_queries import _SECTIONS, SUMMARY_SQL, S, marked_documents
+from .text_queries import SUMMARY_SQL, S, marked_documents
 
 NORM = f"trim(regexp_replace(lower(text), '{S}+', ' ', 'g'))"
 DUPS = f"""k AS (SELECT doc_id, sha256({NORM}) AS h FROM documents WHERE {NORM} <> ''), g AS (SELECT h, min(doc_id) AS group_id, count(*) AS size FROM k GROUP BY h HAVING count(*) > 1), dups AS (SELECT doc_id, group_id, size, doc_id = group_id AS keep FROM k JOIN g USING (h))"""

@@ -174,7 +174,7 @@ def with_keywords(docs: DataFrame, k: int = 15, text: str = "text") -> DataFrame
     clean = F.transform("_raw", lambda w, i: F.struct(F.regexp_replace(F.lower(w), "[^a-z0-9ऀ-ॿঀ-৿਀-੿]", "").alias("w"), i.alias("i")))
     df = df.withColumn("_kept", F.array_sort(F.filter(clean, lambda x: (F.length(x["w"]) > 2) & ~x["w"].isin(STOP_WORDS))))
     before = F.concat(F.array(F.lit(None).cast("struct<w:string,i:int>")), "_kept")
-    runs = F.filter(F.transform(F.arrays_zip(F.col("_kept").alias("x"), before.alias("y")), lambda z, j: F.struct(z["x"]["w"].alias("w"), z["x"]["i"].alias("i"), j.alias("j"), (z["y"]["w"].isNull() | (z["y"]["w"] != z["x"]["w"])).alias("new"))), lambda r: r["new"])
+    runs = F.filter(F.transform(F.arrays_zip(F.col("_kept").alias("x"), before.alias("y")), lambda z, j: F.struct(z["x"]["w"].alias("w"), z["x"]["i"].alias("i"), j.alias("j"), (z["y"]["w"].isNull() | (z["y"]["w"] != z["x"]["w"])).alias("new"))), lambda r: r["w"].isNotNull() & r["new"])
     df = df.withColumn("_runs", runs)
     ends = F.concat(F.transform(F.slice("_runs", F.lit(2), F.greatest(F.size("_runs"), F.lit(0))), lambda r: r["j"]), F.array(F.size("_kept")))
     counted = F.transform(F.filter(F.arrays_zip(F.col("_runs").alias("r"), ends.alias("e")), lambda z: z["r"].isNotNull()), lambda z: F.struct((z["r"]["j"] - z["e"]).alias("n"), z["r"]["i"].alias("first"), z["r"]["w"].alias("word")))
