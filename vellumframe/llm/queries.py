@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from .attention import score as attention_score
 from .common import table
+from .filter_audit import audit
 from .hyperminhash import near_duplicates
+from .importance import resample
 from .languages import identify
 from .mixing import mix
 from .packing import pack_documents
 from .projections import nearest
 from .quantise import near_vectors
 from .quotations import link_quotations
+from .token_counts import count_tokens
 from .toxicity import score as toxicity_score
 from .wavelet import read_documents, write_tokens
 
@@ -189,6 +192,90 @@ SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, e.vec_
 FROM embeddings e JOIN comp USING (vec_id) LEFT JOIN counted USING (vec_id)
 """
 
+
+def op11_token_counts(spark, sf_dir):
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def op12_importance(spark, sf_dir):
+    docs, target = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return resample(docs.select("doc_id", "text"), target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: crc32 a byte at a time, over its table of 256 values; doubles and floors as the operator's.
+OP12_SQL = r"""
+WITH step AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(CAST(3988292384 AS BIGINT), c // 2) ELSE c // 2 END) AS c FROM (SELECT unnest(range(256)) AS i)
+  )
+), texts AS MATERIALIZED (
+  SELECT 's' AS side, row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT 't', row_number() OVER (), NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), features AS MATERIALIZED (
+  SELECT side, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM texts
+), posted AS MATERIALIZED (
+  SELECT side, r, g, count(*) AS n FROM features GROUP BY 1, 2, 3
+), spelled AS (
+  SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM posted)
+), hashed AS MATERIALIZED (
+  SELECT g, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, len(x) // 2), lambda i: CAST('0x' || substring(x, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256)), CAST(4294967295 AS BIGINT)) % 10000 AS b FROM spelled, step
+), counts AS (
+  SELECT b, sum(n) FILTER (side = 's') AS s, sum(n) FILTER (side = 't') AS t FROM posted JOIN hashed USING (g) GROUP BY b
+), totals AS (
+  SELECT CAST(coalesce(sum(s), 0) + 10000 AS DOUBLE) AS s_all, CAST(coalesce(sum(t), 0) + 10000 AS DOUBLE) AS t_all FROM counts
+), gains AS (
+  SELECT b, CAST(floor(1000 * ln(CAST(coalesce(t, 0) + 1 AS DOUBLE) * s_all / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * t_all))) AS BIGINT) AS gain FROM counts, totals
+), weighed AS (
+  SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(CAST(sum(n * gain) AS DOUBLE) / sum(n)) AS BIGINT) AS weight FROM posted JOIN hashed USING (g) JOIN gains USING (b) WHERE side = 's' GROUP BY r
+), scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(w) >= 20 AS may,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substring(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM texts LEFT JOIN weighed USING (r) WHERE side = 's'
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY may ORDER BY score DESC, doc_id) AS k, count(*) OVER (PARTITION BY may) AS n FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN may AND k <= 25 * n // 100 THEN k END AS rank FROM ranked
+"""
+
+
+def op13_filter_audit(spark, sf_dir):
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH marked AS (
+  SELECT id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM (SELECT doc_id AS id, quality, toxic FROM labels) GROUP BY id
+), split AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), failed AS (
+  SELECT part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'),
+    doc_id > min(doc_id) OVER (PARTITION BY t)] AS f, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM split LEFT JOIN marked ON id = doc_id
+), cells AS MATERIALIZED (
+  SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM failed GROUP BY part, f
+), letters AS (
+  SELECT unnest(range(1, 6)) AS k
+), orders AS (
+  SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5
+), steps AS MATERIALIZED (
+  SELECT o, array_to_string(list_transform(o, lambda k: 'ABCDE'[k]), '') AS filter_order, unnest(range(1, 6)) AS step FROM orders
+), counted AS (
+  SELECT part, filter_order, step, o[step] AS own,
+    sum(n) FILTER (NOT list_bool_or(list_transform(o[:step], lambda k: f[k]))) AS kept,
+    sum(n) FILTER (f[o[step]] AND NOT coalesce(list_bool_or(list_transform(o[:step - 1], lambda k: f[k])), false)) AS removed,
+    sum(n) FILTER (f[o[step]] AND coalesce(list_bool_or(list_transform(o[:step - 1], lambda k: f[k])), false)) AS redundant,
+    sum(n) FILTER (f[o[step]] AND len(list_filter(f, lambda x: x)) = 1) AS unique_fails,
+    sum(good) FILTER (f[o[step]] AND NOT coalesce(list_bool_or(list_transform(o[:step - 1], lambda k: f[k])), false)) AS good_lost,
+    sum(toxic) FILTER (f[o[step]] AND NOT coalesce(list_bool_or(list_transform(o[:step - 1], lambda k: f[k])), false)) AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM counted
+"""
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_wavelet_tokens": op2_wavelet_tokens,
@@ -200,10 +287,15 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_language_field": op9_language_field,
     "op10_hyperminhash": op10_hyperminhash,
+    "op11_token_counts": op11_token_counts,
+    "op12_importance": op12_importance,
+    "op13_filter_audit": op13_filter_audit,
 }
 ORACLE_SQL = {
     "op3_quotation_linking": OP3_SQL,
     "op6_iterative_quantisation": OP6_SQL,
     "op8_mixing": OP8_SQL,
     "op10_hyperminhash": OP10_SQL,
+    "op12_importance": OP12_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
