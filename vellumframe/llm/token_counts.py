@@ -148,7 +148,7 @@ def frequent_lengths(docs: DataFrame, path: str, sample: int = SAMPLE, most: int
     The texts are the first that Spark comes to, so that no second scan is needed. They only decide which pieces are
     looked up in the table rather than in a worker's cache; no count depends on them.
     """
-    texts = docs.filter(F.length("text") <= LONGEST).select("text").limit(sample).toArrow()["text"].combine_chunks()
+    texts = pa.array([r["text"] for r in docs.filter(F.length("text") <= LONGEST).select("text").take(sample)], pa.string())
     own, totals = counter(path), {}
     for part in chunks(texts):
         found = own.pieces(part)[0]
