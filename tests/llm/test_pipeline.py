@@ -1,9 +1,107 @@
-"""The pipeline's stages over a small table: each decision takes effect, and the rows equal a plain version's."""
+"""The pipeline's stages over a small table: each decision takes effect, and every stage's rows equal a plain version's:
+the trained models applied text by text, shingle sets compared pair by pair, SQL for the mix, ids cut by hand."""
 
+import re
+import zlib
+
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from vellumframe.llm import languages, toxicity
+from vellumframe.llm.queries import OP8_SQL
+
+
+def plain_near(rows):
+    """rows without those that have a smaller doc_id in their group: five-word shingles, similarity 0.8, pair by pair."""
+    cut = lambda t: [x for x in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
+    sets = {}
+    for r in rows:
+        w = cut(r["text"])
+        sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    return [r for r in rows if root(r["doc_id"]) == r["doc_id"]]
+
+
+def plain_pieces(rows):
+    """(doc_id, piece, start, length, ids_crc32) of all pieces, in order."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole, out = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), []
+    for r in rows:
+        ids = [*whole.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), 2048):
+            part = ids[k : k + 2048]
+            out.append((r["doc_id"], k // 2048, k, len(part), zlib.crc32(np.array(part, "<u4").tobytes())))
+    return sorted(out)
+
+
+def test_every_stage_equals_a_plain_version(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(12)
+    syllables = "ba ko mi tu ren sol var dig pel nu".split()
+    words = {lang: ["".join(rng.choice(syllables, 2)) + end for _ in range(150)] for lang, end in (("en", "ing"), ("fr", "eau"))}
+    rows = []
+    for i in range(260):
+        lang = ("en", "fr")[i % 2]
+        t = list(rng.choice(words[lang], int(rng.integers(20, 80))))
+        if i % 7 == 0:
+            t[:3] = ["vilefoo", "vilebar", "grumpex"]
+        rows.append((i, " ".join(t), lang, f"s{i % 3}" if i % 5 else None))
+    rows += [(400 + i, rows[3 * i + 1][1] + (" tail" if i % 2 else ""), "en", "s1") for i in range(30)]
+    rows += [(500, " ".join(rng.choice(words["en"], 5000)), "en", "s0"), (501, "77 88", "en", "s1"), (502, None, None, None), (503, "", "fr", "s2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, 1, int(i % 7 == 0)) for i in range(260)], "doc_id long, quality int, toxic int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    before = docs
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, before, str(tmp_path)).write.parquet(str(tmp_path / name))
+        after, given = spark.read.parquet(str(tmp_path / name)), before.collect()
+        got = sorted(map(tuple, after.collect()), key=key)
+        if name == "toxicity":
+            model = toxicity.train(before, labels)
+            want = [r for r in given if model.score(pa.array([r["text"]], pa.string()))[0] < 0.7]
+        elif name == "language":
+            field = languages.train(before)
+            said = [languages.predict(pa.array([r["text"]], pa.string()), field) for r in given]
+            want = [r for r, (lang, sure) in zip(given, said, strict=True) if lang[0] != "und" and sure[0] >= corpus_pipeline.LEAST_LANGUAGE]
+        elif name == "near_duplicate":
+            want = plain_near(given)
+        elif name == "mixing":
+            con = duckdb.connect()
+            con.register("documents", before.toPandas())
+            taken = {r[0]: (r[1], r[2]) for r in con.execute(f"SELECT doc_id, size, taken FROM ({OP8_SQL})").fetchall()}
+            want = [r for r in given for _ in range(-(-taken[r["doc_id"]][1] // max(1, taken[r["doc_id"]][0])))]
+        else:
+            pieces = after.collect()
+            got, want = sorted(tuple(r)[:5] for r in after.select("doc_id", "piece", "start", "length", "ids_crc32").collect()), plain_pieces(given)
+            room = {}
+            for r in sorted(pieces, key=lambda r: (r["sequence_id"], r["offset"])):
+                assert r["offset"] == room.get(r["sequence_id"], 0)
+                room[r["sequence_id"]] = r["offset"] + r["length"]
+            assert max(room.values()) <= 2048 and len(room) == -(-sum(r["length"] for r in pieces) // 2048)
+        assert len(want) < len(given) or name in ("mixing", "packing")
+        assert got == (want if name == "packing" else sorted(map(tuple, want), key=key)), name
+        before = after
+
 
 def test_stages(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")

@@ -59,10 +59,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, name: str, **options) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors. The table is
+    deleted when the driver ends, or before that by drop()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vellum/{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
     df.write.options(**options).parquet(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     back = spark.read.schema(df.schema).parquet(path)
     back.staged_path = path
     return back

@@ -20,6 +20,8 @@ from .words import Words, batch, pieces
 
 #: Bound of the fitting sample, documents of each language, and buckets, ever fewer, that share the work of a frequent one.
 PER_LANGUAGE, SALTS = 300, (512, 16, 1)
+#: Languages that are learned at most; each has its own weights.
+LANGUAGES = 200
 BITS, WIDE = 17, 24
 
 
@@ -219,17 +221,23 @@ def fit(texts: list[str], langs: list[str], length: int = 96, sequences: int = 6
     return Field(languages, weights, trans.astype(np.float32))
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Field:
-    """Fit on documents with a lang whose crc32(doc_id as text) mod 3 is not 1: of every language the `per_language`
-    with the smallest hashes, a row each, with their whole texts of at most LONGEST characters."""
-    own = docs.filter("lang is not null").select(F.col("doc_id").cast("long"), "lang").filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
-    own = own.distinct().withColumn("h", F.xxhash64(F.lit(9), "doc_id"))
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = LANGUAGES) -> Field:
+    """Fit on documents with a lang whose crc32(doc_id as text) mod 3 is not 1: of every language, among texts that hold a
+    letter and have at most LONGEST characters, the `per_language` with the smallest hashes, a row each and whole.
+
+    More than `most` values of lang are a ValueError: every one of them has weights of its own.
+    """
+    usable = F.col("lang").isNotNull() & (F.length("text") <= LONGEST) & F.col("text").rlike(r"\p{L}")
+    texts = docs.select(F.col("doc_id").cast("long"), "lang", "text").filter(usable & (F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
+    own = texts.select("doc_id", "lang").distinct().withColumn("h", F.xxhash64(F.lit(9), "doc_id"))
     for salts in SALTS:
         first = Window.partitionBy("lang", F.pmod("h", F.lit(salts))).orderBy("h", "doc_id")
         own = own.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language).drop("n")
-    ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["lang"]) for r in own.collect()], "doc_id long, lang string")
-    rows = docs.select(F.col("doc_id").cast("long"), "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").filter(F.length("text") <= LONGEST)
-    rows = rows.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()  # at most per_language rows a language
+    picked = own.limit(per_language * most + 1).collect()  # a lang value gives at most per_language rows
+    if len({r["lang"] for r in picked}) > most or len(picked) > per_language * most:
+        raise ValueError(f"more than {most} languages")
+    ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["lang"]) for r in picked], "doc_id long, lang string")
+    rows = texts.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"]))
     field = fit([r["text"] for r in rows], [r["lang"] for r in rows])
     del rows
@@ -254,8 +262,10 @@ def predict(text: pa.Array, field: Field) -> tuple[list[str], np.ndarray]:
 def label_words(docs: DataFrame, field: Field) -> DataFrame:
     """Spans of one language inside each text: doc_id, first word, words, lang (over the words, or parts of
     long runs, that hold a letter)."""
+    shared = ready(docs.sparkSession).sparkContext.broadcast(field)
 
     def run(batches):
+        field = shared.value
         for b in pieces(batches):
             codes, offsets, vocab = sequence_words(b.column(1))
             if not len(codes) or not field.languages:
@@ -277,13 +287,13 @@ def identify(docs: DataFrame, field: Field | None = None) -> DataFrame:
     labelled alike; an empty table gives an empty result.
     """
     ready(docs.sparkSession)
-    field = field or train(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(field or train(docs))  # 2^BITS weights a language, at most LANGUAGES of them
     own, text = docs.columns, docs.columns.index("text")
     held_out, found, scores = (free_name(own, c) for c in ("held_out", "lang_pred", "score"))
 
     def run(batches):
         for b in pieces(batches):
-            lang, score = predict(b.column(text), field)
+            lang, score = predict(b.column(text), shared.value)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*own, found, scores])
 
     out = docs.mapInArrow(run, docs.select("*", F.lit("").alias(found), F.lit(0.0).alias(scores)).schema)

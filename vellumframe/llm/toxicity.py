@@ -49,6 +49,8 @@ class Model:
     def score(self, text: pa.Array) -> np.ndarray:
         """Probability per text; a feature counts once a document."""
         words = Words(text, lower=False)
+        if np.isneginf(self.bias):  # nothing was learned
+            return np.zeros(len(words))
         raw = np.full(len(words), self.bias)
         if len(self.features) and len(words.codes):
             h = word_features(words.vocab)
@@ -97,7 +99,7 @@ def without_copies(sets: list[np.ndarray], bands: int = 12, rows: int = 3) -> li
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, most: int = FEATURES, steps: int = 250) -> Model:
     """nnPU with the logistic loss, Adam and full batches, over features that positives have more often than others."""
     if not positive or not unlabelled:
-        return Model(np.zeros(0, np.uint32), np.zeros(0), -40.0)
+        return Model(np.zeros(0, np.uint32), np.zeros(0), -np.inf)
     positive, unlabelled = without_copies(positive) or positive, without_copies(unlabelled) or unlabelled
     names, n_pos = np.unique(np.concatenate(positive), return_counts=True)
     some = (n_pos >= min(2, len(positive))) & (names != 0)
@@ -153,19 +155,22 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """Fit on the rows whose crc32(doc_id as text) mod 3 is not 1: at most `positives` toxic and `unlabelled` other ones,
-    those with the smallest hashes, a row each and of at most LONGEST characters. The class prior is the toxic share of those labels (0.001 to 0.5)."""
+    those with the smallest hashes among documents with a text that is not blank and has at most LONGEST characters, a row
+    each. The class prior is the toxic share of all those labels that have a document (0.001 to 0.5)."""
     own = lambda df: df.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     known = own(labels.filter("toxic is not null").select(F.col("doc_id").cast("long"), "toxic")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.join(docs.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_semi")
+    usable = (F.length("text") <= LONGEST) & (F.trim("text") != "")
+    there = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.coalesce(usable, F.lit(False))).alias("usable"))
+    known = known.join(there, "doc_id")
     stats = known.agg(F.count("*"), F.sum((F.col("toxic") == 1).cast("long"))).first()
     prior = min(0.5, max(0.001, (stats[1] or 0) / max(1, stats[0])))
     order = [F.xxhash64(F.lit(4), "doc_id"), "doc_id"]
-    pos = known.filter("toxic = 1").select("doc_id").orderBy(*order).limit(positives)
-    un = own(docs.select(F.col("doc_id").cast("long"))).distinct().orderBy(*order).limit(unlabelled)
+    pos = known.filter("toxic = 1 and usable").select("doc_id").orderBy(*order).limit(positives)
+    un = own(there.filter("usable").select("doc_id")).orderBy(*order).limit(unlabelled)
     picked = pos.withColumn("p", F.lit(1)).unionByName(un.withColumn("p", F.lit(0)))
     ids = picked.groupBy("doc_id").agg(F.max("p").alias("p"), (F.min("p") == 0).alias("u"))
     text = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")  # at most positives + unlabelled ids
-    text = text.filter(F.length("text") <= LONGEST).groupBy("doc_id").agg(F.min("text").alias("text"))  # one row an id
+    text = text.filter(usable).groupBy("doc_id").agg(F.min("text").alias("text"))  # one row an id
     sets = document_features(text).join(F.broadcast(ids), "doc_id").toArrow()
     rows = sorted(zip(sets["doc_id"].to_pylist(), sets["p"].to_pylist(), sets["u"].to_pylist(), (np.frombuffer(x.as_buffer(), np.uint32) for x in sets["features"]), strict=True), key=lambda r: (r[0], len(r[3]), r[3].tobytes()))
     model = fit([r[3] for r in rows if r[1]], [r[3] for r in rows if r[2]], prior)
