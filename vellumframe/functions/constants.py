@@ -15,10 +15,17 @@ wouldn't you you'd you'll you're you've your yours yourself yourselves will shal
 # The lists of retrieval and of summaries hold the same words.
 QA_STOP_WORDS = SUMMARY_STOP_WORDS = STOP_WORDS
 
-# The list of tags and classes knows `can` and words of documents, and not the last six above.
-TAG_STOP_WORDS = [w for w in STOP_WORDS if w not in ("will", "shall", "may", "might", "must")] + """
-can document total number date details please thank thanks regards sincerely www com org http https email phone tel fax null
-undefined pdf scanned scan copy file item items
+# Stop words of tags and classes.
+TAG_STOP_WORDS = """
+a about above after again against all am an and any are aren't as at be because been before being below between both but by
+can can't cannot could couldn't did didn't do does doesn't doing don't down during each few for from further had hadn't has hasn't
+have haven't having he he'd he'll he's her here here's hers herself him himself his how how's i i'd i'll i'm i've if in into is
+isn't it it's its itself let's me more most mustn't my myself no nor not of off on once only or other ought our ours ourselves
+out over own same shan't she she'd she'll she's should shouldn't so some such than that that's the their theirs them themselves
+then there there's these they they'd they'll they're they've this those through to too under until up very was wasn't we we'd
+we'll we're we've were weren't what what's when when's where where's which while who who's whom why why's with won't would
+wouldn't you you'd you'll you're you've your yours yourself yourselves page document total number date details please thank
+thanks regards sincerely www com org http https email phone tel fax null undefined pdf scanned scan copy file item items
 """.split()
 
 # Syllables of irregular words.

@@ -10,6 +10,12 @@ from .constants import ABBREVIATIONS, STOP_WORDS, SYLLABLES, B, E
 SPACE = r"[ \t\n\r\f\x0B ]+"
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is made once a row: columns that the optimiser inlines would be made anew for every element of a
+    higher-order function around them."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def rounded(x: Column, digits: int = 0) -> Column:
     """Half up, as floor(x + 0.5)."""
     return F.floor(x * 10**digits + 0.5) / 10**digits if digits else F.floor(x + 0.5)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ..functions.constants import TAG_STOP_WORDS, B, E
-from ..functions.text import rounded
+from ..functions.text import let, rounded
 from .sensitive import safe_pattern
 
 Rules = dict[str, list[tuple[str, int]]]
@@ -64,18 +66,30 @@ def check_rules(rules: Rules) -> Rules:
     return rules
 
 
-def term_scores(text: Column, rules: Rules) -> dict[str, Column]:
-    """Points of every class: the weights of its terms that the lower-cased text contains."""
-    return {c: sum((F.contains(text, F.lit(t)).cast("int") * w for t, w in terms), F.lit(0)) for c, terms in rules.items()}
+def term_table(classes: list[list[dict]], schema: str = "term string, weight bigint") -> Column:
+    """Rules of each class as one constant: an array of arrays of structs. Whatever the number of rules, the plan holds one
+    literal, so that generated code does not grow with them."""
+    return F.from_json(F.lit(json.dumps(classes, ensure_ascii=False)), ArrayType(ArrayType(StructType.fromDDL(schema))))
 
 
-def winner(scores: dict[str, Column], fallback: str) -> Column:
-    """The first class with the most points, the fallback where none has any."""
-    top = F.greatest(*scores.values(), F.lit(0))
-    name = F.lit(fallback)
-    for c in reversed(scores):
-        name = F.when((scores[c] == top) & (top > 0), c).otherwise(name)
-    return name
+def class_points(text: Column, classes: Column, hit=lambda t, r: F.contains(t, r["term"])) -> Column:
+    """Points of each class of a term_table, in its order: the weights of its rules that hold.
+
+    The text travels in the fold's state, so that it is made once a row and not once a rule.
+    """
+    points = lambda t, terms: F.aggregate(F.filter(terms, lambda r: hit(t, r)), F.lit(0).cast("bigint"), lambda p, r: p + r["weight"])
+    start = F.struct(text.alias("t"), F.array().cast("array<bigint>").alias("all"))
+    return F.aggregate(classes, start, lambda acc, terms: F.struct(acc["t"].alias("t"), F.array_append(acc["all"], points(acc["t"], terms)).alias("all")))["all"]
+
+
+def rules_table(rules: Rules) -> Column:
+    return term_table([[{"term": t, "weight": w} for t, w in terms] for terms in check_rules(rules).values()])
+
+
+def winner(points: Column, names: list[str], least: float, fallback: str) -> Column:
+    """The first class with the most points, the fallback below `least` of them."""
+    named = lambda p, top: F.when(top < least, fallback).otherwise(F.element_at(F.array(*map(F.lit, names)), F.array_position(p, top).cast("int")))
+    return let(points, lambda p: named(p, F.array_max(p)))
 
 
 def classify_generic(docs: DataFrame, text: str = "text", pages: str | None = None, hint: str | None = None, rules: Rules | None = None) -> DataFrame:
@@ -84,40 +98,43 @@ def classify_generic(docs: DataFrame, text: str = "text", pages: str | None = No
     `pages` names a column with the page count, 1 without one; `hint` one with file name and title, whose terms weigh
     0.8. Below 20 points the class is Other with confidence 15.
     """
-    rules = check_rules(rules or GENERIC)
-    n = F.coalesce(F.col(pages), F.lit(1)) if pages else F.lit(1)
-    df = docs.withColumn("_t", F.lower(F.coalesce(F.col(text), F.lit("")))).withColumn("_h", F.lower(F.coalesce(F.col(hint), F.lit(""))) if hint else F.lit(""))
-    own, hinted = term_scores(F.col("_t"), rules), term_scores(F.col("_h"), rules)
-    names = {c: f"_c{k}" for k, c in enumerate(rules)}
-    for c, name in names.items():
-        bonus = sum((F.when((own[c] > 0) & (n == 1 if which == "one" else n > 1), p).otherwise(0) for k, which, p in STRUCTURE if k == c), F.lit(0))
-        df = df.withColumn(name, F.round(own[c] + bonus + hinted[c] * HINT_WEIGHT, 6))
-    points = {c: F.col(name) for c, name in names.items()}
-    df = df.withColumn("points", F.greatest(*points.values(), F.lit(0.0))).withColumn("category", F.when(F.col("points") < 20, "Other").otherwise(winner(points, "Other")))
+    rules = rules or GENERIC
+    names, terms = list(rules), rules_table(rules)
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    df = docs.withColumn("_own", class_points(low(text), terms)).withColumn("_n", F.coalesce(F.col(pages), F.lit(1)) if pages else F.lit(1))
+    df = df.withColumn("_hint", class_points(low(hint), terms) if hint else F.array_repeat(F.lit(0).cast("bigint"), len(names)))
+    bonus = [next(((which, p) for k, which, p in STRUCTURE if k == c), ("one", 0)) for c in names]
+    extra = F.from_json(F.lit(json.dumps([{"several": w == "several", "points": p} for w, p in bonus])), "array<struct<several: boolean, points: bigint>>")
+    gained = lambda own, i: F.when((own > 0) & (F.get(extra, i)["several"] == (F.col("_n") > 1)) & ((F.col("_n") > 1) | (F.col("_n") == 1)), F.get(extra, i)["points"]).otherwise(0)
+    df = df.withColumn("_points", F.transform("_own", lambda own, i: F.round(own + gained(own, i) + F.get("_hint", i) * HINT_WEIGHT, 6)))
+    df = df.withColumn("points", F.array_max("_points")).withColumn("category", winner(F.col("_points"), names, 20, "Other"))
     sure = lambda x, base, most: F.least(F.lit(most), rounded(base + x / 130 * 44)).cast("long")
     df = df.withColumn("confidence", F.when(F.col("category") == "Other", 15).otherwise(sure(F.col("points"), 55, 99)).cast("long"))
-    others = F.filter(F.array(*[F.struct((-sure(points[c], 45, 95)).alias("o"), F.lit(k).alias("k"), F.lit(c).alias("category"), points[c].alias("p")) for k, c in enumerate(rules)]), lambda x: (x["p"] >= 20) & (x["category"] != F.col("category")))
-    return df.withColumn("secondary", F.transform(F.array_sort(others), lambda x: F.struct(x["category"].alias("category"), (-x["o"]).alias("confidence")))).drop("_t", "_h", *names.values())
+    others = F.transform("_points", lambda p, k: F.struct((-sure(p, 45, 95)).alias("o"), k.alias("k"), F.get(F.array(*map(F.lit, names)), k).alias("category"), p.alias("p")))
+    others = F.filter(others, lambda x: (x["p"] >= 20) & (x["category"] != F.col("category")))
+    return df.withColumn("secondary", F.transform(F.sort_array(others), lambda x: F.struct(x["category"].alias("category"), (-x["o"]).alias("confidence")))).drop("_own", "_n", "_hint", "_points")
 
 
 def classify_simple(docs: DataFrame, text: str = "text", rules: Rules | None = None) -> DataFrame:
     """Adds category, points and confidence: 0 for blank texts, 30 below 15 points, else 40 and the points, 50 to 98."""
-    df = docs.withColumn("_t", F.lower(F.coalesce(F.col(text), F.lit(""))))
-    points = term_scores(F.col("_t"), check_rules(rules or SIMPLE))
-    df = df.withColumn("points", F.greatest(*points.values(), F.lit(0)).cast("long")).withColumn("category", F.when(F.col("points") < 15, "UNKNOWN").otherwise(winner(points, "UNKNOWN")))
-    sure = F.when(F.trim("_t") == "", 0).when(F.col("points") < 15, 30).otherwise(F.least(F.lit(98), F.greatest(F.lit(50), 40 + F.col("points"))))
-    return df.withColumn("confidence", sure.cast("long")).drop("_t")
+    rules = rules or SIMPLE
+    df = docs.withColumn("_points", class_points(F.lower(F.coalesce(F.col(text), F.lit(""))), rules_table(rules)))
+    df = df.withColumn("points", F.array_max("_points")).withColumn("category", winner(F.col("_points"), list(rules), 15, "UNKNOWN"))
+    blank = F.trim(F.coalesce(F.col(text), F.lit(""))) == ""
+    sure = F.when(blank, 0).when(F.col("points") < 15, 30).otherwise(F.least(F.lit(98), F.greatest(F.lit(50), 40 + F.col("points"))))
+    return df.withColumn("confidence", sure.cast("long")).drop("_points")
 
 
-def rule_pack(rules: DataFrame, most: int = 200) -> list[dict]:
-    """(category, kind, pattern, weight, rank) as checked rules by rank; ValueError for more than `most` of them, unknown
-    kinds, blank patterns, weights of 0 or less, and regular expressions that may backtrack without end.
+def rule_pack(rules: DataFrame, most: int = 10_000, most_regex: int = 200) -> list[dict]:
+    """(category, kind, pattern, weight, rank) as checked rules by rank; ValueError for more than `most` of them or
+    `most_regex` regular expressions, unknown kinds, blank patterns, weights of 0 or less, and regular expressions that may
+    backtrack without end.
 
-    Kinds: term (anywhere in the text), marker (whole words) and regex; none minds case.
+    Kinds: term (anywhere in the text), marker (whole words) and regex; none minds the case of A-Z.
     """
     rows = [r.asDict() for r in rules.select("category", "kind", "pattern", "weight", "rank").orderBy("rank").limit(most + 1).collect()]
-    if len(rows) > most:
-        raise ValueError(f"a pack has at most {most} rules")
+    if len(rows) > most or sum(r["kind"] == "regex" for r in rows) > most_regex:
+        raise ValueError(f"a pack has at most {most} rules, {most_regex} of them regular expressions")
     for r in rows:
         if r["kind"] not in ("term", "marker", "regex") or not (r["category"] or "").strip() or not (r["pattern"] or "").strip() or not (r["weight"] or 0) > 0:
             raise ValueError(f"not a rule: {r}")
@@ -126,27 +143,36 @@ def rule_pack(rules: DataFrame, most: int = 200) -> list[dict]:
     return rows
 
 
+#: A-Z in small letters and nothing else changed.
+_CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
 def apply_rules(docs: DataFrame, rules: list[dict], least: int, fallback: str, text: str = "text") -> DataFrame:
     """Adds score and category: weights of the rules that hold, summed by category, the largest (ties: the category whose
-    first rule comes first), the fallback below `least`."""
+    first rule comes first), the fallback below `least`.
+
+    Terms and markers are one constant of the plan and looked for by one fold over the text; a marker's edges are
+    looked at only where its letters are there. Only regular expressions are expressions of their own.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
-    edge = {"term": ("(?i)", ""), "marker": (f"(?i){B}", E), "regex": ("(?i)", "")}
-    pattern = lambda r: r["pattern"] if r["kind"] == "regex" else re.escape(r["pattern"])
-    hit = lambda r: t.rlike(edge[r["kind"]][0] + f"(?:{pattern(r)})" + edge[r["kind"]][1]).cast("int") * int(r["weight"])
     names = list(dict.fromkeys(r["category"] for r in rules))
-    df = docs
-    for k, c in enumerate(names):
-        df = df.withColumn(f"_c{k}", sum((hit(r) for r in rules if r["category"] == c), F.lit(0)))
-    points = {c: F.col(f"_c{k}") for k, c in enumerate(names)}
-    df = df.withColumn("score", F.greatest(*points.values(), F.lit(0), F.lit(0)).cast("long"))
-    return df.withColumn("category", F.when(F.col("score") < least, fallback).otherwise(winner(points, fallback))).drop(*[f"_c{k}" for k in range(len(names))])
+    low = str.maketrans(_CAPITALS, _SMALL)
+    plain = [[{"term": r["pattern"].translate(low), "edged": f"{B}{re.escape(r['pattern'].translate(low))}{E}" if r["kind"] == "marker" else None, "weight": int(r["weight"])} for r in rules if r["category"] == c and r["kind"] != "regex"] for c in names]
+    hit = lambda t, r: F.contains(t, r["term"]) & (r["edged"].isNull() | F.rlike(t, r["edged"]))
+    points = class_points(F.translate(t, _CAPITALS, _SMALL), term_table(plain, "term string, edged string, weight bigint"), hit)
+    patterns = [[r for r in rules if r["category"] == c and r["kind"] == "regex"] for c in names]
+    if any(patterns):
+        more = F.array(*[sum((t.rlike(f"(?i)(?:{r['pattern']})").cast("bigint") * int(r["weight"]) for r in own), F.lit(0).cast("bigint")) for own in patterns])
+        points = F.zip_with(points, more, lambda a, b: a + b)
+    df = docs.withColumn("_points", points if names else F.array(F.lit(0).cast("bigint")))
+    return df.withColumn("score", F.array_max("_points")).withColumn("category", winner(F.col("_points"), names or [fallback], least, fallback)).drop("_points")
 
 
 def contact_or_event(text: Column) -> Column:
     """event where its words have strictly more points than a contact's."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    score = lambda words: sum((F.contains(low, F.lit(w)).cast("int") * 10 for w in words), F.lit(0))
-    return F.when(score(EVENT_WORDS) > score(CONTACT_WORDS), "event").otherwise("contact")
+    words = rules_table({"event": [(w, 10) for w in EVENT_WORDS], "contact": [(w, 10) for w in CONTACT_WORDS]})
+    points = class_points(F.lower(F.coalesce(text, F.lit(""))), words)
+    return F.when(F.aggregate(points, F.lit(0).cast("bigint"), lambda acc, p: p - acc) < 0, "event").otherwise("contact")
 
 
 # Months as tags know them, in the order of the year.
@@ -181,7 +207,7 @@ def tags(docs: DataFrame, text: str = "text", category: str | None = None, most:
     t = F.coalesce(F.col(text), F.lit(""))
     low = F.lower(t)
     found = F.filter(F.array(*[F.when(F.contains(low, F.lit(k)), F.lit(v)) for k, v in SUBJECTS.items()]), lambda x: x.isNotNull())
-    capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 20)))
+    capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))
     useful = lambda w: (F.length(F.trim(w)) >= 3) & ~F.lower(F.trim(w)).isin(TAG_STOP_WORDS) & ~w.rlike(r"^\d+$")
     lines = F.slice(F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != ""), 1, 10)
     fit = F.filter(lines, lambda l: F.length(l).between(4, 35) & ~F.contains(l, F.lit("http")) & ~F.contains(l, F.lit("@")))
@@ -191,13 +217,17 @@ def tags(docs: DataFrame, text: str = "text", category: str | None = None, most:
     df = docs.withColumn("_first", F.array_distinct(F.array_compact(F.concat(F.slice(found, 1, 2), F.array(date_tag(t))))))
     df = df.withColumn("_head", F.slice(F.array_distinct(F.concat("_first", phrases)), 1, 4))
     words = F.transform(F.filter(F.regexp_extract_all(t, F.lit(r"([A-Za-z\x{0900}-\x{097F}\x{0980}-\x{09FF}\x{0A00}-\x{0A7F}]{3,})"), 1), useful), capital)
-    df = df.withColumn("_w", words)
-    distinct = F.transform(F.array_distinct("_w"), lambda w, i: F.struct((-F.size(F.filter(F.col("_w"), lambda x: x == w))).alias("n"), i.alias("i"), w.alias("w")))
-    ranked = F.filter(F.transform(F.array_sort(distinct), lambda x: x["w"]), lambda w: F.length(w) >= 4)
+    # words in order with their places: each run of equal words is a count and a first place, for texts of any length
+    def runs(w: Column) -> Column:
+        begins = F.filter(F.transform(w, lambda x, k: F.when((k == 0) | (x["w"] != F.get(w, k - 1)["w"]), k)), lambda k: k.isNotNull())
+        return let(begins, lambda b: F.transform(b, lambda k, j: F.struct((k - F.coalesce(F.get(b, j + 1), F.size(w))).alias("n"), F.get(w, k)["i"].alias("i"), F.get(w, k)["w"].alias("w"))))
+
+    counted = let(F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))), runs)
+    ranked = F.transform(F.sort_array(F.filter(counted, lambda x: F.length(x["w"]) >= 4)), lambda x: x["w"])
     df = df.withColumn("_all", F.slice(F.array_distinct(F.concat("_head", ranked)), 1, most))
     own = F.regexp_replace(F.col(category), r"\s+", "") if category else F.lit(None).cast("string")
     spare = F.array_compact(F.array(F.when(own != "Other", own), F.lit("Reviewed"), F.lit("Document")))
-    return df.withColumn("tags", F.when(F.size("_all") < 3, F.slice(F.array_distinct(F.concat("_all", spare)), 1, 3)).otherwise(F.col("_all"))).drop("_first", "_head", "_w", "_all")
+    return df.withColumn("tags", F.when(F.size("_all") < 3, F.slice(F.array_distinct(F.concat("_all", spare)), 1, 3)).otherwise(F.col("_all"))).drop("_first", "_head", "_all")
 
 
 def pdf_name(name: Column, most: int = 60) -> Column:

@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import duplicates as D
 from ..operators import search as Q
 from ..operators import sensitive as P
-from .literals import STOPS_SQL
+from .literals import PRESET_PATTERNS, STOPS_SQL
 from ..sources import pages as G
 from .registry import documents, query, table
 from .text_queries import SUMMARY_SQL, S, marked_documents
@@ -160,7 +160,7 @@ def _ascii(p: str) -> str:
 
 _LUHN = "(len(regexp_replace({m}, '\\D', '', 'g')) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, len(regexp_replace({m}, '\\D', '', 'g')) + 1), lambda i: CASE WHEN (len(regexp_replace({m}, '\\D', '', 'g')) - i) % 2 = 0 THEN CAST(regexp_replace({m}, '\\D', '', 'g')[i] AS INT) ELSE CAST(regexp_replace({m}, '\\D', '', 'g')[i] AS INT) * 2 - CASE WHEN CAST(regexp_replace({m}, '\\D', '', 'g')[i] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0)"
 _VALID = {"phone": "len(regexp_replace(match, '\\D', '', 'g')) BETWEEN 10 AND 15", "credit_card": _LUHN.format(m="match"), "national_id": "regexp_full_match(regexp_replace(match, '\\D', '', 'g'), '[2-9]\\d{11}')"}
-_SCAN = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, CAST(n AS BIGINT) AS match_no, match FROM (SELECT doc_id, unnest(m) AS match, unnest(range(1, len(m) + 1)) AS n FROM (SELECT doc_id, regexp_extract_all(text, '{_ascii(p)}') AS m FROM documents)) WHERE {_VALID.get(k, 'true')}" for k, p in P.PRESETS.items())
+_SCAN = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, CAST(n AS BIGINT) AS match_no, match FROM (SELECT doc_id, unnest(m) AS match, unnest(range(1, len(m) + 1)) AS n FROM (SELECT doc_id, regexp_extract_all(text, '{_ascii(p)}') AS m FROM documents)) WHERE {_VALID.get(k, 'true')}" for k, p in PRESET_PATTERNS.items())
 _MASK = "CASE WHEN length(match) <= 4 THEN '••••' ELSE match[1:1] || repeat('•', CAST(least(10, greatest(4, length(match) - 2)) AS BIGINT)) || right(match, 1) END"
 
 
@@ -169,7 +169,7 @@ def pii_scan(spark, sf_dir):
     return P.pii_scan(documents(spark, sf_dir)).select("doc_id", "kind", "match_no", "match", "masked")
 
 
-_EMAIL, _PHONE = _ascii(P.PRESETS["email"]), _ascii(P.PRESETS["phone"])
+_EMAIL, _PHONE = _ascii(PRESET_PATTERNS["email"]), _ascii(PRESET_PATTERNS["phone"])
 
 
 @query("pii_redact", f"""SELECT doc_id, length(text)::BIGINT AS n_before, len(regexp_extract_all(text, '{_EMAIL}'))::BIGINT AS hits,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import ordering as O
 from ..operators import records as R
 from ..streaming import events as S
+from .literals import NUMERALS
 from .registry import query, table
 
 EV = "ev AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS pos, CAST(count(*) OVER (PARTITION BY user_id) AS BIGINT) AS n FROM events)"
@@ -172,7 +173,7 @@ def page_label_asof(spark, sf_dir):
     return O.label_asof(df, ranges, "user_id")
 
 
-_ROMAN = "CASE WHEN n BETWEEN 1 AND 3999 THEN " + " || ".join(f"repeat('{s}', CAST((n{''.join(f' % {w}' for w, _ in O.ROMAN[:k])}) // {v} AS BIGINT))" for k, (v, s) in enumerate(O.ROMAN)) + " ELSE CAST(n AS VARCHAR) END"
+_ROMAN = "CASE WHEN n BETWEEN 1 AND 3999 THEN " + " || ".join(f"repeat('{s}', CAST((n{''.join(f' % {w}' for w, _ in NUMERALS[:k])}) // {v} AS BIGINT))" for k, (v, s) in enumerate(NUMERALS)) + " ELSE CAST(n AS VARCHAR) END"
 
 
 @query("to_roman", f"SELECT p_partkey, {_ROMAN} AS roman, CASE WHEN n >= 1 THEN repeat(chr(CAST((n - 1) % 26 + 97 AS INT)), CAST(ceil(n / 26.0::DOUBLE) AS BIGINT)) ELSE CAST(n AS VARCHAR) END AS letters FROM (SELECT p_partkey, p_partkey * 3 % 4100 AS n FROM part)")

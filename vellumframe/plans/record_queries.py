@@ -11,7 +11,7 @@ from ..operators import records as R
 from ..operators import sensitive as P
 from ..sources import csv as V
 from ..sources.shared import scratch, spread
-from .literals import MARKERS_SQL
+from .literals import GENERIC_TERMS, MARKERS_SQL, SIMPLE_CLASSES, SUBJECT_TAGS, TAG_STOPS_SQL
 from .registry import documents, query, table
 
 # Contract-like texts made of the orders table, the same in both engines.
@@ -22,7 +22,7 @@ PAPERS_SQL = """papers AS (SELECT o_orderkey AS doc_id, 'Services Agreement' ||
 
 
 def papers(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"), "o_orderkey")
     k, s = F.col("o_orderkey"), lambda c: c.cast("string")
     clause = F.when(k % 3 == 0, F.concat(F.lit("The customer shall pay within "), s(k % 60 + 1), F.lit(" days of receipt."))).when(k % 3 == 1, "A penalty of USD 500.00 applies on breach or default.").otherwise("The vendor is entitled to terminate no later than 5 March 2024.")
     text = F.concat_ws(
@@ -137,7 +137,7 @@ def json_fields_sink(spark, sf_dir):
     return back.select("doc_id", F.explode("fields").alias("key", "value"))
 
 
-_NAMED = {c: f"c{k}" for k, c in enumerate(C.GENERIC)}
+_NAMED = {c: f"c{k}" for k, c in enumerate(GENERIC_TERMS)}
 
 
 def _points(rules, source: str) -> str:
@@ -149,8 +149,8 @@ def _first(names: dict[str, str], least: int, fallback: str) -> str:
     return f"CASE WHEN {top} < {least} THEN '{fallback}' ELSE CASE {top} {' '.join(f'WHEN {c} THEN {chr(39)}{n}{chr(39)}' for n, c in names.items())} END END"
 
 
-SIMPLE_SQL = f"s AS (SELECT doc_id, text, {_points(C.SIMPLE, 't').replace('{}', 'c')} FROM (SELECT doc_id, text, lower(text) AS t FROM papers))"
-_KINDS = {c: f"c{k}" for k, c in enumerate(C.SIMPLE)}
+SIMPLE_SQL = f"s AS (SELECT doc_id, text, {_points(SIMPLE_CLASSES, 't').replace('{}', 'c')} FROM (SELECT doc_id, text, lower(text) AS t FROM papers))"
+_KINDS = {c: f"c{k}" for k, c in enumerate(SIMPLE_CLASSES)}
 
 
 @query("classify_simple", f"WITH {PAPERS_SQL}, {SIMPLE_SQL}, b AS (SELECT doc_id, {_first(_KINDS, 15, 'UNKNOWN')} AS category, greatest({', '.join(_KINDS.values())}) AS points FROM s) SELECT doc_id, category, CAST(points AS BIGINT) AS points, CAST(CASE WHEN points < 15 THEN 30 ELSE least(98, greatest(50, 40 + points)) END AS BIGINT) AS confidence FROM b")
@@ -158,8 +158,8 @@ def classify_simple(spark, sf_dir):
     return C.classify_simple(papers(spark, sf_dir)).select("doc_id", "category", "points", "confidence")
 
 
-GENERIC_SQL = f"""raw AS (SELECT doc_id, text, o_orderkey % 2 + 1 AS pages, {_points(C.GENERIC, 't').replace('{}', 'p')}, {_points(C.GENERIC, 'h').replace('{}', 'h')} FROM (SELECT doc_id, text, lower(text) AS t, CASE doc_id % 3 WHEN 0 THEN 'tax invoice ' || doc_id WHEN 1 THEN 'scan' ELSE 'cash receipt' END AS h FROM papers) JOIN orders ON o_orderkey = doc_id),
-g AS (SELECT doc_id, text, pages, {', '.join(f"round(p{k} + {'CASE WHEN p' + str(k) + ' > 0 AND pages = 1 THEN 15 ELSE 0 END' if c in ('Receipt', 'ID Document') else 'CASE WHEN p' + str(k) + ' > 0 AND pages > 1 THEN 15 ELSE 0 END' if c == 'Contract' else '0'} + h{k} * 0.8::DOUBLE, 6) AS c{k}" for k, c in enumerate(C.GENERIC))} FROM raw),
+GENERIC_SQL = f"""raw AS (SELECT doc_id, text, o_orderkey % 2 + 1 AS pages, {_points(GENERIC_TERMS, 't').replace('{}', 'p')}, {_points(GENERIC_TERMS, 'h').replace('{}', 'h')} FROM (SELECT doc_id, text, lower(text) AS t, CASE doc_id % 3 WHEN 0 THEN 'tax invoice ' || doc_id WHEN 1 THEN 'scan' ELSE 'cash receipt' END AS h FROM papers) JOIN orders ON o_orderkey = doc_id),
+g AS (SELECT doc_id, text, pages, {', '.join(f"round(p{k} + {'CASE WHEN p' + str(k) + ' > 0 AND pages = 1 THEN 15 ELSE 0 END' if c in ('Receipt', 'ID Document') else 'CASE WHEN p' + str(k) + ' > 0 AND pages > 1 THEN 15 ELSE 0 END' if c == 'Contract' else '0'} + h{k} * 0.8::DOUBLE, 6) AS c{k}" for k, c in enumerate(GENERIC_TERMS))} FROM raw),
 generic AS (SELECT *, {_first(_NAMED, 20, 'Other')} AS category, greatest({', '.join(_NAMED.values())}) AS points FROM g)"""
 
 
@@ -171,7 +171,7 @@ def generic_papers(spark, sf_dir):
 
 
 @query("classify_generic", f"""WITH {PAPERS_SQL}, {GENERIC_SQL} SELECT doc_id, category, points, CAST(CASE WHEN category = 'Other' THEN 15 ELSE least(99, floor(55 + points / 130 * 44 + 0.5)) END AS BIGINT) AS confidence,
-  list_transform(list_sort(list_filter([{', '.join(f"{{'o': -CAST(least(95, floor(45 + c{k} / 130 * 44 + 0.5)) AS BIGINT), 'k': {k}, 'n': '{c}', 'p': c{k}}}" for k, c in enumerate(C.GENERIC))}], lambda x: x.p >= 20 AND x.n <> category)), lambda x: x.n || ':' || -x.o) AS others FROM generic""")
+  list_transform(list_sort(list_filter([{', '.join(f"{{'o': -CAST(least(95, floor(45 + c{k} / 130 * 44 + 0.5)) AS BIGINT), 'k': {k}, 'n': '{c}', 'p': c{k}}}" for k, c in enumerate(GENERIC_TERMS))}], lambda x: x.p >= 20 AND x.n <> category)), lambda x: x.n || ':' || -x.o) AS others FROM generic""")
 def classify_generic(spark, sf_dir):
     others = F.transform("secondary", lambda x: F.concat_ws(":", x["category"], x["confidence"].cast("string")))
     return generic_papers(spark, sf_dir).select("doc_id", "category", "points", "confidence", others.alias("others"))
@@ -201,11 +201,49 @@ def organize_batch(spark, sf_dir):
     return c.select("doc_id", F.when(F.col("ok"), F.col("category")).alias("folder"), F.when(F.col("ok"), "applied").otherwise("skipped").alias("status"))
 
 
-@query("auto_tags")
+# Month and year, or a year-month-day date; words and phrases that may be tags.
+_MONTH_YEAR = r"(?i)\b(Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\s+(20\d\d)\b"
+_YMD = r"\b(20\d\d[-/.](?:0[1-9]|1[0-2])[-/.](?:0[1-9]|[12]\d|3[01]))\b"
+_USEFUL = "length(trim({w})) >= 3 AND lower(trim({w})) NOT IN " + TAG_STOPS_SQL + r" AND NOT regexp_full_match({w}, '[0-9]+')"
+_ONCE = "list_filter({l}, lambda v, k: list_position({l}, v) = k)"
+AUTO_TAGS_SQL = rf"""WITH base AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, lower(coalesce(text, '')) AS low FROM documents
+), scored AS (
+  SELECT r, {_points(GENERIC_TERMS, 't').replace('{}', 'p')} FROM (SELECT r, low AS t FROM base)
+), bonus AS (
+  SELECT r, {', '.join(f"p{k} + {'CASE WHEN p' + str(k) + ' > 0 THEN 15 ELSE 0 END' if c in ('Receipt', 'ID Document') else '0'} AS c{k}" for k, c in enumerate(GENERIC_TERMS))} FROM scored
+), named AS (
+  SELECT r, {_first(_NAMED, 20, 'Other')} AS category FROM bonus
+), starts AS (
+  SELECT r, list_filter([{', '.join(f"CASE WHEN contains(low, '{k}') THEN '{v}' END" for k, v in SUBJECT_TAGS)}], lambda x: x IS NOT NULL)[:2] AS subjects,
+    CASE WHEN regexp_matches(t, '{_MONTH_YEAR}') THEN regexp_extract(t, '{_MONTH_YEAR}', 1) || ' ' || regexp_extract(t, '{_MONTH_YEAR}', 2) WHEN regexp_matches(t, '{_YMD}') THEN replace(replace(regexp_extract(t, '{_YMD}', 1), '.', '-'), '/', '-') END AS day,
+    list_filter(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '')[:10], lambda l: length(l) BETWEEN 4 AND 35 AND NOT contains(l, 'http') AND NOT contains(l, '@')) AS fit FROM base
+), phrases AS (
+  SELECT r, subjects, day, list_filter(list_transform(list_filter(list_transform(fit, lambda l: list_filter(string_split_regex(l, '[ \t\n\x0B\f\r]+'), lambda w: {_USEFUL.format(w='w')})), lambda p: len(p) BETWEEN 1 AND 3),
+    lambda p: array_to_string(list_transform(p, lambda w: upper(w[1]) || lower(w[2:])), ' ')), lambda p: length(p) > 3 AND lower(p) NOT IN {TAG_STOPS_SQL}) AS p FROM starts
+), heads AS (
+  SELECT r, {_ONCE.format(l='l')}[:4] AS head FROM (SELECT r, list_concat({_ONCE.format(l='f')}, p) AS l FROM (SELECT r, p, list_concat(subjects, list_filter([day], lambda x: x IS NOT NULL)) AS f FROM phrases))
+), words AS (
+  SELECT r, unnest(w) AS w, unnest(range(len(w))) AS i FROM (SELECT r, regexp_extract_all(t, '[A-Za-z\x{{0900}}-\x{{097F}}\x{{0980}}-\x{{09FF}}\x{{0A00}}-\x{{0A7F}}]{{3,}}') AS w FROM base)
+), counted AS (
+  SELECT r, upper(w[1]) || lower(w[2:]) AS w, count(*) AS n, min(i) AS i FROM words WHERE {_USEFUL.format(w='w')} GROUP BY 1, 2
+), ranked AS (
+  SELECT r, list(w ORDER BY n DESC, i) AS ranked FROM counted WHERE length(w) >= 4 GROUP BY r
+), joined AS (
+  SELECT r, {_ONCE.format(l='l')}[:5] AS l FROM (SELECT r, list_concat(head, coalesce(ranked, [])) AS l FROM heads LEFT JOIN ranked USING (r))
+), spare AS (
+  SELECT r, l, list_concat(l, CASE WHEN category = 'Other' THEN [] ELSE [replace(category, ' ', '')] END, ['Reviewed', 'Document']) AS s FROM joined JOIN named USING (r)
+), tags AS (
+  SELECT r, CASE WHEN len(l) < 3 THEN {_ONCE.format(l='s')}[:3] ELSE l END AS tags FROM spare
+)
+SELECT doc_id, CAST(unnest(range(1, len(tags) + 1)) AS BIGINT) AS rank, unnest(tags) AS tag FROM tags JOIN base USING (r)"""
+
+
+@query("auto_tags", AUTO_TAGS_SQL)
 def auto_tags(spark, sf_dir):
-    """Tags of the corpus; tests hold them against a plain version."""
+    """Tags of the corpus."""
     docs = C.classify_generic(documents(spark, sf_dir))
-    return C.tags(docs, category="category").select("doc_id", F.posexplode("tags").alias("k", "tag")).select("doc_id", (F.col("k") + 1).cast("long").alias("rank"), "tag")
+    return C.tags(docs, category="category").select("doc_id", F.posexplode_outer("tags").alias("k", "tag")).select("doc_id", (F.col("k") + 1).cast("long").alias("rank"), "tag")
 
 
 _AMB = r"\b(0?[1-9]|1[0-2])[/-](0?[1-9]|1[0-2])[/-](\d{4})\b"

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.constants import ABBREVIATIONS, STOP_WORDS, SYLLABLES
+from ..functions.constants import STOP_WORDS
 from ..operators import readability as R
 from ..sources import pages as P
-from .literals import STOPS_SQL
+from .literals import ABBREVIATED, IRREGULAR, SCRIPT_BLOCKS, STOPS_SQL
 from .registry import documents, query, table
 
 S = r"[ \t\n\r\f]"
@@ -119,14 +119,14 @@ def ean13_check(spark, sf_dir):
     return v.select("p_partkey", F.concat("code", digit.cast("string")).alias("full_code"), (digit == F.substring("code", 12, 1).cast("int")).alias("repeats_last"))
 
 
-_COUNTS = ", ".join(f"len(regexp_extract_all(s, '{T.script_class(n)}')) AS {n}" for n in T.SCRIPTS)
-_TOTAL = " + ".join(T.SCRIPTS)
-_TOP = "CASE " + " ".join(f"WHEN {n} = greatest({', '.join(T.SCRIPTS)}) THEN '{n}'" for n in T.SCRIPTS) + " END"
+_COUNTS = ", ".join(f"len(regexp_extract_all(s, '{SCRIPT_BLOCKS[n]}')) AS {n}" for n in SCRIPT_BLOCKS)
+_TOTAL = " + ".join(SCRIPT_BLOCKS)
+_TOP = "CASE " + " ".join(f"WHEN {n} = greatest({', '.join(SCRIPT_BLOCKS)}) THEN '{n}'" for n in SCRIPT_BLOCKS) + " END"
 
 
 @query("script_distribution", rf"""
 WITH c AS (SELECT doc_id, {_COUNTS} FROM (SELECT doc_id, text AS s FROM documents)),
-t AS (SELECT *, {_TOTAL} AS total, greatest({', '.join(T.SCRIPTS)}) AS top FROM c)
+t AS (SELECT *, {_TOTAL} AS total, greatest({', '.join(SCRIPT_BLOCKS)}) AS top FROM c)
 SELECT doc_id, CASE WHEN total = 0 THEN 'unknown' ELSE {_TOP} END AS script, CAST(total AS BIGINT) AS script_chars,
   CAST(CASE WHEN total = 0 THEN 0 ELSE floor(latin * 100.0::DOUBLE / total + 0.5) END AS BIGINT) AS latin_percent,
   CAST(CASE WHEN total = 0 THEN 0 ELSE least(99, floor(top::DOUBLE / total * 100 * least(1.0::DOUBLE, total::DOUBLE / 15) + 0.5)) END AS BIGINT) AS confidence FROM t
@@ -146,7 +146,7 @@ def script_label(spark, sf_dir):
 
 
 _CLEAN = "regexp_replace(lower({0}), '[^a-z]', '', 'g')"
-_TABLE = "CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SYLLABLES.items()) + " ELSE greatest(1, len(regexp_extract_all(regexp_replace({c}, '(?:tion|sion|cial|tial|cious|tious)', 'xun', 'g'), '[aeiouy]+')) - CAST(regexp_matches({c}, 'e$') AND NOT regexp_matches({c}, '(?:ee|oe)$') AND (NOT regexp_matches({c}, 'le$') OR regexp_matches({c}, '[aeiouy]le$')) AS INT) - CAST(regexp_matches({c}, '[^td]ed$') AS INT) - CAST(regexp_matches({c}, '[^szxc]es$') AND NOT regexp_matches({c}, 'shes$') AS INT)) END"
+_TABLE = "CASE {c} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in IRREGULAR.items()) + " ELSE greatest(1, len(regexp_extract_all(regexp_replace({c}, '(?:tion|sion|cial|tial|cious|tious)', 'xun', 'g'), '[aeiouy]+')) - CAST(regexp_matches({c}, 'e$') AND NOT regexp_matches({c}, '(?:ee|oe)$') AND (NOT regexp_matches({c}, 'le$') OR regexp_matches({c}, '[aeiouy]le$')) AS INT) - CAST(regexp_matches({c}, '[^td]ed$') AS INT) - CAST(regexp_matches({c}, '[^szxc]es$') AND NOT regexp_matches({c}, 'shes$') AS INT)) END"
 
 
 def syllables_sql(word: str) -> str:
@@ -164,7 +164,7 @@ def syllable_count(spark, sf_dir):
     return w.withColumn("syllables", T.syllables(F.col("word"), plain=True).cast("long"))
 
 
-SENTENCES_SQL = rf"list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '(?i)\b({ABBREVIATIONS})\.', '\1_DOT_', 'g'), '\b([A-Z])\.', '\1_DOT_', 'g'), '([.!?]){S}+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda p: trim(replace(p, '_DOT_', '.'))), lambda p: regexp_matches(p, '[A-Za-z0-9]'))"
+SENTENCES_SQL = rf"list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '(?i)\b({ABBREVIATED})\.', '\1_DOT_', 'g'), '\b([A-Z])\.', '\1_DOT_', 'g'), '([.!?]){S}+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda p: trim(replace(p, '_DOT_', '.'))), lambda p: regexp_matches(p, '[A-Za-z0-9]'))"
 
 
 @query("sentence_split", f"""

@@ -39,12 +39,21 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there is deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """df over as many partitions as there are cores, where its files give fewer: for work that costs far more than
+    """df over as many partitions as there are cores, where its files give fewer splits: for work that costs far more than
     moving a small table. Large tables have more splits than cores and stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores, files = spark.sparkContext.defaultParallelism, df.inputFiles()
+    if not files or len(files) >= cores:
+        return df
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in files]  # fewer than cores
+    splits = sum(max(1, -(-p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen() // most)) for p in paths)
+    return df.repartition(cores, key) if splits < cores else df
