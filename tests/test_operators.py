@@ -477,4 +477,6 @@ def test_csv_round_trip_and_bytes(spark, tmp_path):
     assert got == sorted([(' x "q" ', "y"), ("line\nbreak", None), ("1", None)]) or got == sorted([('x "q"', "y"), ("line\nbreak", None), ("1", None)])
     V.csv_all_quoted(spark.createDataFrame([(1, "a,b"), (2, None)], "n long, t string"), str(tmp_path / "out"))
     data = b"".join(p.read_bytes() for p in sorted((tmp_path / "out").glob("part-*")))
-    assert data.startswith('"﻿n","t"\r\n'.encode()) and b'"1","a,b"\r\n' in data
+    assert data.startswith("\ufeffn,t\r\n".encode()) and b'"1","a,b"\r\n' in data and b'"2",""\r\n' in data
+    V.csv_all_quoted(spark.range(0), str(tmp_path / "none"))
+    assert b"".join(p.read_bytes() for p in (tmp_path / "none").glob("part-*")) == "\ufeffid\r\n".encode()

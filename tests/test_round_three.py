@@ -50,3 +50,71 @@ def test_tags_of_long_texts(spark):
     got = {r["doc_id"]: r["tags"] for r in K.tags(docs).filter(F.size("tags") > 0).select("doc_id", "tags").collect()}
     assert got[1][-5:][:2] == ["Zebra", "Yodel"] or got[1][:2] == ["Zebra", "Yodel"]
     assert got[2] == ["Reviewed", "Document"] and got[3] == ["One Two", "Reviewed", "Document"]
+
+
+def test_calendar_entries(spark):
+    from vellumframe.operators import extraction as X
+
+    texts = [
+        "Standup\nJoin https://acme.zoom.us/j/12?p=1\n2:30 PM – 4:00 PM on 12/05/2024\nVenue: Hall 3\nbring <b>notes</b>",
+        "Event: Board review\nmeeting - Second title\n3rd March, 2025 at 12:15 am",
+        "https://x.example/a\n2024-02-01\nabc\nLunch plan",
+        None,
+        "Call at 23:30",
+        "Where - Annex\nTeams https://teams.microsoft.com/l/x\n9:05, 10:10 and 11:15",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in X.extract_event(docs, today=F.lit("2030-01-01")).collect()}
+    assert tuple(got[0])[1:8] == ("Standup", "2024-05-12", "14:30", "16:00", False, "Hall 3", "https://acme.zoom.us/j/12?p=1")
+    assert got[0]["description"] == "2:30 PM – 4:00 PM on 12/05/2024 Venue: Hall 3 bring notes"
+    assert tuple(got[1])[1:] == ("Second title", "2025-03-03", "00:15", "01:15", False, None, None, "")
+    assert tuple(got[2])[1:4] == ("Lunch plan", "2024-02-01", None) and got[2]["all_day"]
+    assert tuple(got[3])[1:] == ("Scheduled Event", "2030-01-01", None, None, True, None, None, "")
+    assert (got[4]["start"], got[4]["end"]) == ("23:30", "00:30")
+    assert tuple(got[5])[3:7] == ("09:05", "10:10", False, "Annex")
+    bare = X.extract_event(spark.createDataFrame([(1, "x https://meet.google.com/ab")], "doc_id long, text string")).first()
+    assert (bare["location"], bare["date"]) == ("Online Meeting", None)
+
+
+def test_label_ranges_of_one_start(spark):
+    from vellumframe.operators import ordering as O
+
+    rows = spark.createDataFrame([("d", p) for p in range(1, 8)], "doc string, pos int")
+    for order in ([0, 1], [1, 0]):
+        ranges = [("d", 3, "roman-lower", "a", 0, 1), ("d", 3, "letters-upper", None, 27, 2), ("d", 0, "none", "z", 1, 3), ("d", 6, "none", "", 1, 4)]
+        df = spark.createDataFrame([ranges[k] for k in order] + ranges[2:], "doc string, start int, style string, prefix string, first int, at int")
+        out = O.label_asof(rows, df, "doc", "at").orderBy("pos")
+        assert [r["label"] for r in out.collect()] == ["1", "2", "AA", "BB", "CC", "", ""]
+    same = O.label_asof(rows, df.filter("start = 6").withColumn("style", F.lit("none")).withColumn("prefix", F.lit("cover")), "doc")
+    assert [tuple(r) for r in O.duplicate_labels(same, "doc").collect()] == [("d", "cover", 2)]
+
+
+def test_record_names_stay_in_their_folder(spark):
+    from vellumframe.operators import records as C
+
+    cells = ["../../etc/x", "%2e%2E/..\\y", "", None, "a/b:c*?", ". / z", "ok.PDF", "$1\\2"]
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(cells)], "n int, Cell string")
+    name = C.record_file_name("{cell}", {"Cell": F.col("Cell")}, F.col("n") + 1)
+    got = [r["f"] for r in df.select("n", name.alias("f")).orderBy("n").collect()]
+    assert got == ["etc_x.pdf", "y.pdf", "Document_3.pdf", "Document_4.pdf", "a_b_c_.pdf", "z.pdf", "ok.PDF", "$1_2.pdf"]
+    merged = C.mail_merge(df.filter("n < 4"), {"A": "Cell", "B": "n"}, "", F.col("n") + 1, "n").collect()
+    assert {r["file_name"] for r in merged} == {f"Document_{k}.pdf" for k in range(1, 5)} and sum(r["value"] == "" for r in merged) == 2
+
+
+def test_replacements_are_literal(spark):
+    from vellumframe.sources import pages as G
+
+    df = spark.createDataFrame([("cost of it",)], "t string")
+    assert df.select(G.glossary(F.col("t"), [("cost", "$5 \\1"), ("of", "a\\")]).alias("t")).first()["t"] == "$5 \\1 a\\ it"
+
+
+def test_boxes_by_letters_and_digits(spark):
+    from vellumframe.operators import layout as L
+
+    tokens = spark.createDataFrame([("d", p, t, x, y, 20.0, 10.0) for p, t, x, y in [(1, '"INV-77,"', 10.4, 5.0), (1, "of", 50.0, 5.0), (2, "inv77", 30.0, 9.0), (2, "INV", 60.0, 9.0), (2, "--", 0.0, 0.0), (3, "xINV77x", -3.0, 1.0)]], "doc string, page int, text string, x double, y double, width double, height double")
+    values = spark.createDataFrame([("d", "a", "INV-77", 2), ("d", "b", "of", 0), ("d", "c", "--", 1), ("d", "e", None, 1), ("x", "a", "INV-77", 0)], "doc string, key string, value string, line_index int")
+    page = {(r["doc"], r["key"]): tuple(r)[2:] for r in L.locate_bbox(values, tokens, "doc").collect()}
+    every = {(r["doc"], r["key"]): tuple(r)[2:] for r in L.locate_bbox(values, tokens, "doc", "all").collect()}
+    assert page["d", "a"] == (1, 10.0, 5.0, 30.0, 17.0, True) and page["d", "b"] == (1, 50.0, 5.0, 70.0, 17.0, True)
+    assert every["d", "a"] == (1, -3.0, 1.0, 80.0, 19.0, True)
+    assert page["d", "c"] == (1, 72.0, 124.0, 132.0, 142.0, False) and page["d", "e"][3] == 192.0 and not page["x", "a"][-1]

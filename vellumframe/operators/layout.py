@@ -178,25 +178,38 @@ def heading_tree(headings: DataFrame, doc: str, levels: int = 6) -> DataFrame:
 def locate_bbox(values: DataFrame, tokens: DataFrame, doc: str, variant: str = "page") -> DataFrame:
     """(doc, key, value[, line_index]) and tokens -> page, left, top, right, bottom and found of each value.
 
-    The box is the union of tokens that are words of the value. Variant "page" takes the page with most of them (ties:
-    the first); "all" takes them all and the first one's page. A value without a token gets a box that its line index
-    and length suggest, with found false.
+    Value and token meet by their letters and digits alone, where one holds the other. Variant "all" takes every such
+    token and the first one's page. Variant "page" wants four characters, or two with a digit, of what is held, unless both
+    are equal, and takes the page with most such tokens (ties: the first). The box is the union of the tokens, in whole
+    points of a least size. A value without a token gets a box that its line index and length suggest, with found false.
+
+    The values of a document, a row each field, meet its tokens as one array, so that no pairs are made but those that
+    match.
     """
     if variant not in ("page", "all"):
         raise ValueError(variant)
+    page = variant == "page"
     line = F.col("line_index") if "line_index" in values.columns else F.lit(0)
+    clean = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]", "")
+    long = lambda c: (F.length(c) >= 4) | (F.length(c) >= 2) & c.rlike("[0-9]") if page else F.lit(True)
     asked = values.select(doc, "key", "value", F.coalesce(line, F.lit(0)).alias("_line"))
-    words = asked.select(doc, "key", F.explode(F.array_distinct(F.split(F.lower("value"), r"\s+"))).alias("_w"))
-    by = [doc, "key", "page"] if variant == "page" else [doc, "key"]
+    per = asked.select(doc, "key", clean(F.col("value")).alias("_v")).filter("_v <> ''").groupBy(doc).agg(F.collect_set(F.struct("key", "_v")).alias("_vs"))
+    t = F.col("_c")
+    meets = lambda v: (v["_v"] == t) | long(t) & F.contains(v["_v"], t) | long(v["_v"]) & F.contains(t, v["_v"])
+    met = tokens.withColumn("_c", clean(F.col("text"))).filter("_c <> ''").join(per, doc).withColumn("_m", F.filter("_vs", meets)).drop("_vs", "key").withColumn("key", F.explode("_m.key"))
     edges = [F.min("x").alias("left"), F.min("y").alias("top"), F.max(F.col("x") + F.col("width")).alias("right"), F.max(F.col("y") + F.col("height")).alias("bottom")]
-    hit = words.join(tokens.withColumn("_w", F.lower("text")), [doc, "_w"]).groupBy(*by).agg(F.count("*").alias("n"), F.min("page").alias("_page"), *edges)
+    hit = met.groupBy(doc, "key", *(["page"] if page else [])).agg(F.count("*").alias("n"), F.min("page").alias("_page"), *edges)
     best = hit.groupBy(doc, "key").agg(F.max(F.struct("n", (-F.col("_page")).alias("p"), F.col("_page").alias("page"), "left", "top", "right", "bottom")).alias("b"))
     j, none = asked.join(best, [doc, "key"], "left"), F.col("b").isNull()
-    # Where an unseen value is drawn.
-    (x, y, least, most, each, high) = (72, 100, 60, 450, 7.5, 18) if variant == "page" else (40, 40, 80, 480, 9, 20)
-    wide, down = F.least(F.lit(most), F.greatest(F.lit(least), rounded(F.length("value") * each))), y + F.col("_line") * 24
-    guess = {"page": F.lit(1), "left": F.lit(x), "top": down, "right": x + wide, "bottom": down + high}
-    return j.select(doc, "key", *[F.when(none, g.cast("double" if c != "page" else "long")).otherwise(F.col(f"b.{c}")).alias(c) for c, g in guess.items()], (~none).alias("found"))
+    # Least and greatest sizes, and where an unseen value is drawn.
+    (narrow, wide, low, tall) = (15, 600, 12, 300) if page else (10, 1 << 30, 10, 1 << 30)
+    (x, y, least, most, each, high) = (72, 100, 60, 450, 7.5, 18) if page else (40, 40, 80, 480, 9, 20)
+    left, top = (F.greatest(F.lit(0), rounded(F.col(f"b.{c}"))) if page else rounded(F.col(f"b.{c}")) for c in ("left", "top"))
+    size = lambda a, b, lo, hi: F.least(F.lit(hi), F.greatest(F.lit(lo), rounded(F.col(f"b.{b}") - F.col(f"b.{a}"))))
+    guessed = F.when(F.coalesce("value", F.lit("")) == "", 120).otherwise(F.least(F.lit(most), F.greatest(F.lit(least), rounded(F.length("value") * each))))
+    box = {"left": (F.lit(x), left), "top": (y + F.col("_line") * 24, top), "right": (x + guessed, left + size("left", "right", narrow, wide)), "bottom": (y + F.col("_line") * 24 + high, top + size("top", "bottom", low, tall))}
+    edges = [F.when(none, g.cast("double")).otherwise(c.cast("double")).alias(k) for k, (g, c) in box.items()]
+    return j.select(doc, "key", F.when(none, 1).otherwise(F.col("b.page")).cast("long").alias("page"), *edges, (~none).alias("found"))
 
 
 def paragraph_split(docs: DataFrame, text: str = "text", pack: int = 300, gate: int = 350) -> DataFrame:

@@ -184,17 +184,36 @@ def serial_stamps(files: DataFrame, order: list[str], start: int = 1, step: int
     return out.withColumn("first_stamp", stamp(F.col("first_number"))).withColumn("last_stamp", stamp(F.col("last_number"))).withColumn("overflow", F.length(F.col("last_number").cast("string")) > width)
 
 
-def label_asof(rows: DataFrame, ranges: DataFrame, doc: str) -> DataFrame:
+def label_asof(rows: DataFrame, ranges: DataFrame, doc: str, order: str | None = None) -> DataFrame:
     """The label range with the latest start at or before each position, by one ordered union; none: plain decimal.
 
-    ranges: (doc, start, style, prefix, first). Rows gain start, style, prefix, first and number.
+    ranges: (doc, start, style, prefix, first), and a column `order`: of ranges with one start the last holds (without
+    such a column, the one with the greatest style, prefix and first). Starts below 1 are left out, first values below
+    1 are 1. Styles: decimal, roman-lower, roman-upper, letters-lower, letters-upper and none. Rows gain style, prefix,
+    number and label.
     """
-    marks = ranges.select(doc, F.col("start").alias("pos"), F.lit(0).alias("_k"), F.struct("start", "style", "prefix", "first").alias("_r"))
+    kept = ranges.filter(F.col("start") >= 1).withColumn("_r", F.struct("start", "style", F.coalesce("prefix", F.lit("")).alias("prefix"), F.greatest(F.lit(1), F.coalesce("first", F.lit(1))).alias("first")))
+    last = F.struct(order, "_r") if order else F.struct("_r")
+    marks = kept.groupBy(doc, F.col("start").alias("pos")).agg(F.max(last)["_r"].alias("_r")).select(doc, "pos", F.lit(0).alias("_k"), "_r")
     both = marks.unionByName(rows.select(doc, "pos", F.lit(1).alias("_k"), F.lit(None).cast(marks.schema["_r"].dataType).alias("_r")))
     w = Window.partitionBy(doc).orderBy("pos", "_k")
     held = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).filter("_k = 1")
     start, first = F.coalesce(F.col("_r.start"), F.lit(1)), F.coalesce(F.col("_r.first"), F.lit(1))
-    return held.select(doc, "pos", F.coalesce(F.col("_r.style"), F.lit("decimal")).alias("style"), F.coalesce(F.col("_r.prefix"), F.lit("")).alias("prefix"), (F.col("pos") - start + first).cast("long").alias("number"))
+    out = held.select(doc, "pos", F.coalesce(F.col("_r.style"), F.lit("decimal")).alias("style"), F.coalesce(F.col("_r.prefix"), F.lit("")).alias("prefix"), (F.col("pos") - start + first).cast("long").alias("number"))
+    return out.withColumn("label", F.concat("prefix", page_number(F.col("number"), F.col("style"))))
+
+
+def page_number(n: Column, style: Column) -> Column:
+    """A number in a style of label_asof; `none` and unknown styles give an empty text."""
+    out = F.when(style == "decimal", F.greatest(F.lit(1), n).cast("string"))
+    for name, f in (("roman", to_roman), ("letters", to_letters)):
+        out = out.when(style == f"{name}-lower", F.lower(f(n))).when(style == f"{name}-upper", F.upper(f(n)))
+    return out.otherwise("")
+
+
+def duplicate_labels(labelled: DataFrame, doc: str) -> DataFrame:
+    """(doc, label, n): labels that more than one position of a document has; empty ones do not count."""
+    return labelled.filter("label <> ''").groupBy(doc, "label").agg(F.count("*").alias("n")).filter("n > 1")
 
 
 # Roman numerals by falling worth.

@@ -44,15 +44,36 @@ def safe_filename(name: Column, variant: str = "strict", most: int | None = None
 
 
 def render(template: str, values: dict[str, Column]) -> Column:
-    """Replace {name} tokens, case-insensitively, by columns; null values are empty."""
+    """Replace {name} tokens by columns: of that name, else of that name in any case; null values are empty and other
+    tokens stay."""
     parts: list[Column] = []
-    for k, piece in enumerate(re.split(r"\{(\w+)\}", template)):
-        known = {n.lower(): c for n, c in values.items()}
-        if k % 2 and piece.lower() in known:
-            parts.append(F.coalesce(known[piece.lower()].cast("string"), F.lit("")))
+    known = {n.lower(): c for n, c in reversed(values.items())}
+    for k, piece in enumerate(re.split(r"\{([^}]+)\}", template)):
+        name = piece.strip()
+        if k % 2 and (name in values or name.lower() in known):
+            parts.append(F.coalesce(values.get(name, known[name.lower()]).cast("string"), F.lit("")))
         elif piece:
             parts.append(F.lit("{" + piece + "}" if k % 2 else piece))
-    return F.concat(*parts)
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def record_file_name(pattern: str, values: dict[str, Column], index: Column) -> Column:
+    """A file name for a record: {index} and {rowIndex} (from 1) and {column} tokens, whatever the case; no way out of a
+    folder and no marks that file systems mind; Document_{index}.pdf where nothing is left, .pdf behind every name."""
+    n = index.cast("string")
+    named = render(re.sub(r"(?i)\{rowIndex\}", "{index}", pattern.strip() or "Document_{index}.pdf"), {**values, "index": n})
+    safe = F.regexp_replace(F.regexp_replace(named, r"(?i)%2e%2e|\.\.[/\\]|\.\.", ""), r"^[.\s\\/]+", "")
+    safe = F.trim(F.regexp_replace(F.regexp_replace(safe, r'[\\/:*?"<>|\x00-\x1F]+', "_"), "_+", "_"))
+    safe = F.when(safe.isin("", ".pdf", "_"), F.concat(F.lit("Document_"), n, F.lit(".pdf"))).otherwise(safe)
+    return F.when(F.lower(safe).endswith(".pdf"), safe).otherwise(F.concat(safe, F.lit(".pdf")))
+
+
+def mail_merge(rows: DataFrame, fields: dict[str, str], pattern: str, index: Column, key: str) -> DataFrame:
+    """Records of a merge: (key, file_name, field, value), one row a mapped field. `fields` maps a field of the template
+    to a column; cells without a value are empty."""
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("value")) for f, c in fields.items()])
+    name = record_file_name(pattern, {c: F.col(c) for c in rows.columns}, index)
+    return rows.select(key, name.alias("file_name"), F.explode(cells).alias("_f")).select(key, "file_name", "_f.field", "_f.value")
 
 
 def padded(n: Column, width: int) -> Column:

@@ -87,14 +87,29 @@ def heading_tree(spark, sf_dir):
     return L.heading_tree(h, "page")
 
 
-@query("locate_bbox", f"""WITH {TOKENS}, t AS (SELECT page % 10 AS doc, * FROM tok), v AS (SELECT DISTINCT doc, k AS key, v FROM t, (SELECT unnest(['a', 'b', 'c']) AS k, unnest(['signup error', 'Purchase', 'nothing']) AS v)), w AS (SELECT doc, key, unnest(string_split(lower(v), ' ')) AS w FROM v),
-h AS (SELECT w.doc, key, page, count(*) AS n, min(x) AS "left", min(y) AS top, max(x + width) AS "right", max(y + height) AS bottom FROM w JOIN t ON w.doc = t.doc AND lower(t.text) = w GROUP BY 1, 2, 3), b AS (SELECT *, row_number() OVER (PARTITION BY doc, key ORDER BY n DESC, page) AS k FROM h)
-SELECT v.doc, v.key, CASE WHEN page IS NULL THEN 1 ELSE page END AS page, coalesce("left", 72) AS "left", coalesce(top, 100 + v.doc * 24) AS top, coalesce("right", 72 + least(450, greatest(60, floor(length(v) * 7.5::DOUBLE + 0.5)))) AS "right", coalesce(bottom, 118 + v.doc * 24) AS bottom, page IS NOT NULL AS found FROM v LEFT JOIN b ON b.doc = v.doc AND b.key = v.key AND k = 1""")
+_BOX = """SELECT v.doc, v.key, '{variant}' AS variant, coalesce(page, 1) AS page, CAST(coalesce({left}, {x}) AS DOUBLE) AS "left", CAST(coalesce({top}, {y} + v.doc * 24) AS DOUBLE) AS top,
+  CAST(CASE WHEN page IS NULL THEN {x} + least({most}, greatest({least}, floor(length(v) * {each}::DOUBLE + 0.5))) ELSE {left} + least({wide}, greatest({narrow}, floor(r - l + 0.5))) END AS DOUBLE) AS "right",
+  CAST(CASE WHEN page IS NULL THEN {y} + {high} + v.doc * 24 ELSE {top} + least({tall}, greatest({low}, floor(b - t + 0.5))) END AS DOUBLE) AS bottom, page IS NOT NULL AS found
+FROM v LEFT JOIN (SELECT doc, key, {pages} AS page, min(x) AS l, min(y) AS t, max(x + width) AS r, max(y + height) AS b, row_number() OVER (PARTITION BY doc, key ORDER BY count(*) DESC, min(page)) AS k FROM m WHERE {where} GROUP BY doc, key{by}) h ON h.doc = v.doc AND h.key = v.key AND k = 1"""
+_LONG = "(length({c}) >= 4 OR length({c}) >= 2 AND regexp_matches({c}, '[0-9]'))"
+_PAGE = _BOX.format(variant="page", left="CASE WHEN l IS NOT NULL THEN greatest(0, floor(l + 0.5)) END", top="CASE WHEN t IS NOT NULL THEN greatest(0, floor(t + 0.5)) END", x=72, y=100, most=450, least=60, each="7.5", wide=600, narrow=15, tall=300, low=12, high=18, pages="page", by=", page",
+                    where=f"vc = tc OR {_LONG.format(c='tc')} AND contains(vc, tc) OR {_LONG.format(c='vc')} AND contains(tc, vc)")
+_ALL = _BOX.format(variant="all", left="floor(l + 0.5)", top="floor(t + 0.5)", x=40, y=40, most=480, least=80, each="9", wide=1 << 30, narrow=10, tall=1 << 30, low=10, high=20, pages="min(page)", by="", where="contains(vc, tc) OR contains(tc, vc)")
+
+
+@query("locate_bbox", f"""WITH {TOKENS}, k AS (SELECT page % 10 AS doc, page, x, y, width, height, CASE event_id % 5 WHEN 0 THEN '(INV-' || event_id % 40 || '),' WHEN 1 THEN 'A' || event_id % 10 ELSE text END AS text FROM tok),
+v AS (SELECT DISTINCT doc, key, v FROM k, (SELECT unnest(['a', 'b', 'c', 'd', 'e']) AS key, unnest(['signup error', 'Purchase!', 'nothing', 'inv-15', 'Order A6-INV 20']) AS v)),
+m AS (SELECT v.doc, v.key, k.page, x, y, width, height, regexp_replace(lower(v), '[^a-z0-9]', '', 'g') AS vc, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS tc FROM v JOIN k ON k.doc = v.doc)
+{_PAGE} UNION ALL {_ALL}""")
 def locate_bbox(spark, sf_dir):
-    t = tokens(spark, sf_dir).withColumn("doc", F.col("page") % 10)
-    pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in (("a", "signup error"), ("b", "Purchase"), ("c", "nothing"))])
+    """Tokens with marks around them, values of which tokens are parts and the other way round, in both variants."""
+    k = F.col("event_id")
+    text = F.when(k % 5 == 0, F.concat(F.lit("(INV-"), (k % 40).cast("string"), F.lit("),"))).when(k % 5 == 1, F.concat(F.lit("A"), (k % 10).cast("string"))).otherwise(F.col("text"))
+    t = tokens(spark, sf_dir).withColumn("doc", F.col("page") % 10).withColumn("text", text)
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in (("a", "signup error"), ("b", "Purchase!"), ("c", "nothing"), ("d", "inv-15"), ("e", "Order A6-INV 20"))])
     values = t.select("doc").distinct().withColumn("p", F.explode(pairs)).select("doc", "p.*", F.col("doc").alias("line_index"))
-    return L.locate_bbox(values, t, "doc")
+    found = [L.locate_bbox(values, t, "doc", v).withColumn("variant", F.lit(v)) for v in ("page", "all")]
+    return found[0].unionByName(found[1])
 
 
 @query("paragraph_split")

@@ -164,16 +164,24 @@ def gutter_valley(spark, sf_dir):
     return O.gutter_valley(rows(spark, sf_dir).select("user_id", (F.col("pos") - 1).alias("x"), ink.alias("ink"), F.col("n").alias("width")), "user_id")
 
 
-@query("page_label_asof", f"""WITH {EV}, r AS (SELECT user_id, pos AS start, CASE WHEN event_id % 2 = 0 THEN 'roman' ELSE 'decimal' END AS style, 'P-' AS prefix, event_id % 5 + 1 AS first FROM ev WHERE event_type = 'signup'),
-j AS (SELECT e.user_id, e.pos, r.*, row_number() OVER (PARTITION BY e.event_id ORDER BY r.start DESC NULLS LAST) AS k FROM ev e LEFT JOIN r ON r.user_id = e.user_id AND r.start <= e.pos)
-SELECT user_id, pos, coalesce(style, 'decimal') AS style, coalesce(prefix, '') AS prefix, CAST(pos - coalesce(start, 1) + coalesce(first, 1) AS BIGINT) AS number FROM j WHERE k = 1""")
-def page_label_asof(spark, sf_dir):
-    df = rows(spark, sf_dir)
-    ranges = df.filter("event_type = 'signup'").select("user_id", F.col("pos").alias("start"), F.when(F.col("event_id") % 2 == 0, "roman").otherwise("decimal").alias("style"), F.lit("P-").alias("prefix"), (F.col("event_id") % 5 + 1).alias("first"))
-    return O.label_asof(df, ranges, "user_id")
+_ROMAN = "CASE WHEN n BETWEEN 1 AND 3999 THEN " + " || ".join(f"repeat('{s}', CAST((n{''.join(f' % {w}' for w, _ in NUMERALS[:k])}) // {v} AS BIGINT))" for k, (v, s) in enumerate(NUMERALS)) + " ELSE CAST(n AS VARCHAR) END"
 
 
-_ROMAN = "CASE WHEN n BETWEEN 1 AND 3999 THEN " + " || ".join(f"repeat('{s}', CAST((n{''.join(f' % {w}' for w, _ in NUMERALS[:k])}) // {v} AS BIGINT))" for k, (v, s) in enumerate(NUMERALS)) + " ELSE CAST(n AS VARCHAR) END"
+
+@query("page_label_asof", f"""WITH {EV}, r AS (SELECT user_id, pos - pos % 2 AS start, pos, CASE event_id % 4 WHEN 0 THEN 'roman-lower' WHEN 1 THEN 'letters-upper' WHEN 2 THEN 'none' ELSE 'decimal' END AS style, 'P-' AS prefix, event_id % 5 AS first FROM ev WHERE event_type IN ('signup', 'error')),
+u AS (SELECT user_id, start, arg_max(style, pos) AS style, arg_max(prefix, pos) AS prefix, arg_max(greatest(1, first), pos) AS first FROM r WHERE start >= 1 GROUP BY 1, 2),
+j AS (SELECT e.user_id, e.pos, u.*, row_number() OVER (PARTITION BY e.event_id ORDER BY u.start DESC NULLS LAST) AS k FROM ev e LEFT JOIN u ON u.user_id = e.user_id AND u.start <= e.pos),
+l AS (SELECT user_id, pos, coalesce(style, 'decimal') AS style, coalesce(prefix, '') AS prefix, CAST(pos - coalesce(start, 1) + coalesce(first, 1) AS BIGINT) AS n FROM j WHERE k = 1),
+t AS (SELECT user_id, pos, style, prefix, n AS number, prefix || CASE style WHEN 'decimal' THEN CAST(n AS VARCHAR) WHEN 'roman-lower' THEN lower({_ROMAN}) WHEN 'letters-upper' THEN repeat(chr(CAST((n - 1) % 26 + 65 AS INT)), CAST(ceil(n / 26.0::DOUBLE) AS BIGINT)) ELSE '' END AS label FROM l)
+SELECT *, count(*) OVER (PARTITION BY user_id, label) > 1 AS duplicate FROM t""")
+def page_label_asof(spark, sf_dir):
+    """Ranges of signups and errors, of which some start at one page; labels that a user's pages share are marked."""
+    df, k = rows(spark, sf_dir), F.col("event_id")
+    style = F.when(k % 4 == 0, "roman-lower").when(k % 4 == 1, "letters-upper").when(k % 4 == 2, "none").otherwise("decimal")
+    ranges = df.filter("event_type IN ('signup', 'error')").select("user_id", (F.col("pos") - F.col("pos") % 2).alias("start"), style.alias("style"), F.lit("P-").alias("prefix"), (k % 5).alias("first"), F.col("pos").alias("at"))
+    out = O.label_asof(df, ranges, "user_id", "at")
+    shared = O.duplicate_labels(out, "user_id").select("user_id", "label", F.lit(True).alias("_d"))
+    return out.join(shared, ["user_id", "label"], "left").select("user_id", "pos", "style", "prefix", "number", "label", F.coalesce("_d", F.lit(False)).alias("duplicate"))
 
 
 @query("to_roman", f"SELECT p_partkey, {_ROMAN} AS roman, CASE WHEN n >= 1 THEN repeat(chr(CAST((n - 1) % 26 + 97 AS INT)), CAST(ceil(n / 26.0::DOUBLE) AS BIGINT)) ELSE CAST(n AS VARCHAR) END AS letters FROM (SELECT p_partkey, p_partkey * 3 % 4100 AS n FROM part)")

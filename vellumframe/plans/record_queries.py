@@ -361,12 +361,16 @@ def unit_to_px(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", R.unit_to_px(F.col("p_size"), unit, F.col("p_partkey") % 3000).alias("px"))
 
 
-@query("rename_template", """SELECT event_id, event_type || '-' || CAST(n AS VARCHAR) || '-' || CASE WHEN n < 100 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END || '_' || strftime(ts, '%Y%m%d') || '{x}' AS name FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)""")
+@query("rename_template", """SELECT event_id, event_type || '-' || CAST(n AS VARCHAR) || '-' || CASE WHEN n < 100 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END || '_' || strftime(ts, '%Y%m%d') || '{x}' AS name,
+  CASE event_id % 3 WHEN 0 THEN 'etc_' || event_type || '_' || n || '_' || user_id || '.pdf' WHEN 1 THEN 'a_b c_' || n || '_' || user_id || '.pdf' ELSE n || '_' || user_id || '.pdf' END AS file FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)""")
 def rename_template(spark, sf_dir):
+    """Names by a pattern, and file names of records whose cells try to leave their folder."""
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     e = table(spark, sf_dir, "events").withColumn("n", n)
     name = R.render("{name}-{n}-{nnn}_{yyyy}{mm}{dd}{x}", {"name": F.col("event_type"), "n": F.col("n"), "nnn": R.padded(F.col("n"), 3), "yyyy": F.date_format("ts", "yyyy"), "mm": F.date_format("ts", "MM"), "dd": F.date_format("ts", "dd")})
-    return e.select("event_id", name.alias("name"))
+    cell = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("../../etc/"), "event_type", F.lit("_"))).when(F.col("event_id") % 3 == 1, '/a<:b c\\"').otherwise("%2E%2e./ ")
+    file = R.record_file_name(" {Cell}{rowIndex}_{user_id} ", {"cell": cell, "User_ID": F.col("user_id")}, F.col("n"))
+    return e.select("event_id", name.alias("name"), file.alias("file"))
 
 
 @query("page_template", "SELECT event_id, 'Page ' || row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) || ' of ' || count(*) OVER (PARTITION BY user_id) || ' - user' || user_id AS header FROM events")
@@ -392,11 +396,15 @@ def name_uniquify(spark, sf_dir):
     return R.name_uniquify(n, "name", "p_partkey").select("p_partkey", "unique_name")
 
 
-@query("mail_merge", "SELECT c_custkey, 'Dear ' || c_name || ', your ' || lower(c_mktsegment) || ' account in ' || coalesce(n_name, '') || ' {missing}' AS letter FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 5 <> 0")
+@query("mail_merge", """WITH c AS (SELECT c_custkey, c_name, lower(c_mktsegment) AS segment, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 5 <> 0)
+SELECT c_custkey, 'Letter ' || CASE WHEN n_name IS NULL THEN '' ELSE n_name || ' ' END || c_custkey || '.pdf' AS file_name, f AS field, CASE f WHEN 'Text' THEN 'Dear ' || c_name || ', your ' || segment || ' account in ' || coalesce(n_name, '') || ' {missing}' WHEN 'Name' THEN c_name ELSE coalesce(n_name, '') END AS value
+FROM c, (SELECT unnest(['Name', 'Country', 'Text']) AS f)""")
 def mail_merge(spark, sf_dir):
-    """Cells without a value are empty; unknown placeholders stay."""
+    """Named records, a row a field. Cells without a value are empty; unknown placeholders stay."""
     c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation").filter("n_nationkey % 5 <> 0").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey", "left")
-    return c.select("c_custkey", R.render("Dear {Name}, your {segment} account in {nation} {missing}", {"name": F.col("c_name"), "segment": F.lower("c_mktsegment"), "nation": F.col("n_name")}).alias("letter"))
+    c = c.withColumn("text", R.render("Dear {c_NAME}, your { segment } account in {nation} {missing}", {"c_name": F.col("c_name"), "segment": F.lower("c_mktsegment"), "nation": F.col("n_name")}))
+    c = c.withColumn("to", F.when(F.col("n_name").isNull(), "").otherwise(F.concat("n_name", F.lit(" "))))
+    return R.mail_merge(c, {"Name": "c_name", "Country": "n_name", "Text": "text"}, "Letter {TO}{index}", F.col("c_custkey"), "c_custkey")
 
 
 _CLEAN = "regexp_replace(lower(trim({0})), '[^a-z0-9]', '', 'g')"
@@ -497,13 +505,26 @@ def extract_contact(spark, sf_dir):
     return X.extract_contact(X.lines(d), d)
 
 
-@query("extract_event", """SELECT event_id AS doc_id, 'Review of ' || event_type AS title, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H:%M') AS start,
-  CASE WHEN event_id % 2 = 0 THEN '23:59' ELSE lpad(CAST((hour(ts) + 1) % 24 AS VARCHAR), 2, '0') || strftime(ts, ':%M') END AS "end", CASE WHEN event_id % 3 = 0 THEN 'Room ' || user_id END AS location, CASE WHEN event_id % 5 = 0 THEN 'https://meet.example.com/' || event_id END AS link FROM events""")
+_AMPM = "lpad(CAST((hour({t}) + 11) % 12 + 1 AS VARCHAR), 2, '0') || strftime({t}, ':%M') || CASE WHEN hour({t}) >= 12 THEN ' PM' ELSE ' am' END"
+
+
+@query("extract_event", f"""SELECT event_id AS doc_id, CASE WHEN event_id % 3 = 0 THEN 'Board of ' || event_type ELSE 'Review of ' || event_type END AS title, strftime(ts, '%Y-%m-%d') AS date, CASE WHEN event_id % 4 <> 2 THEN strftime(ts, '%H:%M') END AS start,
+  CASE event_id % 4 WHEN 0 THEN lpad(CAST((hour(ts) + 1) % 24 AS VARCHAR), 2, '0') || strftime(ts, ':%M') WHEN 1 THEN '23:59' WHEN 3 THEN strftime(ts + INTERVAL 90 MINUTE, '%H:%M') END AS "end", event_id % 4 = 2 AS all_day,
+  CASE WHEN event_id % 5 = 0 THEN 'Room ' || user_id WHEN event_id % 7 = 0 THEN 'Online Meeting' END AS location, CASE WHEN event_id % 7 = 0 THEN 'https://meet.google.com/abc-' || event_id END AS link,
+  CASE WHEN event_id % 7 <> 0 THEN '' ELSE CASE WHEN event_id % 3 = 0 THEN 'Title - Board of ' || event_type || ' ' ELSE '' END || CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y/%m/%d at %H:%M') WHEN 1 THEN strftime(ts, '%d.%m.%Y') || ' from ' || {_AMPM.format(t='ts')} || ' – 11:59 pm'
+    WHEN 2 THEN day(ts) || 'th ' || strftime(ts, '%B, %Y') ELSE lpad(CAST(day(ts) AS VARCHAR), 2, '0') || '-' || strftime(ts, '%b-%Y') || ', ' || {_AMPM.format(t='ts')} || ' and ' || {_AMPM.format(t='(ts + INTERVAL 90 MINUTE)')} END || CASE WHEN event_id % 5 = 0 THEN ' Venue - Room ' || user_id ELSE '' END END AS description FROM events""")
 def extract_event(spark, sf_dir):
+    """Four ways to state a date, with a 24-hour clock, a range of two halves of the day, no time, and two single times."""
     e, k = table(spark, sf_dir, "events"), F.col("event_id")
-    when = F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(" at "), F.date_format("ts", "HH:mm"), F.when(k % 2 == 0, " - 23:59").otherwise(""))
-    text = F.concat_ws("\n", F.concat(F.lit("Review of "), "event_type"), when, F.when(k % 3 == 0, F.concat(F.lit("Location: Room "), F.col("user_id").cast("string"))), F.when(k % 5 == 0, F.concat(F.lit("Join https://meet.example.com/"), k.cast("string"))))
-    return X.extract_event(X.lines(e.select(k.alias("doc_id"), text.alias("text"))))
+    form = lambda f, t=F.col("ts"): F.date_format(t, f)
+    half = lambda t: F.concat(form("hh:mm", t), F.when(F.hour(t) >= 12, " PM").otherwise(" am"))
+    when = (
+        F.when(k % 4 == 0, F.concat(form("yyyy/MM/dd"), F.lit(" at "), form("HH:mm"))).when(k % 4 == 1, F.concat(form("dd.MM.yyyy"), F.lit(" from "), half(F.col("ts")), F.lit(" – 11:59 pm")))
+        .when(k % 4 == 2, F.concat(form("d"), F.lit("th "), form("MMMM, yyyy"))).otherwise(F.concat(form("dd-MMM-yyyy"), F.lit(", "), half(F.col("ts")), F.lit(" and "), half(F.col("ts") + F.expr("INTERVAL 90 MINUTES"))))
+    )
+    title = F.concat(F.when(k % 3 == 0, "Title - Board of ").otherwise("Review of "), F.col("event_type"))
+    text = F.concat_ws("\n", title, F.concat(F.lit(" <b>"), when, F.lit("</b>")), F.when(k % 5 == 0, F.concat(F.lit("Venue - Room "), F.col("user_id").cast("string"))), F.when(k % 7 == 0, F.concat(F.lit("Join https://meet.google.com/abc-"), k.cast("string"))))
+    return X.extract_event(e.select(k.alias("doc_id"), text.alias("text")))
 
 
 def _csv_rows(spark, sf_dir):
@@ -520,13 +541,14 @@ def csv_scan(spark, sf_dir):
     return V.csv_scan(spark, path)
 
 
-@query("csv_all_quoted_sink", """SELECT '"' || event_id || '"' AS id_cell, count(*) AS n FROM events GROUP BY event_id""")
+@query("csv_all_quoted_sink", r"""SELECT '"' || event_id || '","' || event_type || ' ""x"", ' || user_id || '","' || CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) ELSE '' END || '"' AS line, count(*) AS n FROM events GROUP BY 1""")
 def csv_all_quoted_sink(spark, sf_dir):
-    """The written lines themselves: every field quoted, CRLF ends, a byte-order mark before the header."""
+    """The written lines themselves: a mark and plain names first, every field of a row quoted, CRLF ends."""
     path = scratch(spark, "csv")
-    V.csv_all_quoted(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id"), path)
-    lines = spark.read.option("lineSep", "\r\n").text(path).filter(~F.col("value").startswith('"\ufeff'))
-    return lines.groupBy(F.regexp_extract("value", r'^("\d+"),"[a-z]+","\d+"$', 1).alias("id_cell")).agg(F.count("*").alias("n"))
+    note = F.concat("event_type", F.lit(' "x", '), F.col("user_id").cast("string"))
+    V.csv_all_quoted(table(spark, sf_dir, "events").select("event_id", note.alias("note"), F.when(F.col("event_id") % 2 == 0, F.col("user_id")).alias("user_id")), path)
+    lines = spark.read.option("lineSep", "\r\n").text(path).filter(~F.col("value").endswith("event_id,note,user_id"))
+    return lines.groupBy(F.col("value").alias("line")).agg(F.count("*").alias("n"))
 
 
 @query("regex_safety_check", r"""SELECT p_partkey, p_name, regexp_matches(p_name, 'r(ed|ing)') AS hit FROM part""")

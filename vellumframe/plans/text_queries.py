@@ -285,10 +285,11 @@ def replace_terms(spark, sf_dir):
 
 @query("glossary_translate", r"""
 SELECT doc_id, t AS translated, CASE WHEN length(text) > 0 THEN floor(length(t)::DOUBLE / length(text) * 100 + 0.5) / 100 END AS expansion FROM (
-  SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '(?i)\bthe\b', 'le', 'g'), '(?i)\band\b', 'et', 'g'), '(?i)\bof\b', 'de', 'g') AS t FROM documents)
+  SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '(?i)\bthe\b', 'le', 'g'), '(?i)\band\b', '$1 et\\2', 'g'), '(?i)\bof\b', 'de', 'g') AS t FROM documents)
 """)
 def glossary_translate(spark, sf_dir):
-    lexicon = [("the", "le"), ("and", "et"), ("of", "de")]
+    """A replacement may hold marks that patterns mind."""
+    lexicon = [("the", "le"), ("and", "$1 et\\2"), ("of", "de")]
     docs = table(spark, sf_dir, "documents").withColumn("translated", P.glossary(F.col("text"), lexicon))
     return docs.select("doc_id", "translated", F.when(F.length("text") > 0, T.rounded(F.length("translated") / F.length("text"), 2)).alias("expansion"))
 

@@ -13,9 +13,16 @@ def csv_scan(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
 
 
 def csv_all_quoted(df: DataFrame, path: str, bom: bool = True) -> None:
-    """Write with every field quoted and CRLF line ends; the header carries a byte-order mark."""
-    named = df.withColumnRenamed(df.columns[0], "﻿" + df.columns[0]) if bom else df
-    named.write.mode("overwrite").option("lineSep", "\n").csv(path, header=True, quoteAll=True, escape='"', lineSep="\r\n")
+    """Write with every field of a row quoted (nulls as empty ones) and CRLF line ends. Each file begins with a byte-order
+    mark, unless told otherwise, and the plain names of the columns; an empty table gives one file with these alone."""
+    head = F.lit(("\ufeff" if bom else "") + ",".join(df.columns))
+    cell = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    rows = df.select(F.concat_ws(",", *map(cell, df.columns)).alias("value"))
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # of the row in its partition, which is a file
+    lines = rows.select(F.when(number == 0, F.concat_ws("\r\n", head, "value")).otherwise(F.col("value")).alias("value"))
+    if df.isEmpty():
+        lines = df.sparkSession.range(1).select(head.alias("value"))
+    lines.write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
 def csv_safe(df: DataFrame, path: str, policy: str = "strict") -> None:

@@ -152,7 +152,7 @@ def replace_terms(text: Column, rules: list[tuple[str, str, str]]) -> Column:
 def glossary(text: Column, lexicon: list[tuple[str, str]]) -> Column:
     """Whole-word substitution in lexicon order, each on what the one before left."""
     for find, to in lexicon:
-        text = F.regexp_replace(text, f"(?i){B}{re.escape(find)}{E}", to)
+        text = F.regexp_replace(text, f"(?i){B}{re.escape(find)}{E}", to.replace("\\", "\\\\").replace("$", "\\$"))
     return text
 
 
