@@ -118,3 +118,58 @@ def test_boxes_by_letters_and_digits(spark):
     assert page["d", "a"] == (1, 10.0, 5.0, 30.0, 17.0, True) and page["d", "b"] == (1, 50.0, 5.0, 70.0, 17.0, True)
     assert every["d", "a"] == (1, -3.0, 1.0, 80.0, 19.0, True)
     assert page["d", "c"] == (1, 72.0, 124.0, 132.0, 142.0, False) and page["d", "e"][3] == 192.0 and not page["x", "a"][-1]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_running_values_against_a_plain_version(spark, seed):
+    from vellumframe.operators.running import along
+
+    rng = random.Random(seed)
+    rows = [(rng.choice(["hot", "hot", "a", "b", None]), k, rng.choice([None, 1, 2, 5])) for k in range(300)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, o int, v int")
+    out = along(df, ["g"], ["o"], before={"b": F.coalesce("v", F.lit(0)), "pos": F.lit(1)}, last={"l": F.col("v")}, following={"f": F.col("v")}, total={"t": F.lit(1)})
+    got = {(r["g"], r["o"]): (r["b"], r["pos"], r["l"], r["f"], r["t"]) for r in out.collect()}
+    for g in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: r[1])
+        for k, r in enumerate(own):
+            up, on = [x[2] for x in own[: k + 1] if x[2] is not None], [x[2] for x in own[k:] if x[2] is not None]
+            assert got[g, r[1]] == (sum(x[2] or 0 for x in own[:k]), k, up[-1] if up else None, on[0] if on else None, len(own))
+    every = {r["o"]: r["b"] for r in along(df, [], [F.col("o").desc()], before={"b": F.lit(1)}).collect()}
+    assert every == {k: 299 - k for k in range(300)}
+    assert along(df.limit(0), ["g"], ["o"], before={"b": F.lit(1)}).collect() == []
+
+
+def test_a_third_of_all_rows_is_spread(spark):
+    """The ranges of one group that holds a third of all rows are of about the size of all others."""
+    from vellumframe.operators import ordering as O
+
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 50).alias("doc"), F.col("id").alias("k"), (F.col("id") % 7).alias("size"))
+    out = O.positioned(df, "doc", "k")
+    files = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(files) == 30_000 and out.filter("doc = -1").agg(F.max("pos"), F.min("n")).first() == (10_000, 10_000)
+    staged = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in staged and "_along_range" in staged.split("windowspecdefinition(")[1].split(",")[0]
+    ranges = spark.read.parquet(*sorted(set(p.rsplit("/", 1)[0] for p in out.inputFiles()))).groupBy("_along_range").count().collect()
+    sizes = sorted(r["count"] for r in ranges)
+    assert len(sizes) > 1 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    parts = O.split_max_size(out.select("doc", "k", "pos", "n", "size"), "doc", "size", 100).groupBy("doc", "part").agg(F.sum("size").alias("s")).agg(F.max("s")).first()[0]
+    assert parts <= 100
+
+
+def test_natural_order_of_long_numbers(spark):
+    from vellumframe.operators import ordering as O
+
+    names = ["f9", "f10", "f0123456789012345", "f123456789012346", "f", "f9a", "F09", "g1", "-1", "f999999999999999999999"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r["n"] for r in df.orderBy(O.natural_key(F.col("n")), "n").collect()]
+    assert got == ["-1", "f", "F09", "f9", "f9a", "f10", "f0123456789012345", "f123456789012346", "f999999999999999999999", "g1"]
+
+
+def test_shallowest_bookmark_of_a_page(spark):
+    from vellumframe.operators import ordering as O
+
+    marks = spark.createDataFrame([("d", 2, 2, "deep", 1), ("d", 2, 1, "first", 2), ("d", 2, 1, "second", 3), ("d", 5, 3, "too deep", 4), ("d", None, 1, "lost", 5)], "doc string, page int, level int, title string, at int")
+    assert [tuple(r) for r in O.bookmark_marks(marks, "doc", "page", "level", "title", "at", 2).collect()] == [("d", 2, 1, "first")]
+    df = spark.createDataFrame([("a", 2, 0), ("b", None, 1), ("c", 3, 2)], "s string, pages int, k int")
+    assert [(r["s"], r["starts_at"]) for r in O.toc_positions(df, "pages", ["k"]).orderBy("k").collect()] == [("a", 4), ("b", 7), ("c", 8)]

@@ -1,6 +1,7 @@
 """Splits, merges and orders of positioned rows. Rows carry doc, pos (from 1) and n (rows of the doc).
 
-Every plan is a projection or one window over a document's rows; nothing leaves the executors.
+Plans are projections, or running values over ranges of a document's rows; nothing leaves the executors, and a document
+that holds a third of all rows is spread over tasks.
 """
 
 from __future__ import annotations
@@ -10,13 +11,15 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut
+from ..sources.shared import stage
+from .running import along
 
 
 def positioned(df: DataFrame, doc: str, *order: str) -> DataFrame:
     """Adds pos (from 1, in the given order) and n within each document."""
-    w = Window.partitionBy(doc)
-    return df.withColumn("pos", F.row_number().over(w.orderBy(*order)).cast("long")).withColumn("n", F.count("*").over(w))
+    one = F.lit(1).cast("long")
+    out = along(df, [doc], list(order), before={"pos": one}, total={"n": one})
+    return out.withColumn("pos", F.col("pos") + 1)
 
 
 def split_every_n(df: DataFrame, size: int) -> DataFrame:
@@ -57,58 +60,68 @@ def split_ranges(df: DataFrame, text: str) -> DataFrame:
 
 def compact_ranges(df: DataFrame, doc: str) -> DataFrame:
     """Positions back to compact text per document: runs as a-b."""
-    w = Window.partitionBy(doc).orderBy("pos")
-    runs = df.withColumn("_g", F.col("pos") - F.row_number().over(w)).groupBy(doc, "_g").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
+    placed = along(df.select(doc, "pos"), [doc], ["pos"], before={"_k": F.lit(1).cast("long")})
+    runs = placed.withColumn("_g", F.col("pos") - F.col("_k")).groupBy(doc, "_g").agg(F.min("pos").alias("a"), F.max("pos").alias("b"))
     name = F.when(F.col("a") == F.col("b"), F.col("a").cast("string")).otherwise(F.concat_ws("-", "a", "b"))
     return runs.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", name.alias("t")))), lambda x: x["t"]), ",").alias("ranges"))
 
 
 def split_on_value_change(df: DataFrame, doc: str, value: str) -> DataFrame:
     """A new part where a non-null value differs from the last non-null one; nulls change nothing."""
-    w = Window.partitionBy(doc).orderBy("pos")
-    before = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    changed = F.col(value).isNotNull() & before.isNotNull() & (F.col(value) != before)
-    return df.withColumn("_c", changed.cast("long")).withColumn("part", F.sum("_c").over(w) + 1).drop("_c")
+    seen = along(df.filter(F.col(value).isNotNull()).select(doc, "pos", F.col(value).alias("_v")), [doc], ["pos"], before={"_k": F.lit(1).cast("long")})
+    # a value meets the one before it by their places among the values
+    one, other = seen.alias("one"), seen.select(F.col(doc).alias("_d"), (F.col("_k") + 1).alias("_n"), F.col("_v").alias("_u")).alias("other")
+    new = one.join(other, F.col(f"one.{doc}").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_n")) & (F.col("_v") != F.col("_u"))).select(F.col(f"one.{doc}").alias("_d"), F.col("pos").alias("_p"), F.lit(1).cast("long").alias("_c"))
+    marked = df.join(new, df[doc].eqNullSafe(new["_d"]) & (df["pos"] == new["_p"]), "left").select(*[df[c] for c in df.columns], F.coalesce("_c", F.lit(0)).alias("_c"))
+    return along(marked, [doc], ["pos"], before={"part": F.col("_c")}).withColumn("part", F.col("part") + F.col("_c") + 1).drop("_c")
 
 
 def split_on_divider(df: DataFrame, doc: str, divider: str, label: str) -> DataFrame:
     """Divider rows go; the next content row opens a part, labelled by the last divider before it."""
-    w = Window.partitionBy(doc).orderBy("pos")
-    df = df.withColumn("_d", F.sum(F.col(divider).cast("long")).over(w)).withColumn("part_label", F.last(F.when(F.col(divider), F.col(label)), ignorenulls=True).over(w))
-    return df.filter(~F.col(divider)).withColumn("part", F.dense_rank().over(Window.partitionBy(doc).orderBy("_d")).cast("long")).drop("_d")
+    shown = F.when(F.col(divider), F.struct(F.col(label).alias("v")))
+    df = along(df, [doc], ["pos"], before={"_d": F.col(divider).cast("long")}, last={"_l": shown}).filter(~F.col(divider))
+    parts = along(df.select(doc, "_d").distinct(), [doc], ["_d"], before={"part": F.lit(1).cast("long")}).select(F.col(doc).alias("_doc"), F.col("_d").alias("_e"), (F.col("part") + 1).alias("part"))
+    joined = df.join(parts, df[doc].eqNullSafe(parts["_doc"]) & (df["_d"] == parts["_e"]))
+    return joined.withColumn("part_label", F.col("_l.v")).drop("_d", "_l", "_doc", "_e")
 
 
 def split_on_bookmark(df: DataFrame, doc: str, level: str, most: int) -> DataFrame:
     """A new part at rows whose bookmark level is at most `most`; rows before the first are part 0."""
-    w = Window.partitionBy(doc).orderBy("pos")
-    return df.withColumn("part", F.sum(F.coalesce(F.col(level) <= most, F.lit(False)).cast("long")).over(w))
+    mark = F.coalesce(F.col(level) <= most, F.lit(False)).cast("long")
+    return along(df.withColumn("_m", mark), [doc], ["pos"], before={"part": F.col("_m")}).withColumn("part", F.col("part") + F.col("_m")).drop("_m")
+
+
+def bookmark_marks(bookmarks: DataFrame, doc: str, page: str, level: str, title: str, order: str, most: int = 1) -> DataFrame:
+    """(doc, page, level, title): the shallowest bookmark of each page among those of level `most` or less, the first in
+    `order` of equals."""
+    top = F.min(F.struct(level, order, title)).alias("_b")
+    return bookmarks.filter((F.col(level) <= most) & F.col(page).isNotNull()).groupBy(doc, page).agg(top).select(doc, page, F.col(f"_b.{level}").alias(level), F.col(f"_b.{title}").alias(title))
 
 
 def greedy_starts(rows: DataFrame, group: list[str], at: str, reach: str, id: str, strict: bool = False) -> DataFrame:
     """(group, id) of the rows where a greedy walk stops: each group's first row, and from a row the first one behind it
     whose `at` is at least (strict: over) the row's `reach`. Rows of a group are ordered by at and id.
 
-    Every row finds its next stop by one window over rows and reaches together. Stops are then the rows that the first
-    one leads to; a round doubles the distance that is followed, so a walk of n stops takes log2(n) rounds of equi-joins
-    and no group is ever held as a whole.
+    Every row finds its next stop in one order of rows and reaches together, over ranges of it. Stops are then the rows
+    that the first one leads to; a round doubles the distance that is followed, so a walk of n stops takes log2(n) rounds
+    of equi-joins and no group is ever held as a whole.
     """
-    asked = rows.select(*group, F.col(reach).alias("_at"), F.lit(0).alias("_row"), F.col(id).alias("_id"))
-    both = rows.select(*group, F.col(at).alias("_at"), F.lit(1).alias("_row"), F.col(id).alias("_id")).unionByName(asked)
-    # from the largest down, a reach sees the smallest row at or over it as the last one before
-    kind = F.col("_row").asc() if strict else F.col("_row").desc()
-    down = Window.partitionBy(*group).orderBy(F.desc("_at"), F.desc("_row") if not strict else kind, F.desc("_id")).rowsBetween(Window.unboundedPreceding, 0)
-    to = both.withColumn("_to", F.last(F.when(F.col("_row") == 1, F.col("_id")), ignorenulls=True).over(down)).filter("_row = 0")
-    jump = cut(to.select(*group, F.col("_id").alias("_from"), "_to").filter(F.col("_to").isNotNull() & (F.col("_to") != F.col("_from"))))
-    first = rows.groupBy(*group).agg(F.min(F.struct(at, id)).alias("_f")).select(*group, F.col(f"_f.{id}").alias("_id"))
-    seen = cut(first)
+    # in ascending order a reach stands before the rows at it, or behind them where these do not count
+    place = lambda at, kind: F.struct(F.col(at).alias("a"), F.lit(kind).alias("k"))
+    asked = rows.select(*group, place(reach, 1 if strict else -1).alias("_at"), F.col(id).alias("_id"), F.lit(False).alias("_row"))
+    both = rows.select(*group, place(at, 0).alias("_at"), F.col(id).alias("_id"), F.lit(True).alias("_row")).unionByName(asked)
+    to = along(both, group, ["_at", "_id"], following={"_to": F.when(F.col("_row"), F.col("_id"))}).filter("not _row")
+    jump = stage(to.select(*group, F.col("_id").alias("_from"), "_to").filter(F.col("_to").isNotNull() & (F.col("_to") != F.col("_from"))), "jumps")
+    seen = stage(rows.groupBy(*group).agg(F.min(F.struct(at, id)).alias("_f")).select(*group, F.col(f"_f.{id}").alias("_id")), "stops")
+    found = seen.count()
     while True:
         new = seen.join(jump.withColumnRenamed("_from", "_id"), [*group, "_id"]).select(*group, F.col("_to").alias("_id"))
-        more = cut(seen.unionByName(new).distinct())
-        if more.count() == seen.count():
-            break
+        seen = stage(seen.unionByName(new).distinct(), "stops")
+        if (more := seen.count()) == found:
+            return seen.withColumnRenamed("_id", id)
+        found = more
         onward = jump.select(*group, F.col("_from").alias("_to"), F.col("_to").alias("_far"))
-        seen, jump = more, cut(jump.join(onward, [*group, "_to"]).select(*group, "_from", F.col("_far").alias("_to")))
-    return more.withColumnRenamed("_id", id)
+        jump = stage(jump.join(onward, [*group, "_to"]).select(*group, "_from", F.col("_far").alias("_to")), "jumps")
 
 
 def split_max_size(df: DataFrame, doc: str, size: str, ceiling: float) -> DataFrame:
@@ -118,26 +131,19 @@ def split_max_size(df: DataFrame, doc: str, size: str, ceiling: float) -> DataFr
     With sizes summed up, a part ends before the first row whose sum exceeds the sum before the part by more than the
     ceiling, so parts are the stops of a greedy walk.
     """
-    w = Window.partitionBy(doc).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    summed = df.select(doc, "pos", F.col(size).alias("_size"), F.sum(size).over(w).alias("_end"))
+    summed = along(df.select(doc, "pos", F.col(size).alias("_size")), [doc], ["pos"], before={"_end": F.col("_size")}).withColumn("_end", F.col("_end") + F.coalesce("_size", F.lit(0)))
     # a row over the ceiling is left by the very next row, also by one without a size
     place = F.struct("_end", "pos")
     reach = F.when(F.col("_size") > ceiling, F.struct(F.col("_end"), F.col("pos"))).otherwise(F.struct((F.col("_end") - F.col("_size") + ceiling).cast(dict(summed.dtypes)["_end"]).alias("_end"), F.lit(1 << 62).alias("pos")))
     starts = greedy_starts(summed.select(doc, "pos", place.alias("at"), reach.alias("reach")), [doc], "at", "reach", "pos", strict=True)
-    marked = df.join(starts.withColumn("_start", F.lit(1)), [doc, "pos"], "left")
-    return marked.withColumn("part", F.sum(F.coalesce("_start", F.lit(0)).cast("long")).over(w)).select(*df.columns, "part")
+    marked = df.join(starts.withColumn("_start", F.lit(1).cast("long")), [doc, "pos"], "left").withColumn("_start", F.coalesce("_start", F.lit(0).cast("long")))
+    return along(marked, [doc], ["pos"], before={"part": F.col("_start")}).withColumn("part", F.col("part") + F.col("_start")).select(*df.columns, "part")
 
 
 def interleave(df: DataFrame, source: str) -> DataFrame:
-    """Round robin over sources by `round` (a row's turn within its source): adds out_pos.
-
-    Rows before a round are counted by round first, so that no task orders all rows: a window holds one round's rows,
-    one of each source, or the list of rounds.
-    """
-    sizes = df.groupBy("round").agg(F.count("*").alias("_n"))
-    before = sizes.select("round", (F.sum("_n").over(Window.orderBy("round")) - F.col("_n")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("round").orderBy(source))
-    return df.withColumn("_in", inside).join(before, "round").withColumn("out_pos", F.col("_before") + F.col("_in")).drop("_in", "_before")
+    """Round robin over sources by `round` (a row's turn within its source): adds out_pos. The order is that of rounds and
+    of sources within them, over ranges of it."""
+    return along(df, [], ["round", source], before={"out_pos": F.lit(1).cast("long")}).withColumn("out_pos", F.col("out_pos") + 1)
 
 
 def insert_at(base: DataFrame, extra: DataFrame, anchor: int, after: bool = True) -> DataFrame:
@@ -167,21 +173,22 @@ def permuted(mode: str) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """Sort key that orders digit runs by value: each run padded to 12 digits."""
-    return F.lower(F.regexp_replace(F.regexp_replace(name, r"(\d+)", "000000000000$1"), r"0*(\d{12})(?!\d)", "$1"))
+    """Sort key that orders digit runs by value: each run without leading zeros behind its length."""
+    bare = lambda x: F.regexp_replace(x, "^0+", "")
+    run = lambda x: F.when(x.rlike(r"^[0-9]"), F.concat(F.lpad(F.length(bare(x)).cast("string"), 9, "0"), bare(x))).otherwise(x)
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(name), F.lit("([0-9]+|[^0-9]+)"), 1), run), "")
 
 
 def serial_stamps(files: DataFrame, order: list[str], start: int = 1, step: int = 1, width: int = 6) -> DataFrame:
     """One counter over all files in order: first and last stamp of each, padded to the width but never cut."""
-    w = Window.orderBy(*order)
-    before = F.sum("n").over(w) - F.col("n")
+    files, before = along(files, [], order, before={"_before": F.col("n")}), F.col("_before")
 
     def stamp(x: Column) -> Column:
         t = x.cast("string")
         return F.when(F.length(t) < width, F.lpad(t, width, "0")).otherwise(t)
 
     out = files.withColumn("first_number", (start + before * step).cast("long")).withColumn("last_number", (start + (before + F.col("n") - 1) * step).cast("long"))
-    return out.withColumn("first_stamp", stamp(F.col("first_number"))).withColumn("last_stamp", stamp(F.col("last_number"))).withColumn("overflow", F.length(F.col("last_number").cast("string")) > width)
+    return out.withColumn("first_stamp", stamp(F.col("first_number"))).withColumn("last_stamp", stamp(F.col("last_number"))).withColumn("overflow", F.length(F.col("last_number").cast("string")) > width).drop("_before")
 
 
 def label_asof(rows: DataFrame, ranges: DataFrame, doc: str, order: str | None = None) -> DataFrame:
@@ -196,8 +203,7 @@ def label_asof(rows: DataFrame, ranges: DataFrame, doc: str, order: str | None =
     last = F.struct(order, "_r") if order else F.struct("_r")
     marks = kept.groupBy(doc, F.col("start").alias("pos")).agg(F.max(last)["_r"].alias("_r")).select(doc, "pos", F.lit(0).alias("_k"), "_r")
     both = marks.unionByName(rows.select(doc, "pos", F.lit(1).alias("_k"), F.lit(None).cast(marks.schema["_r"].dataType).alias("_r")))
-    w = Window.partitionBy(doc).orderBy("pos", "_k")
-    held = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).filter("_k = 1")
+    held = along(both.withColumnRenamed("_r", "_own"), [doc], ["pos", "_k"], last={"_r": F.col("_own")}).filter("_k = 1")
     start, first = F.coalesce(F.col("_r.start"), F.lit(1)), F.coalesce(F.col("_r.first"), F.lit(1))
     out = held.select(doc, "pos", F.coalesce(F.col("_r.style"), F.lit("decimal")).alias("style"), F.coalesce(F.col("_r.prefix"), F.lit("")).alias("prefix"), (F.col("pos") - start + first).cast("long").alias("number"))
     return out.withColumn("label", F.concat("prefix", page_number(F.col("number"), F.col("style"))))
@@ -321,11 +327,19 @@ def merge_plan(sources: DataFrame, key: str, order: Column | None = None) -> Dat
     """(key, n_pages, subset) in the order given -> key, pages, first_out (output position of the first one), invalid.
 
     Sources are sorted by `order`, ties by key, so that equal ones keep their place; a subset that cannot be read takes
-    the whole source and is marked; sources without pages go. The sources of a merge are a catalogue, so one ordered
-    window serves.
+    the whole source and is marked; sources without pages go.
     """
     whole = F.when(F.col("n_pages") > 0, F.sequence(F.lit(1).cast("long"), F.col("n_pages").cast("long"))).otherwise(F.array().cast("array<bigint>"))
     df = sources.withColumn("_p", subset_pages(F.col("subset"), F.col("n_pages").cast("long"))).withColumn("invalid", F.col("_p").isNull())
     df = df.withColumn("pages", F.coalesce("_p", whole)).filter(F.size("pages") > 0)
-    w = Window.orderBy(*([order] if order is not None else []), key)
-    return df.withColumn("first_out", (F.sum(F.size("pages").cast("long")).over(w) - F.size("pages") + 1).cast("long")).drop("_p")
+    keyed = df.withColumn("_n", F.size("pages").cast("long"))
+    out = along(keyed, [], [*([order] if order is not None else []), key], before={"first_out": F.col("_n")})
+    return out.withColumn("first_out", F.col("first_out") + 1).drop("_p", "_n")
+
+
+def toc_positions(sources: DataFrame, pages: str, order: list[str], cover: int = 1, contents: int = 1, separator: int = 1) -> DataFrame:
+    """Adds starts_at, the output page where a source begins: behind the cover and the contents, and, before each source,
+    `separator` pages of its own. Pages of 0 or less count as none."""
+    taken = F.greatest(F.lit(0), F.coalesce(F.col(pages), F.lit(0))).cast("long") + separator
+    out = along(sources, [], order, before={"starts_at": taken})
+    return out.withColumn("starts_at", (F.col("starts_at") + cover + contents + separator + 1).cast("long"))

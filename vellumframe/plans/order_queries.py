@@ -110,7 +110,7 @@ SELECT n_nationkey, CAST(1 + 2 + sum(pages + 1) OVER (ORDER BY n_nationkey) - pa
 def toc_positions(spark, sf_dir):
     """Cover and contents take two pages; a separator goes before each source."""
     s = table(spark, sf_dir, "nation").select("n_nationkey", (1 + F.col("n_nationkey") % 4).alias("pages"))
-    return s.select("n_nationkey", (1 + 2 + F.sum(F.col("pages") + 1).over(Window.orderBy("n_nationkey")) - F.col("pages")).cast("long").alias("starts_at"))
+    return O.toc_positions(s, "pages", ["n_nationkey"]).select("n_nationkey", "starts_at")
 
 
 @query("serial_stamp", """WITH f AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), b AS (SELECT *, sum(n) OVER (ORDER BY user_id) - n AS before FROM f),

@@ -46,6 +46,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: later reads agree and nothing is made twice."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """df over as many partitions as there are cores, where its files give fewer splits: for work that costs far more than
     moving a small table. Large tables have more splits than cores and stay as they are."""

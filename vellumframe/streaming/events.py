@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ordering import greedy_starts
+from ..operators.running import along
 
 
 def cooldown_dedup(events: DataFrame, key: str, ts: str, tie: str, cooldown_ms: int = 3000) -> DataFrame:
@@ -63,9 +64,9 @@ def session_dedup(events: DataFrame, key: list[str], ts: str, tie: str, removed:
     """The first event of each key; where `removed` says that an event takes the key's item away, the next one is
     admitted again. Removing events themselves are not put out."""
     gone = F.coalesce(removed, F.lit(False)) if removed is not None else F.lit(False)
-    w = Window.partitionBy(*key).orderBy(ts, tie)
-    df = events.withColumn("_gone", gone).withColumn("_life", F.sum(F.col("_gone").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("not _gone")
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key, "_life").orderBy(ts, tie))).filter("_n = 1").drop("_n", "_gone", "_life")
+    df = along(events.withColumn("_gone", gone), key, [ts, tie], before={"_life": F.col("_gone").cast("long")}).filter("not _gone").drop("_gone")
+    first = df.groupBy(*key, "_life").agg(F.min(F.struct(ts, tie)).alias("_f")).select(*key, "_life", F.col(f"_f.{ts}").alias(ts), F.col(f"_f.{tie}").alias(tie))
+    return df.join(first, [*key, "_life", ts, tie], "left_semi").drop("_life")
 
 
 def session_stream(events: DataFrame, key: list[str], ts: str, removed: str | None = None, session: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
@@ -110,10 +111,9 @@ def allowance_stream(events: DataFrame, user: str, operation: str, ts: str, limi
 def quota_gate(items: DataFrame, group: str, order: str, success: str, allowance: int) -> DataFrame:
     """Status of each item in order: completed, failed or skipped_quota. Only successes use the allowance, so an item
     is skipped once the successes before it reach the allowance."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.col(success).cast("int")).over(w), F.lit(0))
+    done, before = along(items, [group], [order], before={"_before": F.coalesce(F.col(success), F.lit(False)).cast("long")}), F.col("_before")
     status = F.when(before >= allowance, "skipped_quota").when(F.col(success), "completed").otherwise("failed")
-    return items.withColumn("status", status)
+    return done.withColumn("status", status).drop("_before")
 
 
 def quota_stream(items: DataFrame, group: str, ts: str, success: str, allowance: int, idle: str = "1 day", delay: str = "10 minutes") -> DataFrame:
