@@ -173,3 +173,48 @@ def test_shallowest_bookmark_of_a_page(spark):
     assert [tuple(r) for r in O.bookmark_marks(marks, "doc", "page", "level", "title", "at", 2).collect()] == [("d", 2, 1, "first")]
     df = spark.createDataFrame([("a", 2, 0), ("b", None, 1), ("c", 3, 2)], "s string, pages int, k int")
     assert [(r["s"], r["starts_at"]) for r in O.toc_positions(df, "pages", ["k"]).orderBy("k").collect()] == [("a", 4), ("b", 7), ("c", 8)]
+
+
+def test_phrases_of_a_large_dictionary(spark):
+    from vellumframe.operators import rewriting as W
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcAB1_") for _ in range(rng.randrange(1, 4)))
+    phrases = {}
+    while len(phrases) < 10_000:
+        phrases.setdefault(rng.choice([" ", "-", ", "]).join(word() for _ in range(rng.randrange(1, 5))).lower(), f"<{len(phrases)}$1\\2>")
+    texts = [rng.choice([" ", "-", ", ", "é"]).join(word() for _ in range(rng.randrange(80))) for _ in range(80)] + [None, "", "a" * 30_000, "-- é --"]
+    docs = spark.createDataFrame([(k % 70, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, find string")
+    entries = spark.createDataFrame([(f, t, 0) for f, t in phrases.items()] + [(next(iter(phrases)).upper(), "never", 1)], "find string, to string, rank int")
+    one = re.compile("(?<![A-Za-z0-9_])(?:" + "|".join(map(re.escape, sorted(phrases, key=len, reverse=True))) + ")(?![A-Za-z0-9_])", re.I)
+    want = Counter((k % 70, None if t is None else one.sub(lambda m: phrases[m[0].lower()], t)) for k, t in enumerate(texts))
+    assert Counter((r["doc_id"], r["text"]) for r in W.rewrite(docs, entries).collect()) == want
+    few = spark.createDataFrame([("a b", "x y"), ("b", "Zed")], "find string, to string")
+    shown = spark.createDataFrame([("A B b B a b",)], "text string")
+    assert W.rewrite(shown, few, keep_case=True).first()[0] == "X Y zed ZED x y"
+    assert W.rewrite(shown, few, match_case=True).first()[0] == "A B Zed B x y"
+    assert W.rewrite(shown, few.limit(0)).first()[0] == "A B b B a b"
+    with pytest.raises(ValueError):
+        W.rewrite(shown, spark.createDataFrame([("c++", "d")], "find string, to string"))
+
+
+def test_phrases_equal_the_fold_where_they_do_not_meet(spark):
+    from vellumframe.operators import rewriting as W
+    from vellumframe.sources import pages as G
+
+    docs = spark.createDataFrame([(1, "The cat and the dog. THE END of_it and"), (2, None)], "doc_id long, text string")
+    lexicon = [("the", "le"), ("and", "et"), ("dog", "chien")]
+    a = W.rewrite(docs, spark.createDataFrame(lexicon, "find string, to string"))
+    b = docs.withColumn("text", G.glossary(F.col("text"), lexicon))
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_both_guards():
+    from vellumframe.operators import rewriting as W
+    from vellumframe.operators import sensitive as P
+
+    for p in ("(a{2,})+", "(a+)+", "(a|b)*", ".*x.*", "", " ", "a" * 1001, "(a*){2}"):
+        with pytest.raises(ValueError):
+            P.safe_pattern(p)
+    assert P.safe_pattern("r(ed|ing) a+") and not W.dictionary_pattern_ok("a+") and W.dictionary_pattern_ok(r"r(ed|ing)\d{2}") and not W.dictionary_pattern_ok("(") and not W.dictionary_pattern_ok("x" * 101)
+    assert W.checked_rules([("regex", "a+", "b"), ("regex", "ab?", "c"), ("word", "x", "x"), ("word", "", "y")]) == [("literal", "a+", "b"), ("regex", "ab?", "c")]

@@ -32,9 +32,12 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def safe_pattern(pattern: str) -> str:
-    """Reject patterns that may backtrack without end: nested quantifiers, quantified alternations, two `.*`."""
-    if re.search(r"\([^)]*[+*][^)]*\)\s*[+*{]", pattern) or re.search(r"\([^)]*\|[^)]*\)\s*[+*{]", pattern) or pattern.count(".*") > 1:
+def safe_pattern(pattern: str, most: int = 1000) -> str:
+    """The guard of redactions and rule packs: reject patterns that are blank, longer than `most` or may backtrack without
+    end: repeated groups that hold a repetition or an alternation, and two `.*`. The guard of dictionaries is another,
+    dictionary_pattern_ok."""
+    nested = r"\([^)]*(?:[+*]|\{[0-9]+,[0-9]*\})[^)]*\)\s*[+*{]"
+    if not pattern.strip() or len(pattern) > most or re.search(nested, pattern) or re.search(r"\([^)]*\|[^)]*\)\s*[+*{]", pattern) or pattern.count(".*") > 1:
         raise ValueError(f"pattern may backtrack without end: {pattern!r}")
     re.compile(pattern)
     return pattern

@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..functions.constants import STOP_WORDS
 from ..operators import readability as R
 from ..sources import pages as P
+from ..operators import rewriting as W
 from .literals import ABBREVIATED, IRREGULAR, SCRIPT_BLOCKS, STOPS_SQL
 from .registry import documents, query, table
 
@@ -275,23 +276,27 @@ def find_snippets(spark, sf_dir):
 
 
 @query("replace_terms", r"""
-SELECT doc_id, regexp_replace(regexp_replace(replace(text, 'tion', 'TION'), '\bthe\b', 'THE', 'g'), '\band\b', '&', 'g') AS replaced,
+SELECT doc_id, regexp_replace(regexp_replace(replace(replace(text, 'tion', 'TION'), '(a+)', '[a]'), '\bthe\b', 'THE', 'g'), '\band\b', '&', 'g') AS replaced,
   regexp_replace(regexp_replace(regexp_replace(text, '\bOF\b', 'FROM', 'g'), '\bOf\b', 'From', 'g'), '\b(of|oF)\b', 'from', 'g') AS cased FROM documents
 """)
 def replace_terms(spark, sf_dir):
-    rules = [("literal", "tion", "TION"), ("word", "the", "THE"), ("word", "and", "&")]
+    """Rules in order; one is a pattern that the dictionary's guard turns into a literal."""
+    rules = W.checked_rules([("literal", "tion", "TION"), ("regex", "(a+)", "[a]"), ("word", "the", "THE"), ("word", "and", "&"), ("word", "of", "of")])
     return table(spark, sf_dir, "documents").select("doc_id", P.replace_terms(F.col("text"), rules).alias("replaced"), P.replace_terms(F.col("text"), [("cased_word", "of", "from")]).alias("cased"))
 
 
 @query("glossary_translate", r"""
-SELECT doc_id, t AS translated, CASE WHEN length(text) > 0 THEN floor(length(t)::DOUBLE / length(text) * 100 + 0.5) / 100 END AS expansion FROM (
+SELECT doc_id, t AS translated, CASE WHEN length(text) > 0 THEN floor(length(t)::DOUBLE / length(text) * 100 + 0.5) / 100 END AS expansion,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\bof the\b', 'vom', 'g'), '(?i)\bthe\b', 'der $1', 'g'), '(?i)\band\b', 'und\\1', 'g'), '(?i)\bof\b', 'von', 'g') AS phrases FROM (
   SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '(?i)\bthe\b', 'le', 'g'), '(?i)\band\b', '$1 et\\2', 'g'), '(?i)\bof\b', 'de', 'g') AS t FROM documents)
 """)
 def glossary_translate(spark, sf_dir):
-    """A replacement may hold marks that patterns mind."""
+    """A lexicon in order, each entry on what the one before left, and phrases of a table, the longest first."""
     lexicon = [("the", "le"), ("and", "$1 et\\2"), ("of", "de")]
     docs = table(spark, sf_dir, "documents").withColumn("translated", P.glossary(F.col("text"), lexicon))
-    return docs.select("doc_id", "translated", F.when(F.length("text") > 0, T.rounded(F.length("translated") / F.length("text"), 2)).alias("expansion"))
+    docs = docs.select("doc_id", "translated", F.when(F.length("text") > 0, T.rounded(F.length("translated") / F.length("text"), 2)).alias("expansion"), F.col("text").alias("phrases"))
+    entries = spark.createDataFrame([("the", "der $1"), ("Of the", "vom"), ("of", "von"), ("and", "und\\1")], "find string, to string")
+    return W.rewrite(docs, entries, "phrases")
 
 
 @query("spelling_variants", r"""

@@ -126,10 +126,11 @@ def find_snippets(docs: DataFrame, term: str, around: int = 40) -> DataFrame:
     return df.select("doc_id", F.col("k").cast("long").alias("match_index"), "at", snippet.alias("snippet"))
 
 
-def cased(match: Column, to: str) -> Column:
+def cased(match: Column, to: Column) -> Column:
     """The replacement in the case of what it replaces: all capitals, one capital in front, else lower."""
-    shout, one = (match == F.upper(match)) & (match != F.lower(match)), (F.substring(match, 1, 1) == F.upper(F.substring(match, 1, 1))) & (F.substring(match, 2, 1 << 20) == F.lower(F.substring(match, 2, 1 << 20)))
-    return F.when(shout, to.upper()).when(one, to[:1].upper() + to[1:].lower()).otherwise(to.lower())
+    head, tail = (lambda c: F.substring(c, 1, 1)), (lambda c: F.substr(c, F.lit(2)))
+    shout, one = (match == F.upper(match)) & (match != F.lower(match)), (head(match) == F.upper(head(match))) & (tail(match) == F.lower(tail(match)))
+    return F.when(shout, F.upper(to)).when(one, F.concat(F.upper(head(to)), F.lower(tail(to)))).otherwise(F.lower(to))
 
 
 def replace_terms(text: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -140,7 +141,7 @@ def replace_terms(text: Column, rules: list[tuple[str, str, str]]) -> Column:
             text = F.replace(text, F.lit(find), F.lit(to))
         elif kind in ("cased", "cased_word"):
             pattern = literal_pattern(find, whole_word=kind == "cased_word")
-            hits = F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), lambda m: cased(m, to))  # noqa: B023  built at once
+            hits = F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), lambda m: cased(m, F.lit(to)))  # noqa: B023  built at once
             pairs = F.zip_with(F.split(text, pattern, -1), hits, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
             text = F.array_join(pairs, "")
         else:
