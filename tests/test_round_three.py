@@ -218,3 +218,34 @@ def test_both_guards():
             P.safe_pattern(p)
     assert P.safe_pattern("r(ed|ing) a+") and not W.dictionary_pattern_ok("a+") and W.dictionary_pattern_ok(r"r(ed|ing)\d{2}") and not W.dictionary_pattern_ok("(") and not W.dictionary_pattern_ok("x" * 101)
     assert W.checked_rules([("regex", "a+", "b"), ("regex", "ab?", "c"), ("word", "x", "x"), ("word", "", "y")]) == [("literal", "a+", "b"), ("regex", "ab?", "c")]
+
+
+@pytest.mark.parametrize("block,k,scope", [(2, 1, "enabled"), (3, 3, "loaded"), (4096, 3, "enabled")])
+def test_stored_postings_give_the_same_rows(spark, tmp_path, block, k, scope):
+    from vellumframe.operators import search as Q
+
+    rng = random.Random(block)
+    vocab = [f"term{n}" for n in range(30) for _ in range(30 - n)]
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randrange(40))) for _ in range(150)] + [None, "", "the of"]
+    units = spark.createDataFrame([(n % 50, n, t, n % 4 > 0) for n, t in enumerate(texts)], "doc_id int, part int, text string, ok boolean")
+    asked = spark.createDataFrame([(1, "term0 term29 term29"), (2, "term1 term2 term3"), (3, "nothing here"), (4, None), (5, "term28")], "query_id long, query string")
+    whole = Q.bm25(units, asked, ["doc_id", "part"], "text", k=k, df_scope=scope, enabled=F.col("ok"))
+    Q.write_postings(units, ["doc_id", "part"], "text", str(tmp_path / "p"), df_scope=scope, enabled=F.col("ok"), block=block, buckets=8)
+    found = Q.search_postings(spark, str(tmp_path / "p"), asked, ["doc_id", "part"], k=k, buckets=8)
+    rows = lambda df: sorted((r["query_id"], r["doc_id"], r["part"], r["score"], r["rank"], r["confidence"]) for r in df.collect())
+    assert rows(found) == rows(whole) and len(rows(found)) >= 3
+    if block == 2:  # blocks that cannot reach the best score are left out
+        import json
+
+        plan = json.dumps(found._jdf.queryExecution().optimizedPlan().toString())
+        assert "text#" not in plan and "_kth" in plan
+
+
+def test_questions_are_one_constant(spark):
+    from vellumframe.operators import search as Q
+
+    docs = spark.createDataFrame([(1, "The green garden gate was old. It creaked in the wind all night. Nobody minded the noise.")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "gate"), (7, "garden"), (7, "zebra"), (8, "zebra")], "query_id long, term string")
+    assert [(r["query_id"], round(r["score"], 3), r["rank"]) for r in Q.passage_overlap(docs, asked).collect()] == [(7, 0.667, 1)]
+    with pytest.raises(ValueError):
+        Q.passage_overlap(docs, asked, most=3)

@@ -9,7 +9,9 @@ from ..functions import text as T
 from ..functions.constants import QA_STOP_WORDS
 from ..sources.pages import keywords
 from ..sources.shared import cut
+from .classes import class_points, term_table
 from .layout import paragraph_split
+from .running import along
 
 
 def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -50,6 +52,10 @@ def bm25(units: DataFrame, queries: DataFrame, unit: list[str], text: str, k: in
     weights = asked.join(df, "term").join(F.broadcast(size)).withColumn("idf", idf)  # one row of totals
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
     scored = tf.filter("on").join(weights, "term").groupBy("query_id", *unit).agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
+    return _best(scored, unit, k, least)
+
+
+def _best(scored: DataFrame, unit: list[str], k: int, least: float) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), *unit)
     best = scored.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
     top = F.max("score").over(Window.partitionBy("query_id"))
@@ -57,6 +63,55 @@ def bm25(units: DataFrame, queries: DataFrame, unit: list[str], text: str, k: in
     return best.withColumn("_top", top).filter(F.col("_top") >= least).withColumn("confidence", sure).drop("_top")
 
 
+def write_postings(units: DataFrame, unit: list[str], text: str, path: str, k1: float = 1.2, b: float = 0.75, df_scope: str = "enabled", enabled: Column | None = None, block: int = 4096, buckets: int = 64) -> None:
+    """Store what bm25 needs of the units under `path`, so that searches read no text: postings (term, unit, _block, _gain),
+    dealt to folders by a hash of the term; blocks (term, _block, _most); and terms (term, df, with the number of units).
+
+    _gain is what a term adds to a unit's score but for its weight in a query. A term's postings are ranked by it and cut
+    into blocks of `block`, so that a block's largest part bounds it. Ranks come from running counts over ranges, since
+    one term may be in every unit.
+    """
+    if df_scope not in ("enabled", "loaded"):
+        raise ValueError(df_scope)
+    words = units.select(*unit, (F.lit(True) if enabled is None else enabled).alias("on"), terms(F.col(text)).alias("_t")).withColumn("len", F.size("_t"))
+    tf = words.select(*unit, "on", "len", F.explode("_t").alias("term")).groupBy(*unit, "on", "len", "term").agg(F.count("*").alias("tf"))
+    total = words.filter("on").agg(F.count("*").alias("N"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avgdl")).first()
+    df = (tf if df_scope == "loaded" else tf.filter("on")).groupBy("term").agg(F.count("*").alias("df"))
+    df.withColumn("units", F.lit(total["N"])).write.parquet(f"{path}/terms")
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / max(total["avgdl"], 1e-9)))
+    rows = tf.filter("on").select("term", *unit, part.alias("_gain"))
+    ranked = along(rows, ["term"], [F.col("_gain").desc(), *unit], before={"_block": F.lit(1).cast("long")}).withColumn("_block", F.floor(F.col("_block") / block))
+    ranked = ranked.withColumn("_bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    ranked.repartition("_bucket", "term", "_block").sortWithinPartitions("term").write.partitionBy("_bucket").parquet(f"{path}/postings")
+    written = units.sparkSession.read.schema(ranked.schema).parquet(f"{path}/postings")
+    written.groupBy("term", "_block").agg(F.max("_gain").alias("_most")).write.parquet(f"{path}/blocks")
+
+
+def search_postings(spark, path: str, queries: DataFrame, unit: list[str], k: int = 3, least: float = 0.15, buckets: int = 64) -> DataFrame:
+    """bm25's rows for (query_id, query) from stored postings.
+
+    Each term's best block gives lower bounds of scores, the k-th of which a result must reach. A block whose largest
+    part, with the most that the query's other terms can add, stays below it holds no result and gives no candidates;
+    candidates alone are scored.
+    """
+    postings, blocks, known = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "blocks", "terms"))
+    folder = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("_bucket")  # the join on it reads a query's folders only
+    asked = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    idf = F.log(1 + (F.col("units") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = cut(asked.join(known, "term").select("query_id", "term", folder, (F.col("times") * idf).alias("w")))
+    gained = F.col("w") * F.col("_gain")
+    bounds = weights.join(blocks, "term").select("query_id", "_bucket", "term", "_block", (F.col("w") * F.col("_most")).alias("bound"))
+    tops = bounds.filter("_block = 0")
+    whole = tops.groupBy("query_id").agg(F.sum("bound").alias("_all"))
+    lead = postings.filter("_block = 0").join(weights, ["_bucket", "term"]).groupBy("query_id", *unit).agg(F.sum(gained).alias("s"))
+    kth = lead.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s")))).filter(F.col("n") == k).select("query_id", F.col("s").alias("_kth"))
+    reach = bounds.join(tops.select("query_id", "term", F.col("bound").alias("_top")), ["query_id", "term"]).join(whole, "query_id").join(kth, "query_id", "left")
+    live = reach.filter(F.col("_all") - F.col("_top") + F.col("bound") >= F.coalesce("_kth", F.lit(0.0)) - 1e-5).select("query_id", "_bucket", "term", "_block")
+    wanted = postings.join(live, ["_bucket", "term", "_block"]).select("query_id", *unit).distinct()
+    scored = postings.join(weights, ["_bucket", "term"]).join(wanted, ["query_id", *unit], "left_semi").groupBy("query_id", *unit).agg(F.round(F.sum(gained), 6).alias("score")).filter("score > 0")
+    return _best(scored, unit, k, least)
+
+
 def passages(docs: DataFrame, text: str = "text") -> DataFrame:
     """Windows of three summary sentences, two apart, of over 20 characters: doc_id, passage_no, passage."""
     s = docs.select("doc_id", T.summary_sentences(F.col(text)).alias("_s")).filter(F.size("_s") > 0)
@@ -65,11 +120,21 @@ def passages(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.filter(F.length("passage") > 20)
 
 
-def passage_overlap(docs: DataFrame, questions: dict[int, list[str]], k: int = 3) -> DataFrame:
-    """Passages by the share of a question's terms they contain, over 0.2, best k per question: no join at all."""
-    p = passages(docs).withColumn("_l", F.lower("passage"))
-    scores = F.array(*[F.struct(F.lit(q).cast("long").alias("query_id"), (sum((F.contains("_l", F.lit(t)).cast("int") for t in ts), F.lit(0)) / len(ts)).alias("score")) for q, ts in questions.items()])
-    s = p.select("doc_id", "passage_no", F.explode(F.filter(scores, lambda x: x["score"] > 0.2)).alias("_s")).select("_s.*", "doc_id", "passage_no")
+def passage_overlap(docs: DataFrame, questions: DataFrame, k: int = 3, most: int = 1000) -> DataFrame:
+    """Passages by the share of a question's terms they contain, over 0.2, best k per question.
+
+    questions: (query_id, term), at most `most` rows, which are one constant of the plan; more are a ValueError.
+    """
+    asked = questions.select("query_id", "term").orderBy("query_id", "term").limit(most + 1).collect()
+    if len(asked) > most:
+        raise ValueError(f"at most {most} terms of questions")
+    by: dict[int, list[dict]] = {}
+    for r in asked:
+        by.setdefault(r["query_id"], []).append({"term": r["term"], "weight": 1})
+    ids, sizes = F.array(*map(F.lit, by)).cast("array<bigint>"), F.array(*[F.lit(len(t)) for t in by.values()])
+    counts = class_points(F.lower("passage"), term_table(list(by.values())))
+    scores = F.transform(counts, lambda n, i: F.struct(F.get(ids, i).alias("query_id"), (n / F.get(sizes, i)).alias("score")))
+    s = passages(docs).select("doc_id", "passage_no", F.explode(F.filter(scores, lambda x: x["score"] > 0.2)).alias("_s")).select("_s.*", "doc_id", "passage_no")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "passage_no")
     return s.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 

@@ -8,8 +8,9 @@ from ..functions import text as T
 from ..operators import duplicates as D
 from ..operators import search as Q
 from ..operators import sensitive as P
-from .literals import PRESET_PATTERNS, STOPS_SQL
 from ..sources import pages as G
+from ..sources.shared import scratch
+from .literals import PRESET_PATTERNS, STOPS_SQL
 from .registry import documents, query, table
 from .text_queries import SUMMARY_SQL, S, marked_documents
 
@@ -96,18 +97,30 @@ def dedupe_first_seen(spark, sf_dir):
 TERMS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9\\x{0900}-\\x{097F}\\x{0980}-\\x{09FF}\\x{0A00}-\\x{0A7F}]+'), lambda x: length(x) > 1 AND x NOT IN " + STOPS_SQL + ")"
 
 
-@query("bm25_search", f"""WITH t AS (SELECT doc_id, unnest({TERMS}) AS term FROM documents), q AS (SELECT item_id AS query_id, unnest({TERMS}) AS term FROM benchmark),
+_BM25_SQL = f"""WITH t AS (SELECT doc_id, unnest({TERMS}) AS term FROM documents), q AS (SELECT item_id AS query_id, unnest({TERMS}) AS term FROM benchmark),
 l AS (SELECT doc_id, len({TERMS}) AS len FROM documents), n AS (SELECT count(*) AS N, avg(len) AS avgdl FROM l),
 f AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM f GROUP BY term), w AS (SELECT query_id, term, count(*) AS times FROM q GROUP BY 1, 2),
 s AS (SELECT query_id, doc_id, round(sum(times * ln(1 + (N - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl))), 6) AS score FROM f JOIN l USING (doc_id) JOIN d USING (term) JOIN w USING (term), n GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, max(score) OVER (PARTITION BY query_id) AS top FROM s WHERE score > 0)
-SELECT query_id, doc_id, score, rank, CAST(least(99, greatest(30, floor(score / top * 95 + 0.5))) AS BIGINT) AS confidence FROM r WHERE rank <= 3 AND top >= 0.15""")
+SELECT query_id, doc_id, score, rank, CAST(least(99, greatest(30, floor(score / top * 95 + 0.5))) AS BIGINT) AS confidence FROM r WHERE rank <= 3 AND top >= 0.15"""
+
+
+@query("bm25_search", _BM25_SQL)
 def bm25_search(spark, sf_dir):
     """Whole documents as units."""
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return Q.bm25(documents(spark, sf_dir).select("doc_id", "text"), q, ["doc_id"], "text")
 
 
+@query("bm25_stored", _BM25_SQL)
+def bm25_stored(spark, sf_dir):
+    """The same search from postings that are written first; the search itself reads no text."""
+    path = scratch(spark, "postings")
+    Q.write_postings(documents(spark, sf_dir).select("doc_id", "text"), ["doc_id"], "text", path)
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return Q.search_postings(spark, path, q, ["doc_id"])
+
+
 @query("bm25_chunks")
 def bm25_chunks(spark, sf_dir):
     """Paragraphs as units, searched in documents with a language; tests hold it against a plain version."""
@@ -124,7 +137,8 @@ QUESTIONS = {1: ["the", "tion", "onst", "ered"], 2: ["que", "ment", "les"], 3: [
 q AS ({' UNION ALL '.join(f"SELECT CAST({q} AS BIGINT) AS query_id, doc_id, passage_no, ({' + '.join(f'contains(t, {chr(39)}{w}{chr(39)})::INT' for w in ws)})::DOUBLE / {len(ws)} AS score FROM x WHERE length(t) > 20" for q, ws in QUESTIONS.items())})
 SELECT query_id, score, doc_id, passage_no, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, passage_no) AS rank FROM q WHERE score > 0.2) WHERE rank <= 3""")
 def passage_overlap_search(spark, sf_dir):
-    return Q.passage_overlap(table(spark, sf_dir, "documents"), QUESTIONS)
+    asked = spark.createDataFrame([(q, w) for q, ws in QUESTIONS.items() for w in ws], "query_id long, term string")
+    return Q.passage_overlap(table(spark, sf_dir, "documents"), asked)
 
 
 _KEYS = f"""w AS (SELECT doc_id, regexp_replace(lower(unnest(l)), '[^a-z0-9]', '', 'g') AS word, unnest(range(1, len(l) + 1)) AS pos FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '{S}+'), lambda x: x <> '') AS l FROM documents)),
