@@ -249,3 +249,85 @@ def test_questions_are_one_constant(spark):
     assert [(r["query_id"], round(r["score"], 3), r["rank"]) for r in Q.passage_overlap(docs, asked).collect()] == [(7, 0.667, 1)]
     with pytest.raises(ValueError):
         Q.passage_overlap(docs, asked, most=3)
+
+
+def test_longest_common_runs_of_any_texts(monkeypatch):
+    import time
+
+    from vellumframe.operators import records as C
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(new[j], row[j + 1]))
+            row = new
+        return row[-1]
+
+    rng = random.Random(6)
+    for kept in (64 << 20, 1):
+        monkeypatch.setattr(C, "ROWS_KEPT", kept)
+        for _ in range(150):
+            a, b = ([rng.choice("abcd") for _ in range(rng.randrange(25))] for _ in range(2))
+            got = C.longest_common(a, b)
+            assert len(got) == plain(a, b) and all(a[i] == b[j] for i, j in got)
+            assert all(x < y and u < v for (x, u), (y, v) in zip(got, got[1:]))
+    monkeypatch.setattr(C, "ROWS_KEPT", 64 << 20)
+    began = time.time()
+    same = ["again"] * 20_000
+    assert len(C.longest_common(same, same)) == 20_000
+    two = [rng.choice("xy") for _ in range(20_000)]
+    assert len(C.longest_common(two, two[::-1])) > 10_000 and time.time() - began < 30
+
+
+def test_alignments_against_a_table(monkeypatch):
+    from vellumframe.operators import records as C
+
+    def value(way, a, b):
+        total = 0.0
+        for i, j in way:
+            s = None if i is None or j is None else 1.0 if not a[i] | b[j] else len(a[i] & b[j]) / len(a[i] | b[j])
+            total += -0.15 if s is None else s if s >= 0.3 else -0.2
+        assert [i for i, _ in way if i is not None] == list(range(len(a))) and [j for _, j in way if j is not None] == list(range(len(b)))
+        return total
+
+    def best(a, b):
+        row = [-0.15 * j for j in range(len(b) + 1)]
+        for i, x in enumerate(a):
+            new = [-0.15 * (i + 1)]
+            for j, y in enumerate(b):
+                s = 1.0 if not x | y else len(x & y) / len(x | y)
+                new.append(max(row[j] + (s if s >= 0.3 else -0.2), row[j + 1] - 0.15, new[j] - 0.15))
+            row = new
+        return row[-1]
+
+    rng = random.Random(3)
+    for dense in (16, 0):
+        monkeypatch.setattr(C, "DENSE", dense)
+        for _ in range(120):
+            a, b = ([{rng.choice("abcdefgh") for _ in range(rng.randrange(5))} for _ in range(rng.randrange(9))] for _ in range(2))
+            assert abs(value(C.aligned(a, b, -0.15, 0.3, -0.2), a, b) - best(a, b)) < 1e-9
+    monkeypatch.setattr(C, "DENSE", 16)
+    pages = [{f"w{rng.randrange(4000)}" for _ in range(60)} | {"the", "of"} for _ in range(1000)]
+    other = pages[:300] + [{"new", str(k)} for k in range(40)] + pages[350:]
+    way = C.aligned(pages, other, -0.15, 0.3, -0.2)
+    assert sum(i is not None and j is not None and pages[i] == other[j] for i, j in way) == 950
+    with pytest.raises(ValueError):
+        C.aligned(pages[:1], other[:1], -0.05, 0.3, -0.2)
+
+
+def test_cells_of_any_size(spark):
+    from vellumframe.operators import layout as L
+
+    rng = random.Random(9)
+    cells = [("p", k, x, y, x + w, y + h) for k, (x, y, w, h) in enumerate([(rng.uniform(-50, 900), rng.uniform(-50, 900), rng.choice([0.0, 5.0, 60.0, 700.0, 9000.0]), rng.choice([0.0, 12.0, 300.0])) for _ in range(60)])]
+    cells += [("q", 0, 0.0, 0.0, 10.0, 10.0), ("p", 90, 5.0, 5.0, 1.0, 9.0)]
+    words = [("p", f"w{k}", rng.uniform(-60, 1000), rng.uniform(-60, 1000), 4.0, 2.0, rng.choice([None, 50.0, 91.0])) for k in range(400)]
+    grid = spark.createDataFrame(cells, "page string, cell int, left double, top double, right double, bottom double")
+    df = spark.createDataFrame(words, "page string, text string, x double, y double, width double, height double, confidence double")
+    got = {(r["page"], r["cell"]): (r["text"], r["confidence"]) for r in L.cells_from_grid(grid, df, "page").collect()}
+    assert len(got) == len(cells)
+    for p, c, left, top, right, bottom in cells:
+        own = sorted((w[2], w[1], w[6] if w[6] is not None else 80.0) for w in words if w[0] == p and left - 3 <= w[2] + 2 <= right + 3 and top - 3 <= w[3] + 1 <= bottom + 3)
+        assert got[p, c] == (" ".join(w[1] for w in own), int(sum(w[2] for w in own) / len(own) + 0.5) if own else 85)

@@ -97,18 +97,29 @@ def table_grid(tokens: DataFrame, page: str, gutter: int = 8, margin: int = 15)
     return cols.unionByName(row_dividers(tokens, page).select(page, F.lit("row").alias("axis"), "divider"))
 
 
-def cells_from_grid(grid: DataFrame, words: DataFrame, page: str, slack: float = 3.0) -> DataFrame:
+def cells_from_grid(grid: DataFrame, words: DataFrame, page: str, slack: float = 3.0, tile: float = 64.0) -> DataFrame:
     """Words whose centre lies in a cell (page, cell, left, top, right, bottom), give or take the slack, joined by x.
 
-    Adds text and confidence (rounded mean of the words', 80 where unknown; 85 for empty cells). The range join is an
-    equi-join on the page first; a word near a border may lie in two cells.
+    Adds text and confidence (rounded mean of the words', 80 where unknown; 85 for empty cells); a word near a border may
+    lie in two cells. A cell is dealt to every tile of the page that it touches and a word to the one of its centre, so
+    words meet the cells of their own tile by an equi-join before the exact test. Cells that are wide for their page meet
+    tiles as much larger: a cell touches at most some 64 of them.
     """
     w = words.select(page, (F.col("x") + F.col("width") / 2).alias("_cx"), (F.col("y") + F.col("height") / 2).alias("_cy"), "x", F.col("text").alias("_t"), F.coalesce("confidence", F.lit(80.0)).alias("_conf"))
+    # tiles double in size until a cell touches at most 8 a side; words meet the sizes that their page has
+    side = F.greatest(F.col("right") - F.col("left"), F.col("bottom") - F.col("top"), F.lit(0.0)) + 2 * slack
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side / (tile * 7), F.lit(1.0))))).cast("int")
+    size, at = F.pow(F.lit(2.0), F.col("_level")) * tile, lambda c: F.floor(c / size)
+    spread = lambda lo, hi: F.explode(F.sequence(at(F.col(lo) - slack), at(F.col(hi) + slack)))
+    whole = (F.col("left") <= F.col("right")) & (F.col("top") <= F.col("bottom"))
+    dealt = grid.filter(whole).withColumn("_level", level).withColumn("_tx", spread("left", "right")).withColumn("_ty", spread("top", "bottom"))
+    levels = dealt.select(page, "_level").distinct()
+    placed = w.join(levels, page).withColumn("_tx", at(F.col("_cx"))).withColumn("_ty", at(F.col("_cy")))
     inside = F.col("_cx").between(F.col("left") - slack, F.col("right") + slack) & F.col("_cy").between(F.col("top") - slack, F.col("bottom") + slack)
-    g, v = grid.alias("g"), w.alias("w")
-    j = g.join(v, (F.col(f"g.{page}") == F.col(f"w.{page}")) & inside, "left").groupBy(f"g.{page}", "cell")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct("x", "_t")))), lambda s: s["_t"]), " ")
-    return j.agg(text.alias("text"), F.coalesce(rounded(F.avg("_conf")), F.lit(85)).cast("long").alias("confidence"))
+    met = dealt.join(placed, [page, "_level", "_tx", "_ty"]).filter(inside).groupBy(page, "cell")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "_t"))), lambda s: s["_t"]), " ")
+    found = met.agg(text.alias("text"), rounded(F.avg("_conf")).cast("long").alias("confidence"))
+    return grid.select(page, "cell").join(found, [page, "cell"], "left").select(page, "cell", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("confidence", F.lit(85).cast("long")).alias("confidence"))
 
 
 def multi_column_flag(tokens: DataFrame, page: str, page_width: float) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import re
-from bisect import bisect_left
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -163,28 +164,66 @@ def tiered_key_match(names: DataFrame, data: DataFrame) -> DataFrame:
     return out.unionByName(left.select("name", none.alias("key"), F.lit("unmatched").alias("tier"))).unionByName(unused)
 
 
-def longest_common(a: list, b: list) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence, by longest increasing runs over match positions."""
+#: Bytes of bit rows that one comparison keeps for its way back; beyond that it is cut in two.
+ROWS_KEPT = 64 << 20
+
+
+def _bit_rows(a: list, b: list) -> Iterator[int]:
+    """For every prefix of a, a number whose zero bits are the steps of the longest common lengths along b."""
     where: dict = {}
     for j, x in enumerate(b):
-        where.setdefault(x, []).append(j)
-    tails: list[int] = []
-    nodes: list[tuple[int, int, object]] = []
-    ends: list = []
-    for i, x in enumerate(a):
-        for j in reversed(where.get(x, ())):
-            k = bisect_left(tails, j)
-            node = (i, j, ends[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                ends.append(node)
-            else:
-                tails[k], ends[k] = j, node
-    out, node = [], ends[-1] if ends else None
-    while node:
-        out.append((node[0], node[1]))
-        node = node[2]
-    return out[::-1]
+        where[x] = where.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        on = row & where.get(x, 0)
+        row = ((row + on) | (row - on)) & full
+        yield row
+
+
+def _lengths(a: list, b: list) -> np.ndarray:
+    """Longest common length of a and each prefix of b."""
+    row = (1 << len(b)) - 1
+    for row in _bit_rows(a, b):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def longest_common(a: list, b: list) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence.
+
+    Equal ends are taken off first. Rows of the table are bits of one number each, so a pair of n and m words costs n
+    operations on m bits whatever repeats in it; long pairs are halved where both halves together reach the whole length,
+    so that what is kept stays bounded.
+    """
+    lo = 0
+    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    out = [(k, k) for k in range(lo)]
+    x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    if x and y:
+        if len(x) > 1 and len(x) * len(y) // 8 > ROWS_KEPT:
+            half = len(x) // 2
+            reach = _lengths(x[:half], y) + _lengths(x[half:][::-1], y[::-1])[::-1]
+            at = int(reach.argmax())
+            found = longest_common(x[:half], y[:at]) + [(half + i, at + j) for i, j in longest_common(x[half:], y[at:])]
+        else:
+            rows, found, i, j = list(_bit_rows(x, y)), [], len(x), len(y)
+            while i and j:
+                if rows[i - 1] >> (j - 1) & 1:
+                    j -= 1
+                elif i > 1 and not rows[i - 2] >> (j - 1) & 1:
+                    i -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    found.append((i, j))
+            found.reverse()
+        out += [(lo + i, lo + j) for i, j in found]
+    return out + [(len(a) - hi + k, len(b) - hi + k) for k in range(hi)]
 
 
 def text_diff(pairs: DataFrame, key: list[str], ignore_case: bool = False, ignore_whitespace: bool = True) -> DataFrame:
@@ -255,49 +294,121 @@ def diff_summary(aligned: DataFrame, pages: DataFrame, pair: str, **options) ->
     )
 
 
-def page_align(pages: DataFrame, pair: str, gap: float = -0.15) -> DataFrame:
+def page_align(pages: DataFrame, pair: str, gap: float = -0.15, alike: float = 0.3, unlike: float = -0.2) -> DataFrame:
     """(pair, side, page_no, text) -> aligned pages: pair, old_no, new_no, similarity, in page order.
 
-    Equal counts with every page similar stay one to one; otherwise an order-preserving alignment by word similarity.
-    """
+    Equal counts with every page similar stay one to one; otherwise an order-preserving alignment by word similarity: pages
+    at least `alike` gain their similarity, others that are put together cost `unlike`, one left alone costs `gap`.
 
-    def like(x: set, y: set) -> float:
-        return 1.0 if not x and not y else len(x & y) / max(1, len(x | y))
+    Similarities come from the words that pages share, a row of them at a time, and only pairs of at least `alike` are
+    kept. The alignment is the best chain of such pairs: what lies between two of them costs by its numbers of pages
+    alone, so no table of all pairs is made. A version is a unit of work; versions are spread over tasks.
+    """
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("page_no")
         a, b = ([(n, set((t or "").lower().split())) for n, t in zip(g.page_no, g.text)] for g in (f[f.side == "old"], f[f.side == "new"]))
-        name, rows = f[pair].iloc[0], []
+        like = lambda x, y: 1.0 if not x and not y else len(x & y) / max(1, len(x | y))
         if len(a) == len(b) and all(like(x, y) >= 0.2 for (_, x), (_, y) in zip(a, b)):
-            rows = [(name, m, n, like(x, y)) for (m, x), (n, y) in zip(a, b)]
+            way = [(k, k) for k in range(len(a))]
         else:
-            best = [[(0.0, None)] * (len(b) + 1) for _ in range(len(a) + 1)]
-            for i in range(len(a) + 1):
-                for j in range(len(b) + 1):
-                    ways = []
-                    if i and j:
-                        s = like(a[i - 1][1], b[j - 1][1])
-                        ways.append((best[i - 1][j - 1][0] + (s if s >= 0.3 else -0.2), "both"))
-                    if i:
-                        ways.append((best[i - 1][j][0] + gap, "old"))
-                    if j:
-                        ways.append((best[i][j - 1][0] + gap, "new"))
-                    best[i][j] = max(ways, key=lambda w: w[0]) if ways else (0.0, None)
-            i, j = len(a), len(b)
-            while i or j:
-                way = best[i][j][1]
-                if way == "both":
-                    rows.append((name, a[i - 1][0], b[j - 1][0], like(a[i - 1][1], b[j - 1][1])))
-                elif way == "old":
-                    rows.append((name, a[i - 1][0], None, 0.0))
-                else:
-                    rows.append((name, None, b[j - 1][0], 0.0))
-                i, j = i - (way != "new"), j - (way != "old")
-            rows.reverse()
+            way = aligned([x for _, x in a], [y for _, y in b], gap, alike, unlike)
+        rows = [(f[pair].iloc[0], a[i][0] if i is not None else None, b[j][0] if j is not None else None, like(a[i][1], b[j][1]) if i is not None and j is not None else 0.0) for i, j in way]
         return pd.DataFrame(rows, columns=[pair, "old_no", "new_no", "similarity"]).astype({"old_no": "Int64", "new_no": "Int64"})
 
-    kind = dict(pages.dtypes)[pair]
-    return pages.groupBy(pair).applyInPandas(run, f"{pair} {kind}, old_no long, new_no long, similarity double")
+    schema = pages.select(pair).schema.add("old_no", "long").add("new_no", "long").add("similarity", "double")
+    return pages.groupBy(pair).applyInPandas(run, schema)
+
+
+def shared_pages(a: list[set], b: list[set], alike: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For every page of a, the pages of b that are at least `alike`, and how alike they are."""
+    where: dict = {}
+    for j, words in enumerate(b):
+        for w in words:
+            where.setdefault(w, []).append(j)
+    places = {w: np.array(js) for w, js in where.items()}
+    sizes = np.array([len(y) for y in b])
+    for i, x in enumerate(a):
+        both = np.zeros(len(b), np.int64)
+        for w in x:
+            if w in places:
+                both[places[w]] += 1
+        like = np.where((sizes == 0) & (len(x) == 0), 1.0, both / np.maximum(1, len(x) + sizes - both))
+        near = np.flatnonzero(like >= alike)
+        yield i, near, like[near]
+
+
+#: Pairs a page, on average, beyond which an alignment goes by a table.
+DENSE = 16
+
+
+def aligned_table(a: list[set], b: list[set], gap: float, alike: float, unlike: float) -> list[tuple[int | None, int | None]]:
+    """The same alignment row by row: one row of values, and a byte a pair for the way back."""
+    m = len(b)
+    steps = gap * np.arange(m + 1)
+    row, ways = steps, np.zeros((len(a) + 1, m + 1), np.int8)
+    ways[0] = 2
+    for i, js, likes in shared_pages(a, b, alike):
+        worth = np.full(m, unlike)
+        worth[js] = likes
+        both, up = np.append(-np.inf, row[:-1] + worth), row + gap
+        over = np.maximum(both, up)
+        bare = over - steps
+        most = np.maximum.accumulate(bare)
+        ways[i + 1] = np.where(most > bare, 2, np.where(both >= up, 0, 1))
+        row = most + steps
+    out, i, j = [], len(a), m
+    while i or j:
+        way = int(ways[i, j])
+        i, j = i - (way != 2), j - (way != 1)
+        out.append((i if way != 2 else None, j if way != 1 else None))
+    return out[::-1]
+
+
+def aligned(a: list[set], b: list[set], gap: float, alike: float, unlike: float) -> list[tuple[int | None, int | None]]:
+    """The best order-preserving alignment, as pairs of indices with None for a page alone: the best chain over pairs that
+    are alike. `unlike` costs no more than two gaps (ValueError otherwise), so that between links as many pages as
+    possible are put together. Where most pairs are alike, so that they are a table themselves, a table of bytes serves."""
+    if unlike < 2 * gap:
+        raise ValueError("two pages alone must not cost less than two put together")
+    I, J, best, back = [], [], [], []  # noqa: E741  chain ends: places, value up to there, the one before
+
+    def between(p, q):
+        return unlike * np.minimum(p, q) + gap * np.abs(p - q)
+
+    for i, js, likes in shared_pages(a, b, alike):
+        if len(I) > DENSE * (len(a) + len(b)):
+            return aligned_table(a, b, gap, alike, unlike)
+        ends_i, ends_j, value = np.array(I, np.int64), np.array(J, np.int64), np.array(best)
+        for j, s in zip(js.tolist(), likes.tolist()):
+            top, at = between(i, j), -1
+            if len(value):
+                way = np.where(ends_j < j, value + between(i - ends_i - 1, j - ends_j - 1), -np.inf)
+                k = int(way.argmax())
+                if way[k] > top:
+                    top, at = way[k], k
+            I.append(i)
+            J.append(j)
+            best.append(float(top + s))
+            back.append(at)
+    n, m, k = len(a), len(b), -1
+    if best:
+        way = np.array(best) + between(n - np.array(I) - 1, m - np.array(J) - 1)
+        k = int(way.argmax())
+        if way[k] < between(n, m):
+            k = -1
+    chain = []
+    while k >= 0:
+        chain.append((I[k], J[k]))
+        k = back[k]
+    out, i, j = [], 0, 0
+    for x, y in [*reversed(chain), (n, m)]:
+        both = min(x - i, y - j)
+        out += [(i + t, j + t) for t in range(both)] + [(t, None) for t in range(i + both, x)] + [(None, t) for t in range(j + both, y)]
+        if x < n:
+            out.append((x, y))
+        i, j = x + 1, y + 1
+    return out
 
 
 def audit(rows: DataFrame, rules: dict[str, tuple[Column, bool]], key: str) -> DataFrame:

@@ -49,11 +49,17 @@ def pii_scan(docs: DataFrame, kinds: list[str] | None = None, custom: dict[str,
     df = docs.select("doc_id", F.col(text).alias("_t"))
     for k, p in enumerate(patterns.values()):
         df = df.withColumn(f"_m{k}", F.regexp_extract_all("_t", F.lit(f"({p})" if not p.startswith("(?i)") else f"(?i)({p[4:]})"), 1)).withColumn(f"_s{k}", F.split("_t", p, -1))
-    long = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(x))
+    # one fold carries the place along, so a text's hits cost its length once
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<match_no:bigint,match:string,at:int>>").alias("all"))
 
     def matches(k: int, kind: str) -> Column:
-        at = lambda i: long(F.slice(f"_s{k}", F.lit(1), i + 1)) + long(F.slice(f"_m{k}", F.lit(1), i))
-        return F.transform(f"_m{k}", lambda m, i: F.struct(F.lit(kind).alias("kind"), (i + 1).cast("long").alias("match_no"), m.alias("match"), at(i).alias("at")))
+        def one(acc: Column, x: Column) -> Column:
+            place = acc["at"] + F.length(x["s"])
+            hit = F.struct((F.size(acc["all"]) + 1).cast("long").alias("match_no"), x["m"].alias("match"), place.alias("at"))
+            return F.struct((place + F.length(x["m"])).alias("at"), F.array_append(acc["all"], hit).alias("all"))
+
+        zipped = F.arrays_zip(F.slice(f"_s{k}", F.lit(1), F.size(f"_m{k}")).alias("s"), F.col(f"_m{k}").alias("m"))
+        return F.transform(F.aggregate(zipped, start, one)["all"], lambda h: F.struct(F.lit(kind).alias("kind"), h["match_no"].alias("match_no"), h["match"].alias("match"), h["at"].alias("at")))
 
     found = F.flatten(F.array(*[matches(k, kind) for k, kind in enumerate(patterns)]))
     df = df.select("doc_id", "_t", F.explode(found).alias("f")).select("doc_id", "_t", "f.*")

@@ -116,14 +116,21 @@ def find_literal(docs: DataFrame, term: str, case_sensitive: bool = False, whole
 
 
 def find_snippets(docs: DataFrame, term: str, around: int = 40) -> DataFrame:
-    """(doc_id, text) -> every case-insensitive hit: match_index, at (0-based), snippet of 40 characters around it."""
+    """(doc_id, text) -> every case-insensitive hit: match_index, at (0-based), snippet of 40 characters around it.
+
+    Hits are cut out of the text in the row that holds it, so that no hit carries the whole text along.
+    """
     low, n = term.lower(), len(term)
-    df = docs.filter(F.contains(F.lower("text"), F.lit(low))).withColumn("_parts", F.split(F.lower("text"), re.escape(low)))
-    df = df.select("doc_id", "text", "_parts", F.explode(F.sequence(F.lit(1), F.size("_parts") - 1)).alias("k"))
-    before = F.aggregate(F.slice("_parts", F.lit(1), F.col("k")), F.lit(0).cast("long"), lambda a, x: a + F.length(x))
-    df = df.withColumn("at", before + (F.col("k") - 1) * n)
-    snippet = F.substring(F.col("text"), F.greatest(F.lit(1), F.col("at") - around + 1).cast("int"), (F.least(F.col("at"), F.lit(around)) + n + around).cast("int"))
-    return df.select("doc_id", F.col("k").cast("long").alias("match_index"), "at", snippet.alias("snippet"))
+    df = docs.filter(F.contains(F.lower("text"), F.lit(low))).select("doc_id", F.col("text").alias("_x"), F.split(F.lower("text"), re.escape(low), -1).alias("_parts"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    places = F.aggregate("_parts", start, lambda acc, p: F.struct((acc["at"] + F.length(p) + n).alias("at"), F.array_append(acc["all"], acc["at"] + F.length(p)).alias("all")))["all"]
+
+    def cut(at: Column, x: Column) -> Column:
+        return F.substring(x, F.greatest(F.lit(1), at - around + 1), F.least(at, F.lit(around)) + n + around)
+
+    hits = T.let(F.struct(F.col("_x").alias("x"), F.slice(places, F.lit(1), F.size("_parts") - 1).alias("p")), lambda h: F.transform(h["p"], lambda at: F.struct(at.cast("long").alias("at"), cut(at, h["x"]).alias("snippet"))))
+    out = df.select("doc_id", F.posexplode(hits).alias("_k", "_h"))
+    return out.select("doc_id", (F.col("_k") + 1).cast("long").alias("match_index"), "_h.at", "_h.snippet")
 
 
 def cased(match: Column, to: Column) -> Column:

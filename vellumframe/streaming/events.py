@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from ..operators.ordering import greedy_starts
 from ..operators.running import along
@@ -24,40 +24,139 @@ def cooldown_dedup(events: DataFrame, key: str, ts: str, tie: str, cooldown_ms:
     return events.join(greedy_starts(rows, [key], "at", "reach", tie).select(tie), tie, "left_semi")
 
 
-def _keyed_stream(events: DataFrame, key: list[str], ts: str, delay: str, keep_ms: int, added: str, decide):
-    """A stream with state per key: `decide(rows in order of time, what is known)` gives the rows to put out and what is
-    known then. State goes once the watermark is `keep_ms` behind the key's last event."""
-    schema = events.schema
-    for c in filter(None, added.split(",")):
-        schema = schema.add(*c.split())
+class Keyed(StatefulProcessor):
+    """What the streaming forms share: rows of a key in order of time, and state that goes with the watermark. Each item of
+    state is a value or a map of its own in Spark's state store; a timer `keep_ms` behind the key's last event clears it."""
 
-    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        known, last = (json.loads(state.get[0]), state.get[1]) if state.exists else (None, 0)
-        f = pd.concat(list(frames)).sort_values(ts, kind="stable")  # one key's rows of one trigger
-        out, known = decide(f, known)
-        last = max(last, int(f[ts].max().value // 1_000_000))
-        state.update((json.dumps(known), last))
-        state.setTimeoutTimestamp(max(last + keep_ms, state.getCurrentWatermarkMs() + 1))
-        yield out[schema.names]
+    def __init__(self, ts: str, columns: list[str], keep_ms: int):
+        self.ts, self.columns, self.keep_ms = ts, columns, keep_ms
 
-    return events.withWatermark(ts, delay).groupBy(*key).applyInPandasWithState(run, schema, "known string, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "ms long")
+        self.items = [self.last]
 
+    def value(self, name: str, schema: str):
+        self.items.append(self.handle.getValueState(name, schema))
+        return self.items[-1]
+
+    def decide(self, f: pd.DataFrame) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        f = pd.concat(list(rows)).sort_values(self.ts, kind="stable")  # one key's rows of one trigger
+        out = self.decide(f)
+        before = self.last.get()[0] if self.last.exists() else None
+        last = max(int(f[self.ts].max().value // 1_000_000), before or 0)
+        if last != before:
+            if before is not None:
+                self.handle.deleteTimer(before + self.keep_ms)
+            self.handle.registerTimer(last + self.keep_ms)
+            self.last.update((last,))
+        yield out[self.columns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for item in self.items:
+            item.clear()
+        return iter(())
 
-def cooldown_stream(events: DataFrame, key: str, ts: str, cooldown_ms: int = 3000, delay: str = "10 minutes") -> DataFrame:
-    """Streaming form of cooldown_dedup: the last accepted time of each key is the state, and goes with the watermark."""
 
-    def decide(f: pd.DataFrame, last: float | None):
-        keep = []
-        for t in f[ts]:
-            now = t.value / 1e6
-            keep.append(last is None or now - last >= cooldown_ms)
+class Cooldown(Keyed):
+    """The last accepted time of a key, in microseconds."""
+
+    def __init__(self, ts: str, columns: list[str], cooldown_ms: int):
+        super().__init__(ts, columns, cooldown_ms)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.accepted = self.value("accepted", "micros long")
+
+    def decide(self, f: pd.DataFrame) -> pd.DataFrame:
+        last, keep = self.accepted.get()[0] if self.accepted.exists() else None, []
+        for t in f[self.ts]:
+            now = t.value // 1000
+            keep.append(last is None or now - last >= self.keep_ms * 1000)
             last = now if keep[-1] else last
-        return f[keep], last
+        self.accepted.update((last,))
+        return f[keep]
+
+
+class Session(Keyed):
+    """Whether the key's item is in."""
+
+    def __init__(self, ts: str, columns: list[str], keep_ms: int, removed: str):
+        super().__init__(ts, columns, keep_ms)
+        self.removed = removed
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.there = self.value("there", "there boolean")
+
+    def decide(self, f: pd.DataFrame) -> pd.DataFrame:
+        there, keep = bool(self.there.get()[0]) if self.there.exists() else False, []
+        for gone in f[self.removed].fillna(False):
+            keep.append(not gone and not there)
+            there = not gone
+        self.there.update((there,))
+        return f[keep]
+
+
+class Allowance(Keyed):
+    """A user's operations of a day, each an entry of a map, and how many of them were granted."""
+
+    def __init__(self, ts: str, columns: list[str], operation: str, limit: int):
+        super().__init__(ts, columns, 86_400_000)
+        self.operation, self.limit = operation, limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.granted, self.known = self.value("granted", "n int"), handle.getMapState("known", "operation string", "granted boolean")
+        self.items.append(self.known)
+
+    def decide(self, f: pd.DataFrame) -> pd.DataFrame:
+        n, granted = self.granted.get()[0] if self.granted.exists() else 0, []
+        for x in f[self.operation].astype(str):
+            if not self.known.containsKey((x,)):
+                self.known.updateValue((x,), (n < self.limit,))
+                n += n < self.limit
+            granted.append(bool(self.known.getValue((x,))[0]))
+        self.granted.update((n,))
+        return f.assign(granted=granted)
 
-    return _keyed_stream(events, [key], ts, delay, cooldown_ms, "", decide)
+
+class Quota(StatefulProcessor):
+    """A group's successes so far, a value that Spark's store drops `idle_ms` of the clock after it was last written."""
+
+    def __init__(self, ts: str, columns: list[str], success: str, allowance: int, idle_ms: int):
+        self.ts, self.columns, self.success, self.allowance, self.idle_ms = ts, columns, success, allowance, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.done = handle.getValueState("done", "n long", self.idle_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        f = pd.concat(list(rows)).sort_values(self.ts, kind="stable")
+        done, status = self.done.get()[0] if self.done.exists() else 0, []
+        for ok in f[self.success]:
+            status.append("skipped_quota" if done >= self.allowance else "completed" if ok else "failed")
+            done += bool(ok)
+        self.done.update((done,))
+        yield f.assign(status=status)[self.columns]
+
+
+def _stateful(events: DataFrame, key: list[str], processor: StatefulProcessor, added: str = "", mode: str = "EventTime") -> DataFrame:
+    """The stream through a processor. Its state lives in RocksDB, which the session is told where it still has the store
+    that Spark starts with."""
+    name, own = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state."
+    if events.sparkSession.conf.get(name, "").rsplit(".", 1)[-1] in ("", "HDFSBackedStateStoreProvider"):
+        events.sparkSession.conf.set(name, own + "RocksDBStateStoreProvider")
+    schema = StructType(list(events.schema.fields))
+    if added:
+        schema = schema.add(*added.split())
+    return events.groupBy(*key).transformWithStateInPandas(processor, schema, "append", mode)
+
+
+def cooldown_stream(events: DataFrame, key: str, ts: str, cooldown_ms: int = 3000, delay: str = "10 minutes") -> DataFrame:
+    """Streaming form of cooldown_dedup: the last accepted time of each key is the state, and goes with the watermark."""
+    return _stateful(events.withWatermark(ts, delay), [key], Cooldown(ts, events.columns, cooldown_ms))
 
 
 def session_dedup(events: DataFrame, key: list[str], ts: str, tie: str, removed: Column | None = None) -> DataFrame:
@@ -75,14 +174,7 @@ def session_stream(events: DataFrame, key: list[str], ts: str, removed: str | No
     if not removed:
         return events.withWatermark(ts, session).dropDuplicatesWithinWatermark(key)
 
-    def decide(f: pd.DataFrame, there: bool | None):
-        keep = []
-        for gone in f[removed].fillna(False):
-            keep.append(not gone and not there)
-            there = not gone
-        return f[keep], bool(there)
-
-    return _keyed_stream(events, key, ts, delay, int(pd.Timedelta(session).total_seconds() * 1000), "", decide)
+    return _stateful(events.withWatermark(ts, delay), key, Session(ts, events.columns, int(pd.Timedelta(session).total_seconds() * 1000), removed))
 
 
 def daily_allowance(events: DataFrame, user: str, operation: str, ts: str, tie: str, limit: int = 5) -> DataFrame:
@@ -94,18 +186,10 @@ def daily_allowance(events: DataFrame, user: str, operation: str, ts: str, tie:
 
 
 def allowance_stream(events: DataFrame, user: str, operation: str, ts: str, limit: int = 5, delay: str = "10 minutes") -> DataFrame:
-    """Streaming form of daily_allowance: a user's operations of the day are the state, `limit` granted and then only
-    refused ones by name; it goes a day after the last one."""
-
-    def decide(f: pd.DataFrame, known: dict | None):
-        known = known or {}
-        granted = []
-        for x in f[operation].astype(str):
-            known.setdefault(x, sum(known.values()) < limit)
-            granted.append(known[x])
-        return f.assign(granted=granted), known
-
-    return _keyed_stream(events.withColumn("day", F.to_date(ts)), [user, "day"], ts, delay, 86_400_000, "granted boolean", decide)
+    """Streaming form of daily_allowance: a user's operations of the day are the state, an entry each, and go a day after
+    the last one."""
+    df = events.withWatermark(ts, delay).withColumn("day", F.to_date(ts))
+    return _stateful(df, [user, "day"], Allowance(ts, [*df.columns, "granted"], operation, limit), "granted boolean")
 
 
 def quota_gate(items: DataFrame, group: str, order: str, success: str, allowance: int) -> DataFrame:
@@ -116,18 +200,11 @@ def quota_gate(items: DataFrame, group: str, order: str, success: str, allowance
     return done.withColumn("status", status).drop("_before")
 
 
-def quota_stream(items: DataFrame, group: str, ts: str, success: str, allowance: int, idle: str = "1 day", delay: str = "10 minutes") -> DataFrame:
+def quota_stream(items: DataFrame, group: str, ts: str, success: str, allowance: int, idle: str = "1 day") -> DataFrame:
     """Streaming form of quota_gate in order of time: a group's successes so far are the state; it goes when the group
-    has been idle for so long."""
-
-    def decide(f: pd.DataFrame, done: int | None):
-        done, status = done or 0, []
-        for ok in f[success]:
-            status.append("skipped_quota" if done >= allowance else "completed" if ok else "failed")
-            done += bool(ok)
-        return f.assign(status=status), done
-
-    return _keyed_stream(items, [group], ts, delay, int(pd.Timedelta(idle).total_seconds() * 1000), "status string", decide)
+    has been idle for so long, by the clock."""
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    return _stateful(items, [group], Quota(ts, [*items.columns, "status"], success, allowance, idle_ms), "status string", "ProcessingTime")
 
 
 def history_last_n(events: DataFrame, user: str, ts: str, tie: str, n: int = 100) -> DataFrame:
