@@ -331,3 +331,19 @@ def test_cells_of_any_size(spark):
     for p, c, left, top, right, bottom in cells:
         own = sorted((w[2], w[1], w[6] if w[6] is not None else 80.0) for w in words if w[0] == p and left - 3 <= w[2] + 2 <= right + 3 and top - 3 <= w[3] + 1 <= bottom + 3)
         assert got[p, c] == (" ".join(w[1] for w in own), int(sum(w[2] for w in own) / len(own) + 0.5) if own else 85)
+
+
+def test_audit_slots_and_totals(spark):
+    from vellumframe.operators import records as C
+
+    rows = [(1, "a.pdf", None, 3_000_000, None, None), (2, "b.jpeg", "", 10_000, 413, 531), (3, "c.webp", "image/jpeg", 100_000, 0, 5), (4, "d.bin", "image/png", 300_000, 531, 413), (5, "e.jpg", None, 100_000, None, None)]
+    files = spark.createDataFrame(rows, "k int, name string, type string, bytes long, width int, height int")
+    out = C.batch_audit(files, {"signature": {"min_kb": 50, "width": 413, "height": 531, "aspect_ratio": "3/4"}, "target": "signature"}, "k")
+    got = {r["k"]: (r["slot"], r["failed"], r["passed"], r["fixable"]) for r in out.collect()}
+    assert got[1] == ("pdf", ["size"], False, True)
+    assert got[2] == ("signature", ["size"], False, False)
+    assert got[3] == ("signature", ["format", "dimensions"], False, True)  # a WEBP ending before a JPEG type
+    assert got[4] == ("signature", ["format", "size", "dimensions", "aspect_ratio"], False, True)
+    assert got[5] == ("signature", ["decoding"], False, False)
+    assert C.audit_totals(out).first() == (5, 0, 5, 3, 2)
+    assert C.audit_totals(out.limit(0)).first() == (0, 0, 0, 0, 0)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import B, E
 from ..functions.text import rounded
+from .running import along
 
 
 def unit_to_px(value: Column, unit: Column, dpi: Column) -> Column:
@@ -87,16 +88,20 @@ def name_uniquify(df: DataFrame, name: str, order: str, first: int = 2) -> DataF
     """Adds unique_name: the first row of a name keeps it, later ones become name_2, name_3 and so on (from `first`).
 
     Names that rows bear are theirs: a made name skips every number that would give one of them, so that no two rows
-    share a name whatever the order. Numbers taken come to a name's rows as one sorted array.
+    share a name whatever the order. Rows of a name and the numbers taken from it are numbered by running counts over
+    ranges, so a name that a third of all rows bear is spread over tasks.
     """
-    numbered = df.select(F.regexp_extract(name, r"^(.*)_([1-9][0-9]{0,17})$", 1).alias("_stem"), F.regexp_extract(name, r"^(.*)_([1-9][0-9]{0,17})$", 2).try_cast("long").alias("_s"))
-    taken = numbered.filter(F.col("_s") >= first).groupBy("_stem").agg(F.array_sort(F.collect_set("_s")).alias("_s"))
-    w = Window.partitionBy(name).orderBy(order)
-    out = df.withColumn("_k", F.row_number().over(w)).join(taken, F.col(name) == F.col("_stem"), "left")
-    j = F.col("_k") - 2  # place among the later rows
-    # the i-th number taken, s, stands before the j-th free one if at most j numbers below it are free
-    passed = F.size(F.filter(F.transform(F.coalesce("_s", F.array().cast("array<bigint>")), lambda s, i: s - first - i), lambda free: free <= j))
-    return out.withColumn("unique_name", F.when(F.col("_k") == 1, F.col(name)).otherwise(F.concat_ws("_", F.col(name), (j + first + passed).cast("string")))).drop("_k", "_stem", "_s")
+    one = F.lit(1).cast("long")
+    form = r"^(.*)_([1-9][0-9]{0,17})$"
+    numbered = df.select(F.regexp_extract(name, form, 1).alias("_stem"), F.regexp_extract(name, form, 2).try_cast("long").alias("_s")).filter(F.col("_s") >= first).distinct()
+    # with i numbers taken before it, the number s stands behind s - first - i free ones
+    taken = along(numbered, ["_stem"], ["_s"], before={"_i": one}).select(F.col("_stem").alias(name), (F.col("_s") - first - F.col("_i")).alias("_free"), F.lit(0).alias("_row"), F.lit(None).cast(df.schema[order].dataType).alias(order))
+    placed = along(df.select(name, order), [name], [order], before={"_k": one})
+    later = placed.filter("_k > 0").select(name, (F.col("_k") - 1).alias("_free"), F.lit(1).alias("_row"), order)
+    met = along(taken.join(later.select(name).distinct(), name, "left_semi").unionByName(later), [name], ["_free", "_row", order], before={"_passed": (F.col("_row") == 0).cast("long")}).filter("_row = 1")
+    made = met.select(F.col(name).alias("_name"), F.col(order).alias("_order"), F.concat_ws("_", F.col(name), (F.col("_free") + first + F.col("_passed")).cast("string")).alias("_made"))
+    joined = df.join(made, df[name].eqNullSafe(made["_name"]) & df[order].eqNullSafe(made["_order"]), "left")
+    return joined.withColumn("unique_name", F.coalesce("_made", F.col(name))).drop("_name", "_order", "_made")
 
 
 def csv_guard(value: Column, policy: str) -> Column:
@@ -411,11 +416,69 @@ def aligned(a: list[set], b: list[set], gap: float, alike: float, unlike: float)
     return out
 
 
-def audit(rows: DataFrame, rules: dict[str, tuple[Column, bool]], key: str) -> DataFrame:
-    """Per row: failed rules, passed, fixable (all failed rules can be mended). rules: name -> (passes, fixable)."""
-    failed = F.filter(F.array(*[F.when(~ok, F.lit(n)) for n, (ok, _) in rules.items()]), lambda x: x.isNotNull())
-    hard = F.array(*[F.lit(n) for n, (_, f) in rules.items() if not f] or [F.lit("")])
-    return rows.select(key, failed.alias("failed")).withColumn("passed", F.size("failed") == 0).withColumn("fixable", (F.size("failed") > 0) & ~F.arrays_overlap("failed", hard))
+def slot_of(name: Column, mime: Column, target: str = "photo") -> Column:
+    """The requirement slot of a file: pdf for PDF files, else what the profile is made for."""
+    return F.when((F.lower(F.coalesce(mime, F.lit(""))) == "application/pdf") | F.lower(name).endswith(".pdf"), "pdf").otherwise(target)
+
+
+def file_format(name: Column, mime: Column) -> Column:
+    """PDF, PNG, WEBP or JPEG by type, else by ending; UNKNOWN otherwise."""
+    t, n = F.lower(F.coalesce(mime, F.lit(""))), F.lower(F.coalesce(name, F.lit("")))
+    kinds = [("PDF", ["pdf"], [".pdf"]), ("PNG", ["png"], [".png"]), ("WEBP", ["webp"], [".webp"]), ("JPEG", ["jpeg", "jpg"], [".jpg", ".jpeg"])]
+    out = F.lit("UNKNOWN")
+    for kind, types, ends in reversed(kinds):
+        is_kind = F.lit(False)
+        for x in types:
+            is_kind = is_kind | F.contains(t, F.lit(x))
+        for x in ends:
+            is_kind = is_kind | n.endswith(x)
+        out = F.when(is_kind, kind).otherwise(out)
+    return out
+
+
+def batch_audit(files: DataFrame, profile: dict, key: str) -> DataFrame:
+    """Files (key, name, type, bytes, width, height; null width: not decodable) against a profile -> key, slot, failed
+    (names of failed rules), passed, fixable.
+
+    profile: target (photo or signature), dpi, and requirements by slot (photo, signature, pdf), each with format, min_kb,
+    max_kb, width, height, unit, dpi, aspect_ratio, all optional. A slot without requirements takes the first there is of
+    photo, signature and pdf. Rules: format (JPG is JPEG), size in whole KB (2,048 for PDF, 200 else, unless stated),
+    and for images dimensions to the pixel and a ratio within 0.05. A failed rule is fixable but for a PDF's format, an
+    image that should be a PDF, a file too small and one that cannot be decoded; a file is if all its failed rules are.
+    """
+    pdf = F.col("_slot") == "pdf"
+    df = files.withColumn("_slot", slot_of(F.col("name"), F.col("type"), profile.get("target") or "photo"))
+    kb, w, h = rounded(F.col("bytes") / 1024), F.col("width"), F.col("height")
+    actual = file_format(F.col("name"), F.col("type"))
+    rules = F.array().cast("array<struct<rule:string,ok:boolean,fixable:boolean>>")
+    rule = lambda n, ok, fixable: F.struct(F.lit(n).alias("rule"), ok.alias("ok"), fixable.alias("fixable"))
+    for slot in ("pdf", "photo", "signature"):
+        need = profile.get(slot) or profile.get("photo") or profile.get("signature") or profile.get("pdf") or {}
+        is_pdf = slot == "pdf"
+        expected = (need.get("format") or ("PDF" if is_pdf else "JPEG")).upper()
+        least, most = need.get("min_kb") or 0, need.get("max_kb") or (2048 if is_pdf else 200)
+        found = [rule("format", actual == ("JPEG" if expected == "JPG" else expected), F.lit(not is_pdf and "PDF" not in expected)), rule("size", (kb <= most) & ((kb >= least) if least else F.lit(True)), kb > most)]
+        if not is_pdf:
+            seen = w.isNotNull() & h.isNotNull()
+            found.append(F.when(~seen, rule("decoding", F.lit(False), F.lit(False))))
+            if need.get("width") and need.get("height"):
+                dpi, unit = F.lit(need.get("dpi") or profile.get("dpi") or 300), F.lit(need.get("unit") or "px")
+                wide, high = (F.coalesce(F.lit(need.get(f"{c}_px")), unit_to_px(F.lit(need[c]), unit, dpi)) for c in ("width", "height"))
+                found.append(F.when(seen, rule("dimensions", (w == wide) & (h == high), F.lit(True))))
+            if need.get("aspect_ratio"):
+                parts = [float(m[0]) if (m := re.match(r"\s*[0-9.]+", p)) else 0.0 for p in re.split("[:/]", need["aspect_ratio"])]
+                known = len(parts) == 2 and all(parts)
+                near = F.abs(w / F.nullif(h, F.lit(0)) - parts[0] / parts[1]) < 0.05 if known else F.lit(True)
+                found.append(F.when(seen, rule("aspect_ratio", F.coalesce(near | (w == 0), F.lit(True)), F.lit(True))))
+        rules = F.when(F.col("_slot") == slot, F.array_compact(F.array(*found))).otherwise(rules)
+    out = df.select(key, F.col("_slot").alias("slot"), F.filter(rules, lambda r: ~r["ok"]).alias("_f"))
+    return out.select(key, "slot", F.transform("_f", lambda r: r["rule"]).alias("failed"), (F.size("_f") == 0).alias("passed"), ((F.size("_f") > 0) & F.forall("_f", lambda r: r["fixable"])).alias("fixable"))
+
+
+def audit_totals(audited: DataFrame) -> DataFrame:
+    """One row: files, compliant, non_compliant, fixable and unfixable ones."""
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    return audited.agg(F.count("*").alias("files"), n(F.col("passed")).alias("compliant"), n(~F.col("passed")).alias("non_compliant"), n(F.col("fixable")).alias("fixable"), n(~F.col("passed") & ~F.col("fixable")).alias("unfixable"))
 
 
 # Rules of a preflight and whether a miss fails or warns.

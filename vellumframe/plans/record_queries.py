@@ -429,12 +429,18 @@ def tiered_key_match(spark, sf_dir):
     return R.tiered_key_match(table(spark, sf_dir, "part").select(F.col("p_brand").alias("name")).distinct(), d)
 
 
-@query("batch_audit", """WITH r AS (SELECT p_partkey, list_filter([CASE WHEN p_size > 40 THEN 'too_large' END, CASE WHEN p_size < 5 THEN 'too_small' END, CASE WHEN p_type <> 'ECONOMY' THEN 'format' END, CASE WHEN abs(p_retailprice / (p_size * 20) - 1) > 0.5 THEN 'ratio' END], lambda x: x IS NOT NULL) AS failed FROM part)
-SELECT p_partkey, failed, len(failed) = 0 AS passed, len(failed) > 0 AND NOT list_contains(failed, 'too_small') AS fixable FROM r""")
+@query("batch_audit", """WITH f AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'PDF' WHEN 1 THEN 'PNG' WHEN 4 THEN 'UNKNOWN' ELSE 'JPEG' END AS format, p_partkey % 5 = 0 AS pdf, floor(p_partkey * 37 % 230000 / 1024 + 0.5) AS kb, CASE WHEN p_partkey % 11 > 0 THEN CASE WHEN p_size > 20 THEN 413 ELSE 300 + p_size END END AS w, 531 AS h FROM part),
+r AS (SELECT p_partkey, CASE WHEN pdf THEN 'pdf' ELSE 'photo' END AS slot, list_filter([CASE WHEN format <> CASE WHEN pdf THEN 'PDF' ELSE 'JPEG' END THEN 'format' END, CASE WHEN kb > CASE WHEN pdf THEN 150 ELSE 200 END OR NOT pdf AND kb < 20 THEN 'size' END,
+  CASE WHEN NOT pdf AND w IS NULL THEN 'decoding' END, CASE WHEN NOT pdf AND w <> 413 THEN 'dimensions' END, CASE WHEN NOT pdf AND NOT abs(w::DOUBLE / h - 35.0::DOUBLE / 45) < 0.05 THEN 'aspect_ratio' END], lambda x: x IS NOT NULL) AS failed, NOT pdf AND kb < 20 AS small FROM f)
+SELECT p_partkey, slot, failed, len(failed) = 0 AS passed, len(failed) > 0 AND NOT list_contains(failed, 'decoding') AND NOT small AS fixable FROM r""")
 def batch_audit(spark, sf_dir):
-    s = F.col("p_size")
-    rules = {"too_large": (s <= 40, True), "too_small": (s >= 5, False), "format": (F.col("p_type") == "ECONOMY", True), "ratio": (F.abs(F.col("p_retailprice") / (s * 20) - 1) <= 0.5, True)}
-    return R.audit(table(spark, sf_dir, "part"), rules, "p_partkey")
+    """Parts as files: a profile of 35 by 45 mm photos at 300 dpi and of PDF files up to 150 KB."""
+    k = F.col("p_partkey")
+    name = F.concat(F.lit("f"), k.cast("string"), F.when(k % 5 == 0, ".PDF").when(k % 5 == 1, ".x").when(k % 5 == 2, ".JPG").when(k % 5 == 3, ".jpeg").otherwise(".gif"))
+    wide = F.when(k % 11 > 0, F.when(F.col("p_size") > 20, 413).otherwise(300 + F.col("p_size")))
+    files = table(spark, sf_dir, "part").select("p_partkey", name.alias("name"), F.when(k % 5 == 1, "image/png").alias("type"), (k * 37 % 230000).alias("bytes"), wide.alias("width"), F.lit(531).alias("height"))
+    photo = {"format": "jpg", "min_kb": 20, "width": 35, "height": 45, "unit": "mm", "aspect_ratio": "35:45"}
+    return R.batch_audit(files, {"target": "photo", "dpi": 300, "photo": photo, "pdf": {"max_kb": 150}}, "p_partkey")
 
 
 @query("preflight_rules", """WITH p AS (SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'R' THEN 842 ELSE 595 END AS w, CASE WHEN l_returnflag = 'R' THEN 595 ELSE 842 END AS h, CASE WHEN l_quantity > 10 THEN CAST(l_quantity * 20 AS BIGINT) END AS dpi, CASE WHEN l_quantity < 3 THEN 0 ELSE CAST(l_quantity AS BIGINT) END AS chars FROM lineitem),
