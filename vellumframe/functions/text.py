@@ -67,8 +67,10 @@ def clause_sentences(text: Column) -> Column:
 
 
 def summary_sentences(text: Column) -> Column:
-    """Sentences of over 25 characters and at least 5 words; a boundary needs an upper-case letter or digit behind it."""
-    parts = F.transform(F.split(F.regexp_replace(text, r"[ \t\n\r\f]+", " "), r"(?<=[.!?])\s+(?=[A-Z0-9])"), lambda p: F.trim(p))
+    """Sentences of over 25 characters and at least 5 words; a boundary needs an upper-case or Indic letter or a digit behind
+    it."""
+    boundary = r"(?<=[.!?])\s+(?=[A-Z0-9\x{0900}-\x{097F}\x{0980}-\x{09FF}\x{0A00}-\x{0A7F}])"
+    parts = F.transform(F.split(F.regexp_replace(text, r"[ \t\n\r\f]+", " "), boundary), lambda p: F.trim(p))
     return F.filter(parts, lambda p: (F.length(p) > 25) & (F.size(F.split(p, " +")) >= 5))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import ordering as O
 from ..operators import records as R
+from ..operators import reports as P
 from ..streaming import events as S
 from .literals import NUMERALS
 from .registry import query, table
@@ -122,9 +125,12 @@ def serial_stamp(spark, sf_dir):
     return O.serial_stamps(files, ["user_id"], 995, 5, 4).select("user_id", "first_stamp", "last_stamp", "overflow")
 
 
-@query("split_by_source", f"WITH {EV} SELECT event_type, count(*) AS n_rows, count(DISTINCT user_id) AS n_docs, min(event_id) AS first_event FROM ev GROUP BY event_type")
+@query("split_by_source", f"""WITH {EV}, k AS (SELECT user_id, pos FROM ev WHERE value > 120), g AS (SELECT user_id, pos, pos - row_number() OVER (PARTITION BY user_id ORDER BY pos) AS g FROM k), r AS (SELECT user_id, min(pos) AS a, max(pos) AS b, count(*) AS n FROM g GROUP BY user_id, g),
+l AS (SELECT user_id, CAST(sum(n) AS BIGINT) AS pages, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ',' ORDER BY a) AS numbers FROM r GROUP BY user_id)
+SELECT user_id, row_number() OVER (ORDER BY user_id) AS part, pages, numbers, CAST(sum(pages) OVER (ORDER BY user_id) - pages AS BIGINT) AS before, CAST(sum(pages) OVER () AS BIGINT) AS total FROM l""")
 def split_by_source(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n_rows"), F.countDistinct("user_id").alias("n_docs"), F.min("event_id").alias("first_event"))
+    """The parts of source_tray's sources that have pages left, with their page numbers and the pages before them."""
+    return P.split_by_source(source_tray(spark, sf_dir), "user_id", "user_id")
 
 
 @query("permute", f"""WITH {EV} SELECT event_id, n + 1 - pos AS reversed, CAST(CASE WHEN pos % 2 = 1 THEN (pos + 1) // 2 ELSE ceil(n / 2.0::DOUBLE) + pos // 2 END AS BIGINT) AS odd_even,
@@ -249,10 +255,12 @@ def batch_run_summary(spark, sf_dir):
     return S.quota_gate(df, "user_id", "pos", "ok", 30).groupBy("user_id").agg(n("completed").alias("completed"), n("failed").alias("failed"), n("skipped_quota").alias("skipped"), (n("completed") > 0).alias("success"))
 
 
-@query("date_shift", "SELECT event_id, coalesce(CASE WHEN event_id % 3 > 0 THEN ts END, TIMESTAMP '2024-01-01') + INTERVAL 2 DAY - INTERVAL 3 HOUR + INTERVAL 30 SECOND AS shifted FROM events")
+@query("date_shift", "SELECT event_id, coalesce(CASE WHEN event_id % 3 = 1 THEN ts END, CASE WHEN event_id % 3 = 2 THEN ts + INTERVAL 1 DAY END, TIMESTAMP '2024-01-01') + INTERVAL 2 DAY - INTERVAL 3 HOUR + INTERVAL 30 SECOND AS shifted, TIMESTAMP '2020-02-29 12:00:00' AS forced FROM events")
 def date_shift(spark, sf_dir):
-    taken = F.coalesce(F.when(F.col("event_id") % 3 > 0, F.col("ts")), F.lit("2024-01-01").cast("timestamp_ntz"))
-    return table(spark, sf_dir, "events").select("event_id", (taken + F.expr("make_dt_interval(2, -3, 0, 30)")).cast("timestamp_ntz").alias("shifted"))
+    """Dates taken, else created, else modified, two days on, three hours back; and one that takes the place of all."""
+    k, ts = F.col("event_id") % 3, F.col("ts")
+    dates = F.when(k == 1, ts), F.when(k == 2, ts + F.expr("INTERVAL 1 DAY")), F.lit("2024-01-01").cast("timestamp_ntz")
+    return table(spark, sf_dir, "events").select("event_id", P.date_shift(*dates, days=2, hours=-3, seconds=30).alias("shifted"), P.date_shift(*dates, days=2, override=dt.datetime(2020, 2, 29, 12)).alias("forced"))
 
 
 @query("history_filter", "SELECT event_id, event_type FROM events WHERE contains(lower(event_type), 'i') AND contains(lower(props), '7')")
@@ -276,16 +284,24 @@ def related_items(spark, sf_dir):
     return R.related(p, "p_partkey", ["p_brand", "p_size"], links, 4)
 
 
-@query("placement_peak", "SELECT l_partkey, max(l_extendedprice / l_quantity) AS peak, count(DISTINCT l_orderkey) AS n_pages FROM lineitem GROUP BY l_partkey")
+@query("placement_peak", """WITH p AS (SELECT l_partkey, l_orderkey, l_extendedprice / l_quantity AS dpi FROM lineitem), o AS (SELECT DISTINCT l_partkey, l_orderkey FROM p), b AS (SELECT l_orderkey, sum(p_size) AS bytes FROM o JOIN part ON p_partkey = l_partkey GROUP BY 1),
+k AS (SELECT l_partkey, max(dpi) AS peak, count(DISTINCT l_orderkey) AS n_pages, min(l_orderkey) AS first_page, max(l_orderkey) AS last_page FROM p GROUP BY 1)
+SELECT l_partkey, peak, n_pages, first_page, last_page, CAST(bytes AS BIGINT) AS first_page_bytes FROM k JOIN b ON l_orderkey = first_page""")
 def placement_peak(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.max(F.col("l_extendedprice") / F.col("l_quantity")).alias("peak"), F.countDistinct("l_orderkey").alias("n_pages"))
+    """Parts as images, orders as pages: the peak of each image, its pages, and what the images of its first page weigh."""
+    placed = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey", (F.col("l_extendedprice") / F.col("l_quantity")).alias("dpi"))
+    images = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
+    weights = P.image_bytes_by_page(placed, images, "l_partkey", "l_orderkey", "p_size").select(F.col("l_orderkey").alias("first_page"), F.col("bytes").alias("first_page_bytes"))
+    return P.placement_peaks(placed, "l_partkey", "l_orderkey", "dpi").join(weights, "first_page").select("l_partkey", "peak", "n_pages", "first_page", "last_page", "first_page_bytes")
 
 
-@query("source_tray", "SELECT u.user_id, CAST(u.n AS BIGINT) AS original, CAST(coalesce(k.n, 0) AS BIGINT) AS remaining, coalesce(k.n, 0) = 0 AS emptied FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1) u LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE value > 120 GROUP BY 1) k USING (user_id)")
+@query("source_tray", f"""WITH {EV}, k AS (SELECT user_id, pos FROM ev WHERE value > 120), g AS (SELECT user_id, pos, pos - row_number() OVER (PARTITION BY user_id ORDER BY pos) AS g FROM k), r AS (SELECT user_id, min(pos) AS a, max(pos) AS b, count(*) AS n FROM g GROUP BY user_id, g),
+l AS (SELECT user_id, sum(n) AS n, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ',' ORDER BY a) AS numbers FROM r GROUP BY user_id)
+SELECT user_id, original, CAST(coalesce(l.n, 0) AS BIGINT) AS remaining, l.n IS NULL AS emptied, coalesce(numbers, '') AS numbers FROM (SELECT user_id, count(*) AS original FROM events GROUP BY 1) LEFT JOIN l USING (user_id)""")
 def source_tray(spark, sf_dir):
-    """Original and remaining rows of every source in one pass; sources with none left stay."""
-    left = F.sum((F.col("value") > 120).cast("long"))
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("original"), left.alias("remaining"), (left == 0).alias("emptied"))
+    """Users as sources, their events over 120 as the pages left; sources with none left stay."""
+    pages = rows(spark, sf_dir)
+    return P.source_tray(pages.groupBy("user_id").agg(F.count("*").alias("n")), pages.filter("value > 120"), "user_id", "pos", "n")
 
 
 @query("confidence_stats", """WITH r AS (SELECT event_type, floor(least(100, value) + 0.5) AS r, least(100, value) AS v FROM events), c AS (SELECT event_type, count(*) AS n, count(*) FILTER (r >= 85) AS high, count(*) FILTER (r >= 60 AND r < 85) AS medium, count(*) FILTER (r < 60) AS low, floor(sum(r)::DOUBLE / count(*) + 0.5) AS a FROM r GROUP BY event_type)
@@ -295,13 +311,14 @@ def confidence_stats(spark, sf_dir):
     return O.confidence_stats(e, "confidence", ["event_type"])
 
 
-@query("group_by_size", "SELECT w, h, orientation, count(*) AS n, min(p_partkey) AS first FROM (SELECT p_partkey, w, h, CASE WHEN w > h THEN 'landscape' WHEN w < h THEN 'portrait' ELSE 'square' END AS orientation FROM (SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 THEN b ELSE a END AS w, CASE WHEN p_partkey % 2 = 1 THEN a ELSE b END AS h FROM (SELECT p_partkey, CAST(p_size * 10 AS BIGINT) AS a, CAST(300 - p_size AS BIGINT) AS b FROM part))) GROUP BY w, h, orientation")
+@query("group_by_size", """WITH s AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 1 THEN h ELSE w END AS w, CASE WHEN p_partkey % 2 = 1 THEN w ELSE h END AS h FROM (SELECT p_partkey, floor(p_size * 10 + 0.3 + 0.5) AS w, floor(300.6 - p_size + 0.5) AS h FROM part)),
+g AS (SELECT CAST(w AS BIGINT) AS width_pt, CAST(h AS BIGINT) AS height_pt, CASE WHEN abs(w - h) < 1 THEN 'square' WHEN w > h THEN 'landscape' ELSE 'portrait' END AS orientation, count(*) AS n, min(p_partkey) AS first FROM s GROUP BY 1, 2, 3)
+SELECT *, row_number() OVER (ORDER BY n DESC, first) AS rank, floor(width_pt / (72 / 25.4::DOUBLE) * 10 + 0.5) / 10 AS width_mm, floor(height_pt / (72 / 25.4::DOUBLE) * 10 + 0.5) / 10 AS height_mm FROM g""")
 def group_by_size(spark, sf_dir):
-    """Sizes after rotation (odd keys lie on their side)."""
-    a, b, turned = (F.col("p_size") * 10).cast("long"), (300 - F.col("p_size")).cast("long"), F.col("p_partkey") % 2 == 1
-    p = table(spark, sf_dir, "part").select("p_partkey", F.when(turned, b).otherwise(a).alias("w"), F.when(turned, a).otherwise(b).alias("h"))
-    kind = F.when(F.col("w") > F.col("h"), "landscape").when(F.col("w") < F.col("h"), "portrait").otherwise("square")
-    return p.groupBy("w", "h", kind.alias("orientation")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
+    """Sizes after rotation (odd keys lie on their side), in fractions of a point."""
+    turn = F.when(F.col("p_partkey") % 2 == 1, F.when(F.col("p_partkey") % 3 == 0, -90).otherwise(270)).otherwise(F.when(F.col("p_partkey") % 3 == 0, 180))
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 10 + 0.3).alias("w"), (300.6 - F.col("p_size")).alias("h"), turn.alias("turn"))
+    return P.group_by_size(P.with_page_size(p, "w", "h", F.col("turn")), "p_partkey")
 
 
 @query("orientation_vote", """WITH e AS (SELECT user_id % 40 AS page, CASE WHEN user_id % 3 = 0 AND event_id % 10 > 0 THEN 90 ELSE event_id % 4 * 90 END AS angle, CAST(floor(value) AS BIGINT) AS chars FROM events WHERE user_id % 40 > 0 OR event_id < 5), a AS (SELECT page, angle, sum(chars) AS w FROM e GROUP BY 1, 2), t AS (SELECT page, sum(w) AS chars, max(w) AS top, arg_max(angle, (w, -angle)) AS angle FROM a GROUP BY page)
@@ -320,10 +337,15 @@ def blank_report(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("pages"), F.sum(blank.cast("long")).alias("blank"), F.coalesce(F.min(F.when(blank, F.col("event_id"))), F.lit(-1)).alias("first_blank"))
 
 
-@query("comment_summary", "SELECT conv_id, count(*) - 1 AS replies, max(turn) AS last_turn, arg_min(role, turn) AS opened_by, arg_max(role, turn) <> arg_min(role, turn) AS answered FROM conversations GROUP BY conv_id")
+@query("comment_summary", """WITH t AS (SELECT conv_id, conv_id % 7 AS page, conv_id * 37 % 101 AS y, max(turn) % 2 = 0 AS resolved, count(*) - 1 AS replies FROM conversations GROUP BY conv_id)
+SELECT conv_id, page, row_number() OVER (ORDER BY page, y, conv_id) AS position, CASE WHEN resolved THEN 'Resolved' ELSE 'Open' END AS status, replies FROM t""")
 def comment_summary(spark, sf_dir):
-    first, last = F.min_by("role", "turn"), F.max_by("role", "turn")
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg((F.count("*") - 1).alias("replies"), F.max("turn").alias("last_turn"), first.alias("opened_by"), (last != first).alias("answered"))
+    """Conversations as threads on pages: their first turn opens them, the others are replies."""
+    c, k = table(spark, sf_dir, "conversations"), F.col("conv_id")
+    first = c.groupBy("conv_id").agg(F.min("turn").alias("turn"), (F.max("turn") % 2 == 0).alias("resolved"))
+    threads = first.select("conv_id", (k % 7).alias("page"), (k * 37 % 101).alias("y"), "resolved")
+    replies = c.join(first.select("conv_id", F.col("turn").alias("_first")), "conv_id").filter("turn > _first")
+    return P.comment_summary(threads, replies, "conv_id", "page", "y", "resolved").select("conv_id", "page", "position", "status", "replies")
 
 
 @query("to_letters", "SELECT o_orderkey, CASE WHEN n >= 1 THEN repeat(chr(CAST((n - 1) % 26 + 97 AS INT)), CAST(ceil(n / 26.0::DOUBLE) AS BIGINT)) ELSE CAST(n AS VARCHAR) END AS letters FROM (SELECT o_orderkey, o_orderkey % 80 AS n FROM orders)")

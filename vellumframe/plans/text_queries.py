@@ -178,7 +178,7 @@ def sentence_split(spark, sf_dir):
     return s.select("doc_id", "sentence", (F.col("k") + 1).cast("long").alias("sentence_no"))
 
 
-SUMMARY_SQL = rf"list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '{S}+', ' ', 'g'), '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda p: trim(p)), lambda p: length(p) > 25 AND len(regexp_split_to_array(p, ' +')) >= 5)"
+SUMMARY_SQL = rf"list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '{S}+', ' ', 'g'), '([.!?])\s+([A-Z0-9\x{{0900}}-\x{{097F}}\x{{0980}}-\x{{09FF}}\x{{0A00}}-\x{{0A7F}}])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda p: trim(p)), lambda p: length(p) > 25 AND len(regexp_split_to_array(p, ' +')) >= 5)"
 
 
 @query("sentence_split_summary", f"""
@@ -384,7 +384,7 @@ def section_readability(spark, sf_dir):
 
 
 @query("sentence_split_clause", r"""
-WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 10) AS l FROM documents)
+WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-Z0-9\x{{0900}}-\x{{097F}}\x{{0980}}-\x{{09FF}}\x{{0A00}}-\x{{0A7F}}])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 10) AS l FROM documents)
 SELECT doc_id, CAST(len(l) AS BIGINT) AS n, l[1] AS first_sentence, l[len(l)] AS last_sentence FROM p
 """)
 def sentence_split_clause(spark, sf_dir):
