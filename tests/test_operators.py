@@ -14,6 +14,7 @@ from vellumframe.operators import duplicates as D
 from vellumframe.operators import extraction as X
 from vellumframe.operators import ordering as O
 from vellumframe.operators import readability as R
+from vellumframe.operators import recipes as Y
 from vellumframe.operators import records as C
 from vellumframe.operators import search as Q
 from vellumframe.operators import sensitive as P
@@ -152,13 +153,13 @@ def test_names_stay_unique(spark, seed):
 
 def test_recipes_are_validated():
     with pytest.raises(ValueError):
-        C.validate_recipe([{"tool": "nothing", "parameters": {}}])
+        Y.validate_recipe([{"tool": "nothing", "parameters": {}}])
     with pytest.raises(ValueError):
-        C.validate_recipe([{"tool": "upper", "parameters": {}}])
+        Y.validate_recipe([{"tool": "upper", "parameters": {}}])
     with pytest.raises(ValueError):
-        C.validate_recipe([{"tool": "upper", "parameters": {"column": "x"}}] * 11)
+        Y.validate_recipe([{"tool": "upper", "parameters": {"column": "x"}}] * 11)
     steps = [{"tool": "upper", "parameters": {"column": "x"}}]
-    assert C.load_recipe(C.dump_recipe("r", steps)) == steps
+    assert Y.load_recipe(Y.dump_recipe("r", steps)) == steps
 
 
 def test_bm25_prefers_the_answering_page(spark):

@@ -347,3 +347,25 @@ def test_audit_slots_and_totals(spark):
     assert got[5] == ("signature", ["decoding"], False, False)
     assert C.audit_totals(out).first() == (5, 0, 5, 3, 2)
     assert C.audit_totals(out.limit(0)).first() == (0, 0, 0, 0, 0)
+
+
+def test_wide_rows_and_delimiters(spark, tmp_path):
+    from vellumframe.sources import csv as V
+
+    (tmp_path / "a.csv").write_text('a;b\n1;2;3; 4 \n"x;\ny";z\n;;\n5\n')
+    out = V.csv_scan(spark, str(tmp_path / "a.csv"))
+    assert out.columns == ["a", "b", "column_3", "column_4"]
+    assert sorted(map(tuple, out.collect())) == sorted([("1", "2", "3", "4"), ("x;\ny", "z", None, None), ("5", None, None, None)])
+
+
+def test_recipe_parameters_by_kind(spark):
+    from vellumframe.operators import recipes as Y
+
+    bad = [{"tool": "add", "parameters": {"column": "v", "amount": "x"}}, {"tool": "add", "parameters": {"column": " ", "amount": True}}, {"tool": "redact", "parameters": {"column": "t", "kind": "names"}}, {"tool": "split", "parameters": {"size": 0}}, {"tool": "replace", "parameters": {"column": "t", "find": "a", "whole_word": "maybe"}}, {"tool": 3}]
+    errors = Y.recipe_errors(bad, " ")
+    assert [e.split(": ", 1)[-1] for e in errors] == ["a recipe needs a name", "amount must be a number", "column cannot be empty", "amount must be a number", "kind has invalid value 'names'", "size cannot be less than 1", "whole_word must be true or false", "unknown tool 3"]
+    assert Y.recipe_errors([]) and Y.recipe_errors("x") and not Y.recipe_errors([{"tool": "upper", "parameters": {"column": "t"}}], "n")
+    df = spark.createDataFrame([("<b>Mail</b> a@b.org",)], "t string")
+    steps = [{"tool": "page_text", "parameters": {"column": "t"}}, {"tool": "redact", "parameters": {"column": "t", "kind": "email"}}, {"tool": "guard", "parameters": {"column": "t", "policy": "strict"}}, {"tool": "classify", "parameters": {"column": "t"}}]
+    got = Y.run_recipe(df, steps).first()
+    assert got["t"].strip() == "Mail" and got["category"] == "UNKNOWN" and got["failed_step"] is None

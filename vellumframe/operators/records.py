@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
 
@@ -681,57 +680,3 @@ def related(items: DataFrame, key: str, group: list[str], links: DataFrame, limi
 def first_error(checks: list[tuple[Column, str]]) -> Column:
     """Message of the first check that fails, else null."""
     return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(m)) for ok, m in checks])
-
-
-# Pipelines of named steps.
-STEPS = {
-    "filter_min": ({"column": str, "least": float}, lambda df, column, least: df.filter(F.col(column) >= least)),
-    "upper": ({"column": str}, lambda df, column: df.withColumn(column, F.upper(column))),
-    "add": ({"column": str, "amount": float}, lambda df, column, amount: df.withColumn(column, F.col(column) + amount)),
-    "to_int": ({"column": str}, lambda df, column: df.withColumn(column, F.col(column).try_cast("int"))),
-}
-
-
-def validate_recipe(steps: list[dict], most: int = 10) -> list[dict]:
-    """Steps with known tools and whole, typed parameters; ValueError otherwise."""
-    if not 1 <= len(steps) <= most:
-        raise ValueError(f"a recipe has 1 to {most} steps")
-    for s in steps:
-        if s.get("tool") not in STEPS:
-            raise ValueError(f"unknown tool: {s.get('tool')!r}")
-        wanted = STEPS[s["tool"]][0]
-        given = s.get("parameters", {})
-        for name, kind in wanted.items():
-            if name not in given or not isinstance(given[name], (int, float) if kind is float else kind):
-                raise ValueError(f"{s['tool']}: parameter {name!r} is missing or of the wrong type")
-    return steps
-
-
-def run_recipe(df: DataFrame, steps: list[dict]) -> DataFrame:
-    """Compose validated steps into one plan. A row whose value a step loses keeps `failed_step` (from 1) and its value
-    is null; other rows go on."""
-    out = df.withColumn("failed_step", F.lit(None).cast("int"))
-    for k, s in enumerate(validate_recipe(steps), 1):
-        column = s["parameters"]["column"]
-        before = out.withColumn("_before", F.col(column).isNotNull())
-        out = before.transform(STEPS[s["tool"]][1], **s["parameters"])
-        out = out.withColumn("failed_step", F.when(F.col("failed_step").isNull() & F.col("_before") & F.col(column).isNull(), k).otherwise(F.col("failed_step"))).drop("_before")
-    return out
-
-
-def load_recipe(text: str, most_bytes: int = 100_000, depth: int = 5) -> list[dict]:
-    """Recipe from JSON of bounded size and depth."""
-    if len(text.encode()) > most_bytes:
-        raise ValueError("recipe too large")
-    got = json.loads(text)
-
-    def deep(x: object) -> int:
-        return 1 + max(map(deep, x.values() if isinstance(x, dict) else x), default=0) if isinstance(x, (dict, list)) else 0
-
-    if deep(got) > depth:
-        raise ValueError("recipe nested too deep")
-    return validate_recipe(got["steps"])
-
-
-def dump_recipe(name: str, steps: list[dict]) -> str:
-    return json.dumps({"name": name, "steps": validate_recipe(steps)})

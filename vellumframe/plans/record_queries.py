@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import classes as C
 from ..operators import extraction as X
+from ..operators import ordering as O
+from ..operators import recipes as Y
 from ..operators import records as R
 from ..operators import sensitive as P
 from ..sources import csv as V
@@ -457,17 +459,15 @@ def preflight_rules(spark, sf_dir):
     return R.preflight(files, pages, "o_orderkey", R.PROFILES["200kb_a4"]).select("o_orderkey", "passes", "fails", "warns", "passed", "searchable_text")
 
 
-@query("recipe_pipeline", "SELECT event_id, upper(event_type) AS event_type, value + 5 AS value, CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS INT) END AS code, CASE WHEN event_id % 3 <> 0 THEN 4 END AS failed_step FROM events WHERE value >= 20")
+@query("recipe_pipeline", r"""SELECT event_id, 'EVENT ' || upper(event_type) || ' ' || repeat(' ', length('u' || user_id || '@x.org')) AS note, value + 5 AS value, CASE WHEN event_id % 3 = 0 THEN CAST(event_id AS INT) END AS code, pos, CAST((pos - 1) // 20 + 1 AS BIGINT) AS part, CASE WHEN event_id % 3 <> 0 THEN 6 END AS failed_step
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS pos FROM events) WHERE value >= 20""")
 def recipe_pipeline(spark, sf_dir):
-    """Four steps; codes that are no numbers fail in the fourth and their rows go on."""
-    e = table(spark, sf_dir, "events").select("event_id", "event_type", "value", F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")).otherwise(F.concat(F.lit("x"), F.col("event_id").cast("string"))).alias("code"))
-    steps = [{"tool": "filter_min", "parameters": {"column": "value", "least": 20}}, {"tool": "upper", "parameters": {"column": "event_type"}}, {"tool": "add", "parameters": {"column": "value", "amount": 5}}, {"tool": "to_int", "parameters": {"column": "code"}}]
-    return R.run_recipe(e, R.load_recipe(R.dump_recipe("demo", steps)))
-
-
-def turns(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    return c.select("conv_id", "turn", F.col("text").alias("a")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("b")), ["conv_id", "turn"])
+    """Seven steps of the library's operators; codes that are no numbers fail in the sixth and their rows go on."""
+    e = O.positioned(table(spark, sf_dir, "events"), "user_id", "ts", "event_id")
+    note = F.concat(F.lit("evt "), "event_type", F.lit(" u"), F.col("user_id").cast("string"), F.lit("@x.org"))
+    e = e.select("event_id", note.alias("note"), "value", F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("string")).otherwise(F.concat(F.lit("x"), F.col("event_id").cast("string"))).alias("code"), "pos")
+    steps = [("filter_min", {"column": "value", "least": "20"}), ("replace", {"column": "note", "find": "evt", "to": "event", "whole_word": True}), ("redact", {"column": "note", "kind": "email"}), ("upper", {"column": "note"}), ("add", {"column": "value", "amount": 5}), ("to_int", {"column": "code"}), ("split", {"size": 20})]
+    return Y.run_recipe(e, Y.load_recipe(Y.dump_recipe("demo", [{"tool": t, "parameters": p} for t, p in steps])))
 
 
 @query("text_diff")
@@ -566,5 +566,5 @@ def regex_safety_check(spark, sf_dir):
 @query("recipe_io", "SELECT event_id, upper(event_type) AS event_type FROM events WHERE value >= 50")
 def recipe_io(spark, sf_dir):
     """A recipe exported to JSON, loaded again and run."""
-    text = R.dump_recipe("upper", [{"tool": "filter_min", "parameters": {"column": "value", "least": 50}}, {"tool": "upper", "parameters": {"column": "event_type"}}])
-    return R.run_recipe(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), R.load_recipe(text)).select("event_id", "event_type")
+    text = Y.dump_recipe("upper", [{"tool": "filter_min", "parameters": {"column": "value", "least": 50}}, {"tool": "upper", "parameters": {"column": "event_type"}}])
+    return Y.run_recipe(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), Y.load_recipe(text)).select("event_id", "event_type")

@@ -6,10 +6,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def csv_scan(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
-    """Quoted CSV with a header: doubled quotes and newlines in quotes, trimmed cells, rows of empty cells dropped."""
-    df = spark.read.csv(path, header=True, sep=delimiter, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE")
-    return df.dropna("all")
+def csv_scan(spark: SparkSession, path: str, delimiter: str | None = None, most: int = 64) -> DataFrame:
+    """Quoted CSV with a header: doubled quotes and newlines in quotes, trimmed cells, rows of empty cells dropped, short
+    rows padded. Rows may be wider than the header, up to `most` cells: the table is as wide as the widest, and columns
+    without a name are called column_5 and so on. Without a delimiter the first lines tell it.
+
+    A file is read by one task, since quotes may hold line ends; a table of many files is read by many.
+    """
+    if delimiter is None:
+        from ..operators.records import csv_delimiter
+
+        lines = "\n".join(r["value"] for r in spark.read.text(path).limit(5).collect())
+        delimiter = spark.range(1).select(csv_delimiter(F.lit(lines)).alias("d")).first()["d"]
+    cells = [f"c{k}" for k in range(most)]
+    raw = spark.read.schema(", ".join(f"{c} string" for c in cells)).csv(path, header=False, sep=delimiter, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE", enforceSchema=True)
+    first = spark.read.csv(path, header=True, sep=delimiter, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    named = first.columns
+    wide = raw.agg(F.max(F.array_max(F.transform(F.array(*cells), lambda c, k: F.when(c.isNotNull(), k + 1))))).first()[0] or 0
+    if wide <= len(named):
+        return first.dropna("all")
+    schema = ", ".join(f"`{n}` string" for n in [*(n.replace("`", "``") for n in named), *(f"column_{k}" for k in range(len(named) + 1, wide + 1))])
+    whole = spark.read.schema(schema).csv(path, header=True, sep=delimiter, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE", enforceSchema=True)
+    return whole.dropna("all")
 
 
 def csv_all_quoted(df: DataFrame, path: str, bom: bool = True) -> None:
