@@ -370,7 +370,10 @@ def replay(spark, tmp_path, df, build, name, parts=3):
     for k in range(parts):
         spark.createDataFrame(rows[k * step : (k + 1) * step], df.schema).coalesce(1).write.parquet(str(tmp_path / f"{name}/b={k}"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # one state store
     q = build(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / f"{name}-cp")).start()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
     q.processAllAvailable()
     q.stop()
     return spark.table(name)

@@ -123,26 +123,27 @@ class Allowance(Keyed):
         return f.assign(granted=granted)
 
 
-class Quota(StatefulProcessor):
-    """A group's successes so far, a value that Spark's store drops `idle_ms` of the clock after it was last written."""
+class Quota(Keyed):
+    """A group's successes so far."""
 
     def __init__(self, ts: str, columns: list[str], success: str, allowance: int, idle_ms: int):
-        self.ts, self.columns, self.success, self.allowance, self.idle_ms = ts, columns, success, allowance, idle_ms
+        super().__init__(ts, columns, idle_ms)
+        self.success, self.allowance = success, allowance
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.done = handle.getValueState("done", "n long", self.idle_ms)
+        super().init(handle)
+        self.done = self.value("done", "n long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        f = pd.concat(list(rows)).sort_values(self.ts, kind="stable")
+    def decide(self, f: pd.DataFrame) -> pd.DataFrame:
         done, status = self.done.get()[0] if self.done.exists() else 0, []
         for ok in f[self.success]:
             status.append("skipped_quota" if done >= self.allowance else "completed" if ok else "failed")
             done += bool(ok)
         self.done.update((done,))
-        yield f.assign(status=status)[self.columns]
+        return f.assign(status=status)
 
 
-def _stateful(events: DataFrame, key: list[str], processor: StatefulProcessor, added: str = "", mode: str = "EventTime") -> DataFrame:
+def _stateful(events: DataFrame, key: list[str], processor: Keyed, added: str = "") -> DataFrame:
     """The stream through a processor. Its state lives in RocksDB, which the session is told where it still has the store
     that Spark starts with."""
     name, own = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state."
@@ -151,7 +152,7 @@ def _stateful(events: DataFrame, key: list[str], processor: StatefulProcessor, a
     schema = StructType(list(events.schema.fields))
     if added:
         schema = schema.add(*added.split())
-    return events.groupBy(*key).transformWithStateInPandas(processor, schema, "append", mode)
+    return events.groupBy(*key).transformWithStateInPandas(processor, schema, "append", "EventTime")
 
 
 def cooldown_stream(events: DataFrame, key: str, ts: str, cooldown_ms: int = 3000, delay: str = "10 minutes") -> DataFrame:
@@ -200,11 +201,11 @@ def quota_gate(items: DataFrame, group: str, order: str, success: str, allowance
     return done.withColumn("status", status).drop("_before")
 
 
-def quota_stream(items: DataFrame, group: str, ts: str, success: str, allowance: int, idle: str = "1 day") -> DataFrame:
+def quota_stream(items: DataFrame, group: str, ts: str, success: str, allowance: int, idle: str = "1 day", delay: str = "10 minutes") -> DataFrame:
     """Streaming form of quota_gate in order of time: a group's successes so far are the state; it goes when the group
-    has been idle for so long, by the clock."""
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-    return _stateful(items, [group], Quota(ts, [*items.columns, "status"], success, allowance, idle_ms), "status string", "ProcessingTime")
+    has been idle for so long."""
+    quota = Quota(ts, [*items.columns, "status"], success, allowance, int(pd.Timedelta(idle).total_seconds() * 1000))
+    return _stateful(items.withWatermark(ts, delay), [group], quota, "status string")
 
 
 def history_last_n(events: DataFrame, user: str, ts: str, tie: str, n: int = 100) -> DataFrame:
