@@ -103,7 +103,8 @@ def cells_from_grid(grid: DataFrame, words: DataFrame, page: str, slack: float =
     Adds text and confidence (rounded mean of the words', 80 where unknown; 85 for empty cells); a word near a border may
     lie in two cells. A cell is dealt to every tile of the page that it touches and a word to the one of its centre, so
     words meet the cells of their own tile by an equi-join before the exact test. Cells that are wide for their page meet
-    tiles as much larger: a cell touches at most some 64 of them.
+    tiles as much larger: a cell touches at most some 64 of them. Spark sizes rows before they are dealt to tiles, so the
+    hint keeps it from sending the dealt cells through the driver.
     """
     w = words.select(page, (F.col("x") + F.col("width") / 2).alias("_cx"), (F.col("y") + F.col("height") / 2).alias("_cy"), "x", F.col("text").alias("_t"), F.coalesce("confidence", F.lit(80.0)).alias("_conf"))
     # tiles double in size until a cell touches at most 8 a side; words meet the sizes that their page has
@@ -116,7 +117,7 @@ def cells_from_grid(grid: DataFrame, words: DataFrame, page: str, slack: float =
     levels = dealt.select(page, "_level").distinct()
     placed = w.join(levels, page).withColumn("_tx", at(F.col("_cx"))).withColumn("_ty", at(F.col("_cy")))
     inside = F.col("_cx").between(F.col("left") - slack, F.col("right") + slack) & F.col("_cy").between(F.col("top") - slack, F.col("bottom") + slack)
-    met = dealt.join(placed, [page, "_level", "_tx", "_ty"]).filter(inside).groupBy(page, "cell")
+    met = dealt.hint("merge").join(placed, [page, "_level", "_tx", "_ty"]).filter(inside).groupBy(page, "cell")
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x", "_t"))), lambda s: s["_t"]), " ")
     found = met.agg(text.alias("text"), rounded(F.avg("_conf")).cast("long").alias("confidence"))
     return grid.select(page, "cell").join(found, [page, "cell"], "left").select(page, "cell", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("confidence", F.lit(85).cast("long")).alias("confidence"))
