@@ -207,7 +207,9 @@ def tags(docs: DataFrame, text: str = "text", category: str | None = None, most:
     t = F.coalesce(F.col(text), F.lit(""))
     low = F.lower(t)
     found = F.filter(F.array(*[F.when(F.contains(low, F.lit(k)), F.lit(v)) for k, v in SUBJECTS.items()]), lambda x: x.isNotNull())
-    capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))
+    # a capital is one letter: Java spells that of ß, and of ligatures, with two
+    one = lambda c: F.when(c == "ß", "ẞ").when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c)
+    capital = lambda w: F.concat(one(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))
     useful = lambda w: (F.length(F.trim(w)) >= 3) & ~F.lower(F.trim(w)).isin(TAG_STOP_WORDS) & ~w.rlike(r"^\d+$")
     lines = F.slice(F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: x != ""), 1, 10)
     fit = F.filter(lines, lambda l: F.length(l).between(4, 35) & ~F.contains(l, F.lit("http")) & ~F.contains(l, F.lit("@")))
