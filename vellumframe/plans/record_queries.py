@@ -72,7 +72,7 @@ def entity_sql(kind: str) -> str:
 def _entity(e: X.Entity, name: str, more: str = "", extra=None) -> None:
     @query(name, f"WITH {LINES} SELECT *{more} FROM ({entity_sql(e.kind)})")
     def run(spark, sf_dir):
-        out = X.extract(X.lines(papers(spark, sf_dir)), e).drop("context")
+        out = X.extract_texts(papers(spark, sf_dir), e).drop("context")
         return extra(out) if extra else out
 
 
