@@ -12,7 +12,7 @@ from ..operators import recipes as Y
 from ..operators import records as R
 from ..operators import sensitive as P
 from ..sources import csv as V
-from ..sources.shared import scratch, spread
+from ..sources.shared import by_document, scratch, spread
 from .literals import GENERIC_TERMS, MARKERS_SQL, SIMPLE_CLASSES, SUBJECT_TAGS, TAG_STOPS_SQL
 from .registry import documents, query, table
 
@@ -23,8 +23,10 @@ PAPERS_SQL = """papers AS (SELECT o_orderkey AS doc_id, 'Services Agreement' ||
   || 'Invoice Date: ' || strftime(o_orderdate, '%d/%m/%Y') || chr(10) || 'Due Date: 12/31/2024' || chr(10) || 'Vendor: ' || o_orderpriority || chr(10) || CASE o_orderkey % 4 WHEN 0 THEN 'The tenant may occupy the flat freely.' WHEN 1 THEN 'The customer shall pay at once.' WHEN 2 THEN 'Deposit 0.00 USD and USD 1,200.50' ELSE 'Nothing more' END AS text FROM orders)"""
 
 
-def papers(spark, sf_dir):
-    o = spread(table(spark, sf_dir, "orders"), "o_orderkey")
+def papers(spark, sf_dir, dealt=False):
+    """`dealt`: by key, for what groups or orders the lines of a text; orders are moved instead of texts and lines."""
+    o = table(spark, sf_dir, "orders")
+    o = by_document(o.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority"), "o_orderkey") if dealt else spread(o, "o_orderkey")
     k, s = F.col("o_orderkey"), lambda c: c.cast("string")
     clause = F.when(k % 3 == 0, F.concat(F.lit("The customer shall pay within "), s(k % 60 + 1), F.lit(" days of receipt."))).when(k % 3 == 1, "A penalty of USD 500.00 applies on breach or default.").otherwise("The vendor is entitled to terminate no later than 5 March 2024.")
     text = F.concat_ws(
@@ -107,7 +109,7 @@ flat AS (SELECT doc_id, part, unnest(range(0, len(l))) AS k, regexp_replace(unne
 f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(segment) ORDER BY segment_no) AS k FROM w WHERE markers > 0)
 SELECT doc_id, segment_no, segment, CAST(markers AS BIGINT) AS markers, CASE greatest({', '.join('w_' + c for c in _WEIGHTS)}) {' '.join(f"WHEN w_{c} THEN '{c}'" for c in _WEIGHTS)} END AS category, CAST(least(98, 80 + 5 * markers) AS BIGINT) AS confidence FROM f WHERE k = 1""")
 def extract_clauses(spark, sf_dir):
-    s = X.contract_segments(X.lines(papers(spark, sf_dir)))
+    s = X.contract_segments(X.lines(papers(spark, sf_dir, dealt=True)))
     return X.extract_clauses(s).select("doc_id", "segment_no", "segment", "markers", "category", "confidence")
 
 
