@@ -170,6 +170,8 @@ def tiered_key_match(names: DataFrame, data: DataFrame) -> DataFrame:
 
 #: Bytes of bit rows that one comparison keeps for its way back; beyond that it is cut in two.
 ROWS_KEPT = 64 << 20
+#: Tokens that a comparison keeps before it hands them on.
+TOKENS_KEPT = 16384
 
 
 def _bit_rows(a: list, b: list) -> Iterator[int]:
@@ -235,7 +237,8 @@ def text_diff(pairs: DataFrame, key: list[str], ignore_case: bool = False, ignor
     one is changed. One row a token: side, pos, token, change.
 
     `ignore_case` compares lower-cased tokens; without `ignore_whitespace` the runs of white space are tokens too. A
-    pair of texts is one unit of work, bounded by their lengths; no pair meets another.
+    pair of texts is one unit of work, bounded by their lengths; no pair meets another, and tokens are handed on as they
+    come, so a task holds those of one pair.
     """
     schema = pairs.select(*key).schema.add("side", "string").add("pos", "long").add("token", "string").add("change", "string")
 
@@ -243,10 +246,10 @@ def text_diff(pairs: DataFrame, key: list[str], ignore_case: bool = False, ignor
         return (t or "").split() if ignore_whitespace else [x for x in re.split(r"(\s+)", t or "") if x]
 
     def run(frames):
+        rows = []
         for f in frames:
-            rows = []
-            for r in f.to_dict("records"):
-                a, b, k = tokens(r["a"]), tokens(r["b"]), [r[c] for c in key]
+            for *k, x, y in zip(*(f[c] for c in (*key, "a", "b")), strict=True):
+                a, b = tokens(x), tokens(y)
                 same = longest_common([x.lower() for x in a], [x.lower() for x in b]) if ignore_case else longest_common(a, b)
                 i = j = 0
                 for x, y in [*same, (len(a), len(b))]:
@@ -256,7 +259,10 @@ def text_diff(pairs: DataFrame, key: list[str], ignore_case: bool = False, ignor
                     if x < len(a):
                         rows.append((*k, "both", x, a[x], "unchanged"))
                     i, j = x + 1, y + 1
-            yield pd.DataFrame(rows, columns=[*key, "side", "pos", "token", "change"])
+                    if len(rows) >= TOKENS_KEPT:
+                        yield pd.DataFrame(rows, columns=[*key, "side", "pos", "token", "change"])
+                        rows = []
+        yield pd.DataFrame(rows, columns=[*key, "side", "pos", "token", "change"])
 
     return pairs.select(*key, "a", "b").mapInPandas(run, schema)
 
