@@ -6,10 +6,12 @@ Tokens carry doc, page, text, x, y, width, height. Order-dependent folds run per
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import rounded
+from ..sources.shared import by_document
 
 
 def lines_from_tokens(tokens: DataFrame, page: str, reach: float = 3.0, gap: float = 1.4) -> DataFrame:
@@ -58,37 +60,72 @@ def tables_from_tokens(tokens: DataFrame, page: str, reach: float = 4.0) -> Data
 
 def column_dividers(tokens: DataFrame, page: str, gutter: int = 8, margin: int = 15) -> DataFrame:
     """(page, x, width) -> page, divider: middles of runs of at least `gutter` x units that no token covers."""
-    covered = tokens.select(page, F.explode(F.sequence(F.floor("x").cast("int"), F.floor(F.col("x") + F.col("width")).cast("int"))).alias("u")).distinct()
-    w = Window.partitionBy(page).orderBy("u")
-    gaps = covered.withColumn("prev", F.lag("u").over(w)).filter(F.col("u") - F.col("prev") - 1 >= gutter)
-    ends = tokens.groupBy(page).agg(F.min("x").alias("lo"), F.max(F.col("x") + F.col("width")).alias("hi"))
-    mid = (F.col("prev") + F.col("u")) / 2
-    return gaps.join(ends, page).select(page, mid.alias("divider"), "lo", "hi").filter((F.col("divider") > F.col("lo") + margin) & (F.col("divider") < F.col("hi") - margin)).select(page, "divider")
+    a, b = F.floor("x").cast("int"), F.floor(F.col("x") + F.col("width")).cast("int")
+    seen = tokens.select(page, "x", (F.col("x") + F.col("width")).alias("_r"), F.when(b.isNotNull(), F.least(a, b)).alias("_a"), F.when(b.isNotNull(), F.greatest(a, b)).alias("_b"))
+    # tokens that begin at one unit are one row; what is covered so far ends before the next one begins, or there is no gap
+    spans = seen.groupBy(page, "_a").agg(F.max("_b").alias("_b"), F.min("x").alias("lo"), F.max("_r").alias("hi"))
+    whole = Window.partitionBy(page)
+    before = whole.orderBy("_a").rowsBetween(Window.unboundedPreceding, -1)
+    gaps = spans.withColumns({"prev": F.max("_b").over(before), "lo": F.min("lo").over(whole), "hi": F.max("hi").over(whole)}).filter(F.col("_a") - F.col("prev") - 1 >= max(1, gutter))
+    mid = (F.col("prev") + F.col("_a")) / 2
+    return gaps.select(page, mid.alias("divider"), "lo", "hi").filter((F.col("divider") > F.col("lo") + margin) & (F.col("divider") < F.col("hi") - margin)).select(page, "divider")
 
 
 def row_dividers(tokens: DataFrame, page: str) -> DataFrame:
     """(page, y, height) -> page, divider: middles between bands of words, top to bottom.
 
     Words go by y; a word joins the first band whose first word's centre is within 0.75 of the page's median height.
-    The fold depends on the order of a page's words, so a page is one group; pages bound it.
+    The fold depends on the order of a page's words. Pages are dealt and sorted by Spark and stream through a task, which
+    holds the words of one page.
     """
+    kind = dict(tokens.dtypes)[page]
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["y", "x", "text"], kind="stable")
-        median, bands = float(f.height.median()) or 16.0, []
-        for t in f.itertuples():
-            centre = t.y + (t.height or median) / 2
+    def cuts(words: list[tuple[float, float]]) -> list[float]:
+        tall = sorted(h for _, h in words if h == h)
+        half = len(tall) // 2
+        median = ((tall[half] if len(tall) % 2 else (tall[half - 1] + tall[half]) / 2) if tall else float("nan")) or 16.0
+        bands: list[list[float]] = []
+        for y, h in words:
+            centre = y + (h or median) / 2
             band = next((b for b in bands if abs(centre - b[0]) <= 0.75 * median), None)
             if band is None:
-                bands.append([centre, t.y, t.y, t.y + t.height])
+                bands.append([centre, y, y, y + h])
             else:
-                band[2], band[3] = min(band[2], t.y), max(band[3], t.y + t.height)
+                band[2], band[3] = min(band[2], y), max(band[3], y + h)
         bands.sort(key=lambda b: b[1])
-        cuts = [(f[page].iloc[0], float(int((a[3] + b[2]) / 2 + 0.5))) for a, b in zip(bands, bands[1:])]
-        return pd.DataFrame(cuts, columns=[page, "divider"])
-
-    kind = dict(tokens.dtypes)[page]
-    return tokens.select(page, "text", "x", "y", "height").groupBy(page).applyInPandas(run, f"{page} {kind}, divider double")
+        return [float(int((a[3] + b[2]) / 2 + 0.5)) for a, b in zip(bands, bands[1:])]
+
+    def run(batches):
+        names, places, name, words, key = [], [], None, [], None
+
+        def close():
+            found = cuts(words)
+            names.extend([name] * len(found))
+            places.extend(found)
+
+        def out():
+            done = pa.RecordBatch.from_arrays([pa.array(names, key), pa.array(places, pa.float64())], names=[page, "divider"])
+            names.clear()
+            places.clear()
+            return done
+
+        for b in batches:
+            key = b.column(0).type
+            for p, y, h in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if words and p != name:
+                    close()
+                    words = []
+                name = p
+                words.append((float("nan") if y is None else y, float("nan") if h is None else h))
+            if len(names) > 8192:
+                yield out()
+        if words:
+            close()
+            yield out()
+
+    last = [F.col(c).asc_nulls_last() for c in ("y", "x", "text")]
+    words = by_document(tokens.select(page, F.col("y").cast("double").alias("y"), F.col("height").cast("double").alias("height"), "x", "text"), page).sortWithinPartitions(page, *last)
+    return words.select(page, "y", "height").mapInArrow(run, f"{page} {kind}, divider double")
 
 
 def table_grid(tokens: DataFrame, page: str, gutter: int = 8, margin: int = 15) -> DataFrame:
