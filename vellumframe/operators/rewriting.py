@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.text import let
 from ..sources.pages import cased
 
+#: A dictionary of at most so many phrases is one pattern of the plan, a larger one a table.
+FEW = 64
 #: Words and what stands between them.
 PARTS = "([A-Za-z0-9_]+|[^A-Za-z0-9_]+)"
 
@@ -37,13 +39,14 @@ def parts_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PARTS), 1)
 
 
-def rewrite(docs: DataFrame, entries: DataFrame, text: str = "text", match_case: bool = False, keep_case: bool = False) -> DataFrame:
+def rewrite(docs: DataFrame, entries: DataFrame, text: str = "text", match_case: bool = False, keep_case: bool = False, few: int = FEW) -> DataFrame:
     """docs with whole-word phrases of `text` replaced: entries are (find, to[, rank]); of equal phrases the lowest rank
     holds. From left to right the longest phrase that begins at a word is taken, and what is put in is not looked at
     again. `keep_case` gives what is put in the case of what it replaces. A null text stays null.
 
-    Phrases begin and end with a letter, digit or underscore (ValueError otherwise: replace_terms takes those). A word
-    meets the first words of phrases, then the phrases of the lengths that begin so, each by an equi-join; hits of a text
+    Phrases begin and end with a letter, digit or underscore (ValueError otherwise: replace_terms takes those). At most
+    `few` phrases are one pattern, which a text is searched for where it lies. Of more, and where case beyond A-Z is to be
+    looked through, a word meets the first words of phrases, then the phrases of the lengths that begin so, each by an equi-join; hits of a text
     come back to it by a digest of its row, which is the one time that texts are moved.
     """
     if entries.filter(~F.col("find").rlike(r"^[A-Za-z0-9_](?s:.*[A-Za-z0-9_])?$")).limit(1).count():
@@ -51,6 +54,9 @@ def rewrite(docs: DataFrame, entries: DataFrame, text: str = "text", match_case:
     low = (lambda c: c) if match_case else F.lower
     rank = F.col("rank") if "rank" in entries.columns else F.lit(0)
     known = entries.select(low(F.col("find")).alias("_phrase"), "to", rank.alias("_k")).groupBy("_phrase").agg(F.min(F.struct("_k", "to"))["to"].alias("_to"))
+    listed = known.limit(few + 1).collect()
+    if len(listed) <= few and all(r["_to"] is not None and (match_case or r["_phrase"].isascii()) for r in listed):
+        return docs.withColumn(text, _put_few(F.col(text), {r["_phrase"]: r["_to"] for r in listed}, match_case, keep_case)) if listed else docs
     known = known.withColumn("_n", F.size(parts_of(F.col("_phrase")))).withColumn("_first", F.get(parts_of(F.col("_phrase")), F.lit(0)))
     longest = known.agg(F.coalesce(F.max("_n"), F.lit(1))).first()[0]  # one number
     firsts = known.groupBy("_first").agg(F.collect_set("_n").alias("_ns"))
@@ -76,3 +82,19 @@ def rewrite(docs: DataFrame, entries: DataFrame, text: str = "text", match_case:
     out = keyed.join(chosen, "_key", "left")
     new = let(F.struct(parts_of(F.col(text)).alias("p"), F.col("_h").alias("h")), lambda x: put(x["p"], x["h"]))
     return out.withColumn(text, F.when(F.col("_h").isNull(), F.col(text)).otherwise(new)).select(*docs.columns)
+
+
+def _put_few(text: Column, to: dict[str, str], match_case: bool, keep_case: bool) -> Column:
+    """The text with phrases replaced by a pattern that tries the longest first; letters are A-Z where their case is not
+    looked at."""
+    word = "[A-Za-z0-9_]"
+    found = f"(?<!{word})(?:{'|'.join(map(re.escape, sorted(to, key=len, reverse=True)))})(?!{word})"
+    case = "" if match_case else "(?i)"
+    table = F.create_map(*[F.lit(x) for pair in to.items() for x in pair])
+
+    def put(hit: Column) -> Column:
+        new = F.element_at(table, hit if match_case else F.lower(hit))
+        return cased(hit, new) if keep_case else new
+
+    hits, between = F.regexp_extract_all(text, F.lit(f"{case}({found})"), 1), F.split(text, case + found, -1)
+    return F.array_join(F.zip_with(between, hits, lambda a, h: F.when(h.isNull(), a).otherwise(F.concat(a, put(h)))), "")
