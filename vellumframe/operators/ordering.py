@@ -104,7 +104,8 @@ def greedy_starts(rows: DataFrame, group: list[str], at: str, reach: str, id: st
 
     Every row finds its next stop in one order of rows and reaches together, over ranges of it. Stops are then the rows
     that the first one leads to; a round doubles the distance that is followed, so a walk of n stops takes log2(n) rounds
-    of equi-joins and no group is ever held as a whole.
+    of equi-joins and no group is ever held as a whole. Stops and jumps meet by sorting: Spark reckons their size by that
+    of compressed files and would send them through the driver.
     """
     # in ascending order a reach stands before the rows at it, or behind them where these do not count
     place = lambda at, kind: F.struct(F.col(at).alias("a"), F.lit(kind).alias("k"))
@@ -115,13 +116,13 @@ def greedy_starts(rows: DataFrame, group: list[str], at: str, reach: str, id: st
     seen = stage(rows.groupBy(*group).agg(F.min(F.struct(at, id)).alias("_f")).select(*group, F.col(f"_f.{id}").alias("_id")), "stops")
     found = seen.count()
     while True:
-        new = seen.join(jump.withColumnRenamed("_from", "_id"), [*group, "_id"]).select(*group, F.col("_to").alias("_id"))
+        new = seen.join(jump.withColumnRenamed("_from", "_id").hint("merge"), [*group, "_id"]).select(*group, F.col("_to").alias("_id"))
         seen = stage(seen.unionByName(new).distinct(), "stops")
         if (more := seen.count()) == found:
             return seen.withColumnRenamed("_id", id)
         found = more
         onward = jump.select(*group, F.col("_from").alias("_to"), F.col("_to").alias("_far"))
-        jump = stage(jump.join(onward, [*group, "_to"]).select(*group, "_from", F.col("_far").alias("_to")), "jumps")
+        jump = stage(jump.join(onward.hint("merge"), [*group, "_to"]).select(*group, "_from", F.col("_far").alias("_to")), "jumps")
 
 
 def split_max_size(df: DataFrame, doc: str, size: str, ceiling: float) -> DataFrame:
@@ -136,7 +137,7 @@ def split_max_size(df: DataFrame, doc: str, size: str, ceiling: float) -> DataFr
     place = F.struct("_end", "pos")
     reach = F.when(F.col("_size") > ceiling, F.struct(F.col("_end"), F.col("pos"))).otherwise(F.struct((F.col("_end") - F.col("_size") + ceiling).cast(dict(summed.dtypes)["_end"]).alias("_end"), F.lit(1 << 62).alias("pos")))
     starts = greedy_starts(summed.select(doc, "pos", place.alias("at"), reach.alias("reach")), [doc], "at", "reach", "pos", strict=True)
-    marked = df.join(starts.withColumn("_start", F.lit(1).cast("long")), [doc, "pos"], "left").withColumn("_start", F.coalesce("_start", F.lit(0).cast("long")))
+    marked = df.join(starts.withColumn("_start", F.lit(1).cast("long")).hint("merge"), [doc, "pos"], "left").withColumn("_start", F.coalesce("_start", F.lit(0).cast("long")))
     return along(marked, [doc], ["pos"], before={"part": F.col("_start")}).withColumn("part", F.col("part") + F.col("_start")).select(*df.columns, "part")
 
 
