@@ -20,6 +20,12 @@ PRESETS = {
     "date": rf"(?i){B}\d{{1,2}}[/\-\.]\d{{1,2}}[/\-\.]\d{{2,4}}{E}|{B}\d{{4}}[-\/]\d{{2}}[-\/]\d{{2}}{E}|{B}(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{{1,2}},?\s+\d{{4}}{E}",
 }
 
+# what every match of a preset holds: simple patterns, so that a text without one is not searched at each of its places
+HOLDS = {
+    "email": "@", "phone": r"\d[\d)\-\s]{8,11}\d", "credit_card": r"\d[\d\-\s]{11,17}\d", "national_id": r"\d[\d\-\s]{10,12}\d", "tax_id": r"[A-Z]{5}[0-9]{4}[A-Z]",
+    "date": r"\d(?:[/\-.]\d|,?\s+\d{4})",
+}
+
 
 def valid(kind: str, match: Column) -> Column:
     digits = F.regexp_replace(match, r"\D", "")
@@ -47,8 +53,14 @@ def pii_scan(docs: DataFrame, kinds: list[str] | None = None, custom: dict[str,
     """One row a valid match: doc_id, kind, match_no (from 1, per kind, before validation), match, masked, before, after."""
     patterns = {k: PRESETS[k] for k in kinds or PRESETS} | {k: safe_pattern(p) for k, p in (custom or {}).items()}
     df = docs.select("doc_id", F.col(text).alias("_t"))
-    for k, p in enumerate(patterns.values()):
-        df = df.withColumn(f"_m{k}", F.regexp_extract_all("_t", F.lit(f"({p})" if not p.startswith("(?i)") else f"(?i)({p[4:]})"), 1)).withColumn(f"_s{k}", F.split("_t", p, -1))
+    none = F.array().cast("array<string>")
+    for k, (kind, p) in enumerate(patterns.items()):
+        hits = F.regexp_extract_all("_t", F.lit(f"({p})" if not p.startswith("(?i)") else f"(?i)({p[4:]})"), 1)
+        if kind in HOLDS and kind not in (custom or {}):
+            hits = F.when(F.col("_t").rlike(HOLDS[kind]), hits).otherwise(none)
+        df = df.withColumn(f"_m{k}", hits)
+    # texts are cut only at kinds that they hold
+    df = df.withColumns({f"_s{k}": F.when(F.size(f"_m{k}") > 0, F.split("_t", p, -1)).otherwise(none) for k, p in enumerate(patterns.values())})
     # one fold carries the place along, so a text's hits cost its length once
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<match_no:bigint,match:string,at:int>>").alias("all"))
 
@@ -62,7 +74,8 @@ def pii_scan(docs: DataFrame, kinds: list[str] | None = None, custom: dict[str,
         return F.transform(F.aggregate(zipped, start, one)["all"], lambda h: F.struct(F.lit(kind).alias("kind"), h["match_no"].alias("match_no"), h["match"].alias("match"), h["at"].alias("at")))
 
     found = F.flatten(F.array(*[matches(k, kind) for k, kind in enumerate(patterns)]))
-    df = df.select("doc_id", "_t", F.explode(found).alias("f")).select("doc_id", "_t", "f.*")
+    # outer: the filter that Spark adds to a plain explode would search the texts once more
+    df = df.select("doc_id", "_t", F.explode_outer(found).alias("f")).filter("f is not null").select("doc_id", "_t", "f.*")
     ok = F.lit(True)
     for kind in patterns:
         ok = F.when(F.col("kind") == kind, valid(kind, F.col("match"))).otherwise(ok)
