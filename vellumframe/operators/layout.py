@@ -261,8 +261,8 @@ def locate_bbox(values: DataFrame, tokens: DataFrame, doc: str, variant: str = "
     return j.select(doc, "key", F.when(none, 1).otherwise(F.col("b.page")).cast("long").alias("page"), *edges, (~none).alias("found"))
 
 
-def paragraph_split(docs: DataFrame, text: str = "text", pack: int = 300, gate: int = 350) -> DataFrame:
-    """doc_id, paragraph_no, paragraph: parts at blank lines, else at lines, else, for texts over `gate` characters, packs
+def paragraph_split(docs: DataFrame, text: str = "text", pack: int = 300, gate: int = 350, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, paragraph_no, paragraph, and columns to `keep`: parts at blank lines, else at lines, else, for texts over `gate` characters, packs
     of sentences of about `pack`.
 
     Headings (short parts without a stop, or short numbered or named ones) go in front of the next paragraph, or at the
@@ -270,8 +270,8 @@ def paragraph_split(docs: DataFrame, text: str = "text", pack: int = 300, gate:
     and null texts give no rows.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    keep = lambda a: F.filter(F.transform(a, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
-    df = docs.select("doc_id", t.alias("_t"), keep(F.split(t, r"\n\s*\n")).alias("_blank"), keep(F.split(t, r"\n+")).alias("_lines"))
+    full = lambda a: F.filter(F.transform(a, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    df = docs.select("doc_id", *keep, t.alias("_t"), full(F.split(t, r"\n\s*\n")).alias("_blank"), full(F.split(t, r"\n+")).alias("_lines"))
     state = F.struct(F.lit("").alias("cur"), F.array().cast("array<string>").alias("out"))
 
     def packed(acc, s):
@@ -282,7 +282,7 @@ def paragraph_split(docs: DataFrame, text: str = "text", pack: int = 300, gate:
     sentences = F.regexp_extract_all("_t", F.lit(r"([^.!?]+[.!?]+(?:\s+|$)|[^.!?]+$)"), 1)
     packs = F.aggregate(sentences, state, packed, lambda acc: F.when(F.trim(acc["cur"]) != "", F.array_append(acc["out"], F.trim(acc["cur"]))).otherwise(acc["out"]))
     parts = F.when(F.size("_blank") > 1, F.col("_blank")).when(F.size("_lines") > 1, F.col("_lines")).when((F.length("_t") > gate) & (F.size("_blank") > 0), packs).otherwise(F.col("_blank"))
-    df = df.select("doc_id", F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))), lambda p: p != "").alias("_p"))
+    df = df.select("doc_id", *keep, F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"\s+", " "))), lambda p: p != "").alias("_p"))
     longer = lambda out, more: F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.concat(F.element_at(out, -1), F.lit(" "), more)))
 
     def carried(acc, p):
@@ -293,5 +293,6 @@ def paragraph_split(docs: DataFrame, text: str = "text", pack: int = 300, gate:
         return F.struct(F.when(heading, named).otherwise("").alias("cur"), F.when(heading, acc["out"]).otherwise(kept).alias("out"))
 
     done = lambda acc: F.when(acc["cur"] == "", acc["out"]).when(F.size(acc["out"]) > 0, longer(acc["out"], acc["cur"])).otherwise(F.array(acc["cur"]))
-    out = df.select("doc_id", F.posexplode(F.aggregate("_p", state, carried, done)).alias("k", "paragraph"))
-    return out.select("doc_id", (F.col("k") + 1).cast("long").alias("paragraph_no"), "paragraph")
+    # outer: the filter that Spark adds to a plain explode would make the paragraphs once more
+    out = df.select("doc_id", *keep, F.posexplode_outer(F.aggregate("_p", state, carried, done)).alias("k", "paragraph")).filter("k is not null")
+    return out.select("doc_id", (F.col("k") + 1).cast("long").alias("paragraph_no"), "paragraph", *keep)
