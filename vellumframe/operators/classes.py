@@ -195,9 +195,10 @@ def iso_date_of(text: Column, created: Column | None = None) -> Column:
     named, month = rf"{B}(\d{{1,2}})[\s-]+([A-Za-z]{{3,9}})[\s-]+(20\d\d){E}", rf"{B}([A-Za-z]{{3,9}})\s+(20\d\d){E}"
     at = lambda name: F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.substring(name, 1, 3)))
     number = lambda name: F.when((F.length(name) > 0) & (at(name) % 3 == 1), F.lpad(((at(name) + 2) / 3).cast("int").cast("string"), 2, "0"))
-    first = F.when(g(ISO, 1) != "", F.translate(g(ISO, 1), "./", "--")).when(g(dmy, 1) != "", F.concat_ws("-", g(dmy, 3), g(dmy, 2), g(dmy, 1)))
-    third = F.when(number(g(named, 2)).isNotNull(), F.concat_ws("-", g(named, 3), number(g(named, 2)), F.lpad(g(named, 1), 2, "0")))
-    fourth = F.when(number(g(month, 1)).isNotNull(), F.concat_ws("-", g(month, 2), number(g(month, 1))))
+    # a pattern is tried once a row
+    first = let(g(ISO, 1), lambda d: F.when(d != "", F.translate(d, "./", "--")).otherwise(let(g(dmy, 0), lambda d: F.when(d != "", F.concat_ws("-", F.substring(d, 7, 4), F.substring(d, 4, 2), F.substring(d, 1, 2))))))
+    third = let(g(named, 2), lambda m: let(number(m), lambda n: F.when(n.isNotNull(), F.concat_ws("-", g(named, 3), n, F.lpad(g(named, 1), 2, "0")))))
+    fourth = let(g(month, 1), lambda m: let(number(m), lambda n: F.when(n.isNotNull(), F.concat_ws("-", g(month, 2), n))))
     return F.coalesce(first, third, fourth, *([F.date_format(created, "yyyy-MM-dd")] if created is not None else []))
 
 
@@ -236,8 +237,8 @@ def pdf_name(name: Column, most: int = 60) -> Column:
     """A file name of letters, digits, underscores and hyphens with .pdf behind it; Document.pdf where nothing is left."""
     base = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), r"\x00|\.\.+", ""), r"\.[^/.]+$", ""), r"[^A-Za-z0-9_-]", "_")
     base = F.regexp_replace(F.regexp_replace(F.regexp_replace(base, "_+", "_"), "-+", "-"), r"^[_.-]+|[_.-]+$", "")
-    base = F.when(F.length(base) > most, F.regexp_replace(F.substring(base, 1, most), r"[_.-]+$", "")).otherwise(base)
-    return F.concat(F.when(base == "", "Document").otherwise(base), F.lit(".pdf"))
+    short = let(base, lambda b: F.when(F.length(b) > most, F.regexp_replace(F.substring(b, 1, most), r"[_.-]+$", "")).otherwise(b))
+    return F.concat(let(short, lambda b: F.when(b == "", "Document").otherwise(b)), F.lit(".pdf"))
 
 
 def rename_proposal(category: Column, entity: Column, date: Column) -> Column:
@@ -258,7 +259,7 @@ def entity_of(text: Column, title: Column | None = None, name: Column | None = N
     """What a document is about: a name behind a word that announces one, else its title, else its first word that says
     something, else its file name; underscores for white space."""
     whole = lambda v: F.substring(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(v), r"\.\.+", ""), r"\s+", "_"), r"^[_.\-]+|[_.\-]+$", ""), 1, 25)
-    found = [F.when(F.length(whole(F.regexp_extract(text, p, 1))) >= 2, whole(F.regexp_extract(text, p, 1))) for p in ENTITY_PATTERNS]
+    found = [let(whole(F.regexp_extract(text, p, 1)), lambda v: F.when(F.length(v) >= 2, v)) for p in ENTITY_PATTERNS]
     useful = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: (F.length(w) >= 3) & ~F.lower(w).isin(TAG_STOP_WORDS) & ~w.rlike(r"^\d+$"))
     rest: list[Column] = []
     if title is not None:
