@@ -596,3 +596,16 @@ def test_repeated_texts_are_recalled_and_a_text_does_not_recall_itself(spark):
     alone = [i for i in range(20, 120)]
     trained, unseen = each([i for i in alone if i in learned]), each([i for i in alone if i not in learned])
     assert abs(trained.mean() - unseen.mean()) < 0.3
+
+
+def test_attention_learns_from_every_window_of_every_training_text(spark, monkeypatch):
+    rng = np.random.default_rng(23)
+    docs = [rng.integers(0, 40, int(k)) for k in rng.integers(0, 200, 60)]
+    targets, texts = [], []
+    monkeypatch.setattr(attention.Trainer, "step", lambda self, x, t, rate: targets.append(t[t >= 0]))
+    attention.Trainer({"embed": np.zeros((52, attention.WIDTH), np.float32)}, np.zeros(50, np.int64), 49).learn(docs, lambda _: 0.01, each=8)
+    assert np.concatenate(targets).tolist() == [x for d in docs for x in [*d.tolist(), 49]]
+    monkeypatch.setattr(attention, "_round", lambda trained, *_: texts.append([bytes(r["ids"]) for r in trained.collect()]))
+    rows = spark.createDataFrame([(i, bytearray(d.astype("<u2").tobytes())) for i, d in enumerate(docs)], "row long, ids binary")
+    attention.refine(rows, None, "<u2", 10**6)
+    assert len(texts) == len(attention.ROUNDS) and sorted(x for t in texts for x in t) == sorted(d.astype("<u2").tobytes() for d in docs)
