@@ -609,3 +609,22 @@ def test_attention_learns_from_every_window_of_every_training_text(spark, monkey
     rows = spark.createDataFrame([(i, bytearray(d.astype("<u2").tobytes())) for i, d in enumerate(docs)], "row long, ids binary")
     attention.refine(rows, None, "<u2", 10**6)
     assert len(texts) == len(attention.ROUNDS) and sorted(x for t in texts for x in t) == sorted(d.astype("<u2").tobytes() for d in docs)
+
+
+def test_attention_scores_do_not_depend_on_how_much_the_shared_tables_list(spark, monkeypatch):
+    rng = np.random.default_rng(24)
+    many = [a + b for a in WORDS for b in WORDS]
+    rows = [(i, text(rng, 90, many if i % 3 else [f"w{int(k)}" for k in rng.integers(0, 3000, 90)]), "en", "s") for i in range(90)]
+    rows += [(1000 + i, rows[i][1], "en", "s") for i in range(30)] + [(2000 + i, rows[i][1], "en", "s") for i in range(9)]
+    counts = spark.createDataFrame([(1, 9), (2, 5), (3, 5), (4, 2), (5, 1)], "h long, n long")
+    assert attention.listed_from(counts, 22) == 2
+    monkeypatch.setattr(attention, "_round", lambda *_: None)
+    monkeypatch.setattr(attention, "OWN", 8)
+    columns = lambda: {r["doc_id"]: r for r in attention.score(frame(spark, rows).coalesce(2)).collect()}
+    whole = columns()
+    monkeypatch.setattr(attention, "LISTED", 2)
+    monkeypatch.setattr(attention, "FREQUENT", 0.002)
+    assert attention.listed_from(counts, 2500) == 5
+    short = columns()
+    for i, r in whole.items():
+        assert r["n_known"] == short[i]["n_known"] and abs(r["base_score"] - short[i]["base_score"]) < 1e-6 * r["n_tokens"]
