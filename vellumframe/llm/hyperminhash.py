@@ -1,12 +1,15 @@
 """MinHash near-duplicates by HyperMinHash registers.
 
 Every document's distinct word shingles fall into buckets; a bucket keeps the leading-zero count and the next
-mantissa bits of its smallest value in 16 bits. Groups of registers are banded. Candidates pass a
-collision-corrected Jaccard estimate before the full shingle sets confirm them.
+mantissa bits of its smallest value in 16 bits. Groups of buckets are banded by the values before they are cut to 16
+bits, where a bucket without one borrows that of another, so that a band of a short text speaks of as many values as one
+of a long text and texts that share a shingle or two do not meet. Candidates pass a collision-corrected Jaccard estimate
+before the full shingle sets confirm them.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -21,31 +24,67 @@ from .words import Words, batch, binary, mix, pieces, shingle_sets
 ROWS = 6
 MANTISSA = 10
 EMPTY = 0xFFFF
+NOTHING = np.iinfo(np.int64).max
 PARITY = 32  # 64-bit words of a set's parity sketch
 #: Members of a pivot that are paired in one group, and parts a pivot's rows are dealt to before that.
 BLOCK, SALT = 512, 32
 
 
-def bands_for(threshold: float, miss: float = 1e-5) -> int:
+def bands_for(threshold: float, miss: float = 1e-6) -> int:
     """Bands of ROWS registers so that a pair at the threshold shares none with at most the given chance."""
     return math.ceil(math.log(miss) / math.log1p(-(threshold**ROWS)))
 
 
-def registers(sets: list[np.ndarray], k: int) -> np.ndarray:
-    """(documents, k) uint16: leading zeros above MANTISSA bits of each bucket's smallest value, EMPTY without one."""
+def minima(sets: list[np.ndarray], k: int) -> np.ndarray:
+    """(documents, k) int64: each bucket's smallest value, NOTHING without one."""
     sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     cell = np.repeat(np.arange(len(sets)), sizes) * k + (flat % np.uint64(k)).astype(np.int64)
     value = mix(flat ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(1)
-    least = np.full(len(sets) * k, np.iinfo(np.int64).max, np.int64)
-    np.minimum.at(least, cell, value.astype(np.int64))
-    seen = np.zeros(len(least), bool)
-    seen[cell] = True
+    least = np.full(len(sets) * k, NOTHING, np.int64)
+    np.minimum.at(least, cell, np.minimum(value.astype(np.int64), NOTHING - 1))
+    return least.reshape(len(sets), k)
+
+
+def registers(sets: list[np.ndarray], k: int) -> np.ndarray:
+    """(documents, k) uint16: leading zeros above MANTISSA bits of each bucket's smallest value, EMPTY without one."""
+    return compressed(minima(sets, k))
+
+
+def compressed(least: np.ndarray) -> np.ndarray:
+    """The registers of minima."""
     part, exponent = np.frexp(np.maximum(least, 1).astype(np.float64))
     zeros = np.clip(63 - exponent, 0, 62)
     out = ((zeros.astype(np.int64) << MANTISSA) | np.minimum(((part - 0.5) * 2 * (1 << MANTISSA)).astype(np.int64), (1 << MANTISSA) - 1)).astype(np.uint16)
-    out[~seen] = EMPTY
-    return out.reshape(len(sets), k)
+    out[least == NOTHING] = EMPTY
+    return out
+
+
+@functools.cache
+def donors(k: int) -> np.ndarray:
+    """(k, k): the buckets that each bucket asks for a value where it has none, in its own fixed order."""
+    return np.argsort(mix(np.arange(k * k, dtype=np.uint64) + np.uint64(1 << 40)).reshape(k, k), axis=1, kind="stable")
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """(documents, bands) int64: a hash of each band's ROWS values. A bucket without a value takes that of the first of
+    its donors with one, which is the same bucket for two sets as often as they share their values."""
+    k = least.shape[1]
+    full, free = least.copy(), least == NOTHING
+    row, at = np.nonzero(free & ~free.all(axis=1)[:, None])
+    order = donors(k)
+    for step in range(k):
+        if not len(row):
+            break
+        donor = order[at, step]
+        has = ~free[row, donor]
+        full[row[has], at[has]] = least[row[has], donor[has]]
+        row, at = row[~has], at[~has]
+    bands = full.astype(np.uint64).reshape(len(least), -1, ROWS)
+    key = np.tile(np.arange(1, bands.shape[1] + 1, dtype=np.uint64), (len(least), 1))
+    for j in range(ROWS):
+        key = mix(key + bands[:, :, j])
+    return key.view(np.int64)
 
 
 def parity(sets: list[np.ndarray]) -> pa.Array:
@@ -76,22 +115,24 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tu
 
 
 def sketch(docs: DataFrame, shingle: int, k: int) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_shingles, two 64-bit digests of the set, and the registers."""
+    """(doc_id, text) -> doc_id, n_shingles, two 64-bit digests of the set, the registers, the parity sketch and the keys of
+    the bands."""
 
     def run(batches):
         for b in pieces(batches):
             sets = shingle_sets(Words(b.column(1)), shingle)
-            reg = registers(sets, k)
+            least = minima(sets, k)
             yield batch(
                 doc_id=b.column(0),
                 n_shingles=np.array([len(s) for s in sets], np.int64),
                 h1=np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64),
                 h2=np.array([mix(s + np.uint64(77)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64),
-                registers=binary(list(reg)),
+                registers=binary(list(compressed(least))),
                 parity=parity(sets),
+                keys=pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * (k // ROWS), pa.int32()), pa.array(band_keys(least).ravel())),
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, registers binary, parity array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, registers binary, parity array<long>, keys array<long>")
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -188,11 +229,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     sig = staged(sketch(docs, shingle, k), "sketch")
     some = sig.filter("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"))
-    reps = staged(some.join(classes, ["n_shingles", "h1", "h2"]).filter("doc_id = rep").dropDuplicates(["doc_id", "n_shingles", "h1", "h2"]).select("doc_id", "n_shingles", "registers", "parity"), "reps")
-    width = 2 * ROWS
-    nothing = F.lit(b"\xff" * width)
-    piece = F.expr(f"substring(registers, band * {width} + 1, {width})")
-    buckets = reps.select("doc_id", "n_shingles", "registers", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band")).select("doc_id", "n_shingles", "band", piece.alias("part")).filter(F.col("part") != nothing).select("doc_id", F.col("n_shingles").alias("n"), F.xxhash64("band", "part").alias("key"))
+    reps = staged(some.join(classes, ["n_shingles", "h1", "h2"]).filter("doc_id = rep").dropDuplicates(["doc_id", "n_shingles", "h1", "h2"]).select("doc_id", "n_shingles", "registers", "parity", "keys"), "reps")
+    buckets = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     near = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))  # noqa: E731  sizes alone rule the others out
 
     shared = buckets.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("pivot"), F.max("doc_id").alias("last")).filter("pivot.doc_id <> last")
